@@ -39,3 +39,55 @@ def op1(rows_, window=13):
                 gone.update(range(k, k + window))
         out.append((i, len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone))))
     return sorted(out)
+
+
+def op2(rows_):
+    out = []
+    for i, t in rows_:
+        t = t or ""
+        w = BLANK_WORD.findall(t)
+        lines = [x for x in t.split("\n") if BLANK_WORD.search(x)]
+        seen = {}
+        for k in range(len(w) - 7):
+            seen.setdefault(tuple(w[k : k + 8]), []).append(k)
+        repeat = {p for at in seen.values() if len(at) > 1 for k in at for p in range(k, k + 8)}
+        out.append((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(repeat), len(w) < 20 or 100 * len(repeat) > 30 * len(w)))
+    return sorted(out)
+
+
+def longest_repeats(w, least):
+    """For each word the longest substring from there that occurs again."""
+    out = []
+    for i in range(len(w)):
+        best = 0
+        for j in range(len(w)):
+            k = 0
+            while i != j and max(i, j) + k < len(w) and w[i + k] == w[j + k]:
+                k += 1
+            best = max(best, k)
+        out.append(best if best >= least else 0)
+    return out
+
+
+def alnum(t):
+    return ALNUM_WORD.findall((t or "").translate(LOWER))
+
+
+def op3(rows_, items_, window=10):
+    windows = {}
+    for item, t in items_:
+        w = alnum(t)
+        for k in range(max(1, len(w) - window + 1) if w else 0):
+            windows.setdefault(tuple(w[k : k + window]), set()).add(str(item))
+    sizes = sorted({len(k) for k in windows})
+    out = []
+    for i, t in rows_:
+        w, hit, items = alnum(t), set(), set()
+        for n in sizes:
+            for k in range(len(w) - n + 1):
+                g = tuple(w[k : k + n])
+                if g in windows:
+                    hit.update(range(k, k + n))
+                    items |= windows[g]
+        out.append((i, len(w), len(hit), len(items), sha(",".join(sorted(items))), bool(hit)))
+    return sorted(out)
