@@ -91,3 +91,19 @@ def op3(rows_, items_, window=10):
                     items |= windows[g]
         out.append((i, len(w), len(hit), len(items), sha(",".join(sorted(items))), bool(hit)))
     return sorted(out)
+
+PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+
+
+def op10(rows_):
+    out = []
+    for i, t in rows_:
+        w, at, labels = alnum(t), [], set()
+        for p, label in PHRASES.items():
+            p = p.split()
+            for k in range(len(w) - len(p) + 1):
+                if w[k : k + len(p)] == p:
+                    at.append(k)
+                    labels.add(label)
+        out.append((i, len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))))
+    return sorted(out)
