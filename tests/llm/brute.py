@@ -107,3 +107,33 @@ def op10(rows_):
                     labels.add(label)
         out.append((i, len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))))
     return sorted(out)
+
+
+def components(nodes, links):
+    label = {n: n for n in nodes}
+
+    def root(n):
+        while label[n] != n:
+            n = label[n]
+        return n
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        label[max(a, b)] = min(a, b)
+    return {n: root(n) for n in nodes}
+
+
+def op7(rows_, size=2, percent=80):
+    sets = {}
+    for i, t in rows_:
+        w = BLANK_WORD.findall((t or "").translate(LOWER))
+        sets[i] = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
+    ids = sorted(sets)
+    links = []
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            common = len(sets[a] & sets[b])
+            if common and 100 * common >= percent * len(sets[a] | sets[b]):
+                links.append((a, b))
+    label = components(ids, links)
+    return [(i, len(sets[i]), label[i], label[i] == i) for i in ids]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .license_templates import license_scan
+from .near_duplicates import near_duplicates
 from .repetition_rules import repetition_rules
 from .substring_dedup import remove_repeated_windows
 
@@ -33,5 +34,9 @@ def op10_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents")).drop("matches")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_repetition_rules, op3_decontamination, op10_license_templates)}
+def op7_minmax_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_repetition_rules, op3_decontamination, op7_minmax_hashing, op10_license_templates)}
 ORACLES: dict[str, str] = {}
