@@ -207,7 +207,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    chunks, buckets = 8 * n, n
+    chunks, buckets = 2 * n, n
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     base = base.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)))
 
