@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_shards import byte_shards
 from .decontaminate import decontaminate
+from .disclosure import sanitise
 from .license_templates import license_scan
 from .near_duplicates import near_duplicates
 from .repetition_rules import repetition_rules
@@ -30,13 +32,22 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = byte_shards(_table(spark, sf_dir, "documents"), 8)
+    return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 def op10_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op5_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise(_table(spark, sf_dir, "documents"))
+
+
 def op7_minmax_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_repetition_rules, op3_decontamination, op7_minmax_hashing, op10_license_templates)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_repetition_rules, op3_decontamination, op5_disclosure, op7_minmax_hashing, op9_byte_shards, op10_license_templates)}
 ORACLES: dict[str, str] = {}
