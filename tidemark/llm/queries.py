@@ -10,8 +10,12 @@ from .decontaminate import decontaminate
 from .disclosure import sanitise
 from .license_templates import license_scan
 from .near_duplicates import near_duplicates
+from .packing import pack
+from .records import read_token_records, write_token_records
 from .repetition_rules import repetition_rules
+from .shared import new_dir
 from .substring_dedup import remove_repeated_windows
+from .warc import read_archives, write_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +36,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_revisit_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listing = write_archives(_table(spark, sf_dir, "pages"), new_dir(spark, "archives"))
+    return read_archives(spark, listing, with_payload=False).drop("url")
+
+
 def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = byte_shards(_table(spark, sf_dir, "documents"), 8)
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
@@ -41,13 +50,22 @@ def op10_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op4_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), 2048, with_ids=False)
+
+
 def op5_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitise(_table(spark, sf_dir, "documents"))
 
 
+def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listing = write_token_records(_table(spark, sf_dir, "documents"), new_dir(spark, "token-records"))
+    return read_token_records(spark, listing, with_ids=False)
+
+
 def op7_minmax_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_repetition_rules, op3_decontamination, op5_disclosure, op7_minmax_hashing, op9_byte_shards, op10_license_templates)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_repetition_rules, op3_decontamination, op4_swap_packing, op5_disclosure, op6_token_records, op7_minmax_hashing, op8_revisit_archives, op9_byte_shards, op10_license_templates)}
 ORACLES: dict[str, str] = {}
