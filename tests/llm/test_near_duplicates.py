@@ -46,6 +46,24 @@ def test_group_without_a_common_centre(spark):
     assert sorted(map(tuple, got.collect())) == brute.op7(rows, 2, 90)
 
 
+def test_family_of_several_blocks(spark, monkeypatch):
+    """Small blocks, so that links must be found across tasks."""
+    from tidemark.llm import near_duplicates as module
+
+    monkeypatch.setattr(module, "BLOCK", 7)
+    rng = random.Random(3)
+    base = [f"b{k}" for k in range(60)]
+    rows = []
+    for k in range(120):
+        x = base.copy()
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 5])):
+            x[rng.randrange(60)] = f"e{rng.randrange(9)}"
+        rows.append((k, " ".join(x)))
+    got = near_duplicates(brute.documents(spark, rows), shingle=2)
+    want = brute.op7(rows)
+    assert sorted(map(tuple, got.collect())) == want and len({w[2] for w in want}) > 1
+
+
 def test_ids_and_empty_table(spark):
     rows = [(None, "a b c"), (3, "a b c"), (5, "a b c"), (5, "a b c"), (7, None)]
     got = sorted(map(tuple, near_duplicates(brute.documents(spark, rows), shingle=2).collect()), key=str)

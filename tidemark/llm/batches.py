@@ -21,8 +21,14 @@ def schema_of(ddl: str) -> tuple[T.StructType, pa.Schema]:
 
 def map_texts(docs: DataFrame, id_col: str, text_col: str, work: Callable[[np.ndarray, np.ndarray], list], ddl: str, id_type: str = "long") -> DataFrame:
     """One row per input row: its id and the columns of ddl, which work makes from the UTF-8 bytes and bounds of a run of texts."""
-    kinds, arrow = schema_of(f"`{id_col}` {id_type}, {ddl}")
-    base = docs.select(F.col(id_col).cast(id_type), F.col(text_col).cast("string"))
+    return map_beside(docs.select(F.col(id_col).cast(id_type).alias(id_col), F.col(text_col).cast("string").alias("text")), work, ddl)
+
+
+def map_beside(base: DataFrame, work: Callable[[np.ndarray, np.ndarray], list], ddl: str) -> DataFrame:
+    """base: any column, and text. Returns that first column as it is, and the columns of ddl."""
+    kinds, _ = schema_of(ddl)
+    kinds = T.StructType([base.schema.fields[0], *kinds.fields])
+    arrow = to_arrow_schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -32,3 +38,23 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, work: Callable[[np.nd
                 yield pa.RecordBatch.from_arrays([c.cast(t) if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, arrow.types, strict=True)], schema=arrow)
 
     return base.mapInArrow(run, kinds)
+
+
+def beside(docs: DataFrame, text_col: str) -> DataFrame:
+    """row, a struct of all columns but the text, and text."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    return docs.select(F.struct(*others, F.lit(0).alias("__beside")).alias("row"), F.col(text_col).cast("string").alias("text"))
+
+
+def rejoined(docs: DataFrame, text_col: str, made: DataFrame, text: str) -> DataFrame:
+    """The columns of docs in their order, from row and the new text; n_chars, where docs has it, follows the text."""
+    out = []
+    for c in docs.columns:
+        kind = docs.schema[c].dataType
+        if c == text_col:
+            out.append(F.col(text).cast(kind).alias(c))
+        elif c == "n_chars":
+            out.append(F.length(text).cast(kind).alias(c))
+        else:
+            out.append(F.col("row").getField(c).alias(c))
+    return made.select(*out)

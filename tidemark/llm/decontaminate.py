@@ -18,9 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import words as W
-from .batches import schema_of
+from .batches import beside, rejoined, schema_of
 from .fm_index import FmIndex, index_runs
 from .shared import cut
 
@@ -94,7 +96,8 @@ _STATE = "n_words long, spans array<long>, items array<string>"
 
 def _pass(docs: DataFrame, block: list[tuple[str, str]], window: int, first: bool) -> DataFrame:
     phrases = docs.sparkSession.sparkContext.broadcast(Phrases([x[0] for x in block], [x[1] for x in block], window))
-    kinds, arrow = schema_of(f"id long, text string, {_STATE}")
+    kinds = T.StructType([*docs.schema.fields[:2], *schema_of(_STATE)[0].fields])
+    arrow = to_arrow_schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = phrases.value
@@ -142,15 +145,16 @@ def _merged(flat: list[int]) -> list[int]:
 
 
 def _finished(found: DataFrame, with_text: bool) -> DataFrame:
-    ddl = "id long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, spans array<array<long>>"
-    kinds, arrow = schema_of(ddl + (", clean_text string" if with_text else ""))
+    ddl = "n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, spans array<array<long>>"
+    kinds = T.StructType([found.schema.fields[0], *schema_of(ddl + (", clean_text string" if with_text else ""))[0].fields])
+    arrow = to_arrow_schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans, items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
             hit = [sum(x[1::2]) - sum(x[::2]) for x in spans]
             sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-            cols = [batch.column("id"), batch.column("n_words"), hit, list(map(len, items)), items, sha, [h > 0 for h in hit], [[x[k : k + 2] for k in range(0, len(x), 2)] for x in spans]]
+            cols = [batch.column(0), batch.column("n_words"), hit, list(map(len, items)), items, sha, [h > 0 for h in hit], [[x[k : k + 2] for k in range(0, len(x), 2)] for x in spans]]
             if with_text:
                 cols.append([_without(t, s) for t, s in zip(batch.column("text").to_pylist(), spans, strict=True)])
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, arrow.types, strict=True)], schema=arrow)
@@ -188,8 +192,18 @@ def decontaminate(
     nothing, one with a null id counts as ''. Repeated items count once in items. Repeated or null document ids: each
     row is judged on its own. Other columns are neither read nor kept. Empty tables: no hits, or no rows.
     """
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
+    return _all_blocks(base, benchmark, item_col, item_text_col, window, with_text, most_block_bytes)
+
+
+def remove_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, most_block_bytes: int = 4 << 20) -> DataFrame:
+    """The rows and columns of docs, their texts without the spans that decontaminate finds; n_chars, if there, follows the text."""
+    made = _all_blocks(beside(docs, text_col), benchmark, item_col, item_text_col, window, True, most_block_bytes)
+    return rejoined(docs, text_col, made, "clean_text")
+
+
+def _all_blocks(out: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, with_text: bool, most_block_bytes: int) -> DataFrame:
+    """out: any column, and text."""
     for k, block in enumerate(_blocks(benchmark, item_col, item_text_col, most_block_bytes)):
         out = _pass(out if k == 0 else cut(out, "found"), block, window, k == 0)
-    out = _finished(out, with_text)
-    return out.withColumnRenamed("id", id_col)
+    return _finished(out, with_text)

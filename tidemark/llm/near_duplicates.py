@@ -3,8 +3,8 @@
 Each permutation of the shingles gives two signature values, its minimum and its maximum; both agree between two sets
 with a chance equal to their similarity, and one evaluation makes the two. Bands of values lead to candidates, which
 are confirmed on the full sets. Documents of equal sets are one node from the start, so a large group of copies costs
-a row each. In a band's group every node is first compared with the smallest, and only where the group then still
-falls into several components are further nodes compared across them, so no group gives all of its pairs.
+a row each. In a band's group every node is first compared with the smallest and with one of a handful. Groups that
+still fall into several components are compared across those in blocks, of which only the links come out.
 
 A pair just at 0.8 shares none of 50 bands of 5 values with a chance of about 2 in 10**9.
 """
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -25,6 +25,8 @@ from .shared import cut
 
 #: Pairs up to this many have their ids broadcast (16 bytes each); more are joined by a shuffle.
 FEW_PAIRS = 50_000
+#: Nodes of a band group that are compared with one of them at random, and nodes of a family that are compared in a task.
+HANDFUL, BLOCK = 8, 500
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,6 +91,49 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     return both.select("lo", "hi", "a", "b").mapInArrow(run, kinds).distinct()
 
 
+def _across(rest: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between nodes of unlike labels in a family, which is what band groups (rows lo, hi, label of hi) hold together.
+
+    A family is dealt into blocks; a task compares two blocks, so a large family is many tasks, and only links come out.
+    """
+    family = components(rest.where("lo < hi").select("lo", "hi").distinct()).withColumnRenamed("label", "family")
+    nodes = rest.select(F.col("hi").alias("node"), F.col("label").alias("own")).distinct().join(family, "node")
+    blocks = family.groupBy("family").agg(F.expr(f"cast(count(*) div {BLOCK} + 1 AS int)").alias("blocks"))
+    nodes = nodes.join(blocks, "family").withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
+    cells = nodes.select("node", "own", "family", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = cells.select("node", "own", "family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    cells = cut(cells, "cells")
+    few = cells.select("node").distinct()
+    if len(few.take(FEW_PAIRS + 1)) <= FEW_PAIRS:
+        few = F.broadcast(few)
+    texts = cut(docs.withColumnRenamed("id", "node").join(few, "node", "left_semi"), "texts")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, own = table.column("node").to_numpy(), table.column("own").to_numpy()
+        sets, counts = [], []
+        for _, data, bounds in W.slices(table.column("text").combine_chunks()):
+            flat, at = shingle_sets(data, bounds, size)
+            sets.append(flat)
+            counts.append(np.diff(at))
+        distinct, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        counts = np.concatenate(counts)
+        at = np.r_[0, np.cumsum(counts)]
+        labels, times = np.unique(own, return_counts=True)
+        main = labels[times.argmax()]
+        lo, hi, mark = [], [], np.zeros(len(distinct), np.int64)
+        for i in np.flatnonzero(own != main):
+            mark[flat[at[i] : at[i + 1]]] = 1
+            common = W.run_sums(mark[flat], at)
+            mark[flat[at[i] : at[i + 1]]] = 0
+            good = np.flatnonzero((100 * common >= percent * (counts + counts[i] - common)) & (own != own[i]) & (counts > 0))
+            lo += np.minimum(node[good], node[i]).tolist()
+            hi += np.maximum(node[good], node[i]).tolist()
+        return pa.table({"lo": pa.array(lo, pa.int64()), "hi": pa.array(hi, pa.int64())})
+
+    held = cells.join(texts, "node").select("family", "low", "high", "node", "own", "text")
+    return held.groupBy("family", "low", "high").applyInArrow(compare, "lo long, hi long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 50, rows: int = 5) -> DataFrame:
     """Groups of documents linked by similar shingle sets.
 
@@ -117,29 +162,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linkable = signed.where("id IS NOT NULL AND n_shingles > 0")
     nodes = cut(linkable.groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "nodes")
     held = nodes.select("rep", F.explode("bands").alias("key"))
-    groups = held.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("most")).where("hub < most")
-    members = cut(held.join(groups.select("key", "hub"), "key"), "members")
+    groups = held.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("most"), F.count("*").alias("size")).where("hub < most")
+    members = cut(held.join(groups.select("key", "hub", "size"), "key"), "members")
 
-    pairs = cut(members.where("rep > hub").select(F.col("hub").alias("lo"), F.col("rep").alias("hi")).distinct(), "pairs")
+    # Stars: each node with the smallest of its band group, and with the smallest of a random handful of a larger group.
+    handfuls = members.where(f"size > {HANDFUL}").withColumn("part", F.pmod(F.xxhash64("rep", "key"), F.expr(f"size div {HANDFUL} + 1")))
+    nearby = handfuls.join(handfuls.groupBy("key", "part").agg(F.min("rep").alias("lo")), ["key", "part"]).select("lo", F.col("rep").alias("hi"))
+    pairs = cut(members.select(F.col("hub").alias("lo"), F.col("rep").alias("hi")).unionByName(nearby).where("lo < hi").distinct(), "pairs")
     links = cut(_confirm(pairs, docs, shingle, percent), "confirmed")
     labels = components(links)
-    done, more = 1, 16
-    while True:
-        now = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
-        open_ = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        members_left = cut(now.join(open_, "key"), "open")
-        ranked = members_left.select("key", "rep", "label", F.row_number().over(Window.partitionBy("key").orderBy("rep")).alias("place"))
-        hubs = ranked.where((F.col("place") > done) & (F.col("place") <= done + more)).select("key", F.col("rep").alias("lo"), F.col("label").alias("own"))
-        pairs = hubs.join(members_left, "key").where("rep > lo AND label <> own").select("lo", F.col("rep").alias("hi")).distinct()
-        pairs = cut(pairs, "pairs")
-        found = cut(_confirm(pairs, docs, shingle, percent), "confirmed")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = components(links)
-        done, more = done + more, 2 * more
-        members = members_left.select("key", "rep")
-        if ranked.where(F.col("place") > done + 1).isEmpty():
-            break
+
+    # What is open: groups that fall into several components, beyond pairs that have been compared.
+    now = members.where("size > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "hub", "rep", F.coalesce("label", "rep").alias("label"))
+    now = cut(now, "labelled")
+    open_ = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    rest = now.join(open_, "key").select(F.col("hub").alias("lo"), F.col("rep").alias("hi"), "label").distinct()
+    found = cut(_across(cut(rest, "open"), docs, shingle, percent), "confirmed")
+    if not found.isEmpty():
+        labels = components(links.unionByName(found))
     classes = nodes.select("f1", "f2", "n_shingles", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     classes = cut(classes.select("f1", "f2", "n_shingles", F.coalesce("label", "rep").alias("component_id")), "classes")
     alone = signed.where("id IS NULL OR n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))

@@ -8,11 +8,14 @@ substring from there that the text holds again. The union of those spans is what
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import words as W
-from .batches import map_texts
+from .batches import map_beside, map_texts
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"[#*$%&|<>]"[1:-1])] = True
@@ -87,6 +90,20 @@ def _measures(data: np.ndarray, bounds: np.ndarray, window: int, least: int) ->
     return out
 
 
+COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_covered long, longest_repeat long, base_failed boolean, kept boolean"
+
+
+def _judge(window: int = 8, min_words: int = 20, most_repeated: float = 0.3, least: int = 6, most_covered: float = 0.4, most_longest: float = 0.25) -> Callable[[np.ndarray, np.ndarray], list]:
+    def work(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+        m = _measures(data, bounds, window, least)
+        n = m["n_words"]
+        m["base_failed"] = (n < min_words) | (100 * m["n_repeat_words"] > round(100 * most_repeated) * n)
+        m["kept"] = ~m["base_failed"] & (m["n_covered"] <= most_covered * n) & (m["longest_repeat"] <= most_longest * n)
+        return list(m.values())
+
+    return work
+
+
 def repetition_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8, min_words: int = 20,
     most_repeated: float = 0.3, least: int = 6, most_covered: float = 0.4, most_longest: float = 0.25,
@@ -107,14 +124,10 @@ def repetition_rules(
     each on its own. Other columns are neither read nor kept. An empty table gives an empty table.
     """
 
-    def work(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-        m = _measures(data, bounds, window, least)
-        n = m["n_words"]
-        m["base_failed"] = (n < min_words) | (100 * m["n_repeat_words"] > round(100 * most_repeated) * n)
-        m["kept"] = ~m["base_failed"] & (m["n_covered"] <= most_covered * n) & (m["longest_repeat"] <= most_longest * n)
-        return list(m.values())
+    return map_texts(docs, id_col, text_col, _judge(window, min_words, most_repeated, least, most_covered, most_longest), COLUMNS)
+
 
-    return map_texts(
-        docs, id_col, text_col, work,
-        "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_covered long, longest_repeat long, base_failed boolean, kept boolean",
-    )
+def keep_by_rules(docs: DataFrame, text_col: str = "text", **limits: float) -> DataFrame:
+    """The rows that repetition_rules keeps, with all their columns as they are."""
+    both = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    return map_beside(both, _judge(**limits), COLUMNS).where("kept").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
