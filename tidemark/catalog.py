@@ -29,7 +29,7 @@ def query(sql: str | None = None, uses: str = "") -> Callable[[Query], Query]:
     """Registers a query under its function's name; uses: logical tables that its SQL reads."""
 
     def add(f: Query) -> Query:
-        name = f.__name__.rstrip("_")
+        name = f.__name__
         QUERIES[name] = f
         if sql is not None:
             ORACLES[name] = (f"WITH {', '.join(X.SQL[u] for u in uses.split())} " if uses else "") + sql
@@ -226,7 +226,7 @@ def filter_fill_asset(spark, sf):
     return L.filter_fill_asset(X.fills(spark, sf), "7", "1997-01-01").select("id")
 
 
-@query("SELECT DISTINCT id FROM fills JOIN tokens ON makerAssetId = asset_id OR takerAssetId = asset_id WHERE condition_id = '0x00000002'", "fills tokens")
+@query("SELECT id FROM fills WHERE makerAssetId IN (SELECT asset_id FROM tokens WHERE condition_id = '0x00000002') OR takerAssetId IN (SELECT asset_id FROM tokens WHERE condition_id = '0x00000002')", "fills tokens")
 def filter_fill_assets(spark, sf):
     return L.filter_fill_assets(X.fills(spark, sf), tokens(spark, sf).where("condition_id = '0x00000002'")).select("id")
 
@@ -303,3 +303,709 @@ def pick_market(spark, sf):
 @query("SELECT DISTINCT makerAssetId AS asset_id FROM fills WHERE makerAssetId <> '0' AND makerAssetId NOT IN (SELECT asset_id FROM tokens WHERE condition_id = '0x00000001')", "fills tokens")
 def asset_fallback_anti(spark, sf):
     return L.asset_fallback_anti(X.fills(spark, sf).select(F.col("makerAssetId").alias("asset_id")), tokens(spark, sf).where("condition_id = '0x00000001'"))
+
+
+def _hourly(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly bars of the fixture trades with every column of the detector; all outcomes."""
+    c = K.BreakConfig(interval="1h", auto_select_outcome=False)
+    return K.break_bars(X.trades(spark, sf), c)
+
+
+#: Hourly bars in DuckDB with the same columns.
+X.SQL["hours"] = """raw_hours AS (SELECT market_id, outcome, date_trunc('hour', timestamp_utc) AS bar_start, count(*) AS n_trades, sum(size) AS volume, sum(price * size) AS notional,
+    arg_min(price, timestamp_utc) AS price_start, arg_max(price, timestamp_utc) AS price_end FROM trades GROUP BY 1, 2, 3),
+    spine AS (SELECT market_id, outcome, unnest(generate_series(min(bar_start), max(bar_start), INTERVAL 1 HOUR)) AS bar_start FROM raw_hours GROUP BY 1, 2),
+    hours AS (SELECT market_id, outcome, bar_start, coalesce(n_trades, 0) AS n_trades, coalesce(volume, 0) AS volume, coalesce(notional, 0) AS notional, price_start, price_end,
+    CASE WHEN price_start <> 0 THEN (price_end / price_start - 1) * 100 END AS ret FROM spine LEFT JOIN raw_hours USING (market_id, outcome, bar_start))"""
+X.SQL["scored"] = """rolled AS (SELECT *, count(*) OVER w AS before, quantile_cont(volume, 0.5) OVER w AS q50r, quantile_cont(volume, 0.75) OVER w AS q75r FROM hours
+    WINDOW w AS (PARTITION BY market_id, outcome ORDER BY bar_start ROWS BETWEEN 96 PRECEDING AND 1 PRECEDING)),
+    ratios AS (SELECT *, CASE WHEN before >= 24 THEN q50r END AS q50, CASE WHEN before >= 24 THEN q75r END AS q75, CASE WHEN before >= 24 AND q50r <> 0 THEN volume / q50r END AS ratio FROM rolled),
+    flagged AS (SELECT *, coalesce(ratio, 0) AS signal, coalesce(ratio, 0) >= 0.8 OR coalesce(volume >= q75, false) AS substantial,
+    volume <= 0 OR (coalesce(ratio, 0) < 0.35 AND coalesce(volume < q50, true)) AS low FROM ratios),
+    scored AS (SELECT *, coalesce(n_trades >= 1 AND ratio >= 2 AND abs(ret) >= 2, false) AS surge, coalesce(n_trades >= 1 AND substantial AND abs(ret) >= 4, false) AS strong,
+    abs(ret) / 4 * (1 + ln(1 + greatest(signal, 0))) AS score FROM flagged)"""
+_HOURS, _SCORED = "trades hours", "trades hours scored"
+_KEY = f"market_id, outcome, {_sqlt('bar_start')} AS at"
+
+
+def _keyed(df: DataFrame, *columns) -> DataFrame:
+    return df.select("market_id", "outcome", _t("bar_start").alias("at"), *columns)
+
+
+# Joins around breaks
+
+
+def _hour_breaks(spark: SparkSession, sf: str) -> DataFrame:
+    return _hourly(spark, sf).where("is_break")
+
+
+_NEAR = "(SELECT *, row_number() OVER (PARTITION BY market_id, outcome ORDER BY score DESC, bar_start) AS place FROM scored WHERE (surge OR strong) AND NOT low)"
+
+
+@query(
+    f"""SELECT b.market_id, b.outcome, {_sqlt('k.bar_start')} AS break_at, count(*) AS n_bars, round(sum(b.volume), 4) AS volume FROM hours b JOIN {_NEAR} k
+    ON b.market_id = k.market_id AND b.outcome = k.outcome AND b.bar_start BETWEEN k.bar_start - INTERVAL 12 HOUR AND k.bar_start + INTERVAL 12 HOUR WHERE place <= 5 GROUP BY 1, 2, 3""",
+    _SCORED,
+)
+def bars_around_breaks(spark, sf):
+    bars = _hourly(spark, sf)
+    near = K.near_breaks(bars, "bar_start", K.top_breaks(bars.where("is_break"), 5), 12 * HOUR, B.KEYS)
+    return near.groupBy("market_id", "outcome", _t("break_timestamp").alias("break_at")).agg(F.count("*").alias("n_bars"), _r(F.sum("volume"), 4).alias("volume"))
+
+
+@query(
+    f"""SELECT {_sqlt('k.bar_start')} AS break_at, count(*) AS n_articles FROM articles a JOIN {_NEAR} k ON strptime(seendate, '%Y%m%d%H%M%S') BETWEEN k.bar_start - INTERVAL 6 HOUR AND k.bar_start + INTERVAL 6 HOUR
+    WHERE k.place = 1 AND a.language = 'en' GROUP BY 1""",
+    f"{_SCORED} articles",
+)
+def news_around_breaks(spark, sf):
+    news = N.filter_language(N.normalize_articles(X.articles(spark, sf)), "english")
+    near = K.near_breaks(news, "timestamp_utc", K.top_breaks(_hour_breaks(spark, sf), 1), 6 * HOUR)
+    return near.groupBy(_t("break_timestamp").alias("break_at")).agg(F.count("*").alias("n_articles"))
+
+
+@query(f"SELECT {_KEY}, round(price_end, 6) AS price FROM scored WHERE (surge OR strong) AND NOT low", _SCORED)
+def price_at_breaks(spark, sf):
+    bars = _hourly(spark, sf)
+    return _keyed(K.price_at_breaks(bars.where("is_break"), bars), _r("price_at_break").alias("price"))
+
+
+@query(f"SELECT {_KEY}, round(CASE WHEN n_trades >= 2 THEN notional ELSE 0 END, 6) AS usd_volume FROM hours", _HOURS)
+def align_to_bars(spark, sf):
+    bars = B.ohlc_bars(X.trades(spark, sf), HOUR)
+    usd = B.usd_volume_buckets(X.trades(spark, sf), HOUR).where("n_trades >= 2")
+    return _keyed(B.align_to_bars(usd, bars, "usd_volume"), _r("usd_volume").alias("usd_volume"))
+
+
+# Aggregations
+
+_DAYS = """SELECT market_id, outcome, timestamp_utc AS bar_start, count(*) AS n_trades, sum(size) AS volume, sum(price * size) AS notional,
+    arg_min(price, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS price_start, arg_max(price, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS price_end FROM tied_trades GROUP BY 1, 2, 3"""
+
+
+@query(f"SELECT {_KEY}, n_trades, round(volume, 6) AS volume, round(notional, 6) AS notional, round(price_start, 6) AS price_start, round(price_end, 6) AS price_end FROM hours", _HOURS)
+def ohlc_bars(spark, sf):
+    return _keyed(B.ohlc_bars(X.trades(spark, sf), HOUR), "n_trades", *[_r(c).alias(c) for c in ("volume", "notional", "price_start", "price_end")])
+
+
+@query(
+    f"""SELECT {_KEY}, coalesce(n_trades, 0) AS n_trades, round(coalesce(volume, 0), 4) AS volume, price_start, price_end FROM
+    (SELECT market_id, outcome, unnest(generate_series(min(timestamp_utc), max(timestamp_utc), INTERVAL 1 DAY)) AS bar_start FROM tied_trades GROUP BY 1, 2) LEFT JOIN ({_DAYS}) USING (market_id, outcome, bar_start)""",
+    "tied_trades",
+)
+def ohlc_bars_ties(spark, sf):
+    return _keyed(B.ohlc_bars(X.tied_trades(spark, sf), B.DAY), "n_trades", _r("volume", 4).alias("volume"), "price_start", "price_end")
+
+
+@query(f"SELECT {_KEY}, n_trades, round(volume, 6) AS volume, round(notional, 6) AS usd_volume FROM hours", _HOURS)
+def usd_volume_buckets(spark, sf):
+    return _keyed(B.usd_volume_buckets(X.trades(spark, sf), HOUR), "n_trades", _r("volume").alias("volume"), _r("usd_volume").alias("usd_volume"))
+
+
+@query(
+    f"""SELECT {_KEY}, n_trades, round(coalesce(last_value(avg_price IGNORE NULLS) OVER (PARTITION BY market_id, outcome ORDER BY bar_start), 0), 6) AS price_avg, round(price_end, 6) AS price_end
+    FROM hours LEFT JOIN (SELECT market_id, outcome, date_trunc('hour', timestamp_utc) AS bar_start, avg(price) AS avg_price FROM trades GROUP BY 1, 2, 3) USING (market_id, outcome, bar_start)""",
+    _HOURS,
+)
+def liquidity_buckets(spark, sf):
+    return _keyed(B.liquidity_buckets(X.trades(spark, sf), HOUR), "n_trades", _r("price_avg").alias("price_avg"), _r("price_end").alias("price_end"))
+
+
+_GAPS = "(SELECT market_id, outcome, (epoch_us(timestamp_utc) - epoch_us(lag(timestamp_utc) OVER (PARTITION BY market_id, outcome ORDER BY timestamp_utc, seq))) / 1000000.0 AS gap FROM trades)"
+_STATS = f"""(SELECT * FROM (SELECT market_id, outcome, avg(notional) AS mean_usd, quantile_cont(notional, 0.5) AS median_usd, avg(n_trades) AS mean_trades, quantile_cont(n_trades, 0.5) AS median_trades FROM hours GROUP BY 1, 2)
+    JOIN (SELECT market_id, outcome, quantile_cont(gap, 0.5) AS gap_raw, quantile_cont(gap, 0.5) FILTER (gap > 0) AS gap_nonzero, avg(gap) AS gap_mean FROM {_GAPS} GROUP BY 1, 2) USING (market_id, outcome))"""
+
+
+@query(
+    f"SELECT market_id, outcome, round(mean_usd, 4) AS mean_usd, round(median_usd, 4) AS median_usd, round(mean_trades, 6) AS mean_trades, round(median_trades, 6) AS median_trades, round(gap_raw, 4) AS gap_raw, round(gap_nonzero, 4) AS gap_nonzero, round(gap_mean, 4) AS gap_mean FROM {_STATS}",
+    _HOURS,
+)
+def liquidity_stats(spark, sf):
+    s = B.liquidity_stats(X.trades(spark, sf), HOUR)
+    return s.select(
+        "market_id", "outcome", _r("mean_usd_volume", 4).alias("mean_usd"), _r("median_usd_volume", 4).alias("median_usd"), _r("mean_trades").alias("mean_trades"), _r("median_trades").alias("median_trades"),
+        _r("median_gap_raw", 4).alias("gap_raw"), _r("median_gap_nonzero", 4).alias("gap_nonzero"), _r("mean_gap", 4).alias("gap_mean"),
+    )
+
+
+@query("SELECT market_id, arg_max(outcome, total) AS outcome FROM (SELECT market_id, outcome, sum(size) AS total FROM trades GROUP BY 1, 2) GROUP BY 1", "trades")
+def top_outcome(spark, sf):
+    return B.top_outcome(X.trades(spark, sf)).select("market_id", "outcome").distinct()
+
+
+@query(
+    """SELECT count(*) AS markets_total, count(*) FILTER (active) AS markets_active, count(*) FILTER (NOT active) AS markets_inactive, count(*) FILTER (closed) AS markets_closed, count(*) FILTER (NOT closed) AS markets_open,
+    CAST(0 AS BIGINT) AS markets_archived, round(sum(liquidity), 2) AS liquidity_total, round(quantile_cont(liquidity, 0.5), 4) AS liquidity_median, round(sum(volume), 2) AS volume_total,
+    round(sum(volume24hr), 2) AS volume_24h_total, round(sum(volume1wk), 2) AS volume_1w_total, round(quantile_cont(spread, 0.5), 6) AS spread_median FROM markets""",
+    "markets",
+)
+def summarize_markets(spark, sf):
+    s = M.summarize_markets(X.markets(spark, sf)).drop("generated_at_utc")
+    return s.withColumns({c: _r(c, d) for c, d in {"liquidity_total": 2, "liquidity_median": 4, "volume_total": 2, "volume_24h_total": 2, "volume_1w_total": 2, "spread_median": 6}.items()})
+
+
+_Q = ", ".join(f"round(quantile_cont(score, {q}), 6) AS {n}" for n, q in K.STATS.items())
+
+
+@query(f"SELECT market_id, outcome, {_Q} FROM scored WHERE (surge OR strong) AND NOT low GROUP BY 1, 2", _SCORED)
+def score_stats(spark, sf):
+    return K.score_stats(_hour_breaks(spark, sf)).select("market_id", "outcome", *[_r(c).alias(c) for c in K.STATS])
+
+
+@query(
+    """SELECT market_id, outcome, count(*) AS n_intervals, count(*) FILTER ((surge OR strong) AND NOT low) AS n_breaks, round(quantile_cont(abs(ret), 0.5), 6) AS median_abs_return_pct,
+    round(quantile_cont(ratio, 0.5), 6) AS median_volume_ratio, round(min(score) FILTER ((surge OR strong) AND NOT low), 6) AS score_min FROM scored GROUP BY 1, 2""",
+    _SCORED,
+)
+def break_summary(spark, sf):
+    c = K.BreakConfig(interval="1h", auto_select_outcome=False, merge_consecutive_breaks=False, break_radius=None)
+    s = K.detect_breaks(X.trades(spark, sf), c).summary
+    return s.select("market_id", "outcome", "n_intervals", "n_breaks", _r("median_abs_return_pct").alias("median_abs_return_pct"), _r("median_volume_ratio").alias("median_volume_ratio"), _r("score_min").alias("score_min"))
+
+
+@query(
+    """SELECT CAST(CASE WHEN high = low THEN 0 ELSE least(59, floor((least(score, high) - low) / (high - low) * 60)) END AS INTEGER) AS bin, count(*) AS n, count(*) FILTER (score > high) AS n_above
+    FROM (SELECT score FROM scored WHERE (surge OR strong) AND NOT scored.low), (SELECT min(score) AS low, quantile_cont(score, 0.995) AS high FROM scored WHERE (surge OR strong) AND NOT scored.low) GROUP BY 1""",
+    _SCORED,
+)
+def score_histogram(spark, sf):
+    return K.score_histogram(_hour_breaks(spark, sf))
+
+
+X.SQL["sized"] = f"sized AS ({_BY_ASSET})"
+_SCALES = """(SELECT market_id, quantile_cont(size, 0.5) AS q50, quantile_cont(size, 0.99) AS q99, CASE WHEN quantile_cont(size, 0.5) >= 1e15 OR quantile_cont(size, 0.99) >= 1e17 THEN 1e18
+    WHEN quantile_cont(size, 0.5) >= 1e5 AND quantile_cont(size, 0.99) >= 1e8 AND avg(CASE WHEN price IS NULL THEN NULL WHEN price BETWEEN 0 AND 1.05 THEN 1.0 ELSE 0.0 END) >= 0.9 THEN 1e6 ELSE 1.0 END AS scale
+    FROM sized WHERE size > 0 GROUP BY 1)"""
+
+
+def _asset_trades(spark: SparkSession, sf: str) -> DataFrame:
+    return L.normalize_fills_for_asset(X.fills(spark, sf).where("makerAssetId <> '0' OR takerAssetId <> '0'"), tokens(spark, sf).where("asset_id <> '0'"))
+
+
+@query(f"SELECT market_id, q50, round(q99, 2) AS q99, CAST(scale AS DOUBLE) AS scale FROM {_SCALES.replace('FROM sized WHERE', 'FROM sized WHERE asset_id <> chr(48) AND')}", "fills tokens sized")
+def infer_size_scale(spark, sf):
+    return L.size_scale(_asset_trades(spark, sf)).select("market_id", "q50", _r("q99", 2).alias("q99"), "scale")
+
+
+@query(f"SELECT seq, asset_id, round(size / scale, 6) AS size FROM sized JOIN {_SCALES.replace('FROM sized WHERE', 'FROM sized WHERE asset_id <> chr(48) AND')} USING (market_id) WHERE asset_id <> '0'", "fills tokens sized")
+def normalize_size(spark, sf):
+    return L.normalize_size(_asset_trades(spark, sf)).select("seq", "asset_id", _r("size").alias("size"))
+
+
+@query(f"SELECT market_id, scale = 1 AND q99 >= 1e8 AS unscaled, q99 / scale > 1e7 OR q50 / scale > 1e5 AS implausible FROM {_SCALES.replace('FROM sized WHERE', 'FROM sized WHERE asset_id <> chr(48) AND')}", "fills tokens sized")
+def size_plausibility(spark, sf):
+    return L.size_plausibility(_asset_trades(spark, sf)).select("market_id", "unscaled", "implausible")
+
+
+@query("SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.9), 4) AS q90 FROM orders GROUP BY 1")
+def exact_quantile(spark, sf):
+    return X.table(spark, sf, "orders").groupBy("o_orderpriority").agg(_r(F.percentile("o_totalprice", F.lit(0.9)), 4).alias("q90"))
+
+
+@query("SELECT condition_id, count(id) AS n_trades FROM tokens LEFT JOIN fills ON makerAssetId = asset_id OR takerAssetId = asset_id GROUP BY 1", "fills tokens")
+def count_trades(spark, sf):
+    return L.count_trades(X.fills(spark, sf), tokens(spark, sf))
+
+
+@query("SELECT count(*) AS n FROM markets WHERE active", "markets")
+def count_markets(spark, sf):
+    return M.filter_market_state(X.markets(spark, sf), active=True).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) FILTER (created_at < TIMESTAMP '1998-01-01') AS rows_before FROM markets", "markets")
+def created_at_offset(spark, sf):
+    return X.markets(spark, sf).agg(F.count_if(F.col("created_at") < F.lit("1998-01-01").cast("timestamp")).alias("rows_before"))
+
+
+@query("SELECT regexp_extract(url, '^[a-z]+://(?:www\\.)?([^/?#]*)', 1) AS domain, count(*) AS n FROM articles GROUP BY 1", "articles")
+def value_counts(spark, sf):
+    return Ta.value_counts(N.normalize_articles(X.articles(spark, sf)), "domain")
+
+
+@query(
+    """SELECT count(size) AS n, round(avg(size), 6) AS mean, round(stddev_samp(size), 6) AS std, min(size) AS least, quantile_cont(size, 0.25) AS q25, quantile_cont(size, 0.5) AS q50, quantile_cont(size, 0.75) AS q75,
+    max(size) AS greatest, round(sum(size), 4) AS total FROM trades""",
+    "trades",
+)
+def describe_column(spark, sf):
+    return Ta.describe_column(X.trades(spark, sf), "size").withColumns({"mean": _r("mean"), "std": _r("std"), "total": _r("total", 4)})
+
+
+@query(f"SELECT count(*) AS n, {_sqlt('min(timestamp_utc)')} AS first_time, {_sqlt('max(timestamp_utc)')} AS last_time FROM trades", "trades")
+def time_range(spark, sf):
+    return Ta.time_range(X.trades(spark, sf), "timestamp_utc").withColumns({"first_time": _t("first_time"), "last_time": _t("last_time")})
+
+
+# Windows
+
+
+@query(f"SELECT {_KEY}, round(q50, 6) AS volume_baseline FROM scored", _SCORED)
+def rolling_baseline(spark, sf):
+    return _keyed(B.rolling_quantiles(B.ohlc_bars(X.trades(spark, sf), HOUR)), _r("volume_baseline").alias("volume_baseline"))
+
+
+@query(f"SELECT {_KEY}, round(q50, 6) AS q50, round(q75, 6) AS q75 FROM scored", _SCORED)
+def rolling_quantiles(spark, sf):
+    return _keyed(B.rolling_quantiles(B.ohlc_bars(X.trades(spark, sf), HOUR)), _r("volume_q50").alias("q50"), _r("volume_q75").alias("q75"))
+
+
+@query(f"SELECT {_KEY}, round(ratio, 6) AS ratio, round(signal, 6) AS signal FROM scored", _SCORED)
+def volume_ratio(spark, sf):
+    return _keyed(_hourly(spark, sf), _r("volume_ratio").alias("ratio"), _r("volume_ratio_signal").alias("signal"))
+
+
+@query(f"SELECT {_KEY}, round(ret, 6) AS ret, round(abs(ret), 6) AS abs_ret FROM hours", _HOURS)
+def bar_return(spark, sf):
+    return _keyed(B.bar_returns(B.ohlc_bars(X.trades(spark, sf), HOUR)), _r("price_return_pct").alias("ret"), _r("abs_price_return_pct").alias("abs_ret"))
+
+
+@query(f"SELECT {_KEY}, substantial, low FROM scored", _SCORED)
+def volume_flags(spark, sf):
+    return _keyed(_hourly(spark, sf), F.col("volume_substantial").alias("substantial"), F.col("volume_low").alias("low"))
+
+
+@query(f"SELECT {_KEY}, round(last_value(price_end IGNORE NULLS) OVER (PARTITION BY market_id, outcome ORDER BY bar_start), 6) AS price FROM hours", _HOURS)
+def forward_fill(spark, sf):
+    return _keyed(B.ohlc_bars(X.trades(spark, sf), HOUR).withColumn("price", B.forward_fill("price_end")), _r("price").alias("price"))
+
+
+@query(
+    f"""SELECT {_KEY}, round(coalesce(last_value(p IGNORE NULLS) OVER (PARTITION BY market_id, outcome ORDER BY bar_start),
+    first_value(p IGNORE NULLS) OVER (PARTITION BY market_id, outcome ORDER BY bar_start ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS price FROM (SELECT *, CASE WHEN n_trades >= 2 THEN price_end END AS p FROM hours)""",
+    _HOURS,
+)
+def forward_backward_fill(spark, sf):
+    bars = B.ohlc_bars(X.trades(spark, sf), HOUR).withColumn("p", F.when(F.col("n_trades") >= 2, F.col("price_end")))
+    return _keyed(bars.withColumn("price", B.forward_backward_fill("p")), _r("price").alias("price"))
+
+
+@query()
+def ewma(spark, sf):
+    return _keyed(B.ewma(_hourly(spark, sf), "price_plot", 12, "price_smooth"), _r("price_smooth").alias("price_smooth"))
+
+
+@query("SELECT seq, round((epoch_us(timestamp_utc) - epoch_us(lag(timestamp_utc) OVER (PARTITION BY market_id ORDER BY timestamp_utc, seq))) / 1000000.0, 3) AS gap FROM trades", "trades")
+def inter_trade_seconds(spark, sf):
+    return B.inter_trade_seconds(X.trades(spark, sf)).select("seq", _r("inter_trade_seconds", 3).alias("gap"))
+
+
+_PCT = "CASE WHEN {c} IS NULL THEN 0 ELSE (rank() OVER (ORDER BY {c} NULLS LAST) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0) / count({c}) OVER () END"
+
+
+@query(f"SELECT condition_id, round({_PCT.format(c='volume24hr')}, 9) AS pct FROM markets", "markets")
+def pct_rank_avg(spark, sf):
+    return Ta.percentile_rank(X.markets(spark, sf), "volume24hr", "pct").select("condition_id", _r("pct", 9).alias("pct"))
+
+
+_SCORE = f"0.45 * {_PCT.format(c='volume24hr')} + 0.25 * {_PCT.format(c='liquidity')} + 0.20 * {_PCT.format(c='volume1wk')} + 0.05 * {_PCT.format(c='volume')} + 0.05 * (1 - {_PCT.format(c='spread')})"
+
+
+@query(f"SELECT condition_id, round({_SCORE}, 8) AS market_score FROM markets", "markets")
+def market_score(spark, sf):
+    renamed = X.markets(spark, sf).withColumnsRenamed({"volume24hr": "volume_24h", "volume1wk": "volume_1w", "volume": "volume_total"})
+    return M.market_score(renamed).select("condition_id", _r("market_score", 8).alias("market_score"))
+
+
+@query(f"SELECT {_KEY}, (surge OR strong) AND NOT low AS is_break FROM scored", _SCORED)
+def break_flag(spark, sf):
+    return _keyed(_hourly(spark, sf), "is_break")
+
+
+@query(f"SELECT {_KEY}, CASE WHEN surge THEN '{K.SURGE}' WHEN strong THEN '{K.STRONG}' ELSE '{K.NONE}' END AS reason FROM scored", _SCORED)
+def break_reason(spark, sf):
+    return _keyed(_hourly(spark, sf), F.col("break_reason").alias("reason"))
+
+
+@query(f"SELECT {_KEY}, round(score, 6) AS score FROM scored", _SCORED)
+def break_score(spark, sf):
+    return _keyed(_hourly(spark, sf), _r("break_score").alias("score"))
+
+
+X.SQL["merged"] = """placed AS (SELECT *, row_number() OVER (PARTITION BY market_id, outcome ORDER BY bar_start) AS at_bar FROM scored),
+    apart AS (SELECT *, CASE WHEN at_bar - lag(at_bar) OVER (PARTITION BY market_id, outcome ORDER BY bar_start) > 2 THEN 1 ELSE 0 END AS new FROM placed WHERE (surge OR strong) AND NOT low),
+    clusters AS (SELECT *, sum(new) OVER (PARTITION BY market_id, outcome ORDER BY bar_start) AS cluster FROM apart),
+    merged AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY market_id, outcome, cluster ORDER BY score DESC, bar_start) AS best FROM clusters) WHERE best = 1)"""
+
+
+@query(f"SELECT {_KEY}, round(score, 6) AS score FROM merged", f"{_SCORED} merged")
+def merge_neighbors(spark, sf):
+    return _keyed(K.merge_neighbors(_hourly(spark, sf), 2), _r("break_score").alias("score"))
+
+
+@query(f"SELECT {_KEY} FROM scored WHERE (surge OR strong) AND NOT low AND score >= 1.5", _SCORED)
+def filter_break_score(spark, sf):
+    return _keyed(_hour_breaks(spark, sf).where("break_score >= 1.5"))
+
+
+@query()
+def radius_nms(spark, sf):
+    return _keyed(K.radius_nms(_hour_breaks(spark, sf), 6 * HOUR), _r("break_score").alias("score"))
+
+
+_REGIME = "CASE WHEN gap_nonzero > 180 OR median_trades < 1.5 THEN 'very low liquidity' WHEN gap_nonzero > 90 OR median_trades < 3 THEN 'low liquidity' WHEN gap_nonzero > 30 OR median_trades < 8 THEN 'medium liquidity' ELSE 'high liquidity' END"
+
+
+@query(f"SELECT market_id, outcome, regime, CAST(CASE regime WHEN 'very low liquidity' THEN 48 WHEN 'low liquidity' THEN 24 WHEN 'medium liquidity' THEN 12 ELSE 6 END AS INTEGER) AS smoothing_span FROM (SELECT *, {_REGIME} AS regime FROM {_STATS})", _HOURS)
+def adaptive_smoothing(spark, sf):
+    return B.adaptive_smoothing(B.liquidity_stats(X.trades(spark, sf), HOUR), HOUR).select("market_id", "outcome", "regime", "smoothing_span")
+
+
+@query(f"SELECT market_id, outcome, CAST(CASE regime WHEN 'very low liquidity' THEN 3.5 WHEN 'low liquidity' THEN 3.0 WHEN 'medium liquidity' THEN 2.5 ELSE 2.0 END AS DOUBLE) AS price_change_pct, CAST(CASE regime WHEN 'very low liquidity' THEN 8 WHEN 'low liquidity' THEN 10 WHEN 'medium liquidity' THEN 12 ELSE 10 END AS INTEGER) AS max_breaks FROM (SELECT *, {_REGIME} AS regime FROM {_STATS})", _HOURS)
+def adaptive_thresholds(spark, sf):
+    stats = B.adaptive_smoothing(B.liquidity_stats(X.trades(spark, sf), HOUR), HOUR)
+    return B.adaptive_thresholds(stats).select("market_id", "outcome", "price_change_pct", F.col("max_breaks").cast("int").alias("max_breaks"))
+
+
+@query()
+def overview_series(spark, sf):
+    out = K.overview_series(_hourly(spark, sf), 8, 8)
+    return _keyed(out, *[_r(c).alias(c) for c in ("price_raw", "price_smooth", "volume_plot", "baseline_plot")])
+
+
+# Order, limits, pages
+
+
+@query(f"SELECT seq, {_sqlt('timestamp_utc')} AS time FROM trades", "trades")
+def sort_trades(spark, sf):
+    return X.trades(spark, sf).orderBy("timestamp_utc", "seq").select("seq", _t("timestamp_utc").alias("time"))
+
+
+@query("SELECT condition_id, slug FROM markets", "markets")
+def sort_markets(spark, sf):
+    return M.sort_markets(X.markets(spark, sf)).select("condition_id", "slug")
+
+
+@query(
+    f"""SELECT condition_id, slug, active, liquidity, volume24hr AS volume_24h, round(score, 8) AS market_score FROM (SELECT *, {_SCORE} AS score FROM markets WHERE liquidity >= 50000 AND volume24hr >= 1000)
+    ORDER BY score DESC, volume24hr DESC, liquidity DESC, created_at DESC, condition_id LIMIT 25""",
+    "markets",
+)
+def rank_markets(spark, sf):
+    ranked = M.rank_markets(X.markets(spark, sf), 25, 50000, 1000, validate=True)
+    return ranked.select("condition_id", "slug", "active", "liquidity", "volume_24h", _r("market_score", 8).alias("market_score"))
+
+
+@query(f"SELECT {_KEY}, round(score, 6) AS score, round(min(score) OVER (PARTITION BY market_id, outcome), 6) AS threshold FROM (SELECT * FROM {_NEAR} WHERE place <= 8)", _SCORED)
+def cap_breaks(spark, sf):
+    return _keyed(K.cap_breaks(_hour_breaks(spark, sf), 8), _r("break_score").alias("score"), _r("score_threshold").alias("threshold"))
+
+
+@query(f"SELECT {_KEY}, round(score, 6) AS score FROM {_NEAR} WHERE place <= 5", _SCORED)
+def top_breaks(spark, sf):
+    return _keyed(K.top_breaks(_hour_breaks(spark, sf), 5), _r("break_score").alias("score"))
+
+
+@query("SELECT id, timestamp FROM fills WHERE timestamp < '900000000' OR (timestamp = '900000000' AND id < '5') ORDER BY timestamp DESC, id DESC LIMIT 500", "fills")
+def keyset_page(spark, sf):
+    return Ta.keyset_page(X.fills(spark, sf), "timestamp", "id", 500, ("900000000", "5")).select("id", "timestamp")
+
+
+@query("SELECT id, timestamp FROM fills ORDER BY timestamp DESC, id DESC LIMIT 100", "fills")
+def latest_fills(spark, sf):
+    return Ta.keyset_page(X.fills(spark, sf), "timestamp", "id", 100).select("id", "timestamp")
+
+
+@query("SELECT slug FROM markets ORDER BY created_at, slug LIMIT 100 OFFSET 200", "markets")
+def offset_page(spark, sf):
+    return Ta.offset_page(X.markets(spark, sf), [F.col("created_at"), F.col("slug")], 200, 100).select("slug")
+
+
+@query("SELECT seq FROM articles", "articles")
+def sort_news(spark, sf):
+    return N.sort_news(N.normalize_articles(X.articles(spark, sf), ["seq"])).select("seq")
+
+
+# Sets and dedupe
+
+
+@query("SELECT condition_id, CAST(0 AS INTEGER) AS state_order FROM markets WHERE active UNION ALL SELECT condition_id, 1 FROM markets", "markets")
+def union_markets(spark, sf):
+    m = X.markets(spark, sf)
+    return M.union_markets(m.where("active"), m.drop("spread")).select("condition_id", "state_order")
+
+
+@query("SELECT condition_id, CASE WHEN active THEN 0 ELSE 1 END AS state_order FROM markets", "markets")
+def dedupe_markets(spark, sf):
+    m = X.markets(spark, sf)
+    return M.dedupe_markets(M.union_markets(m.where("active"), m), F.col("state_order")).select("condition_id", "state_order")
+
+
+@query("SELECT market_id, count(*) AS n FROM (SELECT DISTINCT market_id, timestamp_utc, price, size, outcome FROM tied_trades) GROUP BY 1", "tied_trades")
+def dedupe_trades(spark, sf):
+    one = Ta.dedupe_rows(X.tied_trades(spark, sf), ["market_id", "timestamp_utc", "price", "size", "outcome"])
+    return one.groupBy("market_id").agg(F.count("*").alias("n"))
+
+
+_CANON = """'https://' || regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\\.', '') || coalesce(nullif(rtrim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), ''), '/')
+    || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> '' AND x NOT LIKE 'utm_%' AND x NOT LIKE 'ref=%')), '&'), ''), '')"""
+
+
+@query(f"SELECT key, min(seq) AS seq FROM (SELECT 'url::' || {_CANON} AS key, seq FROM articles) GROUP BY 1", "articles")
+def dedupe_articles(spark, sf):
+    news = N.dedupe_articles(N.normalize_articles(X.articles(spark, sf), ["seq"]))
+    return news.select(Te.article_key(F.col("title"), F.col("url"), F.col("domain"), F.col("source")).alias("key"), "seq")
+
+
+@query("SELECT id, CASE WHEN count(*) FILTER (takerAssetId IN ('0', '3')) > 0 THEN 'taker' ELSE 'maker' END AS side FROM fills WHERE takerAssetId IN ('0', '3') OR makerAssetId IN ('0', '3') GROUP BY id", "fills")
+def merge_sides(spark, sf):
+    fills = X.fills(spark, sf)
+    sides = fills.where(F.col("makerAssetId").isin("0", "3")).withColumn("side", F.lit("maker")).unionByName(fills.where(F.col("takerAssetId").isin("0", "3")).withColumn("side", F.lit("taker")))
+    return Ta.merge_sides(sides, F.when(F.col("side") == "taker", 0).otherwise(1), "id", "timestamp").select("id", "side")
+
+
+@query("SELECT DISTINCT trim(title, ' \n\t') AS title FROM articles", "articles")
+def distinct_titles(spark, sf):
+    return N.distinct_titles(N.normalize_articles(X.articles(spark, sf)))
+
+
+# Streams: each is run over what there is, and its result read back
+
+
+def _stream(spark: SparkSession, df: DataFrame, order: str) -> DataFrame:
+    """df as a stream of files, in order of time."""
+    from .scratch import folder
+
+    path = folder(spark, "stream-in")
+    df.repartitionByRange(4, order).sortWithinPartitions(order).write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+def _recorded(stream: DataFrame) -> DataFrame:
+    from .scratch import folder
+
+    return S.record_stream(stream, folder(stream.sparkSession, "stream-out"), folder(stream.sparkSession, "stream-state"))
+
+
+@query("SELECT event_id AS seq, CASE WHEN event_id % 10 <> 0 THEN event_type END AS event_type FROM events")
+def stream_orderbook(spark, sf):
+    return _recorded(S.message_envelope(_stream(spark, X.messages(spark, sf), "received_at"))).select("seq", "event_type")
+
+
+@query("SELECT count(*) AS n, max(event_id) AS last_seq FROM events")
+def record_stream(spark, sf):
+    return _recorded(_stream(spark, X.messages(spark, sf), "received_at")).agg(F.count("*").alias("n"), F.max("seq").alias("last_seq"))
+
+
+@query("SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS asset_id FROM events WHERE event_id % 10 <> 0 AND CAST(user_id AS VARCHAR) IN (SELECT asset_id FROM tokens WHERE condition_id IN ('0x00000001', '0x00000002'))", "tokens")
+def subscribe_filter(spark, sf):
+    held = S.subscribe_filter(S.message_envelope(_stream(spark, X.messages(spark, sf), "received_at")), tokens(spark, sf), ["0x00000001", "0x00000002"])
+    return _recorded(held).select("seq", "asset_id")
+
+
+@query("SELECT seq, market_id FROM trades", "trades")
+def stream_trades_dedupe(spark, sf):
+    t = X.trades(spark, sf)
+    twice = _stream(spark, t.unionByName(t), "timestamp_utc")
+    from .scratch import folder
+
+    return S.record_stream(S.stream_trades_dedupe(twice, ["market_id", "seq"], "40 days"), folder(spark, "stream-out"), folder(spark, "stream-state")).select("seq", "market_id")
+
+
+@query()
+def stream_bars(spark, sf):
+    from .scratch import folder
+
+    closed = S.stream_bars(_stream(spark, X.trades(spark, sf), "timestamp_utc"), B.DAY, "20 days")
+    return _keyed(S.record_stream(closed, folder(spark, "stream-out"), folder(spark, "stream-state")), "n_trades", _r("volume").alias("volume"))
+
+
+# Scalars
+
+
+def _orders(spark: SparkSession, sf: str) -> DataFrame:
+    return X.table(spark, sf, "orders")
+
+
+@query(f"SELECT o_orderkey, {_sqlt('o_orderdate')} AS a, CASE WHEN o_orderkey % 3 <> 0 THEN {_sqlt('o_orderdate - INTERVAL 2 HOUR')} END AS b FROM orders")
+def to_utc(spark, sf):
+    iso = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    return _orders(spark, sf).select("o_orderkey", _t(V.iso_ts(F.concat(iso, F.lit("Z")))).alias("a"), _t(V.iso_ts(F.when(F.col("o_orderkey") % 3 == 0, "soon").otherwise(F.concat(iso, F.lit("+02:00"))))).alias("b"))
+
+
+@query(f"SELECT o_orderkey, {_sqlt('o_orderdate')} AS time FROM orders")
+def epoch_to_ts(spark, sf):
+    seconds = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
+    k = F.col("o_orderkey") % 5
+    text = F.when(k == 0, seconds.cast("string")).when(k == 1, (seconds * 1000).cast("string")).when(k == 2, (seconds * 1000000).cast("string")).when(k == 3, (seconds * 1000000000).cast("string")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return _orders(spark, sf).select("o_orderkey", _t(V.epoch_ts(F.lit(" "), text)).alias("time"))
+
+
+@query(f"SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 3 THEN {_sqlt('o_orderdate')} END AS time FROM orders")
+def article_ts(spark, sf):
+    seconds = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
+    k = F.col("o_orderkey") % 4
+    text = F.when(k == 0, F.date_format("o_orderdate", "yyyyMMddHHmmss")).when(k == 1, (seconds * 1000).cast("string")).when(k == 2, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).otherwise("n/a")
+    safe = F.when((k == 1) & (seconds * 1000 <= 10**12), seconds.cast("string")).otherwise(text)
+    return _orders(spark, sf).select("o_orderkey", _t(V.article_ts(F.lit(None).cast("string"), safe)).alias("time"))
+
+
+@query(f"SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 2 THEN {_sqlt('o_orderdate')} END AS time FROM orders")
+def seendate_ts(spark, sf):
+    k = F.col("o_orderkey") % 3
+    text = F.when(k == 0, F.date_format("o_orderdate", "yyyyMMddHHmmss")).when(k == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("20241")
+    return _orders(spark, sf).select("o_orderkey", _t(V.seen_ts(text)).alias("time"))
+
+
+@query(f"SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN {_sqlt('o_orderdate')} END AS created_at FROM orders")
+def datetime_hints(spark, sf):
+    raw = _orders(spark, sf).select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("bad").alias("created_at"))
+    return Ta.parse_time_columns(raw).withColumn("created_at", _t("created_at"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d%H%M%S') AS text FROM orders")
+def format_compact_ts(spark, sf):
+    return _orders(spark, sf).select("o_orderkey", V.compact_text(F.col("o_orderdate")).alias("text"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE nullif(o_orderkey, 0) * CASE o_orderkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 60 WHEN 2 THEN 3600 ELSE 604800 END END AS seconds FROM orders")
+def parse_timespan(spark, sf):
+    unit = F.element_at(F.array(F.lit("s"), F.lit("m"), F.lit("H"), F.lit("w"), F.lit("x")), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return _orders(spark, sf).select("o_orderkey", V.span_seconds(F.concat(F.col("o_orderkey").cast("string"), unit)).alias("seconds"))
+
+
+@query("SELECT seq FROM trades WHERE timestamp_utc BETWEEN TIMESTAMP '2024-01-08' AND TIMESTAMP '2024-01-15'", "trades")
+def time_bounds(spark, sf):
+    end, start = V.time_bounds(None, "2024-01-15T00:00:00", "7d", "2030-01-01T00:00:00")
+    return X.trades(spark, sf).where(F.col("timestamp_utc").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))).select("seq")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS value FROM orders")
+def to_float(spark, sf):
+    text = F.element_at(F.array(F.concat(F.lit(" "), F.col("o_totalprice").cast("string")), F.lit("nan"), F.lit("x1")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return _orders(spark, sf).select("o_orderkey", V.number(text).alias("value"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 2 THEN o_orderkey END AS value FROM orders")
+def to_int(spark, sf):
+    key = F.col("o_orderkey").cast("string")
+    text = F.when(F.col("o_orderkey") % 3 == 0, key).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit(" +"), key, F.lit(" "))).otherwise(F.concat(F.lit("0x"), key))
+    return _orders(spark, sf).select("o_orderkey", V.whole(text).alias("value"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 8 IN (0, 1, 2, 3) AS value FROM orders")
+def to_bool(spark, sf):
+    words = F.array(*[F.lit(w) for w in ("TRUE", " yes", "1", "-2.5", "false", "0", "None", "maybe")])
+    return _orders(spark, sf).select("o_orderkey", V.flag(F.element_at(words, (F.col("o_orderkey") % 8 + 1).cast("int"))).alias("value"))
+
+
+@query("SELECT o_orderkey, o_totalprice AS liquidity, o_orderpriority AS text FROM orders")
+def first_present(spark, sf):
+    o = _orders(spark, sf).select("o_orderkey", F.col("o_totalprice").alias("liquidity_num"), F.lit(-1.0).alias("liquidity"), F.col("o_orderpriority").alias("question"))
+    return o.select("o_orderkey", V.number(Ta.first_present(o, M.ALIASES["liquidity"])).alias("liquidity"), Ta.first_present(o, ["absent", "question"]).alias("text"))
+
+
+@query("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN n_name || '|x' WHEN 1 THEN n_name || '|y z' ELSE n_name END AS items FROM nation")
+def to_list(spark, sf):
+    n = F.col("n_name")
+    k = F.col("n_nationkey") % 3
+    text = F.when(k == 0, F.to_json(F.array(n, F.lit("x")))).when(k == 1, F.concat(F.lit('"'), n, F.lit('", , y z'))).otherwise(F.concat(n, F.lit(" ")))
+    return X.table(spark, sf, "nation").select("n_nationkey", F.array_join(V.as_list(text), "|").alias("items"))
+
+
+@query("SELECT n_nationkey, n_nationkey || '|' || n_regionkey || CASE WHEN n_nationkey <> n_regionkey + 100 THEN '|' || (n_regionkey + 100) ELSE '' END AS assets FROM nation WHERE n_nationkey <> n_regionkey")
+def extract_asset_ids(spark, sf):
+    text = F.to_json(F.struct(F.col("n_nationkey").alias("assetId"), F.lit("z").alias("name"), F.array(F.col("n_regionkey").cast("string"), F.lit(" "), F.col("n_nationkey").cast("string")).alias("tokenIds"), (F.col("n_regionkey") + 100).alias("CLOB")))
+    rows = X.table(spark, sf, "nation").where("n_nationkey <> n_regionkey").withColumn("payload", text)
+    return L.extract_asset_ids(rows, "payload", "n_nationkey").withColumn("assets", F.array_join("assets", "|"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority END AS text FROM orders")
+def clean_text(spark, sf):
+    text = F.element_at(F.array(F.concat(F.lit(" \t"), "o_orderpriority", F.lit("\n")), F.lit("nan"), F.lit("  "), F.lit("<NA>")), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return _orders(spark, sf).select("o_orderkey", Te.clean_text(text).alias("text"))
+
+
+@query("SELECT o_orderkey, lower(o_orderpriority) || ' b' AS key FROM orders")
+def text_key(spark, sf):
+    return _orders(spark, sf).select("o_orderkey", Te.text_key(F.concat(F.lit(" "), "o_orderpriority", F.lit(" \t\n B "))).alias("key"))
+
+
+@query("SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\\.', '') AS domain FROM pages")
+def url_domain(spark, sf):
+    return X.table(spark, sf, "pages").select("page_id", Te.url_domain(F.col("url")).alias("domain"))
+
+
+@query(f"SELECT page_id, {_CANON} AS canonical FROM pages")
+def canonical_url(spark, sf):
+    return X.table(spark, sf, "pages").select("page_id", Te.canonical_url(F.col("url")).alias("canonical"))
+
+
+@query(
+    f"""SELECT seq, CASE WHEN seq % 3 = 0 THEN 'url::' || {_CANON} WHEN seq % 3 = 1 THEN 'source_title::' || source || '::' || t ELSE 'title::' || t END AS key
+    FROM (SELECT *, regexp_replace(lower(trim(title, ' \n\t')), '\\s+', ' ', 'g') AS t FROM articles)""",
+    "articles",
+)
+def article_key(spark, sf):
+    a, k = X.articles(spark, sf), F.col("seq") % 3
+    none = F.lit(None).cast("string")
+    return a.select("seq", Te.article_key(F.col("title"), F.when(k == 0, F.col("url")), none, F.when(k < 2, F.col("source"))).alias("key"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'event' WHEN 1 THEN 'market' END AS kind, CASE WHEN o_orderkey % 3 < 2 THEN 'a+b c-' || o_orderkey END AS slug FROM orders")
+def parse_market_url(spark, sf):
+    kind = F.element_at(F.array(F.lit("event"), F.lit("market"), F.lit("profile")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    url = F.concat(F.lit("https://host.example/"), kind, F.lit("/a+b%20c-"), F.col("o_orderkey"), F.lit("/x?tid=3#y"))
+    return _orders(spark, sf).select("o_orderkey", Te.market_url(url).alias("p")).select("o_orderkey", "p.kind", "p.slug")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'will-it-' || o_orderkey || '|will-it' ELSE 'will-it' END AS slugs FROM orders")
+def slug_variants(spark, sf):
+    slug = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("will-it-"), F.col("o_orderkey"))).otherwise("will-it")
+    return _orders(spark, sf).select("o_orderkey", F.array_join(Te.slug_variants(slug), "|").alias("slugs"))
+
+
+# Compositions
+
+
+@query(
+    f"""SELECT market_id, time, price, round(size / scale, 6) AS size, outcome FROM (SELECT DISTINCT market_id, strftime(to_timestamp(CAST(timestamp AS BIGINT)) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS time, price, size, outcome, transactionHash
+    FROM sized JOIN fills ON seq = id WHERE asset_id <> '0') JOIN (SELECT market_id, CAST(scale AS DOUBLE) AS scale FROM {_SCALES.replace('FROM sized WHERE', 'FROM sized WHERE asset_id <> chr(48) AND')}) USING (market_id)""",
+    "fills tokens sized",
+)
+def trades_from_fills(spark, sf):
+    named = L.market_tokens(X.token_markets(spark, sf)).where("asset_id <> '0'")
+    again = named.groupBy("condition_id").agg(F.to_json(F.collect_list("asset_id")).alias("clob_token_ids"), F.to_json(F.collect_list("outcome")).alias("outcomes"))
+    return P.trades_from_fills(X.fills(spark, sf), again).select("market_id", _t("timestamp_utc").alias("time"), _r("price").alias("price"), _r("size").alias("size"), "outcome")
+
+
+@query(
+    f"""SELECT condition_id, slug, round(score, 8) AS market_score FROM (SELECT *, {_SCORE} AS score FROM markets WHERE created_at >= TIMESTAMP '1996-01-01') ORDER BY score DESC, volume24hr DESC NULLS LAST, liquidity DESC, created_at DESC, condition_id LIMIT 25""",
+    "markets",
+)
+def market_meta(spark, sf):
+    m = X.markets(spark, sf)
+    return P.market_meta(m.where("active"), m, 25, "1996-01-01").top_markets.select("condition_id", "slug", _r("market_score", 8).alias("market_score"))
+
+
+@query()
+def detect_breaks(spark, sf):
+    c = K.BreakConfig(interval="1h", max_breaks=10, merge_gap_intervals=2)
+    found = K.detect_breaks(X.trades(spark, sf), c).breaks
+    return K.break_table(found).select("market_id", "outcome", _t("break_timestamp").alias("at"), "reason", _r("score").alias("score"))
+
+
+@query()
+def break_report(spark, sf):
+    r = P.break_report(X.trades(spark, sf), N.normalize_articles(X.articles(spark, sf)), "2024-01-03")
+    near = r.bars_around.groupBy("market_id", "outcome", _t("break_timestamp").alias("at")).agg(F.count("*").alias("n_bars"))
+    news = r.news_around.groupBy(_t("break_timestamp").alias("at")).agg(F.count("*").alias("n_articles"))
+    return near.join(news, "at", "left")
+
+
+@query(
+    f"""SELECT seq FROM (SELECT seq, row_number() OVER (PARTITION BY {_CANON} ORDER BY seendate DESC) AS place, seendate FROM articles WHERE language = 'en' AND seendate BETWEEN '20240101000000' AND '20240101200000')
+    WHERE place = 1 ORDER BY seendate DESC LIMIT 50""",
+    "articles",
+)
+def news_search(spark, sf):
+    raw = X.articles(spark, sf)
+    found = P.news_search(raw, "2024-01-01 00:00:00", "2024-01-01 20:00:00", "en", 50)
+    return found.select(((F.unix_timestamp("timestamp_utc") - 1704067200) / 60).cast("bigint").alias("seq"))
+
+
+@query("SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS asset_id FROM events WHERE event_id % 10 <> 0 AND CAST(user_id AS VARCHAR) IN (SELECT asset_id FROM tokens WHERE condition_id = '0x00000003')", "tokens")
+def record_orderbook(spark, sf):
+    from .scratch import folder
+
+    stream = _stream(spark, X.messages(spark, sf), "received_at")
+    return P.record_orderbook(stream, tokens(spark, sf), ["0x00000003"], folder(spark, "stream-out"), folder(spark, "stream-state")).select("seq", "asset_id")

@@ -35,7 +35,7 @@ def as_list(c: Column) -> Column:
     parsed = F.when(text.startswith("[") & text.endswith("]"), F.from_json(text, "array<string>"))
     parts = F.filter(F.transform(F.split(text, ","), lambda x: F.regexp_replace(strip(x), "^[\"']+|[\"']+$", "")), lambda x: x != "")
     listed = F.when(text.contains(",") & (F.size(parts) > 0), parts)
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.coalesce(parsed, listed, F.array(text)))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.coalesce(parsed, listed, F.when(text.isNotNull(), F.array(text))))
 
 
 def iso_ts(c: Column) -> Column:
