@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .byte_shards import byte_shards
 from .decontaminate import decontaminate
 from .disclosure import sanitise
@@ -68,4 +69,4 @@ def op7_minmax_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_repetition_rules, op3_decontamination, op4_swap_packing, op5_disclosure, op6_token_records, op7_minmax_hashing, op8_revisit_archives, op9_byte_shards, op10_license_templates)}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_substring_dedup": oracles.OP1, "op3_decontamination": oracles.OP3}
