@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .batches import map_texts, schema_of
+from .batches import map_beside, schema_of
 from .components import components
 from .shared import cut
 
-#: Pairs up to this many have their ids broadcast (16 bytes each); more are joined by a shuffle.
-FEW_PAIRS = 50_000
+#: Ids of open nodes are broadcast (16 bytes each) up to this many; more are joined by a shuffle.
+FEW_NODES = 100_000
 #: Nodes of a band group that are compared with one of them at random, and nodes of a family that are compared in a task.
 HANDFUL, BLOCK = 8, 500
 
@@ -65,9 +65,6 @@ def min_max_bands(sets: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -
 
 def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (lo, hi) whose full sets are similar enough."""
-    if len(pairs.take(FEW_PAIRS + 1)) <= FEW_PAIRS:
-        ids = pairs.select(F.explode(F.array("lo", "hi")).alias("id")).distinct()
-        docs = cut(docs.join(F.broadcast(ids), "id", "left_semi"), "texts")
     both = pairs.join(docs.select(F.col("id").alias("lo"), F.col("text").alias("a")), "lo").join(docs.select(F.col("id").alias("hi"), F.col("text").alias("b")), "hi")
     kinds, arrow = schema_of("lo long, hi long")
 
@@ -92,24 +89,25 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
 
 
 def _across(rest: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between nodes of unlike labels in a family, which is what band groups (rows lo, hi, label of hi) hold together.
+    """Links (lo, hi) between labels of which nodes are similar enough. rest: (low, node, own), the least label of an open group and each node's own.
 
-    A family is dealt into blocks; a task compares two blocks, so a large family is many tasks, and only links come out.
+    Labels that open groups hold together are a family. A family is dealt into blocks; a task compares two blocks, so
+    a large family is many tasks, and only links come out.
     """
-    family = components(rest.where("lo < hi").select("lo", "hi").distinct()).withColumnRenamed("label", "family")
-    nodes = rest.select(F.col("hi").alias("node"), F.col("label").alias("own")).distinct().join(family, "node")
-    blocks = family.groupBy("family").agg(F.expr(f"cast(count(*) div {BLOCK} + 1 AS int)").alias("blocks"))
+    family = components(rest.where("low < own").select(F.col("low").alias("lo"), F.col("own").alias("hi")).distinct()).select(F.col("node").alias("own"), F.col("label").alias("family"))
+    nodes = cut(rest.select("node", "own").distinct().join(family, "own"), "families")
+    blocks = nodes.groupBy("family").agg(F.expr(f"cast(count(*) div {BLOCK} + 1 AS int)").alias("blocks"))
     nodes = nodes.join(blocks, "family").withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
     cells = nodes.select("node", "own", "family", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = cells.select("node", "own", "family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     cells = cut(cells, "cells")
     few = cells.select("node").distinct()
-    if len(few.take(FEW_PAIRS + 1)) <= FEW_PAIRS:
+    if len(few.take(FEW_NODES + 1)) <= FEW_NODES:
         few = F.broadcast(few)
     texts = cut(docs.withColumnRenamed("id", "node").join(few, "node", "left_semi"), "texts")
 
     def compare(table: pa.Table) -> pa.Table:
-        node, own = table.column("node").to_numpy(), table.column("own").to_numpy()
+        own = table.column("own").to_numpy()
         sets, counts = [], []
         for _, data, bounds in W.slices(table.column("text").combine_chunks()):
             flat, at = shingle_sets(data, bounds, size)
@@ -126,11 +124,12 @@ def _across(rest: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
             common = W.run_sums(mark[flat], at)
             mark[flat[at[i] : at[i + 1]]] = 0
             good = np.flatnonzero((100 * common >= percent * (counts + counts[i] - common)) & (own != own[i]) & (counts > 0))
-            lo += np.minimum(node[good], node[i]).tolist()
-            hi += np.maximum(node[good], node[i]).tolist()
+            other = np.unique(own[good])
+            lo += np.minimum(other, own[i]).tolist()
+            hi += np.maximum(other, own[i]).tolist()
         return pa.table({"lo": pa.array(lo, pa.int64()), "hi": pa.array(hi, pa.int64())})
 
-    held = cells.join(texts, "node").select("family", "low", "high", "node", "own", "text")
+    held = cells.join(texts, "node").select("family", "low", "high", "own", "text")
     return held.groupBy("family", "low", "high").applyInArrow(compare, "lo long, hi long").distinct()
 
 
@@ -142,7 +141,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     intersection is at least percent hundredths of the union, confirmed on the full sets.
 
     Returns one row per input row: the id column, n_shingles, component_id (smallest id reachable by links, its own
-    included) and kept (its id is component_id).
+    included), kept (its id is component_id) and text_hash (Spark's xxhash64 of the text, to tell rows of one id apart).
 
     Without text or words: an empty set, linked with nothing, kept. A null id: no link, component_id null, kept.
     Repeated ids: rows of equal texts get equal results; rows of one id with unlike texts are judged each by its own
@@ -158,7 +157,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return [n, f1, f2, pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))]
 
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = cut(map_texts(docs, "id", "text", work, "n_shingles long, f1 long, f2 long, bands array<long>"), "signatures")
+    base = docs.select(F.struct("id", F.xxhash64("text").alias("text_hash")).alias("row"), "text")
+    signed = map_beside(base, work, "n_shingles long, f1 long, f2 long, bands array<long>").select("row.*", "n_shingles", "f1", "f2", "bands")
+    signed = cut(signed, "signatures")
     linkable = signed.where("id IS NOT NULL AND n_shingles > 0")
     nodes = cut(linkable.groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "nodes")
     held = nodes.select("rep", F.explode("bands").alias("key"))
@@ -173,15 +174,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links)
 
     # What is open: groups that fall into several components, beyond pairs that have been compared.
-    now = members.where("size > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "hub", "rep", F.coalesce("label", "rep").alias("label"))
+    now = members.where("size > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     now = cut(now, "labelled")
-    open_ = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    rest = now.join(open_, "key").select(F.col("hub").alias("lo"), F.col("rep").alias("hi"), "label").distinct()
-    found = cut(_across(cut(rest, "open"), docs, shingle, percent), "confirmed")
-    if not found.isEmpty():
-        labels = components(links.unionByName(found))
-    classes = nodes.select("f1", "f2", "n_shingles", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = cut(classes.select("f1", "f2", "n_shingles", F.coalesce("label", "rep").alias("component_id")), "classes")
-    alone = signed.where("id IS NULL OR n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
-    out = linkable.join(classes, ["f1", "f2", "n_shingles"]).select("id", "n_shingles", "component_id").unionByName(alone)
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    open_ = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "low")
+    rest = now.join(open_, "key").select("low", F.col("rep").alias("node"), F.col("label").alias("own")).distinct()
+    joined = components(cut(_across(cut(rest, "open"), docs, shingle, percent), "confirmed"))
+
+    classes = nodes.select("f1", "f2", "n_shingles", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    classes = classes.join(joined.select(F.col("node").alias("label"), F.col("label").alias("wider")), "label", "left")
+    classes = cut(classes.select("f1", "f2", "n_shingles", F.coalesce("wider", "label").alias("component_id")), "classes")
+    alone = signed.where("id IS NULL OR n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"), "text_hash")
+    out = linkable.join(classes, ["f1", "f2", "n_shingles"]).select("id", "n_shingles", "component_id", "text_hash").unionByName(alone)
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
+    """One row of each group of near duplicates, the one with the smallest id, with all its columns; of rows that equal it, one."""
+    found = near_duplicates(docs, id_col, text_col, **limits).where("NOT kept").select(F.col(id_col).alias("gone"), F.col("text_hash").alias("gone_hash")).distinct()
+    rest = docs.join(found, (F.col(id_col).cast("long") == F.col("gone")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("gone_hash")), "left_anti")
+    named = rest.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col])
+    return named.unionByName(rest.where(F.col(id_col).isNull()))
