@@ -88,7 +88,7 @@ def _exchange(full: Counter[int], spare: Counter[int], gap: int) -> tuple[tuple[
     return best
 
 
-def swap_search(bins: Counter[Bin], capacity: int, most_rounds: int = 10_000) -> Counter[Bin]:
+def swap_search(bins: Counter[Bin], capacity: int, most_rounds: int = 2_000) -> Counter[Bin]:
     """Raises the sum of squared fill by exchanges between underfull bins until bins empty; stops at the least number of bins that could do."""
     fill = {b: sum(length * n for length, n in b) for b in bins}
     out = Counter({b: n for b, n in bins.items() if fill[b] == capacity})
