@@ -121,7 +121,8 @@ def volume_ratio(bars: DataFrame) -> DataFrame:
     return bars.withColumn("volume_ratio", F.try_divide("volume", "volume_baseline")).withColumn("volume_ratio_signal", F.coalesce("volume_ratio", F.lit(0.0)))
 
 
-def volume_flags(bars: DataFrame, substantial: float = 0.8, low: float = 0.35, absolute: float | None = None) -> DataFrame:
+def volume_flags(bars: DataFrame, substantial: float | Column = 0.8, low: float = 0.35, absolute: float | None = None) -> DataFrame:
+    """Adds volume_substantial and volume_low; a share of the baseline may be a column, so that each market has its own."""
     volume, signal = F.col("volume"), F.col("volume_ratio_signal")
     much = (signal >= substantial) | F.coalesce(volume >= F.col("volume_q75"), F.lit(False))
     if absolute is not None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import parse_span
@@ -45,13 +45,20 @@ class BreakConfig:
 SURGE, STRONG, NONE = "volume_surge_and_price_shift", "substantial_volume_and_strong_price_shift", "none"
 
 
-def score_bars(bars: DataFrame, c: BreakConfig) -> DataFrame:
-    """Adds is_break, break_reason and break_score; where a value is missing no rule holds."""
-    move = F.col("abs_price_return_pct")
+def score_bars(bars: DataFrame, c: BreakConfig, by_market: bool = False) -> DataFrame:
+    """Adds is_break, break_reason and break_score; where a value is missing no rule holds.
+
+    by_market: the price and surge rules are columns of bars, under the config's names, so that each market has its own.
+    """
+
+    def rule(name: str) -> Column:
+        return F.col(name) if by_market else F.lit(getattr(c, name))
+
+    move, strong_move = F.col("abs_price_return_pct"), rule("strong_price_change_pct")
     traded = F.col("n_trades") >= c.min_trades_per_interval
-    surge = F.coalesce(traded & (F.col("volume_ratio") >= c.volume_surge_ratio) & (move >= c.price_change_pct), F.lit(False))
-    strong = F.coalesce(traded & F.col("volume_substantial") & (move >= c.strong_price_change_pct), F.lit(False))
-    score = move / max(c.strong_price_change_pct, 1e-9) * (1 + F.log1p(F.greatest(F.col("volume_ratio_signal"), F.lit(0.0))))
+    surge = F.coalesce(traded & (F.col("volume_ratio") >= rule("volume_surge_ratio")) & (move >= rule("price_change_pct")), F.lit(False))
+    strong = F.coalesce(traded & F.col("volume_substantial") & (move >= strong_move), F.lit(False))
+    score = move / F.greatest(strong_move, F.lit(1e-9)) * (1 + F.log1p(F.greatest(F.col("volume_ratio_signal"), F.lit(0.0))))
     return bars.withColumns({"is_break": (surge | strong) & ~F.col("volume_low"), "break_reason": F.when(surge, SURGE).when(strong, STRONG).otherwise(NONE), "break_score": score})
 
 
@@ -87,11 +94,14 @@ def _strongest(keys: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(F.col("break_score").desc_nulls_last(), F.col("abs_price_return_pct").desc_nulls_last(), F.col("volume_ratio_signal").desc_nulls_last(), "bar_start")
 
 
-def cap_breaks(breaks: DataFrame, most: int | None, keys: Sequence[str] = B.KEYS) -> DataFrame:
-    """The strongest breaks of each key, at least one, with score_threshold: the least score kept. None keeps all, with a null threshold."""
+def cap_breaks(breaks: DataFrame, most: int | str | None, keys: Sequence[str] = B.KEYS) -> DataFrame:
+    """The strongest breaks of each key, at least one, with score_threshold: the least score kept.
+
+    most is a number or a column with one; None keeps all, with a null threshold.
+    """
     if most is None:
         return breaks.withColumn("score_threshold", F.lit(None).cast("double"))
-    kept = breaks.withColumn("__place", F.row_number().over(_strongest(keys))).where(F.col("__place") <= max(1, most)).drop("__place")
+    kept = breaks.withColumn("__place", F.row_number().over(_strongest(keys))).where(F.col("__place") <= F.greatest(F.lit(1), F.col(most) if isinstance(most, str) else F.lit(most))).drop("__place")
     return kept.withColumn("score_threshold", F.min("break_score").over(Window.partitionBy(*keys)))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import market_url, slug_variants, strip
 from ..functions.values import flag, number
-from .tables import first_by_key, first_present, percentile_rank
+from .tables import first_by_key, first_present, percentile_ranks
 
 # Fixed values of the data model: names by which a field may come, in order of preference.
 ALIASES = {
@@ -94,8 +94,7 @@ def summarize_markets(df: DataFrame) -> DataFrame:
 
 def market_score(df: DataFrame) -> DataFrame:
     """Adds market_score from percentile ranks; a tighter spread is better, and a missing one counts as the tightest."""
-    for c in (*WEIGHTS, "spread"):
-        df = percentile_rank(df, c, f"{c}_pct")
+    df = percentile_ranks(df, {c: f"{c}_pct" for c in (*WEIGHTS, "spread")})
     score = sum((F.col(f"{c}_pct") * w for c, w in WEIGHTS.items()), F.lit(0.0)) + (1 - F.col("spread_pct")) * 0.05
     return df.withColumn("market_score", score)
 

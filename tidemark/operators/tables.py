@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import snake_case
 from ..functions.values import iso_ts
+from ..scratch import cut
 
 
 def _snake_type(kind: T.DataType) -> T.DataType:
@@ -100,18 +101,27 @@ def time_range(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.min(column).alias("first_time"), F.max(column).alias("last_time"))
 
 
-def percentile_rank(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Average-method percentile rank over the values that aren't null; null gets 0.
+def percentile_ranks(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Average-method percentile rank of each column over its values that aren't null, under the given name; null gets 0.
 
-    Ranks come from value counts, summed over range partitions of the values, so no task sorts the whole table.
+    Ranks come from value counts, summed over range partitions of (column, value), so no task sorts a whole column. The
+    counts are written once, which fixes their partitions for the two reads that follow.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__value")).agg(F.count("*").alias("__ties"))
-    ranged = counts.repartitionByRange("__value").withColumn("__part", F.spark_partition_id())
-    inside = Window.partitionBy("__part").orderBy("__value").rowsBetween(Window.unboundedPreceding, 0)
-    parts = ranged.groupBy("__part").agg(F.sum("__ties").alias("__sum"))  # a row for each partition
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    parts = parts.select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"), F.sum("__sum").over(every).alias("__n"))
-    ranks = ranged.withColumn("__upto", F.sum("__ties").over(inside)).join(F.broadcast(parts), "__part")
-    ranks = ranks.select("__value", ((F.col("__before") + F.col("__upto") - (F.col("__ties") - 1) / 2) / F.col("__n")).alias(out))
-    return df.join(ranks, F.col(column) == F.col("__value"), "left").drop("__value").withColumn(out, F.coalesce(out, F.lit(0.0)))
+    spark = df.sparkSession
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select("x.*")
+    counts = long.where("value IS NOT NULL").groupBy("name", "value").agg(F.count("*").alias("ties"))
+    ranged = cut(counts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "name", "value").withColumn("part", F.spark_partition_id()), "value-counts")
+    inside = Window.partitionBy("name", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    parts = ranged.groupBy("name", "part").agg(F.sum("ties").alias("in_part"))  # a row for each column and partition
+    before = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("name", "part", F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("before"), F.sum("in_part").over(Window.partitionBy("name")).alias("n"))
+    ranks = ranged.withColumn("upto", F.sum("ties").over(inside)).join(F.broadcast(parts), ["name", "part"])
+    ranks = ranks.select("name", "value", ((F.col("before") + F.col("upto") - (F.col("ties") - 1) / 2) / F.col("n")).alias("rank"))
+    for c, out in columns.items():
+        mine = ranks.where(F.col("name") == c).select(F.col("value").alias("__value"), F.col("rank").alias(out))
+        df = df.join(mine, F.col(c).cast("double") == F.col("__value"), "left").drop("__value").withColumn(out, F.coalesce(out, F.lit(0.0)))
+    return df
+
+
+def percentile_rank(df: DataFrame, column: str, out: str) -> DataFrame:
+    return percentile_ranks(df, {column: out})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +13,10 @@ from ..operators import fills as L
 from ..operators import markets as M
 from ..operators import news as N
 from ..operators.tables import dedupe_rows, snake_case_columns
+from ..scratch import cut
 from ..streaming import orderbook as S
 
+HOUR = 3600
 TRADE_COLUMNS = ["timestamp_utc", "price", "size", "outcome", "transaction_hash"]
 
 
@@ -54,7 +56,7 @@ def record_orderbook(stream: DataFrame, tokens: DataFrame, condition_ids: list[s
 
 @dataclass
 class Report:
-    """All lazy: a market's liquidity with its regime, its breaks under that regime's rules, and the bars and news around the strongest."""
+    """A market's liquidity with its regime, its breaks under that regime's rules, and the bars and news around the strongest."""
 
     stats: DataFrame
     bars: DataFrame
@@ -64,19 +66,17 @@ class Report:
 
 
 def break_report(trades: DataFrame, articles: DataFrame, cutoff: str, interval: str = "1h", top: int = 5, language: str | None = "english") -> Report:
-    """Every market is judged by the rules of its own liquidity after the cutoff."""
+    """Every market is judged by the rules of its own liquidity after the cutoff. Statistics, bars and breaks are written once, for what reads them."""
     config = K.BreakConfig(interval=interval, low_volume_ratio=0.40, min_trades_per_interval=2, merge_gap_intervals=2)
     after = trades.where(F.col("timestamp_utc") >= F.lit(cutoff).cast("timestamp"))
     after = B.top_outcome(B.clean_trades(after))
     stats = B.adaptive_thresholds(B.adaptive_smoothing(B.liquidity_stats(after, config.step), config.step))
-    bars = K.break_bars(after, config)
-    found = None
-    rules = bars.join(stats.select(*B.KEYS, "regime"), list(B.KEYS))
-    for regime, _, change, strong, surge, much, most in B.REGIMES:  # four plans over one set of bars
-        c = replace(config, price_change_pct=change, strong_price_change_pct=strong, volume_surge_ratio=surge, volume_substantial_ratio=much, max_breaks=most)
-        mine = K.score_bars(B.volume_flags(rules.where(F.col("regime") == regime), c.volume_substantial_ratio, c.low_volume_ratio), c)
-        mine = K.cap_breaks(K.radius_nms(K.merge_neighbors(mine, c.merge_gap_intervals), 3 * 3600), most)
-        found = mine if found is None else found.unionByName(mine)
+    stats = cut(stats, "stats")
+    rules = ["price_change_pct", "strong_price_change_pct", "volume_surge_ratio", "volume_substantial_ratio", "max_breaks"]
+    bars = K.break_bars(after, config).drop("volume_substantial", "volume_low", "is_break", "break_reason", "break_score").join(stats.select(*B.KEYS, *rules), list(B.KEYS))
+    bars = cut(K.score_bars(B.volume_flags(bars, F.col("volume_substantial_ratio"), config.low_volume_ratio), config, by_market=True), "bars")
+    found = cut(K.cap_breaks(K.radius_nms(K.merge_neighbors(bars, config.merge_gap_intervals), 3 * HOUR), "max_breaks").drop(*rules), "breaks")
+    bars = bars.drop(*rules)
     best = K.top_breaks(found, top)
     first = K.top_breaks(found, 1)
-    return Report(stats, bars, found, K.near_breaks(bars, "bar_start", best, 12 * 3600, B.KEYS), K.near_breaks(N.filter_language(articles, language), "timestamp_utc", first, 6 * 3600))
+    return Report(stats, bars, found, K.near_breaks(bars, "bar_start", best, 12 * HOUR, B.KEYS), K.near_breaks(N.filter_language(articles, language), "timestamp_utc", first, 6 * HOUR))

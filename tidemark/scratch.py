@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -18,3 +18,10 @@ def folder(spark: SparkSession, label: str) -> str:
         root = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="spark-")
         _own[app] = root
     return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """df written to a fresh folder and read back, for tables that several plans read."""
+    path = folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
