@@ -63,8 +63,7 @@ def markets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    n = pages.agg(F.count("*").alias("n"))
-    docs = table(spark, sf_dir, "documents").crossJoin(F.broadcast(n)).withColumn("page", F.col("doc_id") % F.col("n"))  # n is one row
+    docs = table(spark, sf_dir, "documents").withColumn("page", F.col("doc_id") % pages.agg(F.count("*")).scalar())
     seen = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60)
     return docs.join(pages, F.col("page") == F.col("page_id")).select(
         F.col("doc_id").alias("seq"), F.date_format(seen, "yyyyMMddHHmmss").alias("seendate"), F.substring("text", 1, 80).alias("title"), "url", "source", F.col("lang").alias("language"),

@@ -127,12 +127,11 @@ def score_stats(breaks: DataFrame, keys: Sequence[str] = B.KEYS) -> DataFrame:
 
 def score_histogram(breaks: DataFrame, bins: int = 60) -> DataFrame:
     """Counts of scores in equal bins up to the 99.5 % quantile (the largest score where that isn't above 0); higher ones go to the last bin."""
-    limits = breaks.agg(F.min("break_score").alias("low"), F.percentile("break_score", F.lit(0.995)).alias("q"), F.max("break_score").alias("most"))
-    limits = limits.select("low", F.when(F.col("q") > 0, F.col("q")).otherwise(F.col("most")).alias("high"))
-    held = breaks.where("break_score IS NOT NULL").crossJoin(F.broadcast(limits))  # limits is one row
+    limits = breaks.agg(F.struct(F.min("break_score").alias("low"), F.percentile("break_score", F.lit(0.995)).alias("q"), F.max("break_score").alias("most")))
+    held = breaks.where("break_score IS NOT NULL").withColumn("limits", limits.scalar())
+    held = held.withColumns({"low": F.col("limits.low"), "high": F.when(F.col("limits.q") > 0, F.col("limits.q")).otherwise(F.col("limits.most"))})
     place = F.when(F.col("high") == F.col("low"), 0).otherwise(F.least(F.lit(bins - 1), F.floor((F.least("break_score", "high") - F.col("low")) / (F.col("high") - F.col("low")) * bins)))
-    binned = held.groupBy(place.cast("int").alias("bin")).agg(F.count("*").alias("n"), F.count_if(F.col("break_score") > F.col("high")).alias("n_above"))
-    return binned
+    return held.groupBy(place.cast("int").alias("bin")).agg(F.count("*").alias("n"), F.count_if(F.col("break_score") > F.col("high")).alias("n_above"))
 
 
 @dataclass
