@@ -23,3 +23,33 @@ OP3 = f"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format(c='text')}
     s AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
     SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM d LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)"""
+
+OP7 = f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format(c='text')}, {_BLANK}) AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    e AS (SELECT x, y FROM p JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * c >= 80 * (a.n + b.n - c)),
+    links AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+    r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT links.y, r.c FROM r JOIN links ON r.doc_id = links.x WHERE r.c < links.y)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id) LEFT JOIN n USING (doc_id)"""
+
+OP2 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_BLANK}) AS w FROM documents),
+    g AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS t FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT unnest([6, 8]) AS m))),
+    twice AS (SELECT doc_id, m, i, t FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, m, t) AS times FROM g) WHERE times > 1),
+    covered AS (SELECT doc_id, count(DISTINCT p) FILTER (m = 8) AS n_repeat_words, count(DISTINCT p) FILTER (m = 6) AS n_covered FROM (SELECT doc_id, m, unnest(range(i, i + m)) AS p FROM twice) GROUP BY doc_id),
+    pairs AS (SELECT a.doc_id, a.i, b.i - a.i AS apart FROM twice a JOIN twice b ON a.doc_id = b.doc_id AND a.t = b.t AND a.m = 6 AND b.m = 6 AND a.i < b.i),
+    runs AS (SELECT doc_id, count(*) + 5 AS long FROM (SELECT doc_id, apart, i - row_number() OVER (PARTITION BY doc_id, apart ORDER BY i) AS run FROM pairs) GROUP BY doc_id, apart, run),
+    longest AS (SELECT doc_id, max(long) AS longest_repeat FROM runs GROUP BY doc_id),
+    lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, {_BLANK}) GROUP BY doc_id),
+    m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_covered, 0) AS n_covered, coalesce(longest_repeat, 0) AS longest_repeat
+    FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN longest USING (doc_id))
+    SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * n_covered <= 40 * n_words AND 100 * longest_repeat <= 25 * n_words AS kept FROM m"""
+
+_BITS = "array_to_string(list_transform(string_split(d, ''), lambda c: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * strpos('0123456789abcdef', c) - 3, 4)), '')"
+_FIVE = " + ".join(f"{16 >> k} * CAST(substr(bits, CAST(5 * k AS BIGINT) + {k + 1}, 1) AS INTEGER)" for k in range(5))
+OP8 = f"""WITH x AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS d FROM pages),
+    f AS (SELECT d, min(page_id) AS o FROM x GROUP BY d),
+    b AS (SELECT d, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_FIVE}, 1)), '') AS payload_digest FROM (SELECT d, {_BITS} AS bits FROM f))
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = o THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> o THEN o END AS refers_to FROM x JOIN f USING (d) JOIN b USING (d)"""

@@ -65,8 +65,8 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minmax_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2)
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2).drop("text_hash")
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_repetition_rules, op3_decontamination, op4_swap_packing, op5_disclosure, op6_token_records, op7_minmax_hashing, op8_revisit_archives, op9_byte_shards, op10_license_templates)}
-ORACLES = {"op1_substring_dedup": oracles.OP1, "op3_decontamination": oracles.OP3}
+ORACLES = {"op1_substring_dedup": oracles.OP1, "op2_repetition_rules": oracles.OP2, "op3_decontamination": oracles.OP3, "op7_minmax_hashing": oracles.OP7, "op8_revisit_archives": oracles.OP8}
