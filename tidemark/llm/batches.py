@@ -14,6 +14,18 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from . import words as W
 
 
+#: Texts that go to a Python worker at once.
+BATCH_ROWS = 2_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df as it is; makes its session send at most that many rows at once to Python workers, since texts can be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, BATCH_ROWS)
+    return df
+
+
 def schema_of(ddl: str) -> tuple[T.StructType, pa.Schema]:
     kinds = T.StructType.fromDDL(ddl)
     return kinds, to_arrow_schema(kinds)
@@ -24,20 +36,21 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, work: Callable[[np.nd
     return map_beside(docs.select(F.col(id_col).cast(id_type).alias(id_col), F.col(text_col).cast("string").alias("text")), work, ddl)
 
 
-def map_beside(base: DataFrame, work: Callable[[np.ndarray, np.ndarray], list], ddl: str) -> DataFrame:
-    """base: any column, and text. Returns that first column as it is, and the columns of ddl."""
+def map_beside(base: DataFrame, work: Callable[[np.ndarray, np.ndarray], list], ddl: str, with_text: bool = False) -> DataFrame:
+    """base: any column, and text. Returns that first column as it is, with_text the text, and the columns of ddl."""
     kinds, _ = schema_of(ddl)
-    kinds = T.StructType([base.schema.fields[0], *kinds.fields])
+    kept = 2 if with_text else 1
+    kinds = T.StructType([*base.schema.fields[:kept], *kinds.fields])
     arrow = to_arrow_schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data, bounds in W.slices(batch.column(1)):
                 made = work(data, bounds)
-                cols = [batch.column(0).slice(row, len(bounds) - 1), *made]
+                cols = [*(batch.column(k).slice(row, len(bounds) - 1) for k in range(kept)), *made]
                 yield pa.RecordBatch.from_arrays([c.cast(t) if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, arrow.types, strict=True)], schema=arrow)
 
-    return base.mapInArrow(run, kinds)
+    return small_batches(base).mapInArrow(run, kinds)
 
 
 def beside(docs: DataFrame, text_col: str) -> DataFrame:
@@ -46,14 +59,14 @@ def beside(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.struct(*others, F.lit(0).alias("__beside")).alias("row"), F.col(text_col).cast("string").alias("text"))
 
 
-def rejoined(docs: DataFrame, text_col: str, made: DataFrame, text: str) -> DataFrame:
-    """The columns of docs in their order, from row and the new text; n_chars, where docs has it, follows the text."""
+def rejoined(docs: DataFrame, text_col: str, made: DataFrame, text: str, changed: bool = True) -> DataFrame:
+    """The columns of docs in their order, from row and a text; if that has changed, n_chars, where docs has it, follows it."""
     out = []
     for c in docs.columns:
         kind = docs.schema[c].dataType
         if c == text_col:
             out.append(F.col(text).cast(kind).alias(c))
-        elif c == "n_chars":
+        elif c == "n_chars" and changed:
             out.append(F.length(text).cast(kind).alias(c))
         else:
             out.append(F.col("row").getField(c).alias(c))

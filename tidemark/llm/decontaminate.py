@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import words as W
-from .batches import beside, rejoined, schema_of
+from .batches import beside, rejoined, schema_of, small_batches
 from .fm_index import FmIndex, index_runs
 from .shared import cut
 
@@ -131,7 +131,7 @@ def _pass(docs: DataFrame, block: list[tuple[str, str]], window: int, first: boo
                     spans[d], items[d] = _merged(spans[d]), sorted(set(items[d]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count, pa.int64()), pa.array(spans, arrow.types[3]), pa.array(items, arrow.types[4])], schema=arrow)
 
-    return docs.mapInArrow(run, kinds)
+    return small_batches(docs).mapInArrow(run, kinds)
 
 
 def _merged(flat: list[int]) -> list[int]:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import outputs
 from . import words as W
-from .batches import schema_of
+from .batches import schema_of, small_batches
 from .shared import cut, partitions
 from .tokens import SLICE_BYTES, encoder, vocabulary
 
@@ -116,7 +116,7 @@ def write_token_records(docs: DataFrame, folder: str, id_col: str = "doc_id", te
                 f.write(struct.pack("<Q", len(offsets)) + np.array(offsets, "<u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, records, index, len(offsets), total), arrow.types, strict=True)], schema=arrow)
 
-    return cut(ranged.mapInArrow(run, kinds), "listing").orderBy("part")
+    return cut(small_batches(ranged).mapInArrow(run, kinds), "listing").orderBy("part")
 
 
 def read_token_records(spark: SparkSession, listing: DataFrame, with_ids: bool = True) -> DataFrame:

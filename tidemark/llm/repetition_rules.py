@@ -12,10 +12,9 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import words as W
-from .batches import map_beside, map_texts
+from .batches import beside, map_beside, map_texts, rejoined
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"[#*$%&|<>]"[1:-1])] = True
@@ -98,7 +97,7 @@ def _judge(window: int = 8, min_words: int = 20, most_repeated: float = 0.3, lea
         m = _measures(data, bounds, window, least)
         n = m["n_words"]
         m["base_failed"] = (n < min_words) | (100 * m["n_repeat_words"] > round(100 * most_repeated) * n)
-        m["kept"] = ~m["base_failed"] & (m["n_covered"] <= most_covered * n) & (m["longest_repeat"] <= most_longest * n)
+        m["kept"] = ~m["base_failed"] & (100 * m["n_covered"] <= round(100 * most_covered) * n) & (100 * m["longest_repeat"] <= round(100 * most_longest) * n)
         return list(m.values())
 
     return work
@@ -129,5 +128,4 @@ def repetition_rules(
 
 def keep_by_rules(docs: DataFrame, text_col: str = "text", **limits: float) -> DataFrame:
     """The rows that repetition_rules keeps, with all their columns as they are."""
-    both = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
-    return map_beside(both, _judge(**limits), COLUMNS).where("kept").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return rejoined(docs, text_col, map_beside(beside(docs, text_col), _judge(**limits), COLUMNS, with_text=True).where("kept"), "text", changed=False)

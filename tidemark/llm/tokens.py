@@ -7,6 +7,8 @@ ASCII, which could join a cut's sides, are encoded whole.
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 from tokenizers import Tokenizer
 
@@ -15,9 +17,9 @@ from . import words as W
 #: Stands between pieces of a vocabulary that drops blanks; a piece that holds it is encoded alone.
 MARK = "\0"
 #: Distinct pieces that a worker remembers.
-REMEMBERED = 1_500_000
-#: Bytes of text that are cut into pieces at once, and bytes of new pieces that are encoded as one string.
-SLICE_BYTES, JOINED_BYTES = 4 << 20, 4096
+REMEMBERED = 1_000_000
+#: Bytes of text that are cut into pieces at once, bytes of new pieces that are encoded as one string, and such strings encoded at once.
+SLICE_BYTES, JOINED_BYTES, AT_ONCE = 1 << 20, 4096, 16
 
 
 def vocabulary(name: str) -> str:
@@ -50,37 +52,36 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all pieces, number of ids of each). Many pieces are encoded as one string, and its ids dealt out again."""
-        size = np.zeros(len(pieces), np.int64)
+    def _pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers of the pieces in some order, number of ids of each, all ids). Many pieces are encoded as one string, and its ids dealt out again."""
         fit = [k for k, x in enumerate(pieces) if (x[0] in W.BLANKS and x[-1] not in W.BLANKS if self.keep_blanks else 0 not in x)]
-        joined, last = [[]], 0
-        for k in fit:
-            if last > JOINED_BYTES:
-                joined.append([])
-                last = 0
-            joined[-1].append(k)
-            last += len(pieces[k])
-        joined = [group for group in joined if group]
+        ends = np.cumsum([len(pieces[k]) for k in fit]) // JOINED_BYTES
+        groups = np.split(np.array(fit, np.int64), np.flatnonzero(np.diff(ends)) + 1) if fit else []
         between = b"" if self.keep_blanks else b" \0 "
-        parts: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(pieces)
-        for group, ids in zip(joined, self.encode([between.join([*(pieces[k] for k in group), b""]).decode() for group in joined]), strict=True):
-            ids = np.array(ids, np.uint32)
-            if self.keep_blanks:
-                ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(pieces[k]) for k in group])) + 1
-                begins = np.r_[0, ends[:-1]]
-            else:
-                marks = np.flatnonzero(ids == self.mark)
-                if len(marks) != len(group):
-                    raise ValueError("a piece holds the mark between pieces")
-                begins, ends = np.r_[0, marks[:-1] + 1], marks
-            for k, lo, hi in zip(group, begins.tolist(), ends.tolist(), strict=True):
-                parts[k] = ids[lo:hi]
+        order, sizes, flat = [], [], []
+        for at in range(0, len(groups), AT_ONCE):
+            some = groups[at : at + AT_ONCE]
+            for group, ids in zip(some, self.encode([between.join([*(pieces[k] for k in group), b""]).decode() for group in some]), strict=True):
+                ids = np.array(ids, np.uint32)
+                if self.keep_blanks:
+                    last = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(pieces[k]) for k in group])) + 1
+                    size = np.diff(np.r_[0, last])
+                else:
+                    marks = np.flatnonzero(ids == self.mark)
+                    size, ids = np.diff(np.r_[-1, marks]) - 1, ids[ids != self.mark]
+                if len(size) != len(group) or size.sum() != len(ids):
+                    raise ValueError("the ids of joined pieces can't be told apart")
+                order.append(group)
+                sizes.append(size)
+                flat.append(ids)
         alone = np.setdiff1d(np.arange(len(pieces)), fit)
-        for k, ids in zip(alone.tolist(), self.encode([pieces[k].decode() for k in alone]), strict=True):
-            parts[k] = np.array(ids, np.uint32)
-        size[:] = list(map(len, parts))
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), size
+        for at in range(0, len(alone), 64 * AT_ONCE):
+            group = alone[at : at + 64 * AT_ONCE]
+            encoded = self.encode([pieces[k].decode() for k in group])
+            order.append(group)
+            sizes.append(np.array(list(map(len, encoded)), np.int64))
+            flat.append(np.array([x for ids in encoded for x in ids], np.uint32))
+        return tuple(np.concatenate([np.zeros(0, t), *x]).astype(t) for t, x in ((np.int64, order), (np.int64, sizes), (np.uint32, flat)))
 
     def ids(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, bounds by text)."""
@@ -105,10 +106,10 @@ class Encoder:
         where = self._find(distinct)
         new = np.flatnonzero(where < 0)
         if len(new):
-            self._add(distinct[new], *self._pieces(cut(data, starts[first[new]], ends[first[new]])))
+            self._learn(distinct[new], data, starts[first[new]], ends[first[new]])
             where = self._find(distinct)
             if (where < 0).any():  # more was dropped than the new: all of this slice's pieces go in again
-                self._add(distinct, *self._pieces(cut(data, starts[first], ends[first])))
+                self._learn(distinct, data, starts[first], ends[first])
                 where = self._find(distinct)
         piece = where[place]
         size = self.sizes[piece]
@@ -127,19 +128,16 @@ class Encoder:
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         return np.where(self.keys[at] == h, at, -1)
 
-    def _add(self, h: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _learn(self, h: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         if len(self.keys) and len(self.keys) + len(h) > REMEMBERED:
             self._forget()
+        raw = data.tobytes()
+        order, sizes, flat = self._pieces([raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
         at = len(self.flat) + np.cumsum(sizes) - sizes
-        keys = np.concatenate([self.keys, h])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.at, self.sizes = keys[order], np.concatenate([self.at, at])[order], np.concatenate([self.sizes, sizes])[order]
-        self.flat = np.concatenate([self.flat, ids])
-
-
-def cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
-    raw = data.tobytes()
-    return [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        keys = np.concatenate([self.keys, h[order]])
+        by_key = np.argsort(keys, kind="stable")
+        self.keys, self.at, self.sizes = keys[by_key], np.concatenate([self.at, at])[by_key], np.concatenate([self.sizes, sizes])[by_key]
+        self.flat = np.concatenate([self.flat, flat])
 
 
 def odd_blanks(data: np.ndarray) -> np.ndarray:
@@ -161,5 +159,6 @@ def encoder(path: str, keep_blanks: bool) -> Encoder:
     """One for each worker process."""
     key = (path, keep_blanks)
     if key not in _encoders:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
         _encoders[key] = Encoder(path, keep_blanks)
     return _encoders[key]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import outputs
-from .batches import schema_of
+from .batches import schema_of, small_batches
 from .shared import cut, partitions
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -121,7 +121,7 @@ def write_archives(
             file.close()
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, name, n), arrow.types, strict=True)], schema=arrow)
 
-    return cut(whole.mapInArrow(run, kinds), "listing")
+    return cut(small_batches(whole).mapInArrow(run, kinds), "listing")
 
 
 def read_archives(spark: SparkSession, listing: DataFrame, with_payload: bool = True) -> DataFrame:
