@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .batches import map_beside, schema_of
+from .batches import map_beside, schema_of, small_batches
 from .components import components
 from .shared import cut
 
@@ -85,7 +85,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
                 good = np.flatnonzero((100 * common >= percent * joint) & (joint > 0)) + row
                 yield pa.RecordBatch.from_arrays([pa.array(lo[good], pa.int64()), pa.array(hi[good], pa.int64())], schema=arrow)
 
-    return both.select("lo", "hi", "a", "b").mapInArrow(run, kinds).distinct()
+    return small_batches(both.select("lo", "hi", "a", "b")).mapInArrow(run, kinds).distinct()
 
 
 def _across(rest: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -164,7 +164,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = cut(linkable.groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "nodes")
     held = nodes.select("rep", F.explode("bands").alias("key"))
     groups = held.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("most"), F.count("*").alias("size")).where("hub < most")
-    members = cut(held.join(groups.select("key", "hub", "size"), "key"), "members")
+    groups = cut(groups.select("key", "hub", "size"), "groups")  # so that Spark can split a hot key in the join
+    members = cut(held.join(groups, "key"), "members")
 
     # Stars: each node with the smallest of its band group, and with the smallest of a random handful of a larger group.
     handfuls = members.where(f"size > {HANDFUL}").withColumn("part", F.pmod(F.xxhash64("rep", "key"), F.expr(f"size div {HANDFUL} + 1")))
@@ -177,6 +178,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     now = members.where("size > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     now = cut(now, "labelled")
     open_ = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "low")
+    open_ = cut(open_, "open-groups")
     rest = now.join(open_, "key").select("low", F.col("rep").alias("node"), F.col("label").alias("own")).distinct()
     joined = components(cut(_across(cut(rest, "open"), docs, shingle, percent), "confirmed"))
 
