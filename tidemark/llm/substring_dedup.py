@@ -209,7 +209,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     n = partitions(spark)
     chunks, buckets = 2 * n, n
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    base = base.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)))
+    base = base.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)))
 
     def send_cores(key: tuple, table: pa.Table) -> pa.Table:
         chunk = _Chunk(table, window)
