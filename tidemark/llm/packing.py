@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .batches import schema_of
+from .batches import schema_of, small_batches
 from .places import with_places
 from .shared import cut
 from .tokens import SLICE_BYTES, encoder, vocabulary
@@ -66,75 +66,68 @@ def _bin(items: Counter[int]) -> Bin:
     return tuple(sorted(((length, n) for length, n in items.items() if n), reverse=True))
 
 
-def _exchange(full: Counter[int], spare: Counter[int], gap: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
-    """(what the fuller bin gives, what it takes) for the largest gain of at most gap; the fewest pieces where gains are equal."""
+def _choices(held: Bin) -> list[tuple[int, tuple[int, ...]]]:
+    """Nothing, one or two pieces of a bin, with their sums, in order."""
+    two = {a + b: (a, b) for i, (a, n) in enumerate(held) for b, _ in held[i:] if a != b or n > 1}
+    return sorted([(0, ()), *((a, (a,)) for a, _ in held), *two.items()], key=lambda x: (x[0], -len(x[1])))
 
-    def choices(items: Counter[int]) -> list[tuple[int, tuple[int, ...]]]:
-        one = sorted(items)
-        two = {a + b: (a, b) for i, a in enumerate(one) for b in one[i:] if a != b or items[a] > 1}
-        return [(0, ()), *((a, (a,)) for a in one), *two.items()]
 
-    gives, takes = choices(full), sorted(choices(spare), key=lambda x: (x[0], -len(x[1])))
+def _exchange(gives: list, takes: list, gap: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
+    """(what the fuller bin gives, what it takes) for the largest gain of at most gap, of three pieces or fewer."""
     sums = [x[0] for x in takes]
     best, gain = None, 0
     for given, a in gives:
         k = bisect_right(sums, given + gap) - 1
         while k >= 0 and sums[k] - given > gain:
             b = takes[k][1]
-            if len(a) + len(b) <= 3 and len(b) and not set(a) & set(b):
+            if len(a) + len(b) <= 3 and b and not set(a) & set(b):
                 best, gain = (a, b), sums[k] - given
                 break
             k -= 1
     return best
 
 
-def swap_search(bins: Counter[Bin], capacity: int, most_rounds: int = 2_000) -> Counter[Bin]:
-    """Raises the sum of squared fill by exchanges between underfull bins until bins empty; stops at the least number of bins that could do."""
-    fill = {b: sum(length * n for length, n in b) for b in bins}
-    out = Counter({b: n for b, n in bins.items() if fill[b] == capacity})
-    under = [[fill[b], b, n] for b, n in bins.items() if fill[b] < capacity]
-    least = -(-sum(f * n for f, _, n in under) // capacity)
-    for _ in range(most_rounds):
-        if sum(n for _, _, n in under) <= least:
-            break
-        under.sort(key=lambda x: (x[0], x[1]))
-        step = None
-        for i in range(len(under) - 1, -1, -1):
-            for j in range(i + 1):
-                if i == j and under[i][2] < 2:
-                    continue
-                step = _exchange(Counter(dict(under[i][1])), Counter(dict(under[j][1])), capacity - under[i][0])
-                if step:
-                    break
-            if step:
+def swap_search(bins: Counter[Bin], capacity: int, most_tries: int = 100_000) -> Counter[Bin]:
+    """Raises the sum of squared fill by exchanges between underfull bins until bins empty.
+
+    Stops at the least number of bins that could do, where no exchange is left, or after that many looked-for
+    exchanges, so that the search takes no longer for more documents.
+    """
+    fill = lambda held: sum(length * n for length, n in held)
+    under = Counter({b: n for b, n in bins.items() if fill(b) < capacity})
+    out = bins - under
+    least = -(-sum(fill(b) * n for b, n in under.items()) // capacity)
+    choices: dict[Bin, list] = {}
+    hopeless: set[tuple[Bin, Bin]] = set()
+    while under.total() > least and most_tries > 0:
+        ranked = sorted(under, key=lambda b: (fill(b), b))
+        for full, spare in ((a, b) for i, a in zip(range(len(ranked) - 1, -1, -1), reversed(ranked), strict=True) for b in ranked[: i + 1] if (a != b or under[a] > 1) and (a, b) not in hopeless):
+            for held in (full, spare):
+                if held not in choices:
+                    choices[held] = _choices(held)
+            step = _exchange(choices[full], choices[spare], capacity - fill(full))
+            most_tries -= 1
+            if step or most_tries <= 0:
                 break
+            hopeless.add((full, spare))
+        else:
+            break
         if not step:
             break
-        (_, a, n_a), (_, b, n_b) = under[i], under[j]
-        times = n_a // 2 if i == j else min(n_a, n_b)
-        new_a, new_b = Counter(dict(a)), Counter(dict(b))
-        new_a.subtract(step[0])
-        new_a.update(step[1])
-        new_b.subtract(step[1])
-        new_b.update(step[0])
-        left: Counter[Bin] = Counter()
-        for _, held, n in under:
-            left[held] += n
-        left.subtract({a: times})
-        left.subtract({b: times})
-        left[_bin(new_a)] += times
-        left[_bin(new_b)] += times
-        under = []
-        for held, n in left.items():
-            size = sum(length * k for length, k in held)
-            if n and size == capacity:
-                out[held] += n
-            elif n and size:
-                under.append([size, held, n])
-        least = -(-sum(f * n for f, _, n in under) // capacity)
-    for _, held, n in under:
-        out[held] += n
-    return out
+        times = under[full] // 2 if full == spare else min(under[full], under[spare])
+        fuller, emptier = Counter(dict(full)), Counter(dict(spare))
+        fuller.subtract(step[0])
+        fuller.update(step[1])
+        emptier.subtract(step[1])
+        emptier.update(step[0])
+        under -= Counter({full: times}) + Counter({spare: times})
+        for held in (_bin(fuller), _bin(emptier)):
+            if fill(held) == capacity:
+                out[held] += times
+            elif held:
+                under[held] += times
+        least = -(-sum(fill(b) * n for b, n in under.items()) // capacity)
+    return out + under
 
 
 class Plan:
@@ -190,7 +183,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacit
                     cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32))).cast(arrow.types[5]))
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, kinds)
+    return small_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))).mapInArrow(run, kinds)
 
 
 def pack(
