@@ -14,8 +14,11 @@ TRACKING_PREFIX = "utm_"
 _URL = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
 
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c.cast("string"), r"^\s+|\s+$", "")
+    return F.btrim(c.cast("string"), F.lit(BLANKS))
 
 
 def clean_text(c: Column) -> Column:

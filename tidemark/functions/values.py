@@ -54,7 +54,7 @@ def _scaled(value: Column) -> Column:
 def epoch_ts(*candidates: Column) -> Column:
     """Time of the first candidate that isn't null or blank: epoch digits of any unit, or ISO text. Whole seconds."""
     text = F.coalesce(*[F.nullif(strip(c), F.lit("")) for c in candidates])
-    seconds = F.when(text.rlike(r"^-?\d+(?:\.\d+)?$"), _scaled(text.try_cast("decimal(38,0)")))
+    seconds = F.when(text.rlike(r"^-?\d+(?:\.\d+)?$"), _scaled(F.coalesce(text.try_cast("bigint"), F.floor(text.try_cast("double")))))
     return F.timestamp_seconds(F.coalesce(seconds, F.floor(F.unix_micros(iso_ts(text)) / 1_000_000)))
 
 
