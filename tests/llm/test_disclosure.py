@@ -54,3 +54,15 @@ def test_removal_ids_and_empty_table(spark):
     got = [(r["doc_id"], r["clean_text"]) for r in sanitise(brute.documents(spark, rows), with_text=True).collect()]
     assert sorted(got, key=str) == sorted([(None, "ip [IP] [PHONE] x"), (1, "ip [IP] [PHONE] x"), (1, "ip [IP] [PHONE] x"), (1, "é@é")], key=str)
     assert sanitise(brute.documents(spark, [])).count() == 0
+
+
+def test_terms_of_rare_entities_anywhere_in_the_text(spark):
+    far = "the common things go on and on " * 20
+    rows = [(1, f"Zebulon wrote ZEBULON {far} mail to one@firm.example, Quentin's.{far}Zebulon"), (2, f"ip 10.0.0.1 éQuentin@firm.example {far}")]
+    rows += [(k, f"{far} with Quentin number {k}") for k in range(10, 210)]
+    got = {r["doc_id"]: r for r in sanitise(brute.documents(spark, rows), with_text=True, remove_at=2.0).collect()}
+    text = rows[0][1]
+    want = [f"term:{k}:{k + 7}" for k in range(len(text)) if text[k : k + 7].lower() == "zebulon"]
+    assert len(want) == 3 and [x for x in got[1]["spans"].split(",") if x.startswith("term") and text[slice(*map(int, x.split(":")[1:]))].lower() == "zebulon"] == want
+    assert "Zebulon" not in got[1]["clean_text"] and "Quentin" in got[1]["clean_text"] and got[1]["clean_text"].count("common things") == 40
+    assert got[2]["n_term"] == 0 and all(got[k]["clean_text"] == dict(rows)[k] for k in range(10, 210))

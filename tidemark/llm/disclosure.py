@@ -1,16 +1,18 @@
-"""Personal data in texts, and the terms near it that disclose it.
+"""Personal data in texts, and the terms beside it that disclose it.
 
 Emails, IP addresses, card and phone numbers are found by patterns. How far a term t reveals such an entity e follows
 from the whole corpus: the pointwise mutual information log2(p(e, t) / (p(e) p(t))) over the information log2(1 / p(e))
-of the entity, with p by documents. It is 1 where the term stands in no document without the entity. Terms near an
-entity at the threshold or over are generalised, those near 1 removed.
+of the entity, with p by distinct texts. It is 1 where the term stands in no text without the entity. As counts can be
+small, the share p(e, t) / p(t) is taken at its lower confidence bound, so that few texts show less than many, and the
+rarest entities still count. In the texts that hold the entity, terms at the threshold or over are generalised wherever
+they stand, those near 1 removed.
 
 All of it is DataFrame and SQL expressions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import beside, rejoined
@@ -27,6 +29,9 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 KINDS = [*PATTERNS, "term"]
 WORD = r"\p{L}{3,}+"
+#: Stands for each code point of a base span, and words that do not touch one.
+BLOT = "\ufdd0"
+FREE = rf"(?<![\p{{L}}{BLOT}])\p{{L}}{{3,}}+(?!{BLOT})"
 
 
 def _digits(x: Column) -> Column:
@@ -94,33 +99,47 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
-def with_contexts(df: DataFrame, reach: int) -> DataFrame:
-    """Adds contexts: an array of (entity, at, seen, words): whole words within reach code points of a base span, outside all base spans."""
-    near = F.transform("base", lambda s: F.struct(
-        s["entity"].alias("entity"), F.greatest(s["start"] - reach, F.lit(0)).alias("at"),
-        F.substring(F.col("text"), F.greatest(s["start"] - reach, F.lit(0)) + 1, s["end"] + reach - F.greatest(s["start"] - reach, F.lit(0))).alias("part"),
-    ))
+def _masked() -> Column:
+    """The column text with its base spans blotted out, code point by code point, so that places stay."""
+    ordered = F.array_sort(F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))))
+    text = F.translate("text", BLOT, " ")
+
+    def add(acc: Column, x: Column) -> Column:
+        start, end = F.greatest(acc["at"], x["start"]), F.greatest(acc["at"], x["end"])
+        piece = F.array(F.substring(text, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(BLOT), end - start))
+        return F.struct(end.alias("at"), F.concat(acc["out"], piece).alias("out"))
+
+    def whole(acc: Column) -> Column:
+        return F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length("text")))
+
+    return F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), add, whole)
+
 
-    def whole(c: Column, w: Column) -> Column:
-        inside = ((w["start"] > 0) | (c["at"] == 0)) & ((w["end"] < F.length(c["part"])) | (c["at"] + w["end"] >= F.length("text")))
-        return inside & ~F.exists("base", lambda b: (b["start"] < w["end"] + c["at"]) & (w["start"] + c["at"] < b["end"]))
+def words_outside(df: DataFrame) -> DataFrame:
+    """h, term, start, end of every word of the column text, of one row a text h, that overlaps no base span."""
+    found = df.select("h", _masked().alias("text")).select("h", F.split("text", FREE, -1).alias("between"), F.regexp_extract_all("text", F.lit(FREE), F.lit(0)).alias("words"))
+    rows = found.select("h", F.posexplode(F.zip_with(F.slice("between", F.lit(1), F.size("words")), "words", lambda b, w: F.struct(F.length(b).alias("before"), w.alias("word")))).alias("at", "x"))
+    long = F.length("x.word")
+    end = F.sum(F.col("x.before") + long).over(Window.partitionBy("h").orderBy("at")).cast("int")
+    return rows.select("h", F.lower("x.word").alias("term"), end.alias("end"), long.alias("long")).select("h", "term", (F.col("end") - F.col("long")).alias("start"), "end")
 
-    def words(c: Column) -> Column:
-        return F.filter(_located(c["part"], F.regexp_extract_all(c["part"], F.lit(WORD), F.lit(0)), WORD), lambda w: whole(c, w))
 
-    made = F.transform("near", lambda c: F.struct(c["entity"].alias("entity"), c["at"].alias("at"), F.xxhash64(c["part"]).alias("seen"), words(c).alias("words")))
-    return df.withColumn("near", near).withColumn("contexts", made).drop("near")
+def lower_bound(both: Column, of: Column, z: float) -> Column:
+    """Wilson's lower confidence bound of the share both / of."""
+    share, zz = both / of, z * z
+    return (share + zz / (2 * of) - z * F.sqrt(share * (1 - share) / of + zz / (4 * of * of))) / (1 + zz / of)
 
 
 def sanitise(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 60, support: int = 3,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", z: float = 1.2816,
     generalise_at: float = 0.75, remove_at: float = 0.95, with_text: bool = False,
 ) -> DataFrame:
     """Spans of personal data and of terms that disclose it.
 
-    A term is a run of three letters or more, lower-cased, within reach code points of an entity. It counts for an
-    entity if they meet in at least support different surroundings, and joins the spans, as kind term, where its
-    disclosure of that entity over all documents is generalise_at or more.
+    A term is a run of three letters or more, lower-cased, outside all base spans. Of all distinct texts, the share of
+    those with the term that hold the entity is taken at Wilson's lower bound for z (one-sided 90 % by default); every
+    occurrence in the texts that hold the entity joins the spans, as kind term, where the disclosure that follows is
+    generalise_at or more. Copies of a text count once.
 
     Returns one row per input row: the id column, n_email, n_ip, n_card, n_phone (base spans), base_sha256 (of
     kind:start:end of base spans, by start, then kind, comma-joined; code points, end exclusive), spans (all, joined
@@ -130,7 +149,7 @@ def sanitise(
     Null text counts as empty (clean_text stays null). Null ids and repeated ids: each row is judged by its own text.
     Other columns are neither read nor kept. An empty table gives an empty table.
     """
-    out = _spans_of(docs, id_col, text_col, reach, support, generalise_at)
+    out = _spans_of(docs, id_col, text_col, z, generalise_at)
     if not with_text:
         return out.drop("h", "every").withColumnRenamed("id", id_col)
     sides = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).cast("string").alias("given")).withColumn("text", F.coalesce("given", F.lit("")))
@@ -139,31 +158,35 @@ def sanitise(
     return _cleaned(sides, F.col("row"), out, remove_at).select(F.col("row").alias(id_col), *columns, "clean_text")
 
 
-def _spans_of(docs: DataFrame, id_col: str, text_col: str, reach: int = 60, support: int = 3, generalise_at: float = 0.75) -> DataFrame:
+def _spans_of(docs: DataFrame, id_col: str, text_col: str, z: float = 1.2816, generalise_at: float = 0.75) -> DataFrame:
     """id, h (a hash of the text), the columns of sanitise, and every: all spans."""
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("given"))
-    text = text.select("id", "given", F.coalesce("given", F.lit("")).alias("text"))
-    found = with_contexts(with_base_spans(text.select("id", F.xxhash64("text").alias("h"), "text")), reach)
-    found = cut(found.drop("text"), "entities")
-    context = found.where("size(contexts) > 0").select("id", "h", F.explode("contexts").alias("c")).select("id", "h", F.col("c.entity").alias("entity"), F.col("c.at").alias("at"), F.col("c.seen").alias("seen"), F.explode("c.words").alias("w"))
-    context = context.select("id", "h", "entity", "seen", F.lower("w.m").alias("term"), (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"))
-    meets = context.select("entity", "term", "seen").distinct().groupBy("entity", "term").count().where(F.col("count") >= support).drop("count")
-    together = context.select("entity", "term", "id", "h").distinct().groupBy("entity", "term").agg(F.count("*").alias("both"))
-    met = cut(together.join(meets, ["entity", "term"]), "met")
-
-    # Document counts of every term of all documents; each task sums its own before the shuffle.
-    words = text.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    by_term = words.groupBy("term").agg(F.count("*").alias("with_term"))
-    by_entity = found.select(F.explode(F.expr("array_distinct(transform(base, b -> b.entity))")).alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
-    total = F.lit(found.count())
-    known = met.join(by_term, "term").join(by_entity, "entity").withColumn("total", total)
-    known = known.withColumn("disclosure", F.expr("try_divide(log2(both * total / (with_entity * with_term)), log2(total / with_entity))"))
+    text = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    text = text.select("id", F.xxhash64("text").alias("h"), "text")
+    found = cut(with_base_spans(text).withColumn("text", F.when(F.size("base") > 0, F.col("text"))), "entities")
+    holders = found.where("size(base) > 0")
+    once = holders.select("h", "base", "text").dropDuplicates(["h"])
+    words = cut(words_outside(once), "words")
+
+    # Counts by distinct texts; each task sums its own terms before the shuffle.
+    terms = F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), F.lower))
+    by_term = text.select("h", "text").dropDuplicates(["h"]).select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+    holding = holders.select("h", F.explode(F.expr("array_distinct(transform(base, b -> b.entity))")).alias("entity")).distinct()
+    by_entity = holding.groupBy("entity").agg(F.count("*").alias("with_entity"))
+    total = found.select("h").distinct().count()
+
+    # A term in too many texts can't reach the threshold even if every text of the entity has it.
+    told = words.select("h", "term").distinct().join(by_term, "term")
+    most = F.col("with_entity") * F.pow(total / F.col("with_entity"), F.lit(1 - generalise_at)) * 1.000001
+    pairs = cut(told.join(holding.join(by_entity, "entity"), "h").where(F.col("with_term") <= most), "pairs")
+    known = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("with_term").alias("with_term"), F.first("with_entity").alias("with_entity"))
+    known = known.withColumn("total", F.lit(total)).withColumn("share", lower_bound(F.col("both"), F.col("with_term"), z))
+    known = known.withColumn("disclosure", F.expr("try_divide(log2(share * total / with_entity), log2(total / with_entity))"))
     known = cut(known.where(F.col("disclosure") >= generalise_at).select("entity", "term", "disclosure"), "disclosing")
 
-    hits = context.join(known, ["entity", "term"]).groupBy("id", "h", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    hits = hits.groupBy("id", "h").agg(F.collect_list(F.struct(F.lit(len(PATTERNS)).alias("no"), F.lit("term").alias("kind"), "start", "end", "disclosure")).alias("terms"))
-    hits = hits.select(F.col("id").alias("hit_id"), F.col("h").alias("hit_h"), "terms")
-    joined = found.join(hits, (F.col("h") == F.col("hit_h")) & F.col("id").eqNullSafe(F.col("hit_id")), "left")
+    hits = pairs.join(known, ["entity", "term"]).groupBy("h", "term").agg(F.max("disclosure").alias("disclosure")).join(words, ["h", "term"])
+    hits = hits.groupBy("h").agg(F.collect_list(F.struct(F.lit(len(PATTERNS)).alias("no"), F.lit("term").alias("kind"), "start", "end", "disclosure")).alias("terms"))
+    none = F.expr("cast(array() AS array<struct<no:int,kind:string,start:int,end:int,disclosure:double>>)")
+    joined = holders.join(hits, "h", "left").select("id", "h", "base", "terms").union(found.where("size(base) = 0").select("id", "h", "base", none.alias("terms")))
     base = "transform(base, b -> named_struct('no', b.no, 'kind', b.kind, 'start', b.start, 'end', b.end, 'disclosure', cast(0 AS double)))"
     every = joined.select("id", "h", "base", F.expr(f"concat({base}, coalesce(terms, cast(array() AS array<struct<no:int,kind:string,start:int,end:int,disclosure:double>>)))").alias("every"))
     counts = [F.expr(f"cast(size(filter(base, b -> b.kind = '{k}')) AS long)").alias(f"n_{k}") for k in PATTERNS]
