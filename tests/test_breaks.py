@@ -86,3 +86,9 @@ def test_report_and_streams(spark, sf):
     closed = {(r["market_id"], r["outcome"], r["at"]): r["n_trades"] for r in catalog.QUERIES["stream_bars"](spark, sf).collect()}
     batch = {(r["market_id"], r["outcome"], r["at"]): r["n_trades"] for r in catalog._keyed(B.ohlc_bars(fixtures.trades(spark, sf), B.DAY), "n_trades").collect()}
     assert closed and all(batch[k] == n for k, n in closed.items())
+
+
+def test_streamed_bars_equal_all_batch_bars(spark, sf):
+    bars = lambda df: sorted(map(tuple, df.select("market_id", "outcome", "at", "n_trades", "volume").collect()))
+    batch = B.ohlc_bars(fixtures.trades(spark, sf), B.DAY).where("n_trades > 0")
+    assert bars(catalog.QUERIES["stream_bars"](spark, sf)) == bars(catalog._keyed(batch, "n_trades", catalog._r("volume").alias("volume")))

@@ -761,13 +761,18 @@ def distinct_titles(spark, sf):
 # Streams: each is run over what there is, and its result read back
 
 
-def _stream(spark: SparkSession, df: DataFrame, order: str) -> DataFrame:
-    """df as a stream of files, in order of time."""
+def _landed(spark: SparkSession, df: DataFrame, order: str) -> str:
+    """A folder of files with the rows of df, in order of time."""
     from .scratch import folder
 
     path = folder(spark, "stream-in")
     df.repartitionByRange(4, order).sortWithinPartitions(order).write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+    return path
+
+
+def _stream(spark: SparkSession, df: DataFrame, order: str) -> DataFrame:
+    """df as a stream of files, in order of time."""
+    return spark.readStream.schema(df.schema).parquet(_landed(spark, df, order))
 
 
 def _recorded(stream: DataFrame) -> DataFrame:
@@ -805,8 +810,13 @@ def stream_trades_dedupe(spark, sf):
 def stream_bars(spark, sf):
     from .scratch import folder
 
-    closed = S.stream_bars(_stream(spark, X.trades(spark, sf), "timestamp_utc"), B.DAY, "20 days")
-    return _keyed(S.record_stream(closed, folder(spark, "stream-out"), folder(spark, "stream-state")), "n_trades", _r("volume").alias("volume"))
+    trades = X.trades(spark, sf)
+    path = _landed(spark, trades, "timestamp_utc")
+    closed = S.stream_bars(spark.readStream.schema(trades.schema).parquet(path), B.DAY, f"{HOUR} seconds")
+    out, state = folder(spark, "stream-out"), folder(spark, "stream-state")
+    S.record_stream(closed, out, state)
+    S.end_of_input(spark, path, trades.schema, "timestamp_utc", HOUR + B.DAY)
+    return _keyed(S.record_stream(closed, out, state), "n_trades", _r("volume").alias("volume"))
 
 
 # Scalars

@@ -45,7 +45,7 @@ def stream_trades_dedupe(trades: DataFrame, columns: Sequence[str], delay: str =
 
 
 def stream_bars(trades: DataFrame, step: int, delay: str = "1 hour", keys: Sequence[str] = ("market_id", "outcome")) -> DataFrame:
-    """Bars with trades as windows close; empty bars are filled on reading, with fill_bars."""
+    """Bars with trades as windows close; empty bars are filled on reading, with fill_bars. end_of_input closes the last ones."""
     order = F.struct("timestamp_utc", "seq")
     grouped = trades.withWatermark("timestamp_utc", delay).groupBy(*keys, F.window("timestamp_utc", f"{step} seconds").alias("w"))
     return grouped.agg(
@@ -53,6 +53,18 @@ def stream_bars(trades: DataFrame, step: int, delay: str = "1 hour", keys: Seque
     ).select(*keys, F.col("w.start").alias("bar_start"), "n_trades", "volume", "notional", "price_start", "price_end")
 
 
+def end_of_input(spark: SparkSession, path: str, schema: T.StructType, time: str, after: int) -> None:
+    """Adds a row to the streamed folder, null but for its time: so many seconds after the latest row there.
+
+    Where after is the delay and a window's length, the next run of the stream passes the end of every window with rows,
+    and the added row's own window stays open. All other rows must have been read by then; later ones count as late.
+    """
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
+    latest = spark.read.schema(schema).parquet(path).agg(F.max(time).alias("latest")).where("latest IS NOT NULL")
+    row = [(F.col("latest") + F.make_dt_interval(secs=F.lit(after)) if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+    latest.select(*row).write.mode("append").parquet(path)
+
+
 def record_stream(stream: DataFrame, path: str, checkpoint: str, seconds: float | None = None, most: int | None = None) -> DataFrame:
     """Writes a stream to Parquet and returns what was recorded: all there is now, or what comes within the time; of it the first `most` rows."""
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
