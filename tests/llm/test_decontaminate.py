@@ -67,3 +67,13 @@ def test_index_against_scan():
             for p, a, b in zip(patterns, low, high, strict=True):
                 want = [k for k in range(len(s) - m + 1) if (s[k : k + m] == p).all()]
                 assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+
+
+def test_blocks_are_bounded_whatever_repeats(spark):
+    from tidemark.llm.decontaminate import _blocks
+
+    rows = [(1, "w" * 300)] * 200 + [(k, f"item {k} " * 20) for k in range(60)] + [(99, "x" * 5000), (None, "y"), (5, None)]
+    blocks = list(_blocks(spark.createDataFrame(rows, "item_id long, text string"), "item_id", "text", 2000))
+    size = lambda b: sum(len(i) + len(t) + 64 for i, t in b)
+    assert all(size(b) <= 2000 or len(b) == 1 for b in blocks) and len(blocks) > 3
+    assert sorted(x for b in blocks for x in b) == sorted({("" if i is None else str(i), t) for i, t in rows if t is not None})

@@ -11,7 +11,6 @@ before carried along. Most benchmarks are one block.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from . import words as W
 from .batches import beside, rejoined, schema_of, small_batches
 from .fm_index import FmIndex, index_runs
+from .places import with_places
 from .shared import cut
 
 
@@ -83,12 +83,19 @@ def _search(phrases: Phrases, symbols: np.ndarray, place: np.ndarray) -> tuple[n
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item") + 64), F.lit(0))).first()[0]
-    n = max(1, math.ceil(total / most_bytes) * (1 if total <= most_bytes else 2))
-    for k in range(n):
-        block = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield [(r["item"], r["text"]) for r in block.collect()]  # bounded by most_bytes
+    """The distinct rows of the benchmark, in blocks of at most that many bytes; only a single row can be larger."""
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null").distinct()
+    items = cut(items.withColumn("size", (F.octet_length("text") + F.octet_length("item") + 64).cast("long")), "benchmark")
+    total = items.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    if total <= most_bytes:
+        yield [(r["item"], r["text"]) for r in items.collect()]
+        return
+    # Rows that lie within one stretch of most_bytes share a block; one that runs over its end is a block of its own.
+    first, last = F.expr(f"before div {int(most_bytes)}"), F.expr(f"(before + size - 1) div {int(most_bytes)}")
+    placed = cut(with_places(items, ("item", "text"), "size").select("item", "text", first.alias("stretch"), (first != last).alias("alone")), "blocks")
+    for key in placed.select("stretch", "alone").distinct().orderBy("stretch", "alone").collect():  # two rows for most_bytes at most
+        block = placed.where((F.col("stretch") == key["stretch"]) & (F.col("alone") == key["alone"]))
+        yield [(r["item"], r["text"]) for r in block.collect()]
 
 
 _STATE = "n_words long, spans array<long>, items array<string>"
