@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tidemark.llm import words as W
-from tidemark.llm.packing import best_fit, pack, swap_search
+from tidemark.llm.packing import Plan, SwapSearch, fill, pack, swap_search
 from tidemark.llm.tokens import Encoder
 
 from . import brute
@@ -47,15 +48,91 @@ def total(bins):
     return out
 
 
+def alone(counts):
+    return Counter({((length, 1),): n for length, n in counts.items()})
+
+
+def by_one_length(counts, capacity):
+    out = Counter()
+    for length, n in counts.items():
+        each = capacity // length
+        out[((length, each),)] += n // each
+        if n % each:
+            out[((length, n % each),)] += 1
+    return +out
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), min_size=1, max_size=12))
 def test_plans_hold_every_piece(counts):
-    first = best_fit(counts, 40)
-    after = swap_search(first, 40)
-    for bins in (first, after):
-        assert total(bins) == Counter(counts)
-        assert all(0 < sum(length * n for length, n in held) <= 40 for held in bins)
-    assert after.total() <= first.total()
+    for first in (alone(counts), by_one_length(counts, 40)):
+        after = swap_search(first, 40)
+        for bins in (first, after):
+            assert total(bins) == Counter(counts)
+            assert all(0 < fill(held) <= 40 for held in bins)
+        assert after.total() <= first.total()
+
+
+def better_exchange(bins, capacity):
+    """Any exchange of three pieces or fewer that moves more to a bin at least as full, by brute force over single bins."""
+    each = [[x for x, n in held for _ in range(n)] for held, times in bins.items() for _ in range(times)]
+    some = lambda b: [(), *((x,) for x in set(b)), *{tuple(sorted(p)) for p in combinations(b, 2)}]
+    for i, a in enumerate(each):
+        for j, b in enumerate(each):
+            if i != j and sum(a) >= sum(b) and sum(a) < capacity:
+                for g in some(a):
+                    for t in some(b):
+                        if len(g) + len(t) <= 3 and 0 < sum(t) - sum(g) <= capacity - sum(a):
+                            return a, b, g, t
+    return None
+
+
+def fewest_bins(pieces, capacity):
+    """Exact, by branch and bound."""
+    pieces = sorted(pieces, reverse=True)
+    best = len(pieces)
+
+    def place(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(pieces):
+            best = len(bins)
+            return
+        for i in range(len(bins)):
+            if bins[i] + pieces[k] <= capacity and bins[i] not in bins[:i]:
+                place(k + 1, [*bins[:i], bins[i] + pieces[k], *bins[i + 1 :]])
+        place(k + 1, [*bins, pieces[k]])
+
+    place(0, [])
+    return best
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
+def test_small_cases_against_the_optimum(pieces):
+    bins = swap_search(alone(Counter(pieces)), 20)
+    least = -(-sum(pieces) // 20)
+    assert fewest_bins(pieces, 20) <= bins.total() <= fewest_bins(pieces, 20) + 1
+    assert bins.total() == least or better_exchange(bins, 20) is None
+
+
+def test_a_local_optimum_without_a_cap():
+    rng = random.Random(1)
+    counts = Counter(rng.randrange(500, 1100) for _ in range(1500))
+    search = SwapSearch(alone(counts), 2048)
+    bins = search.run()
+    assert search.exchanges > 1500 and bins.total() < 637 and better_exchange(bins, 2048) is None
+
+
+def test_the_search_packs_the_table(spark):
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    counts = Counter()
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect():
+        n = len(t.encode(r["text"] or "", add_special_tokens=False).ids) + 1
+        counts.update([2048] * (n // 2048) + [n % 2048] * (n % 2048 > 0))
+    plan = Plan(counts, 2048)
+    assert plan.sequences == 442 and plan.exchanges > 600
 
 
 def test_swaps_empty_bins():

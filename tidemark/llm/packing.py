@@ -1,18 +1,19 @@
 """Packing of token sequences into as few training sequences as possible.
 
 Documents of equal length are alike to a packing, so the plan works on counts by length: at most one number a token
-length, whatever the corpus. Best fit over those counts makes bins with repeats; swap-based local search then works on
-the underfull ones: moves, one-for-one and two-for-one exchanges from emptier to fuller bins, each of which raises the
-sum of squared fill, until bins empty or no exchange is left. Pieces in order of length find their places in the plan
-by their place in that order, which Spark makes by range partitions, so no length's pieces meet in one task.
+length, whatever the corpus. Every piece starts alone in a bin, and swap-based local search does the packing: moves,
+one-for-one and two-for-one exchanges from an emptier bin to one at least as full, each of which raises the sum of
+squared fill, until bins empty and no exchange is left. Bins alike are exchanged together. Pieces in order of length
+find their places in the plan by their place in that order, which Spark makes by range partitions, so no length's
+pieces meet in one task.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -28,113 +29,159 @@ from .tokens import SLICE_BYTES, encoder, vocabulary
 Bin = tuple[tuple[int, int], ...]
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> Counter[Bin]:
-    """Bins and how often each stands; a bin is (length, times) pairs. Long pieces go first, each to the fullest bins that can take it."""
-    open_: list[list[tuple[int, Bin]]] = [[] for _ in range(capacity + 1)]
-    for length in sorted(counts, reverse=True):
-        left = counts[length]
-        gap = length
-        while left:
-            while gap <= capacity and not open_[gap]:
-                gap += 1
-            if gap > capacity:
-                each = capacity // length
-                for times, bins in ((each, left // each), (left % each, 1)):
-                    if times and bins:
-                        open_[capacity - times * length].append((bins, ((length, times),)))
-                break
-            bins, held = open_[gap].pop()
-            each = gap // length
-            full = min(bins, left // each)
-            if full:
-                open_[gap - each * length].append((full, (*held, (length, each))))
-            left -= full * each
-            rest = bins - full
-            if rest and left:
-                open_[gap - left * length].append((1, (*held, (length, left))))
-                left, rest = 0, rest - 1
-            if rest:
-                open_[gap].append((rest, held))
-    out: Counter[Bin] = Counter()
-    for entries in open_:
-        for bins, held in entries:
-            out[_bin(Counter(dict(held)))] += bins
-    return out
-
-
-def _bin(items: Counter[int]) -> Bin:
-    return tuple(sorted(((length, n) for length, n in items.items() if n), reverse=True))
-
-
-def _choices(held: Bin) -> list[tuple[int, tuple[int, ...]]]:
-    """Nothing, one or two pieces of a bin, with their sums, in order."""
-    two = {a + b: (a, b) for i, (a, n) in enumerate(held) for b, _ in held[i:] if a != b or n > 1}
-    return sorted([(0, ()), *((a, (a,)) for a, _ in held), *two.items()], key=lambda x: (x[0], -len(x[1])))
+def fill(held: Bin) -> int:
+    return sum(length * n for length, n in held)
 
 
-def _exchange(gives: list, takes: list, gap: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
-    """(what the fuller bin gives, what it takes) for the largest gain of at most gap, of three pieces or fewer."""
-    sums = [x[0] for x in takes]
-    best, gain = None, 0
-    for given, a in gives:
-        k = bisect_right(sums, given + gap) - 1
-        while k >= 0 and sums[k] - given > gain:
-            b = takes[k][1]
-            if len(a) + len(b) <= 3 and b and not set(a) & set(b):
-                best, gain = (a, b), sums[k] - given
-                break
-            k -= 1
-    return best
-
+def _exchanged(held: Bin, gives: tuple[int, ...], takes: tuple[int, ...]) -> Bin:
+    items = Counter(dict(held))
+    items.subtract(gives)
+    items.update(takes)
+    return tuple(sorted(((length, n) for length, n in items.items() if n), reverse=True))
 
-def swap_search(bins: Counter[Bin], capacity: int, most_tries: int = 100_000) -> Counter[Bin]:
-    """Raises the sum of squared fill by exchanges between underfull bins until bins empty.
 
-    Stops at the least number of bins that could do, where no exchange is left, or after that many looked-for
-    exchanges, so that the search takes no longer for more documents.
+def _choices(held: Bin) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """Each piece and each two pieces of a bin, with their sum."""
+    for i, (a, n) in enumerate(held):
+        yield a, (a,)
+        for b, _ in held[i:]:
+            if a != b or n > 1:
+                yield a + b, (a, b)
+
+
+class _Donors:
+    """Bins by the pieces, and the sums of two pieces, that they can give; the set bits of a number are the sizes there are."""
+
+    def __init__(self) -> None:
+        self.held: set[Bin] = set()
+        self.bits = [0, 0]
+        self.queues: list[dict[int, list[tuple[int, Bin, tuple[int, ...]]]]] = [{}, {}]
+
+    def add(self, held: Bin) -> None:
+        if held not in self.held:
+            self.held.add(held)
+            full = fill(held)
+            for size, items in _choices(held):
+                k = len(items) - 1
+                heappush(self.queues[k].setdefault(size, []), (full, held, items))
+                self.bits[k] |= 1 << size
+
+    def drop(self, held: Bin) -> None:
+        self.held.discard(held)
+
+    def largest(self, pieces: int, low: int, most: int, but: Bin | None) -> tuple[int, tuple[int, ...], Bin | None]:
+        """The largest size over low and up to most of that many pieces, the pieces, and the emptiest bin that has it, other than but."""
+        k = pieces - 1
+        bits = self.bits[k] & ((2 << most) - 1)
+        while (size := bits.bit_length() - 1) > low:
+            queue, aside = self.queues[k][size], []
+            while queue and (queue[0][1] == but or queue[0][1] not in self.held):
+                aside.append(heappop(queue))
+            found = queue[0] if queue else None
+            for entry in aside:
+                if entry[1] in self.held:
+                    heappush(queue, entry)
+            if found:
+                return size, found[2], found[1]
+            if not queue:
+                self.bits[k] ^= 1 << size
+            bits ^= 1 << size
+        return low, (), None
+
+
+class SwapSearch:
+    """Local search over bins, of which those alike are one entry with a count.
+
+    A pass goes from the fullest underfull bin to the emptiest. Each takes, of all exchanges of three pieces or fewer
+    with bins at most as full, the one that closes most of its gap (a move takes as many equal pieces as fit), as often
+    as both bins stand. A bin for which there is none has had its turn. Passes go on until one makes no exchange: then
+    no single exchange of these kinds raises the sum of squared fill (a local optimum). They end before that where the
+    bins are as few as their tokens allow, since no exchange can empty another then. Nothing else ends them.
     """
-    fill = lambda held: sum(length * n for length, n in held)
-    under = Counter({b: n for b, n in bins.items() if fill(b) < capacity})
-    out = bins - under
-    least = -(-sum(fill(b) * n for b, n in under.items()) // capacity)
-    choices: dict[Bin, list] = {}
-    hopeless: set[tuple[Bin, Bin]] = set()
-    while under.total() > least and most_tries > 0:
-        ranked = sorted(under, key=lambda b: (fill(b), b))
-        for full, spare in ((a, b) for i, a in zip(range(len(ranked) - 1, -1, -1), reversed(ranked), strict=True) for b in ranked[: i + 1] if (a != b or under[a] > 1) and (a, b) not in hopeless):
-            for held in (full, spare):
-                if held not in choices:
-                    choices[held] = _choices(held)
-            step = _exchange(choices[full], choices[spare], capacity - fill(full))
-            most_tries -= 1
-            if step or most_tries <= 0:
+
+    def __init__(self, bins: Counter[Bin], capacity: int) -> None:
+        self.capacity, self.exchanges = capacity, 0
+        self.full = Counter({b: n for b, n in bins.items() if fill(b) == capacity})
+        self.under = Counter({b: n for b, n in bins.items() if fill(b) < capacity})
+        self.spare = self.under.total() * capacity - sum(fill(b) * n for b, n in self.under.items())
+
+    def run(self) -> Counter[Bin]:
+        while self.spare >= self.capacity and self._pass():
+            pass
+        return self.full + self.under
+
+    def _pass(self) -> bool:
+        """Whether there was an exchange. spare is the room in all bins; under one bin's room, none can become empty."""
+        before = self.exchanges
+        self.donors, todo, done = _Donors(), [(-fill(b), b) for b in self.under], []
+        for _, b in todo:
+            self.donors.add(b)
+        heapify(todo)
+        while todo and self.spare >= self.capacity:
+            taker = heappop(todo)[1]
+            if not self.under[taker]:
+                continue
+            while done and done[0][0] < -fill(taker):
+                self.donors.drop(heappop(done)[1])
+            gives, takes, giver = self._best(taker)
+            if giver is None:
+                heappush(done, (-fill(taker), taker))  # can still give to those at least as full
+                continue
+            for b in self._exchange(taker, gives, takes, giver):
+                if self.under[b]:
+                    self.donors.add(b)
+                    heappush(todo, (-fill(b), b))
+        return self.exchanges > before
+
+    def _best(self, taker: Bin) -> tuple[tuple[int, ...], tuple[int, ...], Bin | None]:
+        """(pieces to give, pieces to take, from which bin) for the largest gain that the gap holds."""
+        gap = self.capacity - fill(taker)
+        best, gain, but = ((), (), None), 0, taker if self.under[taker] == 1 else None
+        for given, gives in ((0, ()), *_choices(taker)):
+            for pieces in range(1, min(2, 3 - len(gives)) + 1):
+                size, takes, giver = self.donors.largest(pieces, given + gain, given + gap, but)
+                if giver is not None:
+                    best, gain = (gives, takes, giver), size - given
+            if gain == gap:
                 break
-            hopeless.add((full, spare))
-        else:
-            break
-        if not step:
-            break
-        times = under[full] // 2 if full == spare else min(under[full], under[spare])
-        fuller, emptier = Counter(dict(full)), Counter(dict(spare))
-        fuller.subtract(step[0])
-        fuller.update(step[1])
-        emptier.subtract(step[1])
-        emptier.update(step[0])
-        under -= Counter({full: times}) + Counter({spare: times})
-        for held in (_bin(fuller), _bin(emptier)):
-            if fill(held) == capacity:
-                out[held] += times
-            elif held:
-                under[held] += times
-        least = -(-sum(fill(b) * n for b, n in under.items()) // capacity)
-    return out + under
+        gives, takes, giver = best
+        if not gives and len(takes) == 1 and giver != taker:
+            takes *= min(gap // takes[0], dict(giver)[takes[0]])
+        return gives, takes, giver
+
+    def _exchange(self, taker: Bin, gives: tuple[int, ...], takes: tuple[int, ...], giver: Bin) -> tuple[Bin, ...]:
+        """Makes the exchange as often as both bins stand. Returns the bins that it touched."""
+        times = self.under[taker] // 2 if taker == giver else min(self.under[taker], self.under[giver])
+        self.exchanges += times
+        for old in (taker, giver):
+            self.under[old] -= times
+        for old in {taker, giver}:
+            if not self.under[old]:
+                del self.under[old]
+                self.donors.drop(old)
+        new = _exchanged(taker, gives, takes), _exchanged(giver, takes, gives)
+        for b in new:
+            if not b:
+                self.spare -= times * self.capacity
+            elif fill(b) == self.capacity:
+                self.full[b] += times
+            else:
+                self.under[b] += times
+        return taker, giver, *new
+
+
+def swap_search(bins: Counter[Bin], capacity: int) -> Counter[Bin]:
+    """The bins that the search ends with."""
+    return SwapSearch(bins, capacity).run()
 
 
 class Plan:
     """Where the k-th piece of each length goes. Pieces are numbered by length, then in any fixed order."""
 
     def __init__(self, counts: dict[int, int], capacity: int) -> None:
-        bins = swap_search(best_fit(counts, capacity), capacity)
+        search = SwapSearch(Counter({((length, 1),): n for length, n in counts.items()}), capacity)
+        bins = search.run()
+        self.exchanges = search.exchanges
         before, total = {}, 0
         for length in sorted(counts):
             before[length], total = total, total + counts[length]
