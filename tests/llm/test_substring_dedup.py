@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tidemark.llm import recompression as R
 from tidemark.llm import words as W
 from tidemark.llm.substring_dedup import named_windows, remove_repeated_windows
 
@@ -60,3 +61,40 @@ def test_equal_windows_have_equal_names():
         for a, c, n in zip(at, core, name, strict=True):
             assert seen.setdefault(tuple(token[a : a + 13]), (c, n)) == (c, n)
         assert len({n for _, n in seen.values()}) == len(seen)
+
+
+def test_many_small_chunks(spark):
+    rng = random.Random(9)
+    passage = [f"p{rng.randrange(10**6)}" for _ in range(400)]
+    rows = cases()
+    for k in range(40):
+        a, b = sorted(rng.choices(range(400), k=2))
+        rows.append((100 + k, " ".join([*(f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(30))), *passage[a:b], "end", *passage[: rng.randrange(20)]])))
+    rows += [(200, " ".join(passage)), (201, " ".join(passage * 3)), (150, None)] + [(300, " ".join(passage))] * 5
+    for size in (200, 3000):
+        assert result(remove_repeated_windows(documents(spark, rows).repartition(6), chunk_bytes=size)) == op1(rows)
+
+
+def test_inner_symbols_decide():
+    """Windows that differ only inside are told apart by the symbols of higher levels alone."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(["a", "b", "c", "d", *map(str, rng.integers(0, 50, 5)), "e", "f", "g", "h"]) for _ in range(300)]
+    ((_, data, bounds),) = W.slices(pa.array(texts))
+    words = W.split_words(data, bounds)
+    h, at = words.hashes(), words.windows(13)
+    levels = R.levels_of(h, words.text_of(), 4)
+    assert len(set(R.sequence_names(h, levels, at, 13)[1].tolist())) == len(set(texts))
+    for level in levels:
+        level.names[:] = 7
+    assert len(set(R.sequence_names(h, levels, at, 13)[1].tolist())) < len(set(texts)) // 2
+
+
+def test_equal_stretches_have_equal_symbols_inside():
+    rng = np.random.default_rng(2)
+    stretch = rng.integers(0, 1000, 600).tolist()
+    texts = [" ".join(map(str, [*rng.integers(0, 1000, n).tolist(), *stretch, *rng.integers(0, 1000, n).tolist()])) for n in (5, 50, 333)]
+    ((_, data, bounds),) = W.slices(pa.array(texts))
+    words = W.split_words(data, bounds)
+    levels = R.levels_of(words.hashes(), words.text_of(), 12)
+    assert all(set.intersection(*[set(level.names[level.text == t].tolist()) for t in range(3)]) for level in levels)
+    assert len(levels[-1].names) < len(words.starts) / 20

@@ -1,16 +1,20 @@
-"""Removal of word windows that an earlier document holds, found by recompression.
-
-Recompression names, round by round, runs of one symbol and then pairs of symbols of two classes, and puts the name
-in their place. A name is a fingerprint of what it stands for, so every task gives the same name to the same words.
-Which symbols merge depends on the symbols alone, so equal windows have the same symbols inside, up to a margin that
-the window's own symbols fix. The longest of those inner symbols is the window's core.
-
-1. Reveal: each chunk of documents sends its distinct core names; those that no second document has are dropped.
-2. Verify: windows with a shared core are named by core and words, and each name's smallest document is found.
-3. Each chunk learns which of its names an earlier document has, and drops the words under those windows.
-
-The documents are shuffled by chunk once, and the three steps read that exchange. Names go out as packed arrays, once
-a chunk however often they occur there, so a passage that a third of all documents share is no larger than another.
+"""Removal of word windows that an earlier document holds, by recompression in Spark rounds.
+
+Every chunk of documents names runs and pairs round by round (see recompression). Spark counts the names:
+
+1. Low symbols: chunks send their distinct names of the first levels, and learn which of them other documents have. A
+   window with an inner symbol that no second document has is settled: it stays.
+2. High symbols: levels go on as long as shared symbols merge. Symbols of as many words as a window or more, of which
+   every part is shared, are sent with their smallest document. Where an earlier document has one, all windows within
+   it are settled: a long repeat goes at once, however long.
+3. Windows at the edges of long repeats, and in short ones: what is left is sent under the name that the window's own
+   symbols of all levels give, with the smallest document.
+4. Each chunk drops the words under windows that an earlier document has.
+
+The documents are shuffled by chunk once, and the four steps read that exchange. Chunks hold a fixed number of bytes,
+so a task's share does not grow with the table. Names go out as packed arrays, once a chunk however often they occur
+there, so a passage that a third of all documents share is no larger than another. What a chunk has found out comes
+back to it beside the answers, so that no step repeats an earlier one's look-ups.
 """
 
 from __future__ import annotations
@@ -22,181 +26,226 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import recompression as R
 from . import words as W
-from .shared import cut, partitions
+from .shared import partitions
 
 LAST = np.iinfo(np.int64).max
 _U = np.uint64
+#: Levels whose names go out in the first Spark round, and levels that a window of few words can have at all.
+LOW_LEVELS, WINDOW_LEVELS = 2, 4
+#: UTF-8 bytes of a chunk's documents.
+CHUNK_BYTES = 8 << 20
+#: Kinds of rows: what the low levels, the high levels and the windows ask, and what a chunk keeps for its next step.
+LOW, HIGH, WINDOWS, KEPT = range(4)
 
 
-def _compress(names: np.ndarray, sizes: np.ndarray, text: np.ndarray, low: np.ndarray, high: np.ndarray, salt: int):
-    """One round over symbols; windows have the settled symbols low..high (inclusive). Gives the next names, sizes, texts, low and high."""
-    # Runs of one symbol; a run at a window's edge may go on outside, so the window gives it up.
-    new = np.ones(len(names), bool)
-    new[1:] = (names[1:] != names[:-1]) | (text[1:] != text[:-1])
-    to = np.cumsum(new) - 1
-    at = np.flatnonzero(new)
-    long = np.diff(np.r_[at, len(names)])
-    run = np.where(long > 1, W.mix(names[at] + long.astype(_U) * _U(0x9FB21C651E98DF25) + _U(salt)), names[at])
-    total = np.add.reduceat(sizes, at)
-    empty = low > high
-    low, high = np.where(empty, 1, to[np.minimum(low, len(to) - 1)] + 1), np.where(empty, 0, to[np.maximum(high, 0)] - 1)
-    names, sizes, text = run, total, text[at]
-    # Pairs of a left symbol and the right symbol after it; a right symbol at the low edge may merge with what is outside.
-    left = (W.mix(names + _U(salt + 1)) & _U(1)).astype(bool)
-    pair = np.zeros(len(names), bool)
-    pair[:-1] = left[:-1] & ~left[1:] & (text[:-1] == text[1:])
-    second = np.r_[False, pair[:-1]]
-    last = len(names) - 1
-    low = low + ~left[np.minimum(low, last)]
-    high = high - left[np.clip(high, 0, last)]
-    to = np.cumsum(~second) - 1
-    at = np.flatnonzero(~second)
-    merged = pair[at]
-    after = np.minimum(at + 1, last)
-    out = np.where(merged, W.mix(names[at] * _U(0x9E3779B97F4A7C15) + W.mix(names[after]) + _U(salt + 2)), names[at])
-    empty = low > high
-    low, high = np.where(empty, 1, to[np.clip(low, 0, last)]), np.where(empty, 0, to[np.clip(high, 0, last)])
-    return out, sizes[at] + np.where(merged, sizes[after], 0), text[at], low, high
-
-
-def named_windows(words: W.Words, window: int, rounds: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, core name, full name) of each window; equal windows have equal names, wherever they stand."""
-    at = words.windows(window)
-    if not len(at):
-        return at, np.zeros(0, _U), np.zeros(0, _U)
-    h = words.hashes()
-    names, sizes, text = h, np.ones(len(h), np.int64), words.text_of()
-    low, high = at, at + window - 1
-    for k in range(rounds):
-        names, sizes, text, low, high = _compress(names, sizes, text, low, high, 16 * k + 7)
-    core, best = np.zeros(len(at), _U), np.zeros(len(at), np.int64)
-    for step in range(int((high - low).max(initial=-1)) + 1):
-        there = low + step <= high
-        j = np.minimum(np.maximum(low, 0) + step, len(names) - 1)
-        better = there & ((sizes[j] > best) | ((sizes[j] == best) & (names[j] > core)))
-        core, best = np.where(better, names[j], core), np.where(better, sizes[j], best)
-    return at, core, W.mix(W.window_hash(h, at, window) ^ core)
+def named_windows(words: W.Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, name of the innermost symbols, name) of each window; equal windows have equal names, wherever they stand."""
+    at, h = words.windows(window), words.hashes()
+    core, name = R.sequence_names(h, R.levels_of(h, words.text_of(), WINDOW_LEVELS) if len(at) else [], at, window)
+    return at, core, name
 
 
 class _Chunk:
-    """The documents of one chunk in a fixed order, and the names of their windows."""
+    """The documents of one chunk in order of their ids, in slices of bounded size."""
 
-    def __init__(self, table: pa.Table, window: int) -> None:
+    def __init__(self, table: pa.Table) -> None:
         ids = table.column("id").combine_chunks().fill_null(LAST).to_numpy()
-        self.order = np.argsort(ids, kind="stable")
-        self.table = table.take(pa.array(self.order))
-        self.ids = ids[self.order]
-        texts = self.table.column("text").combine_chunks()
-        parts = []
-        self.slices = []
-        for row, data, bounds in W.slices(texts):
+        order = np.argsort(ids, kind="stable")
+        table = table.take(pa.array(order))
+        self.ids, self.given, self.texts = ids[order], table.column("id").combine_chunks(), table.column("text").combine_chunks()
+
+    def slices(self) -> Iterator[tuple[W.Words, np.ndarray, int]]:
+        """Words, the id of each text, and the words before."""
+        before = 0
+        for row, data, bounds in W.slices(self.texts):
             words = W.split_words(data, bounds)
-            at, core, name = named_windows(words, window)
-            self.slices.append((row, words, at))
-            parts.append((core, name, self.ids[row + words.text_of()[at]]))
-        empty = np.zeros(0, _U)
-        self.core = np.concatenate([p[0] for p in parts]) if parts else empty
-        self.name = np.concatenate([p[1] for p in parts]) if parts else empty
-        self.doc = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, np.int64)
-
-    def cores(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct cores in order, the place of each window's core, whether two documents here share it)."""
-        distinct, place = np.unique(self.core, return_inverse=True)
-        least = np.full(len(distinct), LAST)
-        np.minimum.at(least, place, self.doc)
-        most = np.full(len(distinct), -LAST)
-        np.maximum.at(most, place, self.doc)
-        return distinct, place, least < most
-
-    def names(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of windows with a shared core: (distinct names, smallest document of each, the windows, their names' places)."""
-        which = np.flatnonzero(shared)
-        distinct, place = np.unique(self.name[which], return_inverse=True)
-        least = np.full(len(distinct), LAST)
-        np.minimum.at(least, place, self.doc[which])
-        return distinct, least, which, place
-
-
-def _deal(names: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted names to buckets by their high bits: (bucket of each, the buckets that have any, their bounds)."""
-    bucket = ((names >> _U(32)) * _U(buckets)) >> _U(32)
-    there, begin = np.unique(bucket, return_index=True)
-    return bucket, there.astype(np.int64), np.r_[begin, len(names)]
-
-
-def _packed(chunk: int, names: np.ndarray, docs: np.ndarray | None, buckets: int) -> Iterator[tuple]:
-    """Rows (chunk, bucket, names, documents, counts); within a bucket names go by their smallest document."""
-    _, there, bounds = _deal(names, buckets)
-    for b, lo, hi in zip(there, bounds[:-1], bounds[1:], strict=True):
-        if docs is None:
-            yield chunk, int(b), names[lo:hi].tobytes(), b"", b""
-            continue
-        order = np.lexsort((names[lo:hi], docs[lo:hi]))
-        who, times = np.unique(docs[lo:hi], return_counts=True)
-        yield chunk, int(b), names[lo:hi][order].tobytes(), who.tobytes(), times.astype(np.int32).tobytes()
-
-
-_SENT = "chunk long, bucket long, names binary, docs binary, times binary"
-_BACK = "kind int, chunk long, bucket long, flags binary"
-
-
-def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-
-
-_SENT_ARROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("names", pa.binary()), ("docs", pa.binary()), ("times", pa.binary())])
-_BACK_ARROW = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int64()), ("flags", pa.binary())])
+            yield words, self.ids[row : row + words.texts], before
+            before += len(words.starts)
+
+
+def _concat(parts: list[np.ndarray], kind: type) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def low_names(chunk: _Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct names of the low levels in order, whether each stands here more than once)."""
+    parts = []
+    for words, _, _ in chunk.slices():
+        for k, level in enumerate(R.levels_of(words.hashes(), words.text_of(), LOW_LEVELS)):
+            parts.append(level.names if k == 0 else level.names[level.made])
+    names = np.sort(_concat(parts, _U))
+    fresh = np.ones(len(names), bool)
+    fresh[1:] = names[1:] != names[:-1]
+    at = np.flatnonzero(fresh)
+    return names[at], np.diff(np.r_[at, len(names)]) > 1
+
+
+class _Marks:
+    """Which names are shared, as marked places of their buckets; a name may meet another's mark, which only leaves more to the later steps."""
+
+    def __init__(self, back: pa.Table, buckets: int) -> None:
+        self.buckets = buckets
+        self.begin, self.size, bits, total = np.zeros(buckets, np.int64), np.ones(buckets, np.int64), [], 1
+        for r in back.to_pylist():
+            if r["kind"] == LOW:
+                own = np.unpackbits(np.frombuffer(r["flags"], np.uint8)).astype(bool)
+                self.begin[r["bucket"]], self.size[r["bucket"]] = total, len(own)
+                bits.append(own)
+                total += len(own)
+        self.bits = np.concatenate([np.zeros(1, bool), *bits])
+
+    def has(self, names: np.ndarray) -> np.ndarray:
+        bucket = _bucket(names, self.buckets).astype(np.int64)
+        return self.bits[self.begin[bucket] + _mark(names, self.size[bucket])]
+
+
+def _bucket(names: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a name, by its high bits."""
+    return ((names >> _U(32)) * _U(buckets)) >> _U(32)
+
+
+def _mark(names: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """The place of a name among size marks, by its low bits."""
+    return (((names & _U(0xFFFFFFFF)) * np.asarray(size, _U)) >> _U(32)).astype(np.int64)
+
+
+def high_symbols(chunk: _Chunk, marks: _Marks, window: int) -> tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which windows may be shared, the number of words, and (name, first word, words, document) of every symbol of a window's words or more whose parts are all shared."""
+    alive, total, names, starts, sizes, docs = [], 0, [], [], [], []
+    for words, ids, before in chunk.slices():
+        total = before + len(words.starts)
+        h, text = words.hashes(), words.text_of()
+        at = words.windows(window)
+        low, high, there, open_ = at, at + window - 1, np.ones(len(at), bool), np.ones(len(at), bool)
+        begin, good, k = np.arange(len(h) + 1), np.ones(len(h), bool), 0
+        while (good[1:] & good[:-1] & (text[1:] == text[:-1])).any():  # shared symbols side by side merge sooner or later
+            k += 1
+            level = R.rise(h, text, k)
+            good, begin = ~R.any_in(~good, level.first[:-1], level.first[1:]), begin[level.first]
+            if k <= LOW_LEVELS:
+                good &= marks.has(level.names) if k == 1 else ~level.made | marks.has(level.names)
+                lo, hi, inner = R.inside(level, low, high)
+                there &= inner
+                low, high = np.where(there, lo, 0), np.where(there, hi, 0)
+                open_ &= ~there | ~R.any_in(~good, low, high + 1)
+            size = np.diff(begin)
+            long = np.flatnonzero(good & level.made & (size >= window))
+            names.append(level.names[long])
+            starts.append(begin[long] + before)
+            sizes.append(size[long])
+            docs.append(ids[level.text[long]])
+            h, text = level.names, level.text
+        alive.append(open_)
+    return _concat(alive, bool), total, _concat(names, _U), _concat(starts, np.int64), _concat(sizes, np.int64), _concat(docs, np.int64)
+
+
+def open_windows(chunk: _Chunk, alive: np.ndarray, covered: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(whether a window is alive and starts at no covered word, whether at one, and name and document of the former)."""
+    open_, gone, names, docs, begin = [], [], [], [], 0
+    for words, ids, before in chunk.slices():
+        at = words.windows(window)
+        gone.append(covered[at + before])
+        open_.append(alive[begin : begin + len(at)] & ~gone[-1])
+        begin += len(at)
+        at = at[open_[-1]]
+        if len(at):
+            h, text = words.hashes(), words.text_of()
+            names.append(R.sequence_names(h, R.levels_of(h, text, WINDOW_LEVELS), at, window)[1])
+            docs.append(ids[text[at]])
+    return _concat(open_, bool), _concat(gone, bool), _concat(names, _U), _concat(docs, np.int64)
+
+
+class _Asked:
+    """Distinct names that a chunk sends: the place of each occurrence's name, and whether a smaller document here has it."""
+
+    def __init__(self, names: np.ndarray, docs: np.ndarray) -> None:
+        self.names, self.place = np.unique(names, return_inverse=True)
+        self.least = np.full(len(self.names), LAST)
+        np.minimum.at(self.least, self.place, docs)
+        self.earlier = self.least[self.place] < docs
+
+    def rows(self, kind: int, chunk: int, buckets: int) -> Iterator[tuple]:
+        """Within a bucket names go by their smallest document."""
+        for b, lo, hi in _deal(self.names, buckets):
+            order = np.lexsort((self.names[lo:hi], self.least[lo:hi]))
+            who, times = np.unique(self.least[lo:hi], return_counts=True)
+            yield kind, chunk, b, self.names[lo:hi][order].tobytes(), who.tobytes(), times.astype(np.int32).tobytes()
+
+
+def _deal(names: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """Sorted names to buckets: (bucket, first, last exclusive) of the buckets that have any."""
+    there, begin = np.unique(_bucket(names, buckets), return_index=True)
+    return zip(there.astype(np.int64).tolist(), begin.tolist(), [*begin[1:].tolist(), len(names)][: len(begin)], strict=True)
+
+
+_SENT = "kind int, chunk long, bucket long, names binary, docs binary, times binary"
+_BACK = "kind int, chunk long, bucket long, flags binary, places binary, spans binary"
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    return pa.schema([(x.split()[0], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for x in ddl.split(", ")])
+
+
+def _as_table(rows: list[tuple], ddl: str) -> pa.Table:
+    schema = _arrow(ddl)
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.table([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+
+def _keep(chunk: int, *arrays: np.ndarray) -> tuple:
+    """A row that comes back to the chunk as it is; it has a bucket of its own."""
+    return KEPT, chunk, -1 - chunk, *(x.tobytes() for x in arrays)
+
 
-
-def _as_table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
-    return pa.Table.from_batches([_rows(rows, schema)] if rows else [], schema=schema)
-
-
-def _flags(back: pa.Table, kind: int, names: np.ndarray, buckets: int) -> np.ndarray:
-    """The answers of that kind, in the order of names (sorted)."""
-    _, there, bounds = _deal(names, buckets)
-    got = {r["bucket"]: r["flags"] for r in back.to_pylist() if r["kind"] == kind}
-    out = np.zeros(len(names), bool)
-    for b, lo, hi in zip(there, bounds[:-1], bounds[1:], strict=True):
-        out[lo:hi] = np.unpackbits(np.frombuffer(got[int(b)], np.uint8), count=hi - lo).astype(bool)
-    return out
-
-
-def _answer(table: pa.Table, kind: int) -> pa.Table:
-    """For one bucket: whether each chunk's names are in another chunk (kind 0), or in an earlier document elsewhere (kind 1)."""
+def _kept(back: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The kept row's bits, places and spans."""
+    r = next(r for r in back.to_pylist() if r["kind"] == KEPT)
+    return np.unpackbits(np.frombuffer(r["flags"], np.uint8)).astype(bool), np.frombuffer(r["places"], np.int32), np.frombuffer(r["spans"], np.int64)
+
+
+def _flags(back: pa.Table) -> np.ndarray:
+    """The answers to a chunk's names, in the order of the names."""
+    got = sorted((r["bucket"], r["flags"], int(np.frombuffer(r["places"], np.int64)[0])) for r in back.to_pylist() if r["kind"] != KEPT)
+    return np.concatenate([np.zeros(0, np.uint8), *[np.unpackbits(np.frombuffer(flags, np.uint8), count=n) for _, flags, n in got]]).astype(bool)
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """For one bucket: whether each chunk's names are shared (LOW, as marks), or in an earlier document (HIGH, WINDOWS)."""
     rows = table.to_pylist()
+    kind = rows[0]["kind"]
+    if kind == KEPT:
+        return _as_table([(KEPT, r["chunk"], r["bucket"], r["names"], r["docs"], r["times"]) for r in rows], _BACK)
     names = [np.frombuffer(r["names"], _U) for r in rows]
-    sizes = [len(x) for x in names]
-    every = np.concatenate(names)
-    distinct, place = np.unique(every, return_inverse=True)
-    if kind == 0:
-        flag = np.bincount(place)[place] > 1
+    distinct, place = np.unique(np.concatenate(names), return_inverse=True)
+    if kind == LOW:
+        twice = np.concatenate([np.unpackbits(np.frombuffer(r["docs"], np.uint8), count=len(x)) for r, x in zip(rows, names, strict=True)])
+        flag = np.bincount(place, 1 + twice)[place] > 1
     else:
         docs = np.concatenate([np.repeat(np.frombuffer(r["docs"], np.int64), np.frombuffer(r["times"], np.int32)) for r in rows])
         least = np.full(len(distinct), LAST)
         np.minimum.at(least, place, docs)
         flag = least[place] < docs
     out, begin = [], 0
-    for r, n, own in zip(rows, sizes, names, strict=True):
-        mine = flag[begin : begin + n]
-        if kind:
-            mine = mine[np.argsort(own)]
-        out.append((kind, r["chunk"], r["bucket"], np.packbits(mine).tobytes()))
-        begin += n
-    return _as_table(out, _BACK_ARROW)
-
-
-def _shared_cores(chunk: _Chunk, back: pa.Table, buckets: int) -> np.ndarray:
-    distinct, place, here = chunk.cores()
-    return (here | _flags(back, 0, distinct, buckets))[place]
-
-
-def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
+    for r, own in zip(rows, names, strict=True):
+        mine = flag[begin : begin + len(own)]
+        begin += len(own)
+        if kind == LOW:
+            bits = np.zeros(8 * len(own), bool)
+            bits[_mark(own[mine], len(bits))] = True
+        else:
+            bits = mine[np.argsort(own)]
+        out.append((kind, r["chunk"], r["bucket"], np.packbits(bits).tobytes(), np.int64(len(own)).tobytes(), b""))
+    return _as_table(out, _BACK)
+
+
+def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Drops each word covered by a window of that many words that also starts in a document with a smaller id.
 
     Words are runs of characters other than blanks (space, tab, line breaks), kept as they are. Windows are judged on
-    the input, all at once, so the result does not depend on any order of removal.
+    the input, all at once, so the result does not depend on any order of removal. Chunks hold chunk_bytes of text, or
+    less; a document is not cut, so a longer one is more.
 
     Returns one row per input row: the id column, n_words, n_removed, removed (array of [first, last) word spans that
     go) and kept_text (the words left, joined by one space).
@@ -205,57 +254,84 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     each other. A null id counts as larger than any other. Other columns are neither read nor kept, so their names
     are free. An empty table gives an empty table.
     """
-    spark = docs.sparkSession
-    n = partitions(spark)
-    chunks, buckets = 2 * n, n
+    n = partitions(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    base = base.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)))
-
-    def send_cores(key: tuple, table: pa.Table) -> pa.Table:
-        chunk = _Chunk(table, window)
-        return _as_table(list(_packed(key[0].as_py(), chunk.cores()[0], None, buckets)), _SENT_ARROW)
-
-    def send_names(key: tuple, table: pa.Table, back: pa.Table) -> pa.Table:
+    total = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    chunks = max(2 * n, -(-total // chunk_bytes))
+    buckets = chunks // 2
+    # Rows that equal each other are dealt by the input's partition too, so that they don't all meet.
+    base = base.withColumn("chunk", F.pmod(F.xxhash64("id", "text", F.spark_partition_id()), F.lit(chunks)))
+    if buckets > n:
+        base = base.repartition(buckets, "chunk")
+    by_chunk = base.groupBy("chunk")
+
+    def send_low(key: tuple, table: pa.Table) -> pa.Table:
+        names, twice = low_names(_Chunk(table))
+        return _as_table([(LOW, key[0].as_py(), b, names[lo:hi].tobytes(), np.packbits(twice[lo:hi]).tobytes(), b"") for b, lo, hi in _deal(names, buckets)], _SENT)
+
+    def send_high(key: tuple, table: pa.Table, back: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _as_table([], _SENT_ARROW)
-        chunk = _Chunk(table, window)
-        names, least, _, _ = chunk.names(_shared_cores(chunk, back, buckets))
-        return _as_table(list(_packed(key[0].as_py(), names, least, buckets)), _SENT_ARROW)
+            return _as_table([], _SENT)
+        alive, total_words, names, starts, sizes, symbol_docs = high_symbols(_Chunk(table), _Marks(back, buckets), window)
+        asked = _Asked(names, symbol_docs)
+        here = asked.earlier  # an earlier document of this chunk has it
+        spans = np.concatenate([[total_words, here.sum()], starts[here], sizes[here], starts[~here], sizes[~here]]).astype(np.int64)
+        return _as_table([*asked.rows(HIGH, key[0].as_py(), buckets), _keep(key[0].as_py(), np.packbits(alive), asked.place[~here].astype(np.int32), spans)], _SENT)
+
+    def send_windows(key: tuple, table: pa.Table, back: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _as_table([], _SENT)
+        alive, place, spans = _kept(back)
+        total_words, known, spans = int(spans[0]), int(spans[1]), spans[2:]
+        starts, sizes = np.concatenate([spans[:known], spans[2 * known :][: len(place)]]), np.concatenate([spans[known : 2 * known], spans[2 * known + len(place) :]])
+        held = np.r_[np.ones(known, bool), _flags(back)[place]]
+        open_, gone, names, window_docs = open_windows(_Chunk(table), alive, W.cover(total_words, starts[held], sizes[held] - window + 1), window)
+        asked = _Asked(names, window_docs)
+        at = np.flatnonzero(open_)
+        gone[at[asked.earlier]], open_[at[asked.earlier]] = True, False
+        bits = np.packbits(np.concatenate([open_, gone]))
+        return _as_table([*asked.rows(WINDOWS, key[0].as_py(), buckets), _keep(key[0].as_py(), bits, asked.place[~asked.earlier].astype(np.int32), np.array([len(open_)]))], _SENT)
 
     def finish(key: tuple, table: pa.Table, back: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _result([], [], [], [], [])
-        chunk = _Chunk(table, window)
-        names, least, which, place = chunk.names(_shared_cores(chunk, back, buckets))
-        gone = np.zeros(len(chunk.name), bool)
-        gone[which] = _flags(back, 1, names, buckets)[place] | (chunk.doc[which] > least[place])
-        counts, removed, spans, texts, begin = [], [], [], [], 0
-        for _, words, at in chunk.slices:
-            drop = W.cover(len(words.starts), at[gone[begin : begin + len(at)]], window)
-            begin += len(at)
-            for i in range(words.texts):
-                lo, hi = words.first[i], words.first[i + 1]
-                mine = drop[lo:hi]
-                raw = words.data[words.bounds[i] : words.bounds[i + 1]].tobytes()
-                edges = np.flatnonzero(np.diff(np.r_[False, mine, False].astype(np.int8)))
-                counts.append(hi - lo)
-                removed.append(int(mine.sum()))
-                spans.append(edges.reshape(-1, 2).tolist())
-                left = np.flatnonzero(~mine) + lo
-                off = words.bounds[i]
-                texts.append(b" ".join([raw[s:e] for s, e in zip((words.starts[left] - off).tolist(), (words.ends[left] - off).tolist(), strict=True)]))
-        ids = chunk.table.column("id").combine_chunks()
-        return _result(ids, counts, removed, spans, texts)
-
-    cores = base.groupBy("chunk").applyInArrow(send_cores, _SENT)
-    back0 = cut(cores.groupBy("bucket").applyInArrow(lambda table: _answer(table, 0), _BACK), "cores")
-    grouped = base.groupBy("chunk")
-    sent = grouped.cogroup(back0.groupBy("chunk")).applyInArrow(send_names, _SENT)
-    back1 = sent.groupBy("bucket").applyInArrow(lambda table: _answer(table, 1), _BACK)
-    done = grouped.cogroup(back0.unionByName(back1).groupBy("chunk")).applyInArrow(finish, "id long, n_words long, n_removed long, removed array<array<long>>, kept_text string")
+        bits, place, spans = _kept(back)
+        open_, gone = bits[: spans[0]], bits[spans[0] : 2 * spans[0]]
+        gone[open_] = _flags(back)[place]
+        return _without(_Chunk(table), gone, window)
+
+    back = by_chunk.applyInArrow(send_low, _SENT)
+    for step in (send_high, send_windows):
+        back = by_chunk.cogroup(_answered(back, buckets, n).groupBy("chunk")).applyInArrow(step, _SENT)
+    done = by_chunk.cogroup(_answered(back, buckets, n).groupBy("chunk")).applyInArrow(finish, "id long, n_words long, n_removed long, removed array<array<long>>, kept_text string")
     return done.withColumnRenamed("id", id_col)
 
 
+def _answered(sent: DataFrame, buckets: int, n: int) -> DataFrame:
+    return (sent.repartition(buckets, "bucket") if buckets > n else sent).groupBy("bucket").applyInArrow(_answer, _BACK)
+
+
+def _without(chunk: _Chunk, gone: np.ndarray, window: int) -> pa.Table:
+    """The documents of a chunk less the words under windows that are gone."""
+    counts, removed, spans, texts, begin = [], [], [], [], 0
+    for words, _, _ in chunk.slices():
+        at = words.windows(window)
+        drop = W.cover(len(words.starts), at[gone[begin : begin + len(at)]], window)
+        begin += len(at)
+        for i in range(words.texts):
+            lo, hi = words.first[i], words.first[i + 1]
+            mine = drop[lo:hi]
+            raw = words.data[words.bounds[i] : words.bounds[i + 1]].tobytes()
+            edges = np.flatnonzero(np.diff(np.r_[False, mine, False].astype(np.int8)))
+            counts.append(hi - lo)
+            removed.append(int(mine.sum()))
+            spans.append(edges.reshape(-1, 2).tolist())
+            left = np.flatnonzero(~mine) + lo
+            off = words.bounds[i]
+            texts.append(b" ".join([raw[s:e] for s, e in zip((words.starts[left] - off).tolist(), (words.ends[left] - off).tolist(), strict=True)]))
+    return _result(chunk.given, counts, removed, spans, texts)
+
+
 def _result(ids, counts, removed, spans, texts) -> pa.Table:
     return pa.table({
         "id": pa.array(ids, pa.int64()), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
