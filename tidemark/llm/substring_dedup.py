@@ -257,8 +257,8 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     n = partitions(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     total = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    chunks = max(2 * n, -(-total // chunk_bytes))
-    buckets = chunks // 2
+    chunks = max(n, -(-total // chunk_bytes))
+    buckets = -(-chunks // 2)
     # Rows that equal each other are dealt by the input's partition too, so that they don't all meet.
     base = base.withColumn("chunk", F.pmod(F.xxhash64("id", "text", F.spark_partition_id()), F.lit(chunks)))
     if buckets > n:
