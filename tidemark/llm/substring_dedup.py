@@ -217,7 +217,7 @@ def _answer(table: pa.Table) -> pa.Table:
     kind = rows[0]["kind"]
     if kind == KEPT:
         return _as_table([(KEPT, r["chunk"], r["bucket"], r["names"], r["docs"], r["times"]) for r in rows], _BACK)
-    names = [np.frombuffer(r["names"], _U) for r in rows]
+    names = [np.frombuffer(r["names"], np.uint32 if kind == LOW else _U) for r in rows]
     distinct, place = np.unique(np.concatenate(names), return_inverse=True)
     if kind == LOW:
         twice = np.concatenate([np.unpackbits(np.frombuffer(r["docs"], np.uint8), count=len(x)) for r, x in zip(rows, names, strict=True)])
@@ -266,8 +266,9 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     by_chunk = base.groupBy("chunk")
 
     def send_low(key: tuple, table: pa.Table) -> pa.Table:
+        # Their low halves do: a mix-up in a bucket, like one of marks, only leaves more to the later steps.
         names, twice = low_names(_Chunk(table))
-        return _as_table([(LOW, key[0].as_py(), b, names[lo:hi].tobytes(), np.packbits(twice[lo:hi]).tobytes(), b"") for b, lo, hi in _deal(names, buckets)], _SENT)
+        return _as_table([(LOW, key[0].as_py(), b, names[lo:hi].astype(np.uint32).tobytes(), np.packbits(twice[lo:hi]).tobytes(), b"") for b, lo, hi in _deal(names, buckets)], _SENT)
 
     def send_high(key: tuple, table: pa.Table, back: pa.Table) -> pa.Table:
         if not table.num_rows:
