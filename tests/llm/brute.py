@@ -143,16 +143,22 @@ def _luhn(d):
     return sum((int(c) if k % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4)) for k, c in enumerate(reversed(d))) % 10 == 0
 
 
+KINDS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+    "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(re.sub(r"\D", "", m)) <= 19 and _luhn(re.sub(r"[^0-9]", "", m))),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub(r"[^0-9]", "", m)) <= 15),
+}
+
+
+def op5_spans(text):
+    return [(m.start(), k, m.end(), kind) for k, (kind, (p, good)) in enumerate(KINDS.items()) for m in re.finditer(p, text) if good(m[0])]
+
+
 def op5(rows_):
-    kinds = {
-        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
-        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
-        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(re.sub(r"\D", "", m)) <= 19 and _luhn(re.sub(r"[^0-9]", "", m))),
-        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub(r"[^0-9]", "", m)) <= 15),
-    }
     out = []
     for i, t in rows_:
-        spans = [(m.start(), k, m.end(), kind) for k, (kind, (p, good)) in enumerate(kinds.items()) for m in re.finditer(p, t or "") if good(m[0])]
+        spans = op5_spans(t or "")
         n = [sum(s[1] == k for s in spans) for k in range(4)]
         out.append((i, *n, sha(",".join(f"{s[3]}:{s[0]}:{s[2]}" for s in sorted(spans)))))
     return sorted(out)

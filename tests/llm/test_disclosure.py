@@ -66,3 +66,88 @@ def test_terms_of_rare_entities_anywhere_in_the_text(spark):
     assert len(want) == 3 and [x for x in got[1]["spans"].split(",") if x.startswith("term") and text[slice(*map(int, x.split(":")[1:]))].lower() == "zebulon"] == want
     assert "Zebulon" not in got[1]["clean_text"] and "Quentin" in got[1]["clean_text"] and got[1]["clean_text"].count("common things") == 40
     assert got[2]["n_term"] == 0 and all(got[k]["clean_text"] == dict(rows)[k] for k in range(10, 210))
+
+
+def terms_by_brute_force(rows, z=1.2816, at=0.75):
+    """(doc_id, start, end, disclosure, most) of every term span, and the counts of terms; loops over entities and terms."""
+    import math
+    import re
+
+    texts = {t or "" for _, t in rows}
+    word = re.compile(r"[^\W\d_]{3,}")
+    spans = {t: brute.op5_spans(t) for t in texts}
+    free = {t: [m for m in word.finditer(t) if not any(m.start() <= e and s <= m.end() for s, _, e, _ in spans[t])] for t in texts}
+    norm = {"email": str.lower, "ip": str, "card": lambda m: re.sub("[^0-9]", "", m), "phone": lambda m: re.sub("[^0-9]", "", m)}
+    held = {t: {k + ":" + norm[k](t[s:e]) for s, _, e, k in spans[t]} for t in texts}
+    with_term = {}
+    for t in texts:
+        for w in {m[0].lower() for m in word.finditer(t)}:
+            with_term[w] = with_term.get(w, 0) + 1
+    entities = {e: [t for t in texts if e in held[t]] for e in set().union(*held.values())}
+    found = {}
+    for e, its in entities.items():
+        if len(its) == len(texts):
+            continue
+        for w in {m[0].lower() for t in its for m in free[t]}:
+            both, n, k = sum(any(m[0].lower() == w for m in free[t]) for t in its), with_term[w], len(its)
+            p = both / n
+            low = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+            d = math.log2(low * len(texts) / k) / math.log2(len(texts) / k)
+            if d >= at:
+                for t in its:
+                    was = found.setdefault((t, w), [0, 0])
+                    found[t, w] = [max(was[0], d), max(was[1], k * (len(texts) / k) ** (1 - at))]
+    out = []
+    for i, t in rows:
+        out += [(i, m.start(), m.end(), *found[t or "", m[0].lower()]) for m in free[t or ""] if (t or "", m[0].lower()) in found]
+    return out, with_term
+
+
+def test_disclosure_equals_brute_force(spark):
+    rng = random.Random(4)
+    common = [f"{a}{b}" for a in ("stone", "river", "cloud", "field") for b in ("ing", "ed", "er", "")]
+    rare = [f"{a}{b}" for a in ("zanor", "quori", "velta", "brimo", "doskl") for b in ("ing", "ed", "oth", "ux")]
+    people = [f"user{k}@host.example" for k in range(6)] + ["10.1.2.3", "+44 20 7946 0958"]
+    rows = []
+    for k in range(160):
+        words = [rng.choice(common) for _ in range(rng.randrange(20, 60))]
+        if k % 4 == 0:
+            p = rng.randrange(len(people))
+            words += [people[p], rare[2 * p], rng.choice(rare), rng.choice([people[p], "x" + people[p], "Tel" + people[p]])] * rng.choice([1, 3])
+        elif k % 9 == 0:
+            words.append(rng.choice(rare))
+        rng.shuffle(words)
+        rows.append((k, " ".join(words)))
+    rows += [(200, rows[0][1]), (201, rows[4][1]), (202, None)]
+    for remove_at in (0.95, 2.0):
+        got = {r["doc_id"]: r for r in sanitise(brute.documents(spark, rows), with_text=True, remove_at=remove_at).collect()}
+        terms, with_term = terms_by_brute_force(rows)
+        assert len(terms) > 50
+        shapes = {}
+        for w, n in with_term.items():
+            key = (w[-2:], min(len(w), 12))
+            shapes[key] = min(shapes.get(key, (0, "")), (-n, w))
+        kinds = set()
+        for i, t in rows:
+            base = brute.op5_spans(t or "")
+            own = [(s, 4, e, "term", d, most) for j, s, e, d, most in terms if j == i]
+            want = sorted([*((*b, 0, 0) for b in base), *own])
+            assert got[i]["spans"] == ",".join(f"{k}:{s}:{e}" for s, _, e, k, *_ in want) and got[i]["n_term"] == len(own)
+            out, done = [], 0
+            for s, _, e, k, d, most in want:
+                if s >= done:
+                    general = shapes.get((t[s:e].lower()[-2:], min(e - s, 12)), (0, ""))
+                    put = f"[{k.upper()}]" if k != "term" else "" if d >= remove_at else general[1] if -general[0] > most * 1.000001 else "[TERM]"
+                    kinds.add(put if put.startswith("[") else bool(put))
+                    out += [t[done:s], put]
+                done = max(done, e)
+            assert got[i]["clean_text"] == (None if t is None else "".join([*out, t[done:]])), i
+        assert {"[EMAIL]", "[IP]", "[PHONE]", True} <= kinds
+
+
+def test_many_valid_matches(spark):
+    n = 50_000
+    text = " ".join(f"name{'abcdefghij'[k % 10]} wrote u{k}@host{k % 50}.example.org and" for k in range(n))
+    got = {r["doc_id"]: r for r in sanitise(brute.documents(spark, [(1, text), (2, "and nothing wrote it"), (3, "so it goes")]), with_text=True, remove_at=2.0).collect()}
+    assert got[1]["n_email"] == n and got[1]["clean_text"].count("[EMAIL]") == n and "@" not in got[1]["clean_text"]
+    assert got[1]["spans"].count("email:") == n and got[2]["spans"] == "" and got[2]["clean_text"] == "and nothing wrote it"

@@ -54,9 +54,9 @@ def map_beside(base: DataFrame, work: Callable[[np.ndarray, np.ndarray], list],
 
 
 def beside(docs: DataFrame, text_col: str) -> DataFrame:
-    """row, a struct of all columns but the text, and text."""
+    """row, a struct of all columns but the text, whatever their names, and text."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    return docs.select(F.struct(*others, F.lit(0).alias("__beside")).alias("row"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(F.struct(*others, F.lit(0).alias("_" * (1 + max(map(len, docs.columns))))).alias("row"), F.col(text_col).cast("string").alias("text"))
 
 
 def rejoined(docs: DataFrame, text_col: str, made: DataFrame, text: str, changed: bool = True) -> DataFrame:

@@ -5,9 +5,11 @@ from the whole corpus: the pointwise mutual information log2(p(e, t) / (p(e) p(t
 of the entity, with p by distinct texts. It is 1 where the term stands in no text without the entity. As counts can be
 small, the share p(e, t) / p(t) is taken at its lower confidence bound, so that few texts show less than many, and the
 rarest entities still count. In the texts that hold the entity, terms at the threshold or over are generalised wherever
-they stand, those near 1 removed.
+they stand: to the corpus's most frequent term of their shape, if that is too frequent to disclose the entity. Those
+near 1 are removed.
 
-All of it is DataFrame and SQL expressions.
+All of it is DataFrame and SQL expressions. Matches and words are rows, their places running sums over a text's rows,
+and what they touch is told by their neighbours in order, so the work grows with a text's length, not its square.
 """
 
 from __future__ import annotations
@@ -27,11 +29,9 @@ PATTERNS = {
 }
 #: What a text needs to hold at all for a pattern to match.
 HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-KINDS = [*PATTERNS, "term"]
 WORD = r"\p{L}{3,}+"
-#: Stands for each code point of a base span, and words that do not touch one.
-BLOT = "\ufdd0"
-FREE = rf"(?<![\p{{L}}{BLOT}])\p{{L}}{{3,}}+(?!{BLOT})"
+#: Code points that are cut from a long text at once.
+BLOCK = 1_000
 
 
 def _digits(x: Column) -> Column:
@@ -59,69 +59,58 @@ VALID = {
     "phone": lambda m: F.length(_digits(m)).between(9, 15),
 }
 ENTITY = {"email": F.lower, "ip": lambda m: m, "card": _digits, "phone": _digits}
-MATCHES = "array<struct<start:int,end:int,m:string>>"
+PIECES = "array<struct<no:int,at:int,before:int,long:int,m:string>>"
 
 
-def _located(text: Column, found: Column, pattern: str) -> Column:
-    """Array of (start, end, m) of all matches, in code points: the pieces between matches tell where those stand."""
-    steps = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda before, m: F.struct(F.length(before).alias("before"), F.length(m).alias("long"), m.alias("m")))
-
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["before"]
-        end = start + x["long"]
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"))).alias("out"))
-
-    none = F.array().cast(MATCHES)
-    return F.when(F.size(found) > 0, F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])).otherwise(none)
-
-
-def _spans(no: int, kind: str, pattern: str) -> Column:
-    """Array of (no, kind, start, end, entity) of the valid matches of one kind."""
-    valid = F.filter(_located(F.col("text"), F.col(f"found_{kind}"), pattern), lambda x: VALID[kind](x["m"]))
-    return F.transform(valid, lambda x: F.struct(
-        F.lit(no).alias("no"), F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.concat(F.lit(kind + ":"), ENTITY[kind](x["m"])).alias("entity"),
+def _pieces(no: int, pattern: str, found: Column) -> Column:
+    """An array of (no, at, before, long, m) of all matches: their lengths and those of what stands before each, in code points."""
+    before = F.slice(F.split("text", pattern, -1), F.lit(1), F.size(found))
+    each = F.transform(F.zip_with(before, found, lambda b, m: F.struct(F.length(b).alias("before"), m.alias("m"))), lambda x, at: F.struct(
+        F.lit(no).alias("no"), at.alias("at"), x["before"].alias("before"), F.length(x["m"]).alias("long"), x["m"].alias("m"),
     ))
+    return F.when(F.size(found) > 0, each).otherwise(F.array()).cast(PIECES)
 
 
-def with_base_spans(df: DataFrame) -> DataFrame:
-    """Adds base: an array of (no, kind, start, end, entity) in the column text, by kind."""
-    found = {}
-    for kind, pattern in PATTERNS.items():
-        every = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-        found[f"found_{kind}"] = F.when(F.col("text").contains(HINTS[kind]), every).otherwise(F.array().cast("array<string>"))
-    parts = [_spans(no, kind, pattern) for no, (kind, pattern) in enumerate(PATTERNS.items())]
-    return df.withColumns(found).withColumn("base", F.concat(*parts)).drop(*found)
-
-
-def _joined(spans: Column) -> Column:
-    """kind:start:end by start, then kind, comma-joined."""
-    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["no"].alias("no"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    return F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+def _placed(pieces: DataFrame) -> DataFrame:
+    """h, no, start, end, m from rows (h, no, at, before, long, m): running sums in the order of at."""
+    end = F.sum(F.col("before") + F.col("long")).over(Window.partitionBy("h", "no").orderBy("at")).cast("int")
+    return pieces.select("h", "no", end.alias("end"), "long", "m").select("h", "no", (F.col("end") - F.col("long")).alias("start"), "end", "m")
 
 
-def _masked() -> Column:
-    """The column text with its base spans blotted out, code point by code point, so that places stay."""
-    ordered = F.array_sort(F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))))
-    text = F.translate("text", BLOT, " ")
+def with_matches(df: DataFrame) -> DataFrame:
+    """Adds found: the pieces of all matches of the patterns in the column text, valid or not."""
+    every = {}
+    for kind, pattern in PATTERNS.items():
+        some = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+        every[f"found_{kind}"] = F.when(F.col("text").contains(HINTS[kind]), some).otherwise(F.array().cast("array<string>"))
+    parts = [_pieces(no, pattern, F.col(f"found_{kind}")) for no, (kind, pattern) in enumerate(PATTERNS.items())]
+    return df.withColumns(every).withColumn("found", F.concat(*parts)).drop(*every)
 
-    def add(acc: Column, x: Column) -> Column:
-        start, end = F.greatest(acc["at"], x["start"]), F.greatest(acc["at"], x["end"])
-        piece = F.array(F.substring(text, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(BLOT), end - start))
-        return F.struct(end.alias("at"), F.concat(acc["out"], piece).alias("out"))
 
-    def whole(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length("text")))
+def base_spans(found: DataFrame) -> DataFrame:
+    """h, no, start, end, entity of every valid match, from (h, found), one row a text."""
+    every = _placed(found.select("h", F.explode("found").alias("x")).select("h", "x.*"))
+    valid, entity = F.lit(False), F.lit(None).cast("string")
+    for no, kind in enumerate(PATTERNS):
+        valid = F.when(F.col("no") == no, VALID[kind](F.col("m"))).otherwise(valid)
+        entity = F.when(F.col("no") == no, F.concat(F.lit(kind + ":"), ENTITY[kind](F.col("m")))).otherwise(entity)
+    return every.where(valid).select("h", "no", "start", "end", entity.alias("entity"))
 
-    return F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), add, whole)
 
+def words_outside(texts: DataFrame, base: DataFrame) -> DataFrame:
+    """h, term, start, end of every word of (h, text), one row a text, that neither overlaps nor touches a base span.
 
-def words_outside(df: DataFrame) -> DataFrame:
-    """h, term, start, end of every word of the column text, of one row a text h, that overlaps no base span."""
-    found = df.select("h", _masked().alias("text")).select("h", F.split("text", FREE, -1).alias("between"), F.regexp_extract_all("text", F.lit(FREE), F.lit(0)).alias("words"))
-    rows = found.select("h", F.posexplode(F.zip_with(F.slice("between", F.lit(1), F.size("words")), "words", lambda b, w: F.struct(F.length(b).alias("before"), w.alias("word")))).alias("at", "x"))
-    long = F.length("x.word")
-    end = F.sum(F.col("x.before") + long).over(Window.partitionBy("h").orderBy("at")).cast("int")
-    return rows.select("h", F.lower("x.word").alias("term"), end.alias("end"), long.alias("long")).select("h", "term", (F.col("end") - F.col("long")).alias("start"), "end")
+    In order of start, a span that reaches a word begins before it and ends last of those, or is the next to begin.
+    """
+    found = _pieces(0, WORD, F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    words = _placed(texts.select("h", F.explode(found).alias("x")).select("h", "x.*"))
+    both = words.select("h", "start", "end", F.lower("m").alias("term")).unionByName(base.select("h", "start", "end", F.lit(None).cast("string").alias("term")))
+    is_span = F.col("term").isNull()
+    up, down = Window.partitionBy("h").orderBy("start", F.col("term").asc_nulls_first()), Window.partitionBy("h").orderBy(F.col("start").desc())
+    reached = F.max(F.when(is_span, F.col("end"))).over(up.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.min(F.when(is_span, F.col("start"))).over(down.rowsBetween(Window.unboundedPreceding, 0))
+    free = F.coalesce(F.col("reached") < F.col("start"), F.lit(True)) & F.coalesce(F.col("ahead") > F.col("end"), F.lit(True))
+    return both.withColumns({"reached": reached, "ahead": ahead}).where(F.col("term").isNotNull() & free).select("h", "term", "start", "end")
 
 
 def lower_bound(both: Column, of: Column, z: float) -> Column:
@@ -130,95 +119,131 @@ def lower_bound(both: Column, of: Column, z: float) -> Column:
     return (share + zz / (2 * of) - z * F.sqrt(share * (1 - share) / of + zz / (4 * of * of))) / (1 + zz / of)
 
 
+def shape(term: Column) -> Column:
+    """The class of terms that one may stand for: their last two letters and their length, up to 12."""
+    return F.concat(F.right(term, F.lit(2)), F.lit(":"), F.least(F.length(term), F.lit(12)))
+
+
 def sanitise(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", z: float = 1.2816,
     generalise_at: float = 0.75, remove_at: float = 0.95, with_text: bool = False,
 ) -> DataFrame:
     """Spans of personal data and of terms that disclose it.
 
-    A term is a run of three letters or more, lower-cased, outside all base spans. Of all distinct texts, the share of
-    those with the term that hold the entity is taken at Wilson's lower bound for z (one-sided 90 % by default); every
-    occurrence in the texts that hold the entity joins the spans, as kind term, where the disclosure that follows is
-    generalise_at or more. Copies of a text count once.
+    A term is a run of three letters or more, lower-cased, that neither overlaps nor touches a base span. Of all
+    distinct texts with the term anywhere, the share of those that hold the entity and have the term outside base spans
+    is taken at Wilson's lower bound for z (one-sided 90 % by default); every occurrence in the texts that hold the
+    entity joins the spans, as kind term, where the disclosure that follows is generalise_at or more. Copies of a text
+    count once.
 
     Returns one row per input row: the id column, n_email, n_ip, n_card, n_phone (base spans), base_sha256 (of
     kind:start:end of base spans, by start, then kind, comma-joined; code points, end exclusive), spans (all, joined
-    likewise), n_term and, with_text, clean_text: base spans become [EMAIL] and so on, terms [TERM], or nothing from
-    remove_at on.
+    likewise), n_term and, with_text, clean_text: base spans become [EMAIL] and so on. Terms go from remove_at on. Under
+    it they become the most frequent term of their shape (the smallest in order of those), if so many texts hold it that
+    it can't reach generalise_at for any of the entities that they disclose; else [TERM].
 
     Null text counts as empty (clean_text stays null). Null ids and repeated ids: each row is judged by its own text.
     Other columns are neither read nor kept. An empty table gives an empty table.
     """
-    out = _spans_of(docs, id_col, text_col, z, generalise_at)
-    if not with_text:
-        return out.drop("h", "every").withColumnRenamed("id", id_col)
-    sides = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).cast("string").alias("given")).withColumn("text", F.coalesce("given", F.lit("")))
-    sides = sides.withColumn("h", F.xxhash64("text"))
-    columns = [*[f"n_{k}" for k in PATTERNS], "base_sha256", "spans", "n_term"]
-    return _cleaned(sides, F.col("row"), out, remove_at).select(F.col("row").alias(id_col), *columns, "clean_text")
-
-
-def _spans_of(docs: DataFrame, id_col: str, text_col: str, z: float = 1.2816, generalise_at: float = 0.75) -> DataFrame:
-    """id, h (a hash of the text), the columns of sanitise, and every: all spans."""
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    text = text.select("id", F.xxhash64("text").alias("h"), "text")
-    found = cut(with_base_spans(text).withColumn("text", F.when(F.size("base") > 0, F.col("text"))), "entities")
-    holders = found.where("size(base) > 0")
-    once = holders.select("h", "base", "text").dropDuplicates(["h"])
-    words = cut(words_outside(once), "words")
+    sides, spans = _spans_of(docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).cast("string").alias("given")), with_text, z, generalise_at)
+    columns = [*[f"n_{k}" for k in PATTERNS], "base_sha256", "spans", "n_term", *(["clean_text"] if with_text else [])]
+    return _beside(sides, spans, remove_at if with_text else None).select(F.col("row").alias(id_col), *columns)
+
+
+def _spans_of(docs: DataFrame, with_given: bool, z: float = 1.2816, generalise_at: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """docs: (row, given) of any row. Returns row, h (a hash of the text), held (whether a pattern matches, valid or not),
+    text (where one does) and, with_given, given; and for each text with spans h, the columns of sanitise, and every: its spans in order.
+    """
+    docs = docs.withColumn("text", F.coalesce("given", F.lit("")))
+    docs = docs.withColumn("h", F.xxhash64("text"))
+    found = with_matches(docs).withColumn("held", F.size("found") > 0)
+    held = [F.when(F.col("held"), F.col(c)).alias(c) for c in ("text", "found")]
+    found = cut(found.select("row", "h", "held", *held, *(["given"] if with_given else [])), "matches")
+    total = found.select("h").distinct().count()
+    once = found.where("held").dropDuplicates(["h"])
+    base = cut(base_spans(once), "base")
+    holders = base.select("h").distinct()
+    words = cut(words_outside(once.select("h", "text").join(holders, "h", "left_semi"), base), "words")
 
     # Counts by distinct texts; each task sums its own terms before the shuffle.
     terms = F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), F.lower))
-    by_term = text.select("h", "text").dropDuplicates(["h"]).select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
-    holding = holders.select("h", F.explode(F.expr("array_distinct(transform(base, b -> b.entity))")).alias("entity")).distinct()
-    by_entity = holding.groupBy("entity").agg(F.count("*").alias("with_entity"))
-    total = found.select("h").distinct().count()
+    by_term = docs.select("h", "text").dropDuplicates(["h"]).select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+    by_term = cut(by_term, "terms")
+    # Entities that stand in the same texts are told by the same terms alike, and terms alike tell the same: a text's
+    # classes are paired, not its entities and terms, which can be thousands each.
+    alike = [F.bit_xor(F.xxhash64("h", F.lit(k))).alias(f"set{k}") for k in range(2)]
+    holding = base.select("h", "entity").distinct()
+    entities = holding.groupBy("entity").agg(F.count("*").alias("with_entity"), *alike).withColumn("entities", F.xxhash64("with_entity", "set0", "set1"))
+    holding = holding.join(entities.select("entity", "entities", "with_entity"), "entity").select("h", "entities", "with_entity").distinct()
+    told = words.select("h", "term").distinct()
+    classed = told.groupBy("term").agg(F.count("*").alias("beside"), *alike).join(by_term, "term").withColumn("terms", F.xxhash64("beside", "set0", "set1", "with_term"))
+    told = cut(told.join(classed.select("term", "terms", "with_term"), "term"), "told")
 
     # A term in too many texts can't reach the threshold even if every text of the entity has it.
-    told = words.select("h", "term").distinct().join(by_term, "term")
     most = F.col("with_entity") * F.pow(total / F.col("with_entity"), F.lit(1 - generalise_at)) * 1.000001
-    pairs = cut(told.join(holding.join(by_entity, "entity"), "h").where(F.col("with_term") <= most), "pairs")
-    known = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("with_term").alias("with_term"), F.first("with_entity").alias("with_entity"))
+    pairs = told.select("h", "terms", "with_term").distinct().join(holding, "h").withColumn("most", most).where("with_term <= most")
+    pairs = cut(pairs, "pairs")
+    known = pairs.groupBy("entities", "terms").agg(F.count("*").alias("both"), F.first("with_term").alias("with_term"), F.first("with_entity").alias("with_entity"))
     known = known.withColumn("total", F.lit(total)).withColumn("share", lower_bound(F.col("both"), F.col("with_term"), z))
     known = known.withColumn("disclosure", F.expr("try_divide(log2(share * total / with_entity), log2(total / with_entity))"))
-    known = cut(known.where(F.col("disclosure") >= generalise_at).select("entity", "term", "disclosure"), "disclosing")
+    known = cut(known.where(F.col("disclosure") >= generalise_at).select("entities", "terms", "disclosure"), "disclosing")
+
+    classes = by_term.groupBy(shape(F.col("term")).alias("shape")).agg(F.min_by("term", F.struct((-F.col("with_term")).alias("n"), "term")).alias("general"), F.max("with_term").alias("with_general"))
+    hits = pairs.join(known, ["entities", "terms"]).groupBy("h", "terms").agg(F.max("disclosure").alias("disclosure"), F.max("most").alias("most"))
+    hits = told.select("h", "term", "terms").join(hits, ["h", "terms"])
+    hits = hits.withColumn("shape", shape(F.col("term"))).join(classes, "shape").withColumn("put", F.when(F.col("with_general") > F.col("most"), F.col("general")).otherwise("[TERM]"))
+    hits = hits.join(words, ["h", "term"]).select("h", F.lit(len(PATTERNS)).alias("no"), F.lit("term").alias("kind"), "start", "end", "disclosure", "put")
+    kind = F.element_at(F.array(*[F.lit(k) for k in PATTERNS]), F.col("no") + 1)
+    spans = base.select("h", "no", kind.alias("kind"), "start", "end", F.lit(0.0).alias("disclosure"), F.concat(F.lit("["), F.upper(kind), F.lit("]")).alias("put")).unionByName(hits)
+
+    # What an earlier span reaches over begins inside it and goes with it.
+    before = F.max("end").over(Window.partitionBy("h").orderBy("start", "no").rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("done", F.coalesce(before, F.lit(0)))
+    every = spans.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("start", "no", "end", "kind", "done", "disclosure", "put"))).alias("every"))
+    joined = F.expr("array_join(transform(every, x -> concat_ws(':', x.kind, x.start, x.end)), ',')")
+    based = F.expr("array_join(transform(filter(every, x -> x.kind <> 'term'), x -> concat_ws(':', x.kind, x.start, x.end)), ',')")
+    counts = [F.expr(f"cast(size(filter(every, x -> x.kind = '{k}')) AS long)").alias(f"n_{k}") for k in [*PATTERNS, "term"]]
+    spans = cut(every.select("h", *counts, F.sha2(based, 256).alias("base_sha256"), joined.alias("spans"), "every"), "spans")
+    return found.drop("found"), spans
+
+
+def _beside(sides: DataFrame, spans: DataFrame, remove_at: float | None) -> DataFrame:
+    """sides with the columns of spans and, unless remove_at is None, clean_text. Only rows that a pattern matches are joined."""
+    none = {**{f"n_{k}": F.lit(0).cast("long") for k in [*PATTERNS, "term"]}, "spans": F.lit(""), "base_sha256": F.sha2(F.lit(""), 256)}
+    found, rest = sides.where("held").join(spans, "h", "left"), sides.where("NOT held").withColumns(none)
+    found = found.withColumns({c: F.coalesce(c, v) for c, v in none.items()})
+    if remove_at is not None:
+        blocks = F.when(F.col("every").isNotNull(), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+        found = found.withColumn("blocks", blocks).withColumn("clean_text", F.when(F.col("every").isNull(), F.col("given")).otherwise(_replaced(remove_at)))
+        rest = rest.withColumn("clean_text", F.col("given"))
+    columns = ["row", *none, *(["clean_text"] if remove_at is not None else [])]
+    return found.select(columns).unionByName(rest.select(columns))
 
-    hits = pairs.join(known, ["entity", "term"]).groupBy("h", "term").agg(F.max("disclosure").alias("disclosure")).join(words, ["h", "term"])
-    hits = hits.groupBy("h").agg(F.collect_list(F.struct(F.lit(len(PATTERNS)).alias("no"), F.lit("term").alias("kind"), "start", "end", "disclosure")).alias("terms"))
-    none = F.expr("cast(array() AS array<struct<no:int,kind:string,start:int,end:int,disclosure:double>>)")
-    joined = holders.join(hits, "h", "left").select("id", "h", "base", "terms").union(found.where("size(base) = 0").select("id", "h", "base", none.alias("terms")))
-    base = "transform(base, b -> named_struct('no', b.no, 'kind', b.kind, 'start', b.start, 'end', b.end, 'disclosure', cast(0 AS double)))"
-    every = joined.select("id", "h", "base", F.expr(f"concat({base}, coalesce(terms, cast(array() AS array<struct<no:int,kind:string,start:int,end:int,disclosure:double>>)))").alias("every"))
-    counts = [F.expr(f"cast(size(filter(base, b -> b.kind = '{k}')) AS long)").alias(f"n_{k}") for k in PATTERNS]
-    return every.select("id", "h", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("every")).alias("spans"), F.expr("cast(size(every) - size(base) AS long)").alias("n_term"), "every")
 
+def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove_at: float = 0.95, **limits: float) -> DataFrame:
+    """The rows and columns of docs, their texts as sanitise cleans them; n_chars, if there, follows the text.
 
-def _cleaned(sides: DataFrame, side_id: Column, spans: DataFrame, remove_at: float) -> DataFrame:
-    """sides (given, text, h and more) with the columns of spans, each row once, and clean_text."""
-    spans = spans.dropDuplicates(["id", "h"]).withColumnRenamed("h", "span_h")
-    both = sides.join(spans, (F.col("h") == F.col("span_h")) & side_id.eqNullSafe(F.col("id")))
-    return both.withColumn("clean_text", F.when(F.col("given").isNotNull(), _replaced(remove_at)))
+    Each row is judged by its own text, whatever its id; id_col is not read. Null texts stay null, and equal rows stay as
+    many as they are. Columns may have any names. An empty table gives an empty table.
+    """
+    sides, spans = _spans_of(beside(docs, text_col).withColumnRenamed("text", "given"), True, **limits)
+    return rejoined(docs, text_col, _beside(sides, spans, remove_at), "clean_text")
 
 
-def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove_at: float = 0.95, **limits: float) -> DataFrame:
-    """The rows and columns of docs, their texts as sanitise cleans them; n_chars, if there, follows the text."""
-    sides = beside(docs, text_col).withColumnRenamed("text", "given").withColumn("text", F.coalesce("given", F.lit("")))
-    sides = sides.withColumn("h", F.xxhash64("text"))
-    made = _cleaned(sides, F.col("row").getField(id_col).cast("long"), _spans_of(docs, id_col, text_col, **limits), remove_at)
-    return rejoined(docs, text_col, made, "clean_text")
+def _between(start: Column, end: Column) -> Column:
+    """The text from start to end, from the column blocks; a cut looks at no more than the blocks it needs."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+    block = lambda k: F.coalesce(F.get("blocks", k), F.lit(""))
+    head, tail = F.substring(block(first), start % BLOCK + 1, F.lit(BLOCK)), F.substring(block(last), F.lit(1), end % BLOCK)
+    middle = F.array_join(F.slice("blocks", first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    return F.when(first == last, F.substring(block(first), start % BLOCK + 1, end - start)).otherwise(F.concat(head, middle, tail))
 
 
 def _replaced(remove_at: float) -> Column:
-    """The column text with its spans replaced; a span that begins within an earlier one goes with that."""
-    ordered = F.array_sort(F.transform("every", lambda x: F.struct(x["start"].alias("start"), x["no"].alias("no"), x["end"].alias("end"), x["kind"].alias("kind"), x["disclosure"].alias("disclosure"))))
-
-    def add(acc: Column, x: Column) -> Column:
-        put = F.when(x["kind"] != "term", F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))).when(x["disclosure"] >= remove_at, "").otherwise("[TERM]")
-        piece = F.array(F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), put)
-        inner = x["start"] < acc["at"]
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(inner, acc["out"]).otherwise(F.concat(acc["out"], piece)).alias("out"))
+    """The text with its spans replaced, from the columns blocks and every; a span that begins within an earlier one goes with that."""
 
-    def whole(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
+    def piece(x: Column) -> Column:
+        return F.concat(_between(x["done"], x["start"]), F.when((x["kind"] == "term") & (x["disclosure"] >= remove_at), "").otherwise(x["put"]))
 
-    return F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), add, whole)
+    done = F.array_max(F.transform("every", lambda x: x["end"]))
+    return F.concat(F.array_join(F.transform(F.filter("every", lambda x: x["start"] >= x["done"]), piece), ""), _between(done, F.length("text")))
