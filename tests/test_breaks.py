@@ -92,3 +92,18 @@ def test_streamed_bars_equal_all_batch_bars(spark, sf):
     bars = lambda df: sorted(map(tuple, df.select("market_id", "outcome", "at", "n_trades", "volume").collect()))
     batch = B.ohlc_bars(fixtures.trades(spark, sf), B.DAY).where("n_trades > 0")
     assert bars(catalog.QUERIES["stream_bars"](spark, sf)) == bars(catalog._keyed(batch, "n_trades", catalog._r("volume").alias("volume")))
+
+
+def test_ewma_with_gaps_equals_pandas(spark):
+    rng = random.Random(6)
+    rows = []
+    for key, n, share in (("a", 4, 0.5), ("b", 3000, 0.3), ("c", 3000, 0.98), ("d", 200, 0.0), ("e", 1, 1.0)):
+        rows += [(key, "x", t, rng.random() * 10 if rng.random() < share else None) for t in range(n)]
+    rows += [("f", "x", 0, 7.0), *[("f", "x", t, None) for t in range(1, 60)], ("g", "x", 0, 1.0), ("g", "x", 1, None), ("g", "x", 2, None), ("g", "x", 3, 5.0)]
+    rows += [("h", "x", t, {0: 1.0, 2500: 4.0, 2501: 6.0}.get(t)) for t in range(2503)]
+    df = spark.createDataFrame(rows, "market_id string, outcome string, t long, v double").withColumn("bar_start", F.timestamp_seconds("t"))
+    for span in (1, 2, 4, 12, 500):
+        got = B.ewma(df, "v", span, "m").toPandas().sort_values(["market_id", "t"])
+        for key, mine in got.groupby("market_id"):
+            v = pd.Series([r[3] for r in rows if r[0] == key], dtype="float64")
+            pd.testing.assert_series_equal(mine["m"].reset_index(drop=True), v.ewm(span=span, adjust=False, min_periods=1).mean(), check_names=False, rtol=1e-9)

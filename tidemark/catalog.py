@@ -32,7 +32,8 @@ def query(sql: str | None = None, uses: str = "") -> Callable[[Query], Query]:
         name = f.__name__
         QUERIES[name] = f
         if sql is not None:
-            ORACLES[name] = (f"WITH {', '.join(X.SQL[u] for u in uses.split())} " if uses else "") + sql
+            with_ = "WITH RECURSIVE" if any(" UNION ALL SELECT" in X.SQL[u] for u in uses.split()) else "WITH"
+            ORACLES[name] = (f"{with_} {', '.join(X.SQL[u] for u in uses.split())} " if uses else "") + sql
         return f
 
     return add
@@ -579,9 +580,23 @@ def forward_backward_fill(spark, sf):
     return _keyed(bars.withColumn("price", B.forward_backward_fill("p")), _r("price").alias("price"))
 
 
-@query()
+def _smoothed(name: str, value: str, source: str, span: int) -> str:
+    """SQL tables of the exponentially weighted mean m of a value, row by row; w is the old mean's weight."""
+    a = 2 / (span + 1)
+    return f"""{name}_rows AS (SELECT market_id, outcome, bar_start, CAST({value} AS DOUBLE) AS v, row_number() OVER (PARTITION BY market_id, outcome ORDER BY bar_start) AS n FROM {source}),
+    {name} AS (SELECT market_id, outcome, bar_start, n, v AS m, CAST(1 AS DOUBLE) AS w FROM {name}_rows WHERE n = 1 UNION ALL SELECT r.market_id, r.outcome, r.bar_start, r.n,
+    CASE WHEN r.v IS NULL THEN p.m WHEN p.m IS NULL THEN r.v ELSE (p.w * {1 - a!r} * p.m + {a!r} * r.v) / (p.w * {1 - a!r} + {a!r}) END, CASE WHEN r.v IS NULL THEN p.w * {1 - a!r} ELSE 1 END
+    FROM {name} p JOIN {name}_rows r ON p.market_id = r.market_id AND p.outcome = r.outcome AND r.n = p.n + 1)"""
+
+
+X.SQL["priced"] = "priced AS (SELECT *, last_value(price_end IGNORE NULLS) OVER (PARTITION BY market_id, outcome ORDER BY bar_start) AS price_plot FROM scored)"
+X.SQL["price_12"], X.SQL["gaps_12"] = _smoothed("price_12", "price_plot", "priced", 12), _smoothed("gaps_12", "price_end", "priced", 12)
+
+
+@query(f"SELECT {_KEY}, round(p.m, 6) AS price_smooth, round(g.m, 6) AS gap_smooth FROM price_12 p JOIN gaps_12 g USING (market_id, outcome, bar_start)", f"{_SCORED} priced price_12 gaps_12")
 def ewma(spark, sf):
-    return _keyed(B.ewma(_hourly(spark, sf), "price_plot", 12, "price_smooth"), _r("price_smooth").alias("price_smooth"))
+    smooth = B.ewma(B.ewma(_hourly(spark, sf), "price_plot", 12, "price_smooth"), "price_end", 12, "gap_smooth")
+    return _keyed(smooth, _r("price_smooth").alias("price_smooth"), _r("gap_smooth").alias("gap_smooth"))
 
 
 @query("SELECT seq, round((epoch_us(timestamp_utc) - epoch_us(lag(timestamp_utc) OVER (PARTITION BY market_id ORDER BY timestamp_utc, seq))) / 1000000.0, 3) AS gap FROM trades", "trades")
@@ -637,7 +652,19 @@ def filter_break_score(spark, sf):
     return _keyed(_hour_breaks(spark, sf).where("break_score >= 1.5"))
 
 
-@query()
+def _thinned(name: str, source: str, seconds: int) -> str:
+    """SQL tables of the candidates kept, strongest first: a row takes in the list of the times kept before it."""
+    return f"""{name}_ranked AS (SELECT *, epoch_us(bar_start) AS t, row_number() OVER (PARTITION BY market_id, outcome ORDER BY score DESC, abs(ret) DESC, signal DESC, bar_start) AS n FROM {source}),
+    {name}_steps AS (SELECT market_id, outcome, n, [t] AS kept FROM {name}_ranked WHERE n = 1 UNION ALL SELECT r.market_id, r.outcome, r.n,
+    CASE WHEN len(list_filter(p.kept, lambda k: abs(k - r.t) <= {seconds * 1_000_000})) > 0 THEN p.kept ELSE list_append(p.kept, r.t) END
+    FROM {name}_steps p JOIN {name}_ranked r ON p.market_id = r.market_id AND p.outcome = r.outcome AND r.n = p.n + 1),
+    {name} AS (SELECT r.* FROM {name}_ranked r JOIN (SELECT market_id, outcome, unnest(kept) AS t FROM (SELECT market_id, outcome, arg_max(kept, n) AS kept FROM {name}_steps GROUP BY 1, 2)) USING (market_id, outcome, t))"""
+
+
+X.SQL["found"], X.SQL["thin_6h"] = "found AS (SELECT * FROM scored WHERE (surge OR strong) AND NOT low)", _thinned("thin_6h", "found", 6 * HOUR)
+
+
+@query(f"SELECT {_KEY}, round(score, 6) AS score FROM thin_6h", f"{_SCORED} found thin_6h")
 def radius_nms(spark, sf):
     return _keyed(K.radius_nms(_hour_breaks(spark, sf), 6 * HOUR), _r("break_score").alias("score"))
 
@@ -656,7 +683,17 @@ def adaptive_thresholds(spark, sf):
     return B.adaptive_thresholds(stats).select("market_id", "outcome", "price_change_pct", F.col("max_breaks").cast("int").alias("max_breaks"))
 
 
-@query()
+for _name, _value in (("price_8", "price_plot"), ("volume_8", "volume"), ("baseline_8", "q50")):
+    X.SQL[_name] = _smoothed(_name, _value, "priced", 8)
+X.SQL["limits"] = "limits AS (SELECT market_id, outcome, CASE WHEN q > 0 THEN q ELSE most END AS top FROM (SELECT market_id, outcome, quantile_cont(m, 0.995) AS q, max(m) AS most FROM volume_8 GROUP BY 1, 2))"
+
+
+@query(
+    f"""SELECT {_KEY}, round(price_plot, 6) AS price_raw, round(p.m, 6) AS price_smooth, round(CASE WHEN top > 0 THEN least(v.m, top) ELSE v.m END, 6) AS volume_plot,
+    round(CASE WHEN top > 0 AND b.m IS NOT NULL THEN least(b.m, top) ELSE b.m END, 6) AS baseline_plot FROM priced JOIN price_8 p USING (market_id, outcome, bar_start)
+    JOIN volume_8 v USING (market_id, outcome, bar_start) JOIN baseline_8 b USING (market_id, outcome, bar_start) JOIN limits USING (market_id, outcome)""",
+    f"{_SCORED} priced price_8 volume_8 baseline_8 limits",
+)
 def overview_series(spark, sf):
     out = K.overview_series(_hourly(spark, sf), 8, 8)
     return _keyed(out, *[_r(c).alias(c) for c in ("price_raw", "price_smooth", "volume_plot", "baseline_plot")])
@@ -806,7 +843,7 @@ def stream_trades_dedupe(spark, sf):
     return S.record_stream(S.stream_trades_dedupe(twice, ["market_id", "seq"], "40 days"), folder(spark, "stream-out"), folder(spark, "stream-state")).select("seq", "market_id")
 
 
-@query()
+@query(f"SELECT {_KEY}, n_trades, round(volume, 6) AS volume FROM (SELECT market_id, outcome, date_trunc('day', timestamp_utc) AS bar_start, count(*) AS n_trades, sum(size) AS volume FROM trades GROUP BY 1, 2, 3)", "trades")
 def stream_bars(spark, sf):
     from .scratch import folder
 
@@ -987,19 +1024,54 @@ def market_meta(spark, sf):
     return P.market_meta(m.where("active"), m, 25, "1996-01-01").top_markets.select("condition_id", "slug", _r("market_score", 8).alias("market_score"))
 
 
-@query()
+#: Trades of each market's main outcome, under the name that the tables of bars read.
+_MAIN = """{all}, trades AS (SELECT t.* FROM all_trades t JOIN (SELECT market_id, arg_min(outcome, (-total, outcome)) AS best
+    FROM (SELECT market_id, outcome, sum(size) AS total FROM all_trades{where} GROUP BY 1, 2) GROUP BY 1) USING (market_id) WHERE outcome = best{also})"""
+_ALL = X.SQL["trades"].replace("trades AS", "all_trades AS", 1)
+X.SQL["main_trades"] = _MAIN.format(all=_ALL, where="", also="")
+X.SQL["thin_3h"] = _thinned("thin_3h", "merged", 3 * HOUR)
+
+
+@query(
+    f"""SELECT {_KEY}, CASE WHEN surge THEN '{K.SURGE}' WHEN strong THEN '{K.STRONG}' ELSE '{K.NONE}' END AS reason, round(score, 6) AS score
+    FROM (SELECT *, row_number() OVER (PARTITION BY market_id, outcome ORDER BY score DESC, abs(ret) DESC, signal DESC, bar_start) AS place FROM thin_3h) WHERE place <= 10""",
+    "main_trades hours scored merged thin_3h",
+)
 def detect_breaks(spark, sf):
     c = K.BreakConfig(interval="1h", max_breaks=10, merge_gap_intervals=2)
     found = K.detect_breaks(X.trades(spark, sf), c).breaks
     return K.break_table(found).select("market_id", "outcome", _t("break_timestamp").alias("at"), "reason", _r("score").alias("score"))
 
 
-@query()
+_RULES = {r[0]: r[2:] for r in B.REGIMES}
+X.SQL["late_trades"] = _MAIN.format(all=_ALL, where=" WHERE timestamp_utc >= TIMESTAMP '2024-01-03'", also=" AND timestamp_utc >= TIMESTAMP '2024-01-03'")
+X.SQL["rules"] = f"""rules AS (SELECT market_id, outcome, regime, {', '.join(f"CAST(CASE regime {' '.join(f"WHEN '{r}' THEN {v[k]}" for r, v in _RULES.items())} END AS DOUBLE) AS {name}" for k, name in enumerate(('price_rule', 'strong_rule', 'surge_rule', 'much_rule', 'most')))}
+    FROM (SELECT *, {_REGIME} AS regime FROM {_STATS}))"""
+X.SQL["scored_by_rules"] = (
+    X.SQL["scored"].replace("FROM ratios)", "FROM ratios JOIN rules USING (market_id, outcome))").replace("coalesce(ratio, 0) >= 0.8", "coalesce(ratio, 0) >= much_rule").replace("coalesce(ratio, 0) < 0.35", "coalesce(ratio, 0) < 0.40")
+    .replace("n_trades >= 1 AND ratio >= 2 AND abs(ret) >= 2", "n_trades >= 2 AND ratio >= surge_rule AND abs(ret) >= price_rule").replace("n_trades >= 1 AND substantial AND abs(ret) >= 4", "n_trades >= 2 AND substantial AND abs(ret) >= strong_rule")
+    .replace("abs(ret) / 4 *", "abs(ret) / greatest(strong_rule, 1e-9) *")
+)
+X.SQL["reported"] = """reported AS (SELECT *, min(score) OVER (PARTITION BY market_id, outcome) AS threshold, row_number() OVER (PARTITION BY market_id, outcome ORDER BY score DESC, bar_start) AS strength
+    FROM (SELECT *, row_number() OVER (PARTITION BY market_id, outcome ORDER BY score DESC, abs(ret) DESC, signal DESC, bar_start) AS place FROM thin_3h) WHERE place <= greatest(1, most))"""
+
+
+@query(
+    f"""SELECT r.market_id, r.outcome, {_sqlt('r.bar_start')} AS at, regime, price_rule, strong_rule, surge_rule, much_rule, CAST(most AS INTEGER) AS most, CASE WHEN surge THEN '{K.SURGE}' WHEN strong THEN '{K.STRONG}' ELSE '{K.NONE}' END AS reason,
+    round(score, 6) AS score, round(threshold, 6) AS threshold, n_bars, bars_volume, n_articles FROM reported r
+    LEFT JOIN (SELECT k.market_id, k.outcome, k.bar_start, count(*) AS n_bars, round(sum(h.volume), 4) AS bars_volume FROM hours h JOIN reported k ON h.market_id = k.market_id AND h.outcome = k.outcome
+    AND h.bar_start BETWEEN k.bar_start - INTERVAL 12 HOUR AND k.bar_start + INTERVAL 12 HOUR WHERE strength <= 5 GROUP BY 1, 2, 3) b ON b.market_id = r.market_id AND b.outcome = r.outcome AND b.bar_start = r.bar_start
+    LEFT JOIN (SELECT k.bar_start, count(*) AS n_articles FROM articles a JOIN reported k ON strptime(seendate, '%Y%m%d%H%M%S') BETWEEN k.bar_start - INTERVAL 6 HOUR AND k.bar_start + INTERVAL 6 HOUR
+    WHERE language = 'en' AND strength = 1 GROUP BY 1) n ON n.bar_start = r.bar_start""",
+    "late_trades hours rules scored_by_rules merged thin_3h reported articles",
+)
 def break_report(spark, sf):
     r = P.break_report(X.trades(spark, sf), N.normalize_articles(X.articles(spark, sf)), "2024-01-03")
-    near = r.bars_around.groupBy("market_id", "outcome", _t("break_timestamp").alias("at")).agg(F.count("*").alias("n_bars"))
+    rules = r.stats.select("market_id", "outcome", "regime", F.col("price_change_pct").alias("price_rule"), F.col("strong_price_change_pct").alias("strong_rule"), F.col("volume_surge_ratio").alias("surge_rule"), F.col("volume_substantial_ratio").alias("much_rule"), F.col("max_breaks").cast("int").alias("most"))
+    found = r.breaks.select("market_id", "outcome", _t("bar_start").alias("at"), F.col("break_reason").alias("reason"), _r("break_score").alias("score"), _r("score_threshold").alias("threshold"))
+    near = r.bars_around.groupBy("market_id", "outcome", _t("break_timestamp").alias("at")).agg(F.count("*").alias("n_bars"), _r(F.sum("volume"), 4).alias("bars_volume"))
     news = r.news_around.groupBy(_t("break_timestamp").alias("at")).agg(F.count("*").alias("n_articles"))
-    return near.join(news, "at", "left")
+    return found.join(rules, ["market_id", "outcome"]).join(near, ["market_id", "outcome", "at"], "left").join(news, "at", "left")
 
 
 @query(

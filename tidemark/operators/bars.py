@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -98,7 +97,9 @@ def forward_fill(column: str, keys: Sequence[str] = KEYS) -> Column:
 
 
 def forward_backward_fill(column: str, keys: Sequence[str] = KEYS) -> Column:
-    return F.coalesce(forward_fill(column, keys), F.first(column, ignorenulls=True).over(_series(keys).rowsBetween(0, Window.unboundedFollowing)))
+    """The way back is a running window too, in reverse order: a frame that ends at the last row would be folded anew for each row."""
+    back = Window.partitionBy(*keys).orderBy(F.col("bar_start").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return F.coalesce(forward_fill(column, keys), F.last(column, ignorenulls=True).over(back))
 
 
 def rolling_quantiles(bars: DataFrame, window: int = 96, least: int = 24, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -131,17 +132,45 @@ def volume_flags(bars: DataFrame, substantial: float | Column = 0.8, low: float
     return bars.withColumns({"volume_substantial": F.coalesce(much, F.lit(False)), "volume_low": F.coalesce(little, F.lit(True))})
 
 
-def ewma(df: DataFrame, column: str, span: int, out: str, keys: Sequence[str] = KEYS, order: str = "bar_start", tolerance: float = 1e-12) -> DataFrame:
-    """Exponentially weighted mean with weight 2 / (span + 1) on the newest value; leading nulls stay null, later ones keep the mean.
+#: Natural logarithm of the weight that a block of ewma's rows spans: what lies two blocks back weighs less than exp(-BLOCK_DECAY).
+BLOCK_DECAY = 300.0
 
-    The mean is folded over the last rows only, as many as the tolerance needs, so no row holds a whole series.
+
+def ewma(df: DataFrame, column: str, span: int, out: str, keys: Sequence[str] = KEYS, order: str = "bar_start") -> DataFrame:
+    """Exponentially weighted mean with weight a = 2 / (span + 1) on the newest value.
+
+    Leading nulls stay null, later ones keep the mean, and the old mean's weight goes on falling by (1 - a) with every
+    row in between, missing or not: the mean after k rows is (q m + a x) / (q + a) with q = (1 - a) ** k.
+
+    The recursion is solved by running sums, so rows hold no history. With L the running sum of the logarithms of the
+    old mean's shares, a value's weight in a later mean is exp of the difference in L. Sums of value / exp(L) would
+    overflow, so L is counted from the start of blocks of BLOCK_DECAY; a block and the one before it are all that weighs.
     """
     a = 2 / (span + 1)
-    rows = max(1, math.ceil(math.log(tolerance) / math.log(1 - a))) if span > 1 else 1
     series = Window.partitionBy(*keys).orderBy(order)
-    held = F.collect_list("__value").over(series.rowsBetween(-rows, 0))
-    fold = F.aggregate("__held", F.lit(None).cast("double"), lambda m, x: F.when(m.isNull(), x["v"]).when(x["v"].isNull(), m).otherwise(m * (1 - a) + x["v"] * a))
-    return df.withColumn("__value", F.struct(F.col(column).cast("double").alias("v"))).withColumn("__held", held).withColumn(out, fold).drop("__value", "__held")
+    upto, before = series.rowsBetween(Window.unboundedPreceding, 0), series.rowsBetween(Window.unboundedPreceding, -1)
+    v = F.col("__v")
+    rows = df.withColumns({"__v": F.col(column).cast("double"), "__n": F.row_number().over(series)})
+    rows = rows.withColumn("__was", F.last(F.when(v.isNotNull(), F.col("__n")), ignorenulls=True).over(before))
+    q = F.pow(F.lit(1 - a), F.col("__n") - F.col("__was"))
+    first = F.col("__was").isNull()
+    rows = rows.withColumn("__share", F.when(v.isNotNull(), F.when(first, F.lit(1.0)).otherwise(F.lit(a) / (q + a))))
+    if span <= 1:
+        return rows.withColumn(out, F.last(v, ignorenulls=True).over(upto)).drop("__v", "__n", "__was", "__share")
+    # After a very long gap the old mean's share is cut at exp(-4 * BLOCK_DECAY), which is nothing beside a new value.
+    fall = F.when(v.isNull() | first, F.lit(0.0)).otherwise(F.greatest(F.log(q) - F.log(q + a), F.lit(-4 * BLOCK_DECAY)))
+    rows = rows.withColumn("__log", F.sum(fall).over(upto))
+    rows = rows.withColumn("__block", F.floor(-F.col("__log") / BLOCK_DECAY))
+    rows = rows.withColumn("__in", F.col("__log") + F.col("__block") * BLOCK_DECAY)
+    block = Window.partitionBy(*keys, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__sum", F.sum(F.col("__share") * v * F.exp(-F.col("__in"))).over(block))
+    rows = rows.withColumns({"__last": F.lag("__sum").over(series), "__last_block": F.lag("__block").over(series)})
+    held = F.first(F.struct("__last", "__last_block")).over(block)
+    rows = rows.withColumn("__held", held)
+    carried = F.coalesce(F.col("__held.__last") * F.exp(BLOCK_DECAY * (F.col("__held.__last_block") - F.col("__block"))), F.lit(0.0))
+    mean = F.exp("__in") * (F.coalesce("__sum", F.lit(0.0)) + carried)
+    rows = rows.withColumn(out, F.last(F.when(v.isNotNull(), mean), ignorenulls=True).over(upto))
+    return rows.drop("__v", "__n", "__was", "__share", "__log", "__block", "__in", "__sum", "__last", "__last_block", "__held")
 
 
 def inter_trade_seconds(trades: DataFrame, keys: Sequence[str] = ("market_id",)) -> DataFrame:
