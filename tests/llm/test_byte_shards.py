@@ -40,6 +40,16 @@ def test_repeated_and_null_ids_and_empty_table(spark):
 
 def test_files(spark, tmp_path):
     docs = brute.documents(spark, [(k, "x" * k) for k in range(50)])
-    write_shards(docs, byte_shards(docs, 4), str(tmp_path / "out"))
+    write_shards(docs, str(tmp_path / "out"), 4)
     assert sorted(p.name for p in (tmp_path / "out").glob("shard=*")) == [f"shard={k}" for k in range(4)]
     assert spark.read.parquet(str(tmp_path / "out")).count() == 50
+
+
+def test_files_hold_every_row_and_column(spark, tmp_path):
+    rows = [(None, "a", 1, "p"), (None, "a", 1, "p"), (3, None, 2, "q"), (3, "b", None, None), (3, "b", 4, "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int, slot string")
+    write_shards(docs, str(tmp_path / "out"), 2)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, back.select("document.*").collect()), key=str) == sorted(rows, key=str)
+    assert sorted((r["shard"], r["slot"]) for r in back.collect()) == sorted((r["shard"], r["slot"]) for r in byte_shards(docs, 2).collect())
+    write_shards(docs.limit(0), str(tmp_path / "none"), 2)

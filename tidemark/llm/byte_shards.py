@@ -22,18 +22,27 @@ def byte_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_c
     A null text has size 1. Null ids come first; rows of equal ids go by checksum, then size. Fewer documents than
     shards leave shards empty. Other columns are neither read nor kept. An empty table gives an empty table.
     """
-    base = docs.select(
-        F.col(id_col).cast("long").alias("id"), (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")).alias("crc"),
-    )
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return _placed(base, shards).select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", "slot")
+
+
+def _placed(base: DataFrame, shards: int) -> DataFrame:
+    """base: id, text and more. The text goes once its size and checksum are known."""
+    text = F.coalesce("text", F.lit(""))
+    base = base.withColumns({"size": (F.octet_length(text) + 1).cast("long"), "crc": F.crc32(text.cast("binary"))}).drop("text")
     placed = with_places(base, ("id", "crc", "size"), "size")
     placed = cut(placed.withColumn("shard", F.expr(f"cast((2 * before + size) * {int(shards)} div (2 * total) AS int)")), "placed")
     starts = placed.groupBy("shard").agg(F.min("place").alias("first"))  # a row for each shard
-    return placed.join(F.broadcast(starts), "shard").select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("place") - F.col("first")).alias("slot"))
+    return placed.join(F.broadcast(starts), "shard").withColumn("slot", F.col("place") - F.col("first"))
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Writes the documents to path, a folder for each shard, in order of their slots. Ids are to be unlike each other."""
+def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes the documents to path as Parquet, a folder shard=0 and so on for each shard, in order of their slots.
+
+    A row there has slot and document, a struct of all columns of docs, whatever their names. No row is lost, whether its
+    id or text is null or its id repeats. Nothing is written for empty shards, nor for an empty table.
+    """
+    whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
+    rows = _placed(whole, shards)
     n = partitions(docs.sparkSession)
-    rows = docs.join(placed.select(id_col, "shard", "slot"), id_col)
-    rows.repartitionByRange(n, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    rows.select("shard", "slot", "document").repartitionByRange(n, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import words as W
-from .batches import beside, rejoined, schema_of, small_batches
+from .batches import beside, rejoined, schema_of
 from .fm_index import FmIndex, index_runs
 from .places import with_places
 from .shared import cut
@@ -138,7 +138,7 @@ def _pass(docs: DataFrame, block: list[tuple[str, str]], window: int, first: boo
                     spans[d], items[d] = _merged(spans[d]), sorted(set(items[d]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count, pa.int64()), pa.array(spans, arrow.types[3]), pa.array(items, arrow.types[4])], schema=arrow)
 
-    return small_batches(docs).mapInArrow(run, kinds)
+    return docs.mapInArrow(run, kinds)
 
 
 def _merged(flat: list[int]) -> list[int]:
@@ -204,7 +204,11 @@ def decontaminate(
 
 
 def remove_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, most_block_bytes: int = 4 << 20) -> DataFrame:
-    """The rows and columns of docs, their texts without the spans that decontaminate finds; n_chars, if there, follows the text."""
+    """The rows and columns of docs, their texts without the spans that decontaminate finds; n_chars, if there, follows the text.
+
+    Every row is judged by its own text, whatever its id, and stays; null texts stay null. Columns may have any names.
+    An empty table gives an empty table, an empty benchmark the rows as they are.
+    """
     made = _all_blocks(beside(docs, text_col), benchmark, item_col, item_text_col, window, True, most_block_bytes)
     return rejoined(docs, text_col, made, "clean_text")
 

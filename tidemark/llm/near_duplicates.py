@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .batches import map_beside, schema_of, small_batches
+from .batches import beside, map_beside, rejoined, schema_of
 from .components import components
 from .shared import cut
 
@@ -85,7 +85,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
                 good = np.flatnonzero((100 * common >= percent * joint) & (joint > 0)) + row
                 yield pa.RecordBatch.from_arrays([pa.array(lo[good], pa.int64()), pa.array(hi[good], pa.int64())], schema=arrow)
 
-    return small_batches(both.select("lo", "hi", "a", "b")).mapInArrow(run, kinds).distinct()
+    return both.select("lo", "hi", "a", "b").mapInArrow(run, kinds).distinct()
 
 
 def _across(rest: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -138,7 +138,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts are lower-cased (A-Z); words are runs of characters other than blanks. A document's set holds its distinct
     shingles of that many words, or its whole sequence if it has fewer words. Two documents are linked where the
-    intersection is at least percent hundredths of the union, confirmed on the full sets.
+    intersection is at least percent hundredths of the union, confirmed on the full sets. Sets of one size with equal
+    sums of two 64-bit fingerprints of their shingles count as equal without a further look.
 
     Returns one row per input row: the id column, n_shingles, component_id (smallest id reachable by links, its own
     included), kept (its id is component_id) and text_hash (Spark's xxhash64 of the text, to tell rows of one id apart).
@@ -191,8 +192,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
-    """One row of each group of near duplicates, the one with the smallest id, with all its columns; of rows that equal it, one."""
-    found = near_duplicates(docs, id_col, text_col, **limits).where("NOT kept").select(F.col(id_col).alias("gone"), F.col("text_hash").alias("gone_hash")).distinct()
-    rest = docs.join(found, (F.col(id_col).cast("long") == F.col("gone")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("gone_hash")), "left_anti")
-    named = rest.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col])
-    return named.unionByName(rest.where(F.col(id_col).isNull()))
+    """One row of each group of near duplicates, the one with the smallest id, with all its columns, whatever their names.
+
+    Of rows of equal id and text that one stays of which the other columns, as JSON text, come first in order. Rows of
+    one id with unlike texts are judged each by its own text. All rows without an id stay, and all without words that
+    have an id of their own. An empty table gives an empty table.
+    """
+    base = beside(docs, text_col)
+    base = base.select("row", "text", F.col("row").getField(id_col).cast("long").alias("id"), F.xxhash64("text").alias("h"))
+    found = near_duplicates(base, "id", "text", **limits).where("NOT kept").select(F.col("id").alias("gone"), F.col("text_hash").alias("gone_h")).distinct()
+    rest = base.join(found, (F.col("id") == F.col("gone")) & (F.col("h") == F.col("gone_h")), "left_anti")
+    again = cut(base.where("id IS NOT NULL").groupBy("id", "h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("twice"), F.col("h").alias("twice_h")), "repeated")
+    if not again.isEmpty():
+        same = (F.col("id") == F.col("twice")) & (F.col("h") == F.col("twice_h"))
+        first = rest.join(again, same, "left_semi").groupBy("id", "h").agg(F.min_by(F.struct("row", "text"), F.to_json("row")).alias("x"))
+        rest = rest.join(again, same, "left_anti").select("row", "text").unionByName(first.select("x.row", "x.text"))
+    return rejoined(docs, text_col, rest, "text", changed=False)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,11 +29,29 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Rows that go to a Python worker at once in the jobs that write such tables, since texts can be long.
+BATCH_ROWS = 2_000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """For the jobs run inside; the session's setting comes back after them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = spark.conf.get(name)
+    if not 0 < int(given) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, given)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and returns it read back, so that a lost executor costs no recomputation above it."""
     spark = df.sparkSession
     path = new_dir(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
