@@ -65,21 +65,25 @@ class Phrases:
         return out
 
 
-def _search(phrases: Phrases, symbols: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, length) of each occurrence, and (first word, item) of each item's occurrences."""
+def _search(phrases: Phrases, symbols: np.ndarray, place: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first word, length) of each occurrence, and (document, item) of each item that occurs there; limit: the words up to each document's end.
+
+    A document's occurrences of one pattern count once before the pattern's items are looked up.
+    """
     index = FmIndex(symbols)
-    at, size, owner_at, owner = [], [], [], []
+    at, size, owner_doc, owner = [], [], [], []
     for patterns, bounds, owners in phrases.windows:
         low, high = index.search(patterns)
         hits = high - low
         start = place[index.locate(W.ranges(low, hits))]
-        which = np.repeat(np.arange(len(patterns)), hits)
         at.append(start)
         size.append(np.full(len(start), patterns.shape[1]))
+        doc, which = np.divmod(np.unique(np.searchsorted(limit, start, "right") * len(patterns) + np.repeat(np.arange(len(patterns)), hits)), len(patterns))
         many = np.diff(bounds)[which]
-        owner_at.append(np.repeat(start, many))
+        owner_doc.append(np.repeat(doc, many))
         owner.append(owners[W.ranges(bounds[which], many)])
-    return tuple(map(np.concatenate, (at, size, owner_at, owner)))
+    at, size, owner_doc, owner = map(np.concatenate, (at, size, owner_doc, owner))
+    return np.searchsorted(limit, at, "right"), at, size, owner_doc, owner
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most_bytes: int) -> Iterator[list[tuple[str, str]]]:
@@ -127,12 +131,10 @@ def _pass(docs: DataFrame, block: list[tuple[str, str]], window: int, first: boo
             items: list = [[] for _ in range(rows)] if first else batch.column("items").to_pylist()
             symbols = np.concatenate(symbols) if symbols else np.zeros(0, np.int64)
             if len(symbols):
-                at, size, owner_at, owner = _search(p, symbols, np.concatenate(places))
-                doc = np.searchsorted(limit, at, "right")
+                doc, at, size, owner_doc, owner = _search(p, symbols, np.concatenate(places), limit)
                 for d, s, e in zip(doc.tolist(), (at - (limit - count)[doc]).tolist(), size.tolist(), strict=True):
                     spans[d] += [s, s + e]
-                doc = np.searchsorted(limit, owner_at, "right")
-                for pair in np.unique(doc * np.int64(len(p.items)) + owner).tolist():
+                for pair in np.unique(owner_doc * np.int64(len(p.items)) + owner).tolist():
                     items[pair // len(p.items)].append(p.items[pair % len(p.items)])
                 for d in np.unique(doc).tolist():
                     spans[d], items[d] = _merged(spans[d]), sorted(set(items[d]))
