@@ -5,7 +5,7 @@ import random
 
 from pyarrow import fs
 
-from tidemark.llm.warc import read_archives, write_archives
+from tidemark.llm.warc import parse_record, read_archives, read_members, write_archives
 
 from . import brute
 
@@ -47,3 +47,27 @@ def test_null_and_repeated_ids_and_empty_table(spark, tmp_path):
     assert sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in got), key=str) == sorted(
         [(None, "revisit", 3), (3, "response", None), (3, "response", None), (4, "revisit", 3), (None, "response", None), (None, "response", None)], key=str)
     assert read_archives(spark, write_archives(pages(spark, []), f"file://{tmp_path}/e")).count() == 0
+
+
+def test_record_ids_and_references(spark, tmp_path):
+    rows = [(None, "u", "a"), (None, "v", "a"), (3, "http://x/1", "a"), (3, "http://x/2", "a"), (3, "w", "b"), (4, None, "a"), (5, "z", "b")]
+    listing = write_archives(pages(spark, rows), f"file://{tmp_path}/i", date="2024-05-06T07:08:09Z").collect()
+    records, infos = [], []
+    for r in listing:
+        system, path = fs.FileSystem.from_uri(r["file"])
+        with system.open_input_stream(path, compression=None) as f:
+            members = [parse_record(m)[0] for m in read_members(f)]
+        assert members[0]["WARC-Type"] == "warcinfo" and len(members) == r["records"] + 1
+        infos += members[:1]
+        records += members[1:]
+    ids = [h["WARC-Record-ID"] for h in infos + records]
+    assert len(set(ids)) == len(ids) and len(records) == len(rows)
+    assert {h["WARC-Warcinfo-ID"] for h in records} <= {h["WARC-Record-ID"] for h in infos}
+    by_id = {h["WARC-Record-ID"]: h for h in records}
+    revisits = [h for h in records if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == 4
+    for h in revisits:
+        first = by_id[h["WARC-Refers-To"]]
+        assert first["WARC-Type"] == "response" and first["X-Page-Id"] == "3" and first["WARC-Payload-Digest"] == h["WARC-Payload-Digest"]
+        assert h["WARC-Refers-To-Target-URI"] == first["WARC-Target-URI"] and h["WARC-Refers-To-Date"] == first["WARC-Date"] == "2024-05-06T07:08:09Z"
+    assert len({h["WARC-Refers-To"] for h in revisits}) == 2

@@ -1,7 +1,9 @@
 """Web archives in which a payload is stored once: later records of it are revisits that refer to the original.
 
 Headers (page id and payload digest) are shuffled by digest to find each payload's first page; pages then get their
-role by page id, so that a payload shared by very many pages never gathers those pages in one task.
+role by page id, so that a payload shared by very many pages never gathers those pages in one task. Responses are
+written first, with fresh record ids; the few that revisits refer to come back as an index of ids, URIs and dates.
+Revisits hold no payload, so they are made from headers joined to that index.
 """
 
 from __future__ import annotations
@@ -10,12 +12,12 @@ import base64
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import outputs
@@ -26,30 +28,38 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PAGE = "X-Page-Id"
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
-
-
 def b32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
-    """One record, in a gzip member of its own. A revisit holds the response's HTTP head only, whose Content-Length is the payload's."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if refers_to is not None else http + payload
-    uri = "".join(c for c in url or "" if c not in "\r\n") or "urn:x-unknown"
+def _record(head: list[str], block: bytes) -> bytes:
+    """A record in a gzip member of its own."""
+    lines = ["WARC/1.1", *head, f"WARC-Block-Digest: sha1:{b32(hashlib.sha1(block).digest())}", f"Content-Length: {len(block)}"]
+    packer = zlib.compressobj(1, wbits=31)
+    return packer.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
+
+
+def make_info(record: str, date: str, name: str) -> bytes:
+    fields = b"software: tidemark\r\nformat: WARC File Format 1.1\r\n"
+    return _record(["WARC-Type: warcinfo", f"WARC-Record-ID: {record}", f"WARC-Date: {date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"], fields)
+
+
+def clean_uri(url: str | None) -> str:
+    return "".join(c for c in url or "" if c not in "\r\n") or "urn:x-unknown"
+
+
+def make_record(record: str, info: str, page_id: int | None, uri: str, digest: str, size: int, date: str, payload: bytes | None, original: tuple[str, str, str] | None) -> bytes:
+    """A response with its payload of size bytes or, with (record id, URI, date) of an original, a revisit, which holds the HTTP head only."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}", f"WARC-Target-URI: {uri}",
-        "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha1:{b32(hashlib.sha1(payload).digest())}",
-        f"WARC-Block-Digest: sha1:{b32(hashlib.sha1(block).digest())}", f"Content-Length: {len(block)}",
+        f"WARC-Type: {'revisit' if original else 'response'}", f"WARC-Record-ID: {record}", f"WARC-Warcinfo-ID: {info}", f"WARC-Date: {date}", f"WARC-Target-URI: {uri}",
+        "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha1:{digest}",
     ]
     if page_id is not None:
         head.append(f"{PAGE}: {page_id}")
-    if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}"]
-    packer = zlib.compressobj(1, wbits=31)
-    return packer.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
+    if original:
+        head += [f"WARC-Profile: {PROFILE}", *(f"WARC-Refers-To{name}: {x}" for name, x in zip(("", "-Target-URI", "-Date"), original, strict=True))]
+    return _record(head, http + (payload or b""))
 
 
 def read_members(file) -> Iterator[bytes]:
@@ -79,49 +89,78 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return headers, http, payload
 
 
-def page_roles(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """(page_id, digest, refers_to) of every page that is a revisit: one of an equal payload of min_bytes or more has a smaller id."""
+def _heads(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    heads = pages.select(F.col(id_col).cast("long").alias("page_id"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("size"))
-    heads = heads.where(F.col("size") >= min_bytes)
-    firsts = cut(heads.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n"), "originals")
-    later = heads.join(firsts, "digest").where("refers_to IS NOT NULL AND (page_id IS NULL OR page_id > refers_to)")
-    return later.select("page_id", "digest", "refers_to").distinct()
+    return pages.select(
+        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.sha1(payload.cast("binary")).alias("digest"),
+        F.octet_length(payload).cast("long").alias("size"), payload.alias("payload"),
+    )
+
+
+def _later() -> Column:
+    """Whether a page comes after its payload's first one."""
+    return F.col("page_id").isNull() | (F.col("page_id") > F.col("first_id"))
 
 
 def write_archives(
     pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str | None = None,
 ) -> DataFrame:
-    """Writes a WARC record per page to folder, and returns the listing of files.
+    """Writes a WARC record per page to folder, after a warcinfo record in each file, and returns the listing of files.
 
     The payload is the UTF-8 of payload_col; null counts as empty. Of pages with equal payloads of min_bytes or more the
     one with the smallest id is a response, the others revisit it; shorter ones are all responses. Rows that repeat the
-    smallest id are responses too. A null id comes after all others; if all are null, all are responses. A null url
-    becomes urn:x-unknown. Other columns are neither read nor kept. An empty table gives no files.
+    smallest id are responses too, of which the one with the smallest record id is referred to. A null id comes after all
+    others; if all are null, all are responses. Record ids are random, so no two records share one, whatever repeats.
+    A null url becomes urn:x-unknown. Other columns are neither read nor kept. An empty table gives no files.
     """
     spark = pages.sparkSession
     outputs.make(folder)
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    kinds, arrow = schema_of("part int, file string, records long")
-    payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("digest"))
-    roles = page_roles(pages, id_col, payload_col, min_bytes).select(F.col("page_id").alias("role_id"), F.col("digest").alias("role_digest"), "refers_to")
-    whole = base.join(roles, base["page_id"].eqNullSafe(F.col("role_id")) & (base["digest"] == F.col("role_digest")), "left").select("page_id", "url", "payload", "refers_to")
+    heads = _heads(pages, id_col, url_col, payload_col)
+    firsts = heads.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+    firsts = cut(firsts.where("n > 1 AND first_id IS NOT NULL").select("digest", "first_id"), "originals")
+    roles = heads.select("page_id", "digest").join(firsts, "digest").select(F.col("page_id").alias("role_id"), F.col("digest").alias("role_digest"), _later().alias("later")).distinct()
+    own = heads["page_id"].eqNullSafe(F.col("role_id")) & (heads["digest"] == F.col("role_digest"))
+    whole = heads.join(roles, own, "left").where("later IS NULL OR NOT later").select("page_id", "url", "digest", "size", "payload", F.col("later").isNotNull().alias("original"))
+    responses = cut(whole.mapInArrow(_writer(folder, date, "response"), _WRITTEN), "responses")
+
+    index = responses.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("record", "uri", "date")).alias("original"))
+    later = heads.select("page_id", "url", "digest", "size").join(firsts, "digest").where(_later()).join(index, "digest")
+    revisits = cut(later.select("page_id", "url", "digest", "size", "original.*").mapInArrow(_writer(folder, date, "revisit"), _WRITTEN), "revisits")
+    return responses.unionByName(revisits).where("file IS NOT NULL").select("part", "file", "records")
+
+
+#: A row for a file, and rows for the responses that revisits refer to.
+_WRITTEN = "part int, file string, records long, digest string, record string, uri string, date string"
+
+
+def _writer(folder: str, date: str, kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    _, arrow = schema_of(_WRITTEN)
+    fresh = lambda: f"<urn:uuid:{uuid.uuid4()}>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n, file = TaskContext.get().partitionId(), 0, None
+        part, n, file, info = TaskContext.get().partitionId(), 0, None, fresh()
         name = outputs.fresh(folder, part, ".warc.gz")
         for batch in batches:
+            rows: list[tuple] = []
             for k in range(batch.num_rows):
-                page_id, url, text, refers_to = (c[k].as_py() for c in batch.columns)
-                file = file or outputs.writer(name)
-                file.write(make_record(page_id, url, text.encode(), refers_to, date))
+                page_id, url, digest, size, *rest = (c[k].as_py() for c in batch.columns)
+                if file is None:
+                    file = outputs.writer(name)
+                    file.write(make_info(info, date, name.rsplit("/", 1)[-1]))
+                record, uri = fresh(), clean_uri(url)
+                payload, original = (rest[0].encode(), None) if kind == "response" else (None, tuple(rest))
+                file.write(make_record(record, info, page_id, uri, b32(bytes.fromhex(digest)), size, date, payload, original))
                 n += 1
+                if kind == "response" and rest[1]:
+                    rows.append((None, None, None, digest, record, uri, date))
+            if rows:
+                yield _batch(rows, arrow)
         if file:
             file.close()
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, name, n), arrow.types, strict=True)], schema=arrow)
+            yield _batch([(part, name, n, None, None, None, None)], arrow)
 
-    return cut(whole.mapInArrow(run, kinds), "listing")
+    return run
 
 
 def read_archives(spark: SparkSession, listing: DataFrame, with_payload: bool = True) -> DataFrame:
@@ -140,6 +179,8 @@ def read_archives(spark: SparkSession, listing: DataFrame, with_payload: bool =
                 with outputs.reader(name) as f:
                     for data in read_members(f):
                         headers, http, payload = parse_record(data)
+                        if headers["WARC-Type"] == "warcinfo":
+                            continue
                         size = int(dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])["Content-Length"])
                         page, kind = headers.get(PAGE), headers["WARC-Type"]
                         row = (None if page is None else int(page), headers["WARC-Target-URI"], size, headers["WARC-Payload-Digest"].removeprefix("sha1:"), kind, headers["WARC-Record-ID"], headers.get("WARC-Refers-To"))
