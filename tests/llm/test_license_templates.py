@@ -1,8 +1,10 @@
 import random
+import re
 
 import pytest
 
-from tidemark.llm.license_templates import Automaton, license_scan, word_hashes
+from tidemark.llm.license_templates import PHRASES, Automaton, license_scan, word_hashes
+from tidemark.llm.license_texts import TEMPLATES
 
 from . import brute
 
@@ -45,5 +47,74 @@ def test_shipped_templates_accept_their_own_wording(spark):
         (2, "This work is licensed under the GNU General Public License, version 3."), (3, "Licensed under CC BY-NC 4.0."), (4, "Released under the MIT License."), (5, "Licensed under the Apache License, Version 2.0."),
     ]
     got = {r["doc_id"]: r["labels"] for r in license_scan(brute.documents(spark, rows)).collect()}
-    assert got == {1: "mit-text", 2: "gpl,gpl-statement", 3: "cc-by,cc-by-statement", 4: "mit,mit-statement", 5: "apache,apache-notice"}
+    assert got == {1: "mit-opening", 2: "gpl,gpl-statement", 3: "cc-by,cc-by-statement", 4: "mit,mit-statement", 5: "apache,apache-statement"}
     assert license_scan(brute.documents(spark, [])).count() == 0
+
+
+def as_pattern(template):
+    """A template over words joined by blanks, as a regular expression."""
+    out, marks = "", re.compile(r'<<(beginOptional|endOptional|var[^>]*)>>')
+    at = 0
+    for m in [*marks.finditer(template), None]:
+        out += "".join(f"{w} " for w in brute.alnum(template[at : m.start() if m else len(template)]))
+        if m is None:
+            return out
+        at = m.end()
+        if m[1] == "beginOptional":
+            out += "(?:"
+        elif m[1] == "endOptional":
+            out += ")?"
+        elif counted := re.search(r"words=(\d+)-(\d+)", m[1]):
+            out += f"(?:[^ ]+ ){{{counted[1]},{counted[2]}}}"
+        else:
+            out += "(?:[^ ]+ )*" if "{0," in m[1] else "(?:[^ ]+ )+"
+
+
+def example(template, rng, change=None):
+    """Words that a template takes; change: one mandatory word becomes another."""
+    text = re.sub(r"<<var[^>]*>>", lambda m: " other" * (2 if "words=0-2" not in m[0] and "words=1-2" in m[0] else 1) + " ", template)
+    while "<<begin" in text:
+        text = re.sub(r"<<beginOptional>>((?:(?!<<)[\s\S])*)<<endOptional>>", lambda m: m[1] if rng.random() < 0.5 else " ", text)
+    words = text.split()
+    if change is not None:
+        words[int(change * len(words))] = "altered"
+    return " ".join(words)
+
+
+def longest(pattern, words, at):
+    """The most words from there that the pattern takes."""
+    text = " ".join([*words[at:], ""])
+    ends = [m for k in range(len(words), at, -1) if (m := re.fullmatch(pattern, " ".join([*words[at:k], ""])))] if re.match(pattern, text) else []
+    return len(ends[0][0].split()) if ends else 0
+
+
+def test_labels_and_score_equal_brute_force(spark):
+    rng = random.Random(5)
+    rows = []
+    for k, (label, template) in enumerate(sorted(TEMPLATES.items())):
+        rows.append((10 * k, example(template, rng)))
+        rows.append((10 * k + 1, f"Copyright (c) 2020 Someone. {example(template, rng)} and then {example(template, rng, rng.choice([0.3, 0.6, 0.9]))}"))
+        rows.append((10 * k + 2, example(template, rng, 0.97)))
+    rows += [(1000, None), (1001, "nothing"), (1002, "apache license " * 5)]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan(brute.documents(spark, rows)).collect()}
+    patterns = {label: (as_pattern(t), re.split(r"<<", t)[0].split()) for label, t in TEMPLATES.items()}
+    seen = set()
+    for i, t in rows:
+        w = brute.alnum(t)
+        spans = [(k, k + len(p.split()), label) for p, label in PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        for label, (pattern, head) in patterns.items():
+            head = brute.alnum(" ".join(head))[:3]
+            spans += [(k, k + n, label) for k in range(len(w)) if w[k : k + len(head)] == head and (n := longest(pattern, w, k))]
+        covered = {p for s, e, _ in spans for p in range(s, e)}
+        assert got[i] == (",".join(sorted({x[2] for x in spans})), len(covered) / max(len(w), 1)), (i, t)
+        seen |= {x[2] for x in spans}
+    assert set(TEMPLATES) <= seen
+
+
+def test_regions_of_the_markup():
+    a = Automaton.compile('shall <<var;name="x";original="THE AUTHORS";match=".+">> be <<var;match=".{0,20}">> liable')
+    for text, took in (("shall we be liable", 4), ("shall we and all be not at all liable", 9), ("shall be liable", 0), ("shall be be liable", 4)):
+        assert a.match(word_hashes(text)) == took
+    for bad in ('a <<var;match="(x|y)">>', "a <<var;name=x>>"):
+        with pytest.raises(ValueError):
+            Automaton.compile(bad)

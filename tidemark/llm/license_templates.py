@@ -12,41 +12,15 @@ from pyspark.sql import DataFrame
 
 from . import words as W
 from .batches import map_texts
+from .license_texts import TEMPLATES
 
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Public license wording. <<beginOptional>>..<<endOptional>> may be left out; <<var;words=a-b>> stands for a to b words.
-TEMPLATES = {
-    "mit-text": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
-        "<<beginOptional>> (the \"Software\")<<endOptional>>, to deal in <<var;words=1-3>> without restriction, including without limitation the rights to use,"
-        " copy, modify, merge, publish, distribute, sublicense, and/or sell copies of <<var;words=1-3>>, and to permit persons to whom <<var;words=1-3>> is"
-        " furnished to do so, subject to the following conditions"
-    ),
-    "isc-text": (
-        "Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted,"
-        " provided that the above copyright notice and this permission notice appear in all copies"
-    ),
-    "bsd-text": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
-        "<<beginOptional>> 1.<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"
-    ),
-    "apache-notice": (
-        "Licensed under the Apache License, Version 2.0<<beginOptional>> (the \"License\")<<endOptional>><<beginOptional>>; you may not use this"
-        " <<var;words=1-3>> except in compliance with the License<<endOptional>>"
-    ),
-    "gpl-notice": (
-        "is free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or modify it under the terms of the GNU <<beginOptional>>Lesser<<endOptional>>"
-        " <<beginOptional>>Affero<<endOptional>> General Public License as published by the Free Software Foundation<<beginOptional>>, either version"
-        " <<var;words=1-2>> of the License<<beginOptional>>, or (at your option) any later version<<endOptional>><<endOptional>>"
-    ),
-    "gpl-statement": "licensed under the GNU General Public License<<beginOptional>>, version <<var;words=1-2>><<endOptional>>",
-    "mit-statement": "<<beginOptional>>Released<<endOptional>> under the <<beginOptional>>terms of the<<endOptional>> MIT License",
-    "cc-by-statement": "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> <<beginOptional>>Creative Commons Attribution<<endOptional>> CC BY<<beginOptional>>-<<var;words=0-2>><<endOptional>> 4.0",
-    "cc-by-text": "licensed under a Creative Commons Attribution 4.0 International License",
-}
-
-_MARK = re.compile(r"<<(beginOptional|endOptional|var;words=(\d+)-(\d+))>>")
+_MARK = re.compile(r"""<<(beginOptional|endOptional|var)((?:;[^;=>]+=(?:"[^"]*"|[^;">]*))*)>>""")
+_FIELD = re.compile(r""";([^;=>]+)=(?:"([^"]*)"|([^;">]*))""")
+_WORDS, _MATCH = re.compile(r"(\d+)-(\d+)"), re.compile(r"\.(?:([+*])|\{(\d+),\d*\})")
+#: Words that all of a template's regions of any number of words take at most, for each.
+REGION = 200
 ANY = np.uint64(0)
 
 
@@ -61,6 +35,7 @@ class Automaton:
 
     words: list[list[tuple[int, int]]]
     skips: list[list[int]]
+    regions: int = 0
 
     @classmethod
     def compile(cls, template: str) -> Automaton:
@@ -79,18 +54,35 @@ class Automaton:
                     raise ValueError("endOptional without beginOptional")
                 out.skips[opened.pop()].append(len(out.words) - 1)
             else:
-                least, most = int(mark[2]), int(mark[3])
-                begin = len(out.words) - 1
-                for _ in range(most):
-                    out._step(int(ANY))
-                for k in range(least, most):
-                    out.skips[begin + k].append(len(out.words) - 1)
+                out._region({name: quoted or bare for name, quoted, bare in _FIELD.findall(mark[2])})
         if opened:
             raise ValueError("beginOptional without endOptional")
         if len(out.words) - 1 in out.reach({0}):
             raise ValueError("a template needs mandatory wording")
         return out
 
+    def _region(self, fields: dict[str, str]) -> None:
+        """Other words, as the mark's fields say how many."""
+        begin = len(self.words) - 1
+        if counted := _WORDS.fullmatch(fields.get("words", "")):
+            least, most = map(int, counted.groups())
+            for _ in range(most):
+                self._step(int(ANY))
+            for k in range(least, most):
+                self.skips[begin + k].append(len(self.words) - 1)
+            return
+        found = _MATCH.fullmatch(fields.get("match", ""))
+        if not found:
+            raise ValueError(f"a region needs words=a-b, or match as .+, .* or .{{a,b}}: {fields}")
+        if found[1] == "*" or found[2] == "0":
+            self.skips[begin].append(len(self.words))
+            self.words.append([])
+            self.skips.append([])
+        else:
+            self._step(int(ANY))
+        self.words[-1].append((int(ANY), len(self.words) - 1))
+        self.regions += 1
+
     def _step(self, h: int) -> None:
         self.words[-1].append((h, len(self.words)))
         self.words.append([])
@@ -131,7 +123,7 @@ class Automaton:
 
     @property
     def longest(self) -> int:
-        return len(self.words) - 1
+        return len(self.words) - 1 + REGION * self.regions
 
 
 def _places(h: np.ndarray, left: np.ndarray, sets: list[set[int] | None]) -> np.ndarray:
