@@ -13,7 +13,8 @@ _ISO = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(?:Z|[+-]\
 
 def number(c: Column) -> Column:
     """A finite double, or null; NaN and text that is no number are null."""
-    value = strip(c).try_cast("double")
+    text = c.cast("string")
+    value = F.coalesce(text.try_cast("double"), strip(text).try_cast("double"))  # all blanks are trimmed only where the cast's own don't do
     return F.when(~F.isnan(value), value)
 
 
@@ -53,9 +54,11 @@ def _scaled(value: Column) -> Column:
 
 def epoch_ts(*candidates: Column) -> Column:
     """Time of the first candidate that isn't null or blank: epoch digits of any unit, or ISO text. Whole seconds."""
+    first = candidates[0].cast("string")
+    plain = F.when(~first.startswith("+"), _scaled(first.try_cast("bigint")))  # most are digits alone, with nothing to trim
     text = F.coalesce(*[F.nullif(strip(c), F.lit("")) for c in candidates])
     seconds = F.when(text.rlike(r"^-?\d+(?:\.\d+)?$"), _scaled(F.coalesce(text.try_cast("bigint"), F.floor(text.try_cast("double")))))
-    return F.timestamp_seconds(F.coalesce(seconds, F.floor(F.unix_micros(iso_ts(text)) / 1_000_000)))
+    return F.timestamp_seconds(F.coalesce(plain, seconds, F.floor(F.unix_micros(iso_ts(text)) / 1_000_000)))
 
 
 def compact_ts(c: Column) -> Column:

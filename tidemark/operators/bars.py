@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..functions.values import number
+from .tables import exact_quantiles
 
 KEYS = ("market_id", "outcome")
 DAY = 86_400
@@ -180,19 +181,16 @@ def inter_trade_seconds(trades: DataFrame, keys: Sequence[str] = ("market_id",))
 
 def liquidity_stats(trades: DataFrame, step: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """One row a key: means and medians of USD volume and trades an interval, and of seconds between trades."""
-    half = F.lit(0.5)
-    buckets = usd_volume_buckets(trades, step, keys).groupBy(*keys).agg(
-        F.avg("usd_volume").alias("mean_usd_volume"), F.percentile("usd_volume", half).alias("median_usd_volume"),
-        F.avg("n_trades").alias("mean_trades"), F.percentile("n_trades", half).alias("median_trades"),
-    )
-    gap = F.col("inter_trade_seconds")
-    gaps = inter_trade_seconds(trades, keys).groupBy(*keys).agg(
-        F.percentile(gap, half).alias("median_gap_raw"), F.percentile(F.when(gap > 0, gap), half).alias("median_gap_nonzero"), F.avg(gap).alias("mean_gap"),
-    )
-    return buckets.join(gaps, list(keys))
+    buckets = usd_volume_buckets(trades, step, keys)
+    means = buckets.groupBy(*keys).agg(F.avg("usd_volume").alias("mean_usd_volume"), F.avg("n_trades").alias("mean_trades"))
+    medians = exact_quantiles(buckets, keys, {"median_usd_volume": (F.col("usd_volume"), 0.5), "median_trades": (F.col("n_trades"), 0.5)})
+    gaps, gap = inter_trade_seconds(trades, keys), F.col("inter_trade_seconds")
+    gap_means = gaps.groupBy(*keys).agg(F.avg(gap).alias("mean_gap"))
+    gap_medians = exact_quantiles(gaps, keys, {"median_gap_raw": (gap, 0.5), "median_gap_nonzero": (F.when(gap > 0, gap), 0.5)})
+    return means.join(medians, list(keys), "left").join(gap_means, list(keys)).join(gap_medians, list(keys), "left")
 
 
-#: Liquidity regimes: hours of smoothing, then the detector's thresholds and cap.
+#: Fixed values of the data model: liquidity regimes, with hours of smoothing, then the detector's thresholds and cap.
 REGIMES = [
     ("very low liquidity", 48, 3.5, 7.0, 2.8, 1.2, 8),
     ("low liquidity", 24, 3.0, 6.0, 2.5, 1.1, 10),

@@ -14,7 +14,7 @@ from . import bars as B
 
 @dataclass(frozen=True)
 class BreakConfig:
-    """Rules of the detector; percentages for prices, ratios to the baseline for volumes."""
+    """Rules of the detector; percentages for prices, ratios to the baseline for volumes. Names and defaults are fixed values of the data model."""
 
     interval: str = "15min"
     baseline_window: int = 96
@@ -42,6 +42,7 @@ class BreakConfig:
         return step
 
 
+#: Fixed values of the data model: what a break's reason says.
 SURGE, STRONG, NONE = "volume_surge_and_price_shift", "substantial_volume_and_strong_price_shift", "none"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import as_list, epoch_ts, number
-from .tables import first_present
+from .tables import exact_quantiles, first_present
 
 
 def market_tokens(markets: DataFrame) -> DataFrame:
@@ -129,9 +129,10 @@ def size_scale(trades: DataFrame, key: str = "market_id") -> DataFrame:
     size = F.when((F.col("size") > 0) & (F.abs("size") < float("inf")), F.col("size"))
     price = F.when(F.abs("price") < float("inf"), F.col("price"))
     stats = trades.groupBy(key).agg(
-        F.percentile(size, F.lit(0.5)).alias("q50"), F.percentile(size, F.lit(0.99)).alias("q99"), F.min(size).alias("least"),
+        F.min(size).alias("least"),
         F.avg((F.abs(size - F.round(size)) <= 1e-9).cast("double")).alias("whole_share"), F.avg(price.between(0, 1.05).cast("double")).alias("price_share"),
     )
+    stats = stats.join(exact_quantiles(trades, [key], {"q50": (size, 0.5), "q99": (size, 0.99)}), key, "left")
     scale = F.when((F.col("q50") >= 1e15) | (F.col("q99") >= 1e17), 1e18).when((F.col("q50") >= 1e5) & (F.col("q99") >= 1e8) & (F.col("whole_share") >= 0.9) & (F.col("price_share") >= 0.9), 1e6).otherwise(1.0)
     return stats.withColumn("scale", scale)
 

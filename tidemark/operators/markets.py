@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import market_url, slug_variants, strip
 from ..functions.values import flag, number
-from .tables import first_by_key, first_present, percentile_ranks
+from .tables import exact_quantiles, first_by_key, first_present, percentile_ranks
 
 # Fixed values of the data model: names by which a field may come, in order of preference.
 ALIASES = {
@@ -82,14 +82,14 @@ def _typed(df: DataFrame) -> DataFrame:
 
 def summarize_markets(df: DataFrame) -> DataFrame:
     """One row: totals, counts by state, sums (0 of nothing) and medians (null of nothing)."""
-    half = F.lit(0.5)
+    typed = _typed(df)
     total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
-    return _typed(df).agg(
+    medians = exact_quantiles(typed, [], {"liquidity_median": (F.col("liquidity"), 0.5), "spread_median": (F.col("spread"), 0.5)}).select(F.struct("liquidity_median", "spread_median")).scalar()
+    return typed.agg(
         F.current_timestamp().alias("generated_at_utc"), F.count("*").alias("markets_total"), F.count_if(F.col("active")).alias("markets_active"), F.count_if(~F.col("active")).alias("markets_inactive"),
         F.count_if(F.col("closed")).alias("markets_closed"), F.count_if(F.col("archived")).alias("markets_archived"), F.count_if(~F.col("closed")).alias("markets_open"),
-        total("liquidity").alias("liquidity_total"), F.percentile("liquidity", half).alias("liquidity_median"), total("volume_total").alias("volume_total"),
-        total("volume_24h").alias("volume_24h_total"), total("volume_1w").alias("volume_1w_total"), F.percentile("spread", half).alias("spread_median"),
-    )
+        total("liquidity").alias("liquidity_total"), total("volume_total").alias("volume_total"), total("volume_24h").alias("volume_24h_total"), total("volume_1w").alias("volume_1w_total"),
+    ).withColumn("__medians", medians).select("*", "__medians.*").drop("__medians")
 
 
 def market_score(df: DataFrame) -> DataFrame:

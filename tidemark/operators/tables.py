@@ -36,7 +36,7 @@ def first_present(df: DataFrame, names: Sequence[str]) -> Column:
     return next((F.col(f"`{c}`") for c in names if c in df.columns), F.lit(None).cast("string"))
 
 
-#: Columns that hold times wherever they come as text.
+#: Fixed values of the data model: columns that hold times wherever they come as text.
 TIME_COLUMNS = [
     "created_at", "createdAt", "updated_at", "updatedAt", "end_date", "endDate", "start_date", "startDate", "closed_time", "closedTime",
     "end_date_iso", "endDateIso", "start_date_iso", "startDateIso", "timestamp_utc", "timestamp",
@@ -88,13 +88,42 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), column)
 
 
+def exact_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[Column, float]]) -> DataFrame:
+    """One row a key (one row in all without keys) with quantiles by linear interpolation; null where a key has no value.
+
+    wanted: name -> (value, fraction). Ranks come from value counts in range partitions of (column, key, value), so neither a
+    key nor a column has to fit in one task, however many distinct values it has. A key without any value at all has no row.
+    """
+    columns = list({str(c): c for c, _ in wanted.values()}.values())
+    number = {str(c): k for k, c in enumerate(columns)}
+    key = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
+    values = F.array(*[F.struct(F.lit(k).alias("no"), c.cast("double").alias("value")) for k, c in enumerate(columns)])
+    long = df.select(key.alias("key"), F.explode(values).alias("x")).select("key", "x.no", "x.value")
+    counts = long.where("value IS NOT NULL").groupBy("no", "key", "value").agg(F.count("*").alias("ties"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(counts.repartitionByRange(n, "no", "key", "value").withColumn("part", F.spark_partition_id()), "value-counts")
+    parts = ranged.groupBy("no", "key", "part").agg(F.sum("ties").alias("in_part"))  # a row for each key and partition that it reaches
+    own = Window.partitionBy("no", "key")
+    before = own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("no", "key", "part", F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("before"), F.sum("in_part").over(own).alias("n"))
+    inside = Window.partitionBy("no", "key", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranks = ranged.withColumn("upto", F.sum("ties").over(inside)).join(parts, ["no", "key", "part"]).withColumn("upto", F.col("before") + F.col("upto"))
+    out = []
+    for name, (c, fraction) in wanted.items():
+        place = F.lit(fraction) * (F.col("n") - 1)
+        at = lambda r: F.max(F.when((F.col("no") == number[str(c)]) & (F.col("upto") > r) & (F.col("upto") - F.col("ties") <= r), F.col("value")))  # noqa: B023, E731
+        part = F.max(F.when(F.col("no") == number[str(c)], place - F.floor(place)))
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        out.append((low * (1 - part) + high * part).alias(name))
+    return ranks.groupBy("key").agg(*out).select(*[F.col("key").getField(k).alias(k) for k in keys], *wanted) if keys else ranks.agg(*out)
+
+
 def describe_column(df: DataFrame, column: str) -> DataFrame:
     """Count, mean, standard deviation, least, quartiles, greatest and total of a column, exactly."""
     c = F.col(column)
-    return df.agg(
-        F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev(c).alias("std"), F.min(c).alias("least"), F.percentile(c, F.lit(0.25)).alias("q25"), F.percentile(c, F.lit(0.5)).alias("q50"),
-        F.percentile(c, F.lit(0.75)).alias("q75"), F.max(c).alias("greatest"), F.sum(c).alias("total"),
-    )
+    plain = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev(c).alias("std"), F.min(c).alias("least"), F.max(c).alias("greatest"), F.sum(c).alias("total"))
+    quartiles = exact_quantiles(df, [], {"q25": (c, 0.25), "q50": (c, 0.5), "q75": (c, 0.75)}).select(F.struct("q25", "q50", "q75")).scalar()
+    return plain.withColumn("q", quartiles).select("n", "mean", "std", "least", "q.q25", "q.q50", "q.q75", "greatest", "total")
 
 
 def time_range(df: DataFrame, column: str) -> DataFrame:

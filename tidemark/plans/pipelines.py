@@ -25,7 +25,7 @@ def trades_from_fills(fills: DataFrame, markets: DataFrame, start: str | None =
     trades = L.normalize_fills_for_asset(fills, L.market_tokens(markets))
     if start is not None:
         trades = trades.where(F.col("timestamp_utc") >= F.lit(start).cast("timestamp"))
-    trades = L.normalize_size(trades)
+    trades = L.normalize_size(cut(trades, "typed-trades"))  # read for the scale and for the result
     return dedupe_rows(trades, ["market_id", dedupe_key] if dedupe_key else ["market_id", *TRADE_COLUMNS])
 
 
