@@ -180,10 +180,11 @@ def notional(spark, sf):
     return X.trades(spark, sf).select("seq", _r(F.col("price") * F.col("size")).alias("notional"))
 
 
-@query("SELECT n_regionkey AS event, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS pos, lower(n_name) AS slug, '0x' || n_nationkey AS condition_id, n_name AS question FROM nation")
+#: A market event a customer, whose orders are its markets.
+@query("SELECT o_custkey AS event, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, 'order-' || o_orderkey AS slug, '0x' || o_orderkey AS condition_id, o_orderpriority AS question FROM orders")
 def market_preview(spark, sf):
-    item = F.struct("n_nationkey", F.lower("n_name").alias("slug"), F.concat(F.lit("0x"), F.col("n_nationkey")).alias("condition_id"), F.col("n_name").alias("question"))
-    events = X.table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("event")).agg(F.array_sort(F.collect_list(item)).alias("markets"))
+    item = F.struct("o_orderkey", F.concat(F.lit("order-"), F.col("o_orderkey")).alias("slug"), F.concat(F.lit("0x"), F.col("o_orderkey")).alias("condition_id"), F.col("o_orderpriority").alias("question"))
+    events = X.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("event")).agg(F.array_sort(F.collect_list(item)).alias("markets"))
     return M.market_preview(events, "event", "markets").withColumn("pos", F.col("pos").cast("bigint"))
 
 
@@ -262,10 +263,10 @@ def filter_news_window(spark, sf):
     return N.filter_news_window(N.normalize_articles(X.articles(spark, sf), ["seq"]), "2024-01-01 01:00:00", "2024-01-01 12:00:00", 100).select("seq", "title")
 
 
-@query("SELECT n_nationkey, n_nationkey % 2 = 0 AS yes FROM nation")
+@query("SELECT o_orderkey, o_orderkey % 2 = 0 AS yes FROM orders")
 def is_condition_id(spark, sf):
-    made = F.when(F.col("n_nationkey") % 2 == 0, F.lpad(F.lit(""), 8, "a")).otherwise("abc")
-    return X.table(spark, sf, "nation").select("n_nationkey", Te.is_condition_id(F.concat(F.lit("0x"), made)).alias("yes"))
+    made = F.when(F.col("o_orderkey") % 2 == 0, F.lpad(F.col("o_orderkey").cast("string"), 8, "a")).otherwise("abc")
+    return X.table(spark, sf, "orders").select("o_orderkey", Te.is_condition_id(F.concat(F.lit("0x"), made)).alias("yes"))
 
 
 # Joins
@@ -276,9 +277,12 @@ def join_token_outcome(spark, sf):
     return L.join_token_outcome(X.fills(spark, sf).select("id", F.col("makerAssetId").alias("asset_id")), tokens(spark, sf)).select("id", "outcome")
 
 
-@query("SELECT condition_id, asset_id, pos, outcome FROM tokens", "tokens")
+@query("SELECT '0x' || o_custkey AS condition_id, CAST(o_orderkey AS VARCHAR) AS asset_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, o_orderpriority AS outcome FROM orders")
 def market_tokens(spark, sf):
-    return tokens(spark, sf).select("condition_id", "asset_id", F.col("pos").cast("bigint").alias("pos"), "outcome")
+    listed = X.table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("v")))).alias("x"))
+    lists = [F.to_json(F.transform("x", lambda v: v[name].cast("string"))).alias(out) for name, out in (("k", "clob_token_ids"), ("v", "outcomes"))]  # noqa: B023
+    held = L.market_tokens(listed.select(F.concat(F.lit("0x"), F.col("o_custkey")).alias("condition_id"), *lists))
+    return held.select("condition_id", "asset_id", F.col("pos").cast("bigint").alias("pos"), "outcome")
 
 
 @query("SELECT condition_id, slug, active FROM markets WHERE CAST(condition_id AS BIGINT) IN (SELECT o_custkey FROM orders)", "markets")
@@ -293,10 +297,10 @@ def resolve_url_markets(spark, sf):
     return M.resolve_url_markets(urls, X.markets(spark, sf)).select("url", "slug", "condition_id")
 
 
-@query("SELECT n_regionkey AS event, 'ok' AS status, '0x' || min(n_nationkey) AS condition_id FROM nation GROUP BY n_regionkey")
+@query("SELECT o_custkey AS event, 'ok' AS status, '0x' || min(o_orderkey) AS condition_id FROM orders GROUP BY o_custkey")
 def pick_market(spark, sf):
-    pos = F.col("n_nationkey")
-    rows = X.table(spark, sf, "nation").select(F.col("n_regionkey").alias("event"), F.lower("n_name").alias("slug"), F.concat(F.lit("0x"), pos).alias("condition_id"), pos.alias("key"))
+    key = F.col("o_orderkey")
+    rows = X.table(spark, sf, "orders").select(F.col("o_custkey").alias("event"), F.concat(F.lit("order-"), key).alias("slug"), F.concat(F.lit("0x"), key).alias("condition_id"), key.alias("key"))
     first = rows.groupBy("event").agg(F.min("key").alias("first"))
     return M.pick_market(rows.join(first, "event").withColumn("pos", F.col("key") - F.col("first")), index=0)
 
@@ -941,19 +945,19 @@ def first_present(spark, sf):
     return o.select("o_orderkey", V.number(Ta.first_present(o, M.ALIASES["liquidity"])).alias("liquidity"), Ta.first_present(o, ["absent", "question"]).alias("text"))
 
 
-@query("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN n_name || '|x' WHEN 1 THEN n_name || '|y z' ELSE n_name END AS items FROM nation")
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_orderpriority || '|x' WHEN 1 THEN o_orderpriority || '|y z' ELSE o_orderpriority END AS items FROM orders")
 def to_list(spark, sf):
-    n = F.col("n_name")
-    k = F.col("n_nationkey") % 3
+    n = F.col("o_orderpriority")
+    k = F.col("o_orderkey") % 3
     text = F.when(k == 0, F.to_json(F.array(n, F.lit("x")))).when(k == 1, F.concat(F.lit('"'), n, F.lit('", , y z'))).otherwise(F.concat(n, F.lit(" ")))
-    return X.table(spark, sf, "nation").select("n_nationkey", F.array_join(V.as_list(text), "|").alias("items"))
+    return X.table(spark, sf, "orders").select("o_orderkey", F.array_join(V.as_list(text), "|").alias("items"))
 
 
-@query("SELECT n_nationkey, n_nationkey || '|' || n_regionkey || CASE WHEN n_nationkey <> n_regionkey + 100 THEN '|' || (n_regionkey + 100) ELSE '' END AS assets FROM nation WHERE n_nationkey <> n_regionkey")
+@query("SELECT o_orderkey, o_orderkey || CASE WHEN o_custkey <> o_orderkey THEN '|' || o_custkey ELSE '' END || CASE WHEN o_custkey + 100 <> o_orderkey THEN '|' || (o_custkey + 100) ELSE '' END AS assets FROM orders")
 def extract_asset_ids(spark, sf):
-    text = F.to_json(F.struct(F.col("n_nationkey").alias("assetId"), F.lit("z").alias("name"), F.array(F.col("n_regionkey").cast("string"), F.lit(" "), F.col("n_nationkey").cast("string")).alias("tokenIds"), (F.col("n_regionkey") + 100).alias("CLOB")))
-    rows = X.table(spark, sf, "nation").where("n_nationkey <> n_regionkey").withColumn("payload", text)
-    return L.extract_asset_ids(rows, "payload", "n_nationkey").withColumn("assets", F.array_join("assets", "|"))
+    text = F.to_json(F.struct(F.col("o_orderkey").alias("assetId"), F.lit("z").alias("name"), F.array(F.col("o_custkey").cast("string"), F.lit(" "), F.col("o_orderkey").cast("string")).alias("tokenIds"), (F.col("o_custkey") + 100).alias("CLOB")))
+    rows = X.table(spark, sf, "orders").withColumn("payload", text)
+    return L.extract_asset_ids(rows, "payload", "o_orderkey").withColumn("assets", F.array_join("assets", "|"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority END AS text FROM orders")
