@@ -258,9 +258,9 @@ def filter_language(spark, sf):
     return N.filter_language(N.normalize_articles(X.articles(spark, sf), ["seq"]), "English").select("seq")
 
 
-@query("SELECT seq, title FROM (SELECT seq, trim(title, ' \n\t') AS title FROM articles WHERE seendate BETWEEN '20240101010000' AND '20240101120000' ORDER BY seendate DESC LIMIT 100)", "articles")
+@query("SELECT seq, title FROM (SELECT seq, trim(title, ' \n\t') AS title FROM articles WHERE seendate BETWEEN '20240105000000' AND '20240120000000' ORDER BY seendate DESC LIMIT 100)", "articles")
 def filter_news_window(spark, sf):
-    return N.filter_news_window(N.normalize_articles(X.articles(spark, sf), ["seq"]), "2024-01-01 01:00:00", "2024-01-01 12:00:00", 100).select("seq", "title")
+    return N.filter_news_window(N.normalize_articles(X.articles(spark, sf), ["seq"]), "2024-01-05 00:00:00", "2024-01-20 00:00:00", 100).select("seq", "title")
 
 
 @query("SELECT o_orderkey, o_orderkey % 2 = 0 AS yes FROM orders")
@@ -1079,14 +1079,14 @@ def break_report(spark, sf):
 
 
 @query(
-    f"""SELECT seq FROM (SELECT seq, row_number() OVER (PARTITION BY {_CANON} ORDER BY seendate DESC) AS place, seendate FROM articles WHERE language = 'en' AND seendate BETWEEN '20240101000000' AND '20240101200000')
+    f"""SELECT {_sqlt("strptime(seendate, '%Y%m%d%H%M%S')")} AS time, url FROM (SELECT url, row_number() OVER (PARTITION BY {_CANON} ORDER BY seendate DESC) AS place, seendate FROM articles WHERE language = 'en' AND seendate BETWEEN '20240103000000' AND '20240123000000')
     WHERE place = 1 ORDER BY seendate DESC LIMIT 50""",
     "articles",
 )
 def news_search(spark, sf):
     raw = X.articles(spark, sf)
-    found = P.news_search(raw, "2024-01-01 00:00:00", "2024-01-01 20:00:00", "en", 50)
-    return found.select(((F.unix_timestamp("timestamp_utc") - 1704067200) / 60).cast("bigint").alias("seq"))
+    found = P.news_search(raw, "2024-01-03 00:00:00", "2024-01-23 00:00:00", "en", 50)
+    return found.select(_t("timestamp_utc").alias("time"), "url")
 
 
 @query("SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS asset_id FROM events WHERE event_id % 10 <> 0 AND CAST(user_id AS VARCHAR) IN (SELECT asset_id FROM tokens WHERE condition_id = '0x00000003')", "tokens")

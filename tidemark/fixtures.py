@@ -63,8 +63,10 @@ def markets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    docs = table(spark, sf_dir, "documents").withColumn("page", F.col("doc_id") % pages.agg(F.count("*")).scalar())
-    seen = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60)
+    docs = table(spark, sf_dir, "documents")
+    share = F.floor(F.col("doc_id") * 2_592_000 / docs.agg(F.count("*")).scalar())  # of thirty days, whatever the table's size
+    docs = docs.withColumn("page", F.col("doc_id") % pages.agg(F.count("*")).scalar())
+    seen = F.timestamp_seconds(F.lit(1704067200) + share)
     return docs.join(pages, F.col("page") == F.col("page_id")).select(
         F.col("doc_id").alias("seq"), F.date_format(seen, "yyyyMMddHHmmss").alias("seendate"), F.col("text").alias("title"), "url", "source", F.col("lang").alias("language"),
     )
@@ -95,6 +97,6 @@ SQL = {
         o_orderdate AS created_at, o_totalprice AS liquidity, round(volume, 4) AS volume, round(volume24hr, 4) AS volume24hr, round(volume1wk, 4) AS volume1wk, round(spread, 8) AS spread
         FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice) AS volume, sum(CASE WHEN l_linenumber = 1 THEN l_extendedprice END) AS volume24hr,
         sum(CASE WHEN l_linenumber <= 3 THEN l_extendedprice END) AS volume1wk, avg(l_discount) AS spread FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey)""",
-    "articles": """articles AS (SELECT doc_id AS seq, strftime(TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id AS INTEGER)), '%Y%m%d%H%M%S') AS seendate, text AS title, url, source, lang AS language
+    "articles": """articles AS (SELECT doc_id AS seq, strftime(TIMESTAMP '2024-01-01' + to_seconds(CAST(doc_id * 2592000 // (SELECT count(*) FROM documents) AS BIGINT)), '%Y%m%d%H%M%S') AS seendate, text AS title, url, source, lang AS language
         FROM documents JOIN pages ON doc_id % (SELECT count(*) FROM pages) = page_id)""",
 }
