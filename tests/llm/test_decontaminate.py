@@ -77,3 +77,14 @@ def test_blocks_are_bounded_whatever_repeats(spark):
     size = lambda b: sum(len(i) + len(t) + 64 for i, t in b)
     assert all(size(b) <= 2000 or len(b) == 1 for b in blocks) and len(blocks) > 3
     assert sorted(x for b in blocks for x in b) == sorted({("" if i is None else str(i), t) for i, t in rows if t is not None})
+
+
+def test_a_long_item_in_pieces_and_repeated_items(spark):
+    rng = random.Random(6)
+    long = [f"v{rng.randrange(400)}" for _ in range(1500)]
+    items = [(1, " ".join(long)), (2, "short one"), *[(k, "same words here") for k in range(10, 60)], (3, "é" * 3000 + " " + " ".join(long[:12]))]
+    rows = [(k, " ".join([*long[a : a + n], "same words here short", "one"])) for k, (a, n) in enumerate((rng.randrange(1400), rng.choice([5, 9, 10, 11, 40])) for _ in range(120))]
+    rows += [(500, " ".join(long)), (501, "same words here " * 200)]
+    for size in (600, 3000, 1 << 22):
+        got = decontaminate(brute.documents(spark, rows), tables(spark, items), most_block_bytes=size).select(COLUMNS)
+        assert sorted(map(tuple, got.collect())) == brute.op3(rows, items)

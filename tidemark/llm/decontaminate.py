@@ -4,14 +4,16 @@ A shard is an Arrow batch of documents. Its words become numbers in the benchmar
 no match, so they only end runs. The shard's FM-index holds the runs that are long enough. All test phrases are
 searched backwards at once, their occurrences located by sampled suffix positions, and the spans merged.
 
-The benchmark goes to the tasks in blocks of bounded size, one pass over the documents each, with what was found
-before carried along. Most benchmarks are one block.
+The benchmark goes to the tasks in blocks of bounded size, as files in the shared folder. A task reads its documents once,
+and searches a batch of them for one block after another. Most benchmarks are one block, which a worker keeps.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from . import outputs
 from . import words as W
 from .batches import beside, rejoined, schema_of
 from .fm_index import FmIndex, index_runs
 from .places import with_places
-from .shared import cut
+from .shared import cut, new_dir
 
 
 class Phrases:
@@ -86,9 +89,32 @@ def _search(phrases: Phrases, symbols: np.ndarray, place: np.ndarray, limit: np.
     return np.searchsorted(limit, at, "right"), at, size, owner_doc, owner
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """The distinct rows of the benchmark, in blocks of at most that many bytes; only a single row can be larger."""
+def _pieces_of_items(items: DataFrame, window: int, most_bytes: int) -> DataFrame:
+    """item and text, with texts over most_bytes in pieces that share window - 1 words, so that each window stands whole in one."""
+    kinds, arrow = schema_of("item string, text string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = text.encode()
+                cuts = [(0, len(data))]
+                if len(data) > most_bytes:
+                    words = W.split_words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), W.ALPHANUMERIC)
+                    n, i, cuts = len(words.starts), 0, []
+                    while i < n:
+                        j = min(n, max(i + window, int(np.searchsorted(words.ends, words.starts[i] + most_bytes, "right"))))
+                        cuts.append((int(words.starts[i]), int(words.ends[j - 1])))
+                        i = n if j == n else j - window + 1
+                for lo, hi in cuts:
+                    yield pa.RecordBatch.from_arrays([pa.array([item], pa.string()), pa.array([data[lo:hi].decode()], pa.string())], schema=arrow)
+
+    return items.mapInArrow(run, kinds)
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most_bytes: int, window: int = 10) -> Iterator[list[tuple[str, str]]]:
+    """The distinct rows of the benchmark, long ones in pieces, in blocks of at most that many bytes; only a single piece of window words can be larger."""
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null").distinct()
+    items = _pieces_of_items(items, window, most_bytes // 2)
     items = cut(items.withColumn("size", (F.octet_length("text") + F.octet_length("item") + 64).cast("long")), "benchmark")
     total = items.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     if total <= most_bytes:
@@ -102,45 +128,55 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most_bytes: int)
         yield [(r["item"], r["text"]) for r in block.collect()]
 
 
-_STATE = "n_words long, spans array<long>, items array<string>"
-
-
-def _pass(docs: DataFrame, block: list[tuple[str, str]], window: int, first: bool) -> DataFrame:
-    phrases = docs.sparkSession.sparkContext.broadcast(Phrases([x[0] for x in block], [x[1] for x in block], window))
-    kinds = T.StructType([*docs.schema.fields[:2], *schema_of(_STATE)[0].fields])
-    arrow = to_arrow_schema(kinds)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = phrases.value
-        for batch in batches:
-            rows = batch.num_rows
-            counts, symbols, places, base = [], [], [], 0
-            for _, data, bounds in W.slices(batch.column(1)):
-                words = W.split_words(data, bounds, W.ALPHANUMERIC)
-                counts.append(words.counts)
-                if p.least:
-                    begins = np.zeros(len(words.starts), bool)
-                    begins[words.first[:-1][words.counts > 0]] = True
-                    s, at = index_runs(p.numbers(words.hashes(lower=True)), begins, p.least)
-                    symbols.append(s)
-                    places.append(at + base)
-                base += len(words.starts)
-            count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-            limit = np.cumsum(count)
-            spans: list = [[] for _ in range(rows)] if first else batch.column("spans").to_pylist()
-            items: list = [[] for _ in range(rows)] if first else batch.column("items").to_pylist()
-            symbols = np.concatenate(symbols) if symbols else np.zeros(0, np.int64)
-            if len(symbols):
-                doc, at, size, owner_doc, owner = _search(p, symbols, np.concatenate(places), limit)
-                for d, s, e in zip(doc.tolist(), (at - (limit - count)[doc]).tolist(), size.tolist(), strict=True):
-                    spans[d] += [s, s + e]
-                for pair in np.unique(owner_doc * np.int64(len(p.items)) + owner).tolist():
-                    items[pair // len(p.items)].append(p.items[pair % len(p.items)])
-                for d in np.unique(doc).tolist():
-                    spans[d], items[d] = _merged(spans[d]), sorted(set(items[d]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count, pa.int64()), pa.array(spans, arrow.types[3]), pa.array(items, arrow.types[4])], schema=arrow)
-
-    return docs.mapInArrow(run, kinds)
+def _stored(docs: DataFrame, blocks: Iterator[list[tuple[str, str]]], window: int) -> list[str]:
+    """Files of the blocks' phrases, without those that have none. The driver holds one block at a time."""
+    folder, files = new_dir(docs.sparkSession, "phrases"), []
+    outputs.make(folder)
+    for k, block in enumerate(blocks):
+        phrases = Phrases([x[0] for x in block], [x[1] for x in block], window)
+        if phrases.least:
+            files.append(outputs.fresh(folder, k, ".pickle"))
+            with outputs.writer(files[-1]) as f:
+                pickle.dump(phrases, f)
+    return files
+
+
+@lru_cache(maxsize=1)
+def _load(file: str) -> Phrases:
+    """The last block used stays in the worker."""
+    with outputs.reader(file) as f:
+        return pickle.loads(f.read())
+
+
+class _Batch:
+    """The words of a batch's documents, by their fingerprints, and what has been found in them."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        self.parts, counts, base = [], [], 0
+        for _, data, bounds in W.slices(texts):
+            words = W.split_words(data, bounds, W.ALPHANUMERIC)
+            begins = np.zeros(len(words.starts), bool)
+            begins[words.first[:-1][words.counts > 0]] = True
+            self.parts.append((words.hashes(lower=True), begins, base))
+            counts.append(words.counts)
+            base += len(words.starts)
+        self.count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        self.spans: list[list[int]] = [[] for _ in range(len(texts))]
+        self.items: list[list[str]] = [[] for _ in range(len(texts))]
+
+    def search(self, p: Phrases) -> None:
+        found = [(s, at + base) for h, begins, base in self.parts for s, at in [index_runs(p.numbers(h), begins, p.least)]]
+        symbols = np.concatenate([np.zeros(0, np.int64), *(s for s, _ in found)])
+        if not len(symbols):
+            return
+        limit = np.cumsum(self.count)
+        doc, at, size, owner_doc, owner = _search(p, symbols, np.concatenate([x for _, x in found]), limit)
+        for d, s, e in zip(doc.tolist(), (at - (limit - self.count)[doc]).tolist(), size.tolist(), strict=True):
+            self.spans[d] += [s, s + e]
+        for pair in np.unique(owner_doc * np.int64(len(p.items)) + owner).tolist():
+            self.items[pair // len(p.items)].append(p.items[pair % len(p.items)])
+        for d in np.unique(doc).tolist():
+            self.spans[d], self.items[d] = _merged(self.spans[d]), sorted(set(self.items[d]))
 
 
 def _merged(flat: list[int]) -> list[int]:
@@ -153,24 +189,6 @@ def _merged(flat: list[int]) -> list[int]:
     return out
 
 
-def _finished(found: DataFrame, with_text: bool) -> DataFrame:
-    ddl = "n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, spans array<array<long>>"
-    kinds = T.StructType([found.schema.fields[0], *schema_of(ddl + (", clean_text string" if with_text else ""))[0].fields])
-    arrow = to_arrow_schema(kinds)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans, items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
-            hit = [sum(x[1::2]) - sum(x[::2]) for x in spans]
-            sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-            cols = [batch.column(0), batch.column("n_words"), hit, list(map(len, items)), items, sha, [h > 0 for h in hit], [[x[k : k + 2] for k in range(0, len(x), 2)] for x in spans]]
-            if with_text:
-                cols.append([_without(t, s) for t, s in zip(batch.column("text").to_pylist(), spans, strict=True)])
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, arrow.types, strict=True)], schema=arrow)
-
-    return found.mapInArrow(run, kinds)
-
-
 def _without(text: str | None, flat: list[int]) -> str | None:
     """The text less its words in the spans and what stands between them."""
     if not flat or text is None:
@@ -215,8 +233,24 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "tex
     return rejoined(docs, text_col, made, "clean_text")
 
 
-def _all_blocks(out: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, with_text: bool, most_block_bytes: int) -> DataFrame:
-    """out: any column, and text."""
-    for k, block in enumerate(_blocks(benchmark, item_col, item_text_col, most_block_bytes)):
-        out = _pass(out if k == 0 else cut(out, "found"), block, window, k == 0)
-    return _finished(out, with_text)
+def _all_blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, with_text: bool, most_block_bytes: int) -> DataFrame:
+    """docs: any column, and text."""
+    files = _stored(docs, _blocks(benchmark, item_col, item_text_col, most_block_bytes, window), window)
+    ddl = "n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, spans array<array<long>>"
+    kinds = T.StructType([docs.schema.fields[0], *schema_of(ddl + (", clean_text string" if with_text else ""))[0].fields])
+    arrow = to_arrow_schema(kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = _Batch(batch.column(1))
+            for file in files:
+                held.search(_load(file))
+            spans, items = held.spans, held.items
+            hit = [sum(x[1::2]) - sum(x[::2]) for x in spans]
+            sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+            cols = [batch.column(0), held.count, hit, list(map(len, items)), items, sha, [h > 0 for h in hit], [[x[k : k + 2] for k in range(0, len(x), 2)] for x in spans]]
+            if with_text:
+                cols.append([_without(t, s) for t, s in zip(batch.column(1).to_pylist(), spans, strict=True)])
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, arrow.types, strict=True)], schema=arrow)
+
+    return docs.mapInArrow(run, kinds)
