@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,25 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from . import words as W
 
 
+Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Mapper) -> Mapper:
+    """run, after which the worker gives the memory that it has freed back to the system, as it may wait long for its next task."""
+
+    @wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+            if trim:
+                trim(0)
+
+    return tidied
+
+
 def schema_of(ddl: str) -> tuple[T.StructType, pa.Schema]:
     kinds = T.StructType.fromDDL(ddl)
     return kinds, to_arrow_schema(kinds)
@@ -38,7 +59,7 @@ def map_beside(base: DataFrame, work: Callable[[np.ndarray, np.ndarray], list],
                 cols = [*(batch.column(k).slice(row, len(bounds) - 1) for k in range(kept)), *made]
                 yield pa.RecordBatch.from_arrays([c.cast(t) if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, arrow.types, strict=True)], schema=arrow)
 
-    return base.mapInArrow(run, kinds)
+    return base.mapInArrow(tidy(run), kinds)
 
 
 def beside(docs: DataFrame, text_col: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import outputs
 from . import words as W
-from .batches import beside, rejoined, schema_of
+from .batches import beside, rejoined, schema_of, tidy
 from .fm_index import FmIndex, index_runs
 from .places import with_places
 from .shared import cut, new_dir
@@ -253,4 +253,4 @@ def _all_blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_
                 cols.append([_without(t, s) for t, s in zip(batch.column(1).to_pylist(), spans, strict=True)])
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, arrow.types, strict=True)], schema=arrow)
 
-    return docs.mapInArrow(run, kinds)
+    return docs.mapInArrow(tidy(run), kinds)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .batches import beside, map_beside, rejoined, schema_of
+from .batches import beside, map_beside, rejoined, schema_of, tidy
 from .components import components
 from .shared import cut
 
@@ -85,7 +85,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
                 good = np.flatnonzero((100 * common >= percent * joint) & (joint > 0)) + row
                 yield pa.RecordBatch.from_arrays([pa.array(lo[good], pa.int64()), pa.array(hi[good], pa.int64())], schema=arrow)
 
-    return both.select("lo", "hi", "a", "b").mapInArrow(run, kinds).distinct()
+    return both.select("lo", "hi", "a", "b").mapInArrow(tidy(run), kinds).distinct()
 
 
 def _across(rest: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:

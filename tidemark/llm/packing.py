@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .batches import schema_of
+from .batches import schema_of, tidy
 from .places import with_places
 from .shared import cut
 from .tokens import SLICE_BYTES, encoder, vocabulary
@@ -230,7 +230,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacit
                     cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32))).cast(arrow.types[5]))
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, kinds)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tidy(run), kinds)
 
 
 def pack(
