@@ -1,4 +1,8 @@
-"""A training corpus from raw documents, in stages; each stage is one operator of tidemark.llm."""
+"""A training corpus from raw documents, in stages; each stage is one operator of tidemark.llm.
+
+An application, so it sets its session where the operators don't: documents can be long, and each stage lets few rows go
+to a Python worker at once.
+"""
 
 from __future__ import annotations
 
@@ -12,8 +16,13 @@ from tidemark.llm.repetition_rules import keep_by_rules
 from tidemark.llm.shared import cut
 
 
+def _few_rows(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2_000)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the repetition rules keep."""
+    _few_rows(spark)
     return keep_by_rules(docs)
 
 
@@ -24,6 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark."""
+    _few_rows(spark)
     return remove_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -34,6 +44,7 @@ def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's pieces and their places in sequences of 2048 tokens."""
+    _few_rows(spark)
     return pack(docs, 2048, with_ids=False)
 
 
