@@ -177,7 +177,7 @@ def message_envelope(spark, sf):
 
 @query("SELECT seq, round(price * size, 6) AS notional FROM trades", "trades")
 def notional(spark, sf):
-    return X.trades(spark, sf).select("seq", _r(F.col("price") * F.col("size")).alias("notional"))
+    return B.notional(X.trades(spark, sf)).select("seq", _r("notional").alias("notional"))
 
 
 #: A market event a customer, whose orders are its markets.
@@ -205,7 +205,7 @@ def rank_schema_check(spark, sf):
 
 @query("SELECT seq, market_id FROM trades WHERE timestamp_utc >= TIMESTAMP '2024-01-15'", "trades")
 def filter_start_date(spark, sf):
-    return X.trades(spark, sf).where(F.col("timestamp_utc") >= F.lit("2024-01-15").cast("timestamp")).select("seq", "market_id")
+    return B.filter_start_date(X.trades(spark, sf), "2024-01-15").select("seq", "market_id")
 
 
 @query("SELECT condition_id FROM markets WHERE created_at >= TIMESTAMP '1998-01-01'", "markets")
@@ -250,7 +250,7 @@ def filter_outcome(spark, sf):
 
 @query("SELECT timestamp_utc < TIMESTAMP '2024-01-15' AS before, count(*) AS n FROM trades GROUP BY 1", "trades")
 def split_cutoff(spark, sf):
-    return X.trades(spark, sf).groupBy((F.col("timestamp_utc") < F.lit("2024-01-15").cast("timestamp")).alias("before")).agg(F.count("*").alias("n"))
+    return B.split_cutoff(X.trades(spark, sf), "2024-01-15").groupBy("before").agg(F.count("*").alias("n"))
 
 
 @query("SELECT seq FROM articles WHERE language = 'en'", "articles")
@@ -504,7 +504,8 @@ def size_plausibility(spark, sf):
 
 @query("SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.9), 4) AS q90 FROM orders GROUP BY 1")
 def exact_quantile(spark, sf):
-    return X.table(spark, sf, "orders").groupBy("o_orderpriority").agg(_r(F.percentile("o_totalprice", F.lit(0.9)), 4).alias("q90"))
+    found = Ta.exact_quantiles(X.table(spark, sf, "orders"), ["o_orderpriority"], {"q90": (F.col("o_totalprice"), 0.9)})
+    return found.select("o_orderpriority", _r("q90", 4).alias("q90"))
 
 
 @query("SELECT condition_id, count(id) AS n_trades FROM tokens LEFT JOIN fills ON makerAssetId = asset_id OR takerAssetId = asset_id GROUP BY 1", "fills tokens")
@@ -519,7 +520,7 @@ def count_markets(spark, sf):
 
 @query("SELECT count(*) FILTER (created_at < TIMESTAMP '1998-01-01') AS rows_before FROM markets", "markets")
 def created_at_offset(spark, sf):
-    return X.markets(spark, sf).agg(F.count_if(F.col("created_at") < F.lit("1998-01-01").cast("timestamp")).alias("rows_before"))
+    return M.created_at_offset(X.markets(spark, sf), "1998-01-01")
 
 
 @query("SELECT regexp_extract(url, '^[a-z]+://(?:www\\.)?([^/?#]*)', 1) AS domain, count(*) AS n FROM articles GROUP BY 1", "articles")
@@ -708,7 +709,7 @@ def overview_series(spark, sf):
 
 @query(f"SELECT seq, {_sqlt('timestamp_utc')} AS time FROM trades", "trades")
 def sort_trades(spark, sf):
-    return X.trades(spark, sf).orderBy("timestamp_utc", "seq").select("seq", _t("timestamp_utc").alias("time"))
+    return B.sort_trades(X.trades(spark, sf)).select("seq", _t("timestamp_utc").alias("time"))
 
 
 @query("SELECT condition_id, slug FROM markets", "markets")

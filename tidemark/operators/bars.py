@@ -23,6 +23,26 @@ def clean_trades(trades: DataFrame) -> DataFrame:
     return typed.dropna(subset=["timestamp_utc", "price", "size"])
 
 
+def notional(trades: DataFrame) -> DataFrame:
+    """Adds notional, the price times the size; null without either."""
+    return trades.withColumn("notional", F.col("price") * F.col("size"))
+
+
+def filter_start_date(trades: DataFrame, start: str) -> DataFrame:
+    """Trades from a time on, itself included; those without a time go."""
+    return trades.where(F.col("timestamp_utc") >= F.lit(start).cast("timestamp"))
+
+
+def split_cutoff(trades: DataFrame, cutoff: str) -> DataFrame:
+    """Adds before: whether a trade comes before the cutoff; null without a time."""
+    return trades.withColumn("before", F.col("timestamp_utc") < F.lit(cutoff).cast("timestamp"))
+
+
+def sort_trades(trades: DataFrame) -> DataFrame:
+    """In order of time and, where times are equal, of seq."""
+    return trades.orderBy(F.col("timestamp_utc").asc_nulls_last(), "seq")
+
+
 def filter_outcome(trades: DataFrame, outcome: str) -> DataFrame:
     """Trades of one outcome, whatever its case. ValueError with the outcomes there are, if it has none."""
     wanted = outcome.strip().lower()

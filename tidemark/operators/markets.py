@@ -80,6 +80,11 @@ def _typed(df: DataFrame) -> DataFrame:
     return df.select(*[c.alias(n) for n, c in (texts | flags | times | numbers).items()])
 
 
+def created_at_offset(df: DataFrame, created_at: str) -> DataFrame:
+    """rows_before: how many markets a listing in order of creation has before that time."""
+    return df.agg(F.count_if(F.col("created_at") < F.lit(created_at).cast("timestamp")).alias("rows_before"))
+
+
 def summarize_markets(df: DataFrame) -> DataFrame:
     """One row: totals, counts by state, sums (0 of nothing) and medians (null of nothing)."""
     typed = _typed(df)

@@ -24,7 +24,7 @@ def trades_from_fills(fills: DataFrame, markets: DataFrame, start: str | None =
     """Typed trades of all markets: by asset, from a start, scaled by market, deduplicated. dedupe_key="seq" keeps equal fills of one transaction apart."""
     trades = L.normalize_fills_for_asset(fills, L.market_tokens(markets))
     if start is not None:
-        trades = trades.where(F.col("timestamp_utc") >= F.lit(start).cast("timestamp"))
+        trades = B.filter_start_date(trades, start)
     trades = L.normalize_size(cut(trades, "typed-trades"))  # read for the scale and for the result
     return dedupe_rows(trades, ["market_id", dedupe_key] if dedupe_key else ["market_id", *TRADE_COLUMNS])
 
@@ -68,8 +68,7 @@ class Report:
 def break_report(trades: DataFrame, articles: DataFrame, cutoff: str, interval: str = "1h", top: int = 5, language: str | None = "english") -> Report:
     """Every market is judged by the rules of its own liquidity after the cutoff. Statistics, bars and breaks are written once, for what reads them."""
     config = K.BreakConfig(interval=interval, low_volume_ratio=0.40, min_trades_per_interval=2, merge_gap_intervals=2)
-    after = trades.where(F.col("timestamp_utc") >= F.lit(cutoff).cast("timestamp"))
-    after = B.top_outcome(B.clean_trades(after))
+    after = B.top_outcome(B.clean_trades(B.filter_start_date(trades, cutoff)))
     stats = B.adaptive_thresholds(B.adaptive_smoothing(B.liquidity_stats(after, config.step), config.step))
     stats = cut(stats, "stats")
     rules = ["price_change_pct", "strong_price_change_pct", "volume_surge_ratio", "volume_substantial_ratio", "max_breaks"]
