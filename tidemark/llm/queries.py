@@ -16,6 +16,7 @@ from .records import read_token_records, write_token_records
 from .repetition_rules import repetition_rules
 from .shared import new_dir
 from .substring_dedup import remove_repeated_windows
+from .url_filter import Rule, filter_urls, url_host
 from .warc import read_archives, write_archives
 
 
@@ -68,5 +69,11 @@ def op7_minmax_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2).drop("text_hash")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_repetition_rules, op3_decontamination, op4_swap_packing, op5_disclosure, op6_token_records, op7_minmax_hashing, op8_revisit_archives, op9_byte_shards, op10_license_templates)}
-ORACLES = {"op1_substring_dedup": oracles.OP1, "op2_repetition_rules": oracles.OP2, "op3_decontamination": oracles.OP3, "op7_minmax_hashing": oracles.OP7, "op8_revisit_archives": oracles.OP8}
+def op11_blocked_bloom_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    listed = pages.where(url_host(F.col("url")).rlike(f"(^|\\.)({'|'.join(oracles.UNWANTED)})\\."))
+    return filter_urls(pages, listed, [Rule(*r) for r in oracles.URL_RULES])
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_repetition_rules, op3_decontamination, op4_swap_packing, op5_disclosure, op6_token_records, op7_minmax_hashing, op8_revisit_archives, op9_byte_shards, op10_license_templates, op11_blocked_bloom_urls)}
+ORACLES = {"op1_substring_dedup": oracles.OP1, "op2_repetition_rules": oracles.OP2, "op3_decontamination": oracles.OP3, "op7_minmax_hashing": oracles.OP7, "op8_revisit_archives": oracles.OP8, "op11_blocked_bloom_urls": oracles.OP11}
