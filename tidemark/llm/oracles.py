@@ -67,3 +67,43 @@ OP11 = f"""WITH u AS (SELECT page_id, url, translate(regexp_extract(coalesce(url
     listed AS (SELECT DISTINCT {_CANON} AS c FROM u WHERE regexp_matches(host, '(^|\\.)({"|".join(UNWANTED)})\\.'))
     SELECT page_id, host, path, CASE {" ".join(f.format(h + p) for f, (_, h, p) in zip(_FITS, _RULES, strict=True))} END AS rule,
     CASE {" ".join(f.format(v) for f, (v, _, _) in zip(_FITS, _RULES, strict=True))} WHEN {_CANON} IN (SELECT c FROM listed) THEN 'block' ELSE 'allow' END AS verdict FROM u"""
+
+#: CRC-32 of an ASCII text, bit by bit: each byte comes in with its first bit.
+_CRC = "xor(4294967295, list_reduce(flatten(list_transform(string_split({t}, ''), lambda x: [ascii(x), 0, 0, 0, 0, 0, 0, 0])), lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295))"
+
+
+def _field(c: str) -> str:
+    return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+
+
+def _tree(levels: int, name: str, nodes: str) -> str:
+    """CTEs {name}1, {name}2, ...: the runs of each level (key, p, all nodes, whether one node is all there is). nodes: key, p, node."""
+    out = []
+    for k in range(levels):
+        below = nodes if k == 0 else f"(SELECT key, p, CASE WHEN lone THEN nodes[1] ELSE sha256(array_to_string(nodes, '')) END AS node FROM {name}{k})"
+        out.append(f"{name}{k + 1} AS (SELECT key, p // 16 AS p, list(node ORDER BY p) AS nodes, p // 16 = 0 AND count(*) = 1 AS lone FROM {below} GROUP BY key, p // 16)")
+    return ", ".join(out)
+
+
+def _folded(levels: int, name: str, tree: str, start: str) -> str:
+    """CTEs {name}1, ...: row by row up that tree. start: id columns, key, p, proof (siblings so far), cur (the folded node)."""
+    out = []
+    for k in range(levels):
+        out.append(f"""{name}{k + 1} AS (SELECT f.* REPLACE (f.p // 16 AS p, proof || CASE WHEN lone THEN '' ELSE array_to_string(nodes[:f.p % 16], '') || array_to_string(nodes[f.p % 16 + 2:], '') END AS proof,
+    CASE WHEN lone THEN cur ELSE sha256(array_to_string(nodes[:f.p % 16], '') || cur || array_to_string(nodes[f.p % 16 + 2:], '')) END AS cur) FROM {start if k == 0 else f'{name}{k}'} f JOIN {tree}{k + 1} t ON f.key = t.key AND f.p // 16 = t.p)""")
+    return ", ".join(out)
+
+
+#: Holds for up to 16 ** 5 rows a source and 16 ** 4 sources.
+OP12 = f"""WITH d AS (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, {_CRC.format(t="CAST(doc_id AS VARCHAR)")} % 5 = 0 AS tampered FROM documents),
+    l AS (SELECT doc_id, coalesce('+' || source, '') AS key, sha256({" || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS leaf,
+    sha256({" || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))} || CASE WHEN tampered THEN {_field("low")} ELSE {_field("text")} END) AS cur FROM d),
+    n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, leaf) - 1 AS p FROM l),
+    {_tree(5, "t", "(SELECT key, p, leaf AS node FROM n)")},
+    r AS (SELECT key AS source_key, '' AS key, row_number() OVER (ORDER BY key) - 1 AS p, CASE WHEN lone THEN nodes[1] ELSE sha256(array_to_string(nodes, '')) END AS node FROM t5),
+    {_tree(4, "u", "(SELECT key, p, node FROM r)")},
+    top AS (SELECT CASE WHEN lone THEN nodes[1] ELSE sha256(array_to_string(nodes, '')) END AS root FROM u4),
+    {_folded(5, "a", "t", "(SELECT doc_id, leaf, key, p, '' AS proof, cur FROM n)")},
+    m AS (SELECT doc_id, leaf, r.node AS subroot, '' AS key, r.p AS p, proof, cur FROM a5 JOIN r ON a5.key = r.source_key),
+    {_folded(4, "b", "u", "m")}
+    SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = root AS verified FROM b4, top"""

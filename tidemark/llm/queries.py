@@ -10,6 +10,7 @@ from .byte_shards import byte_shards
 from .decontaminate import decontaminate
 from .disclosure import sanitise
 from .license_templates import license_scan
+from .merkle import FIELDS, fold, leaf_digest, merkle_manifest, proof_digest
 from .near_duplicates import near_duplicates
 from .packing import pack
 from .records import read_token_records, write_token_records
@@ -75,5 +76,14 @@ def op11_blocked_bloom_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, listed, [Rule(*r) for r in oracles.URL_RULES])
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_repetition_rules, op3_decontamination, op4_swap_packing, op5_disclosure, op6_token_records, op7_minmax_hashing, op8_revisit_archives, op9_byte_shards, op10_license_templates, op11_blocked_bloom_urls)}
-ORACLES = {"op1_substring_dedup": oracles.OP1, "op2_repetition_rules": oracles.OP2, "op3_decontamination": oracles.OP3, "op7_minmax_hashing": oracles.OP7, "op8_revisit_archives": oracles.OP8, "op11_blocked_bloom_urls": oracles.OP11}
+def op12_slot_pivot_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    copy = [F.col(c) if c != "text" else F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz") for c in FIELDS]
+    proofs = merkle_manifest(_table(spark, sf_dir, "documents"), carry={"claimed": F.when(tampered, leaf_digest(copy))}).proofs
+    folded = fold(F.col("path"), F.coalesce("claimed", "leaf"))
+    out = proofs.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_repetition_rules, op3_decontamination, op4_swap_packing, op5_disclosure, op6_token_records, op7_minmax_hashing, op8_revisit_archives, op9_byte_shards, op10_license_templates, op11_blocked_bloom_urls, op12_slot_pivot_manifest)}
+ORACLES = {"op1_substring_dedup": oracles.OP1, "op2_repetition_rules": oracles.OP2, "op3_decontamination": oracles.OP3, "op7_minmax_hashing": oracles.OP7, "op8_revisit_archives": oracles.OP8, "op11_blocked_bloom_urls": oracles.OP11, "op12_slot_pivot_manifest": oracles.OP12}
