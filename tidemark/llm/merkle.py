@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .places import with_places
-from .shared import cut, partitions
+from .places import with_group_places, with_places
+from .shared import cut
 
 FANOUT = 16
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -67,7 +67,7 @@ def merkle_manifest(docs: DataFrame, fields: Sequence[str] = FIELDS, id_col: str
         F.when(own.isNull(), "").otherwise(F.concat(F.lit("+"), own)).alias("tree"), F.col(f"`{id_col}`").alias("id"),
         leaf_digest([F.col(f"`{c}`") for c in fields]).alias("node"), F.struct(F.lit(0).alias("_"), *[c.alias(n) for n, c in carry.items()]).alias("carried"),
     )
-    levels = _climb(_placed(cut(rows, "leaves")), fanout, ("node", "id", "carried"))
+    levels = _climb(with_group_places(cut(rows, "leaves"), "tree", ("id", "node")), fanout, ("node", "id", "carried"))
     subroots = cut(_tops(levels), "subroots")
     over = with_places(subroots, ("tree",)).select(F.lit("").alias("tree"), "place", "node", F.col("tree").alias("group"))
     over_levels = _climb(over, fanout, ("node", "group"))
@@ -79,17 +79,6 @@ def merkle_manifest(docs: DataFrame, fields: Sequence[str] = FIELDS, id_col: str
     return Manifest(_nodes(levels, False, fanout).unionByName(_nodes(over_levels, True, fanout)), proofs)
 
 
-def _placed(rows: DataFrame) -> DataFrame:
-    """tree, place (from 0 within the tree, by id and node) and the other columns."""
-    ranged = cut(rows.repartitionByRange(partitions(rows.sparkSession), "tree", "id", "node").withColumn("part", F.spark_partition_id()), "ranged")
-    counts = ranged.groupBy("part", "tree").agg(F.count("*").alias("n"))
-    earlier = F.sum("n").over(Window.partitionBy("tree").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    before = counts.withColumn("before", earlier).where("before > 0").drop("n")  # one row a partition at most: only its first tree began earlier
-    inside = Window.partitionBy("part", "tree").orderBy("id", "node")
-    numbered = ranged.withColumn("row", F.row_number().over(inside)).join(F.broadcast(before), ["part", "tree"], "left")
-    return numbered.withColumn("place", (F.coalesce("before", F.lit(0)) + F.col("row") - 1).cast("long")).drop("part", "row", "before")
-
-
 #: A node without siblings at place 0 has none at all: it is its tree's top and isn't hashed again.
 _LONE = "place = 0 AND c1 IS NULL"
 

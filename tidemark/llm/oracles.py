@@ -107,3 +107,16 @@ OP12 = f"""WITH d AS (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'a
     m AS (SELECT doc_id, leaf, r.node AS subroot, '' AS key, r.p AS p, proof, cur FROM a5 JOIN r ON a5.key = r.source_key),
     {_folded(4, "b", "u", "m")}
     SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = root AS verified FROM b4, top"""
+
+OP13 = rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format(c='text')}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+    g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS t FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS m))),
+    f AS (SELECT lang, m, t, count(*) AS f FROM g GROUP BY ALL),
+    n AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+    c AS (SELECT lang, m, t, f AS a, string_split(t, ' ') AS x FROM f WHERE m > 1 AND f >= 10),
+    s AS (SELECT c.lang, c.t, c.a, k, l.f AS l, r.f AS r, CAST(1000000 AS HUGEINT) * a * a // (CAST(l.f AS HUGEINT) * r.f) AS score
+    FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c JOIN f l ON l.lang = c.lang AND l.t = array_to_string(x[:k], ' ') JOIN f r ON r.lang = c.lang AND r.t = array_to_string(x[k + 1:], ' ')),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, t ORDER BY score, k) = 1),
+    gone AS (SELECT DISTINCT i.lang, i.t FROM (SELECT lang, a, unnest([array_to_string(x[1:2], ' '), array_to_string(x[2:3], ' ')]) AS t FROM c WHERE m = 3) o JOIN c i ON i.lang = o.lang AND i.t = o.t WHERE 100 * o.a >= 50 * i.a)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, t) AS rank, t AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+    FROM b ANTI JOIN gone USING (lang, t) JOIN n USING (lang) QUALIFY rank <= 2000"""

@@ -1,4 +1,4 @@
-"""Every row's place in a global order, by totals of range partitions."""
+"""Every row's place in a global order, or in the order of its group, by totals of range partitions."""
 
 from __future__ import annotations
 
@@ -30,3 +30,17 @@ def with_places(df: DataFrame, order: tuple[str, ...], weight: str | None = None
     if weight:
         return placed.withColumn("before", F.col("sum_before") + F.col("upto") - F.col(weight)).drop("part", "upto", "rows", "sum_before", "rows_before")
     return placed.drop("part", "upto", "rows", "sum_before", "rows_before", "total")
+
+
+def with_group_places(df: DataFrame, group: str, order: tuple[str, ...]) -> DataFrame:
+    """Adds place (from 0) within the group in the order of those columns. group: a column without nulls.
+
+    Rows are range-partitioned by group and order, so that a group of any size is split; rows of a partition's first group
+    count on from the partitions before, of which there is one row a partition at most.
+    """
+    ranged = cut(df.repartitionByRange(partitions(df.sparkSession), group, *order).withColumn("part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("part", group).agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.withColumn("before", earlier).where("before > 0").drop("n")
+    numbered = ranged.withColumn("row", F.row_number().over(Window.partitionBy("part", group).orderBy(*order))).join(F.broadcast(before), ["part", group], "left")
+    return numbered.withColumn("place", (F.coalesce("before", F.lit(0)) + F.col("row") - 1).cast("long")).drop("part", "row", "before")

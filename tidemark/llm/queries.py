@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .byte_shards import byte_shards
+from .collocations import collocations
 from .decontaminate import decontaminate
 from .disclosure import sanitise
 from .license_templates import license_scan
@@ -85,5 +86,9 @@ def op12_slot_pivot_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_repetition_rules, op3_decontamination, op4_swap_packing, op5_disclosure, op6_token_records, op7_minmax_hashing, op8_revisit_archives, op9_byte_shards, op10_license_templates, op11_blocked_bloom_urls, op12_slot_pivot_manifest)}
-ORACLES = {"op1_substring_dedup": oracles.OP1, "op2_repetition_rules": oracles.OP2, "op3_decontamination": oracles.OP3, "op7_minmax_hashing": oracles.OP7, "op8_revisit_archives": oracles.OP8, "op11_blocked_bloom_urls": oracles.OP11, "op12_slot_pivot_manifest": oracles.OP12}
+def op13_count_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_repetition_rules, op3_decontamination, op4_swap_packing, op5_disclosure, op6_token_records, op7_minmax_hashing, op8_revisit_archives, op9_byte_shards, op10_license_templates, op11_blocked_bloom_urls, op12_slot_pivot_manifest, op13_count_automata)}
+ORACLES = {"op1_substring_dedup": oracles.OP1, "op2_repetition_rules": oracles.OP2, "op3_decontamination": oracles.OP3, "op7_minmax_hashing": oracles.OP7, "op8_revisit_archives": oracles.OP8, "op11_blocked_bloom_urls": oracles.OP11, "op12_slot_pivot_manifest": oracles.OP12, "op13_count_automata": oracles.OP13}

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -34,12 +35,12 @@ BATCH_ROWS = 2_000
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
     """For the jobs run inside; the session's setting comes back after them."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     given = spark.conf.get(name)
-    if not 0 < int(given) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    if not 0 < int(given) <= rows:
+        spark.conf.set(name, rows)
     try:
         yield
     finally:
@@ -57,3 +58,20 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Rows up to which a counted table goes out to all executors.
+BROADCAST_ROWS = 100_000
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """rows with the columns of table, which has one row for each of the keys that occur. By broadcast if table was counted
+    to be small; else by a shuffle, in which keys of very many rows, a few for each partition at most, are broadcast.
+    """
+    if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return rows.join(F.broadcast(table), keys)
+    counts = cut(rows.groupBy(*keys).agg(F.count("*").alias("__n")), "counts")
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    hot = counts.where(F.col("__n") > max(1, total // (4 * partitions(rows.sparkSession)))).select(*keys)
+    hot_rows = rows.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(table.join(F.broadcast(hot), keys, "left_semi")), keys)
+    return hot_rows.unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(table, keys))
