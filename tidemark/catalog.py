@@ -193,11 +193,19 @@ def select_existing(spark, sf):
     return Ta.select_existing(X.table(spark, sf, "orders"), ["o_orderkey", "absent", "o_orderstatus"], fill=True)
 
 
-@query("SELECT count(*) AS n FROM markets", "markets")
+@query(
+    """SELECT field, c AS column_name, (SELECT count(*) FILTER (CASE c WHEN 'condition_id' THEN condition_id IS NOT NULL WHEN 'question' THEN question IS NOT NULL WHEN 'liquidity' THEN liquidity IS NOT NULL
+    WHEN 'volume24hr' THEN volume24hr IS NOT NULL ELSE spread IS NOT NULL END) FROM markets) AS n_present
+    FROM (VALUES ('identifier', 'condition_id'), ('question', 'question'), ('liquidity', 'liquidity'), ('volume_24h', 'volume24hr'), ('spread', 'spread')) t(field, c)""",
+    "markets",
+)
 def rank_schema_check(spark, sf):
+    """The columns that the check finds, with the count of their values."""
     markets = X.markets(spark, sf)
-    M.rank_schema_check(markets)
-    return markets.agg(F.count("*").alias("n"))
+    found = M.rank_schema_check(markets)
+    counted = markets.agg(*[F.count(c).alias(f) for f, c in found])
+    names = {f: c for f, c in found}
+    return counted.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(c).alias("column_name"), F.col(f).alias("n_present")) for f, c in names.items()])).alias("x")).select("x.*")
 
 
 # Filters
@@ -291,10 +299,27 @@ def lookup_market(spark, sf):
     return M.lookup_market(X.markets(spark, sf), wanted).select("condition_id", "slug", "active")
 
 
-@query("SELECT 'https://host.example/market/order-' || o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN '-77' ELSE '' END || '?tid=1' AS url, 'order-' || o_orderkey AS slug, CAST(o_orderkey AS VARCHAR) AS condition_id FROM orders")
+_URL_EVENTS = """custs AS (SELECT o_custkey, CASE WHEN o_custkey % 7 = 1 THEN NULL WHEN o_custkey % 7 = 2 THEN [] ELSE list(o_orderkey ORDER BY o_orderkey) END AS keys FROM orders GROUP BY 1)"""
+
+
+@query(
+    f"""WITH {_URL_EVENTS} SELECT 'https://host.example/market/order-' || o_orderkey || CASE WHEN o_orderkey % 8 = 0 THEN '-77' ELSE '' END || '?tid=1' AS url, 'market' AS kind, 'order-' || o_orderkey AS slug, 0 AS pos,
+    'order-' || o_orderkey AS market_slug, CAST(o_orderkey AS VARCHAR) AS condition_id, 'ok' AS status FROM orders WHERE o_orderkey % 4 = 0
+    UNION ALL SELECT 'https://host.example/event/cust-' || o_custkey || CASE WHEN o_orderkey % 8 = 1 THEN '-77' ELSE '' END || '?tid=' || o_orderkey, 'event', CASE WHEN keys IS NOT NULL THEN 'cust-' || o_custkey END, p, 'order-' || k,
+    CASE WHEN k % 5 > 0 THEN '0x' || k END, CASE WHEN keys IS NULL THEN 'no list of markets' WHEN k IS NULL THEN 'no markets' WHEN k % 5 = 0 THEN 'no condition id' ELSE 'ok' END
+    FROM orders JOIN custs USING (o_custkey) LEFT JOIN (SELECT o_custkey, unnest(keys) AS k, unnest(range(len(keys))) AS p FROM custs) USING (o_custkey) WHERE o_orderkey % 4 = 1
+    UNION ALL SELECT 'https://host.example/event/order-' || o_orderkey, 'event', NULL, NULL, NULL, NULL, 'not found' FROM orders WHERE o_orderkey % 4 = 2
+    UNION ALL SELECT 'https://host.example/profile/order-' || o_orderkey, NULL, NULL, NULL, NULL, NULL, 'no market or event page' FROM orders WHERE o_orderkey % 4 = 3"""
+)
 def resolve_url_markets(spark, sf):
-    urls = X.table(spark, sf, "orders").select(F.concat(F.lit("https://host.example/market/order-"), F.col("o_orderkey"), F.when(F.col("o_orderkey") % 2 == 0, "-77").otherwise(""), F.lit("?tid=1")).alias("url"))
-    return M.resolve_url_markets(urls, X.markets(spark, sf)).select("url", "slug", "condition_id")
+    orders, key = X.table(spark, sf, "orders"), F.col("o_orderkey")
+    market = F.struct(F.concat(F.lit("order-"), key).alias("slug"), F.when(key % 5 > 0, F.concat(F.lit("0x"), key)).alias("condition_id"), key.alias("k"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", market.alias("m")))), lambda x: x["m"])
+    events = orders.groupBy("o_custkey").agg(listed.alias("m")).select(F.concat(F.lit("cust-"), "o_custkey").alias("slug"), F.when(F.col("o_custkey") % 7 == 2, F.slice("m", 1, 0)).when(F.col("o_custkey") % 7 != 1, F.col("m")).alias("markets"))
+    more = F.when(key % 8 < 2, "-77").otherwise("")
+    path = F.when(key % 4 == 0, F.concat(F.lit("market/order-"), key, more, F.lit("?tid=1"))).when(key % 4 == 1, F.concat(F.lit("event/cust-"), "o_custkey", more, F.lit("?tid="), key))
+    path = path.when(key % 4 == 2, F.concat(F.lit("event/order-"), key)).otherwise(F.concat(F.lit("profile/order-"), key))
+    return M.resolve_url_markets(orders.select(F.concat(F.lit("https://host.example/"), path).alias("url")), X.markets(spark, sf), events)
 
 
 @query("SELECT o_custkey AS event, 'ok' AS status, '0x' || min(o_orderkey) AS condition_id FROM orders GROUP BY o_custkey")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..functions.values import number
+from ..scratch import cut
+from .series import ewma_by_segments, filled_forward, lagged
 from .tables import exact_quantiles
 
 KEYS = ("market_id", "outcome")
@@ -38,9 +40,10 @@ def split_cutoff(trades: DataFrame, cutoff: str) -> DataFrame:
     return trades.withColumn("before", F.col("timestamp_utc") < F.lit(cutoff).cast("timestamp"))
 
 
-def sort_trades(trades: DataFrame) -> DataFrame:
-    """In order of time and, where times are equal, of seq."""
-    return trades.orderBy(F.col("timestamp_utc").asc_nulls_last(), "seq")
+def sort_trades(trades: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """In order of the keys, then of time and, where times are equal, of the transaction, if there is one, and of seq."""
+    order = [F.col(c) for c in ("transaction_hash", "seq") if c in trades.columns] if keys else [F.col("seq")]
+    return trades.orderBy(*keys, F.col("timestamp_utc").asc_nulls_last(), *order)
 
 
 def filter_outcome(trades: DataFrame, outcome: str) -> DataFrame:
@@ -70,16 +73,24 @@ def with_bar_start(trades: DataFrame, step: int, keys: Sequence[str]) -> DataFra
     return placed.withColumn("bar_start", F.timestamp_seconds(F.col("__origin") + F.floor((second - F.col("__origin")) / step) * step)).drop("__origin")
 
 
-def fill_bars(bars: DataFrame, step: int, keys: Sequence[str], zeros: Sequence[str], most_bars: int = 5_000_000) -> DataFrame:
-    """Adds the empty bars between a key's first and last: each bar makes those up to the next one, with no second pass or join."""
-    ahead = F.lead("bar_start").over(Window.partitionBy(*keys).orderBy("bar_start"))
-    last = F.coalesce(ahead - F.expr(f"INTERVAL {step} SECONDS"), F.col("bar_start"))
-    gap = (F.unix_timestamp(last) - F.unix_timestamp("bar_start")) / step
-    starts = F.when(gap > most_bars, F.raise_error(F.lit("too many empty bars between two trades; take a longer interval"))).otherwise(F.sequence("bar_start", last, F.expr(f"INTERVAL {step} SECONDS")))
-    spread = bars.withColumn("__starts", starts).withColumn("__at", F.explode("__starts"))
-    here = F.col("__at") == F.col("bar_start")
+#: Empty bars that one row makes; longer gaps are made of several.
+CHUNK = 100_000
+
+
+def fill_bars(bars: DataFrame, step: int, keys: Sequence[str], zeros: Sequence[str], most_bars: int | None = None) -> DataFrame:
+    """Adds the empty bars between a key's first and last: each bar makes those up to the next one, with no second pass or join.
+
+    A gap is cut into chunks before its bars are made, so no row holds a long one. most_bars: an error for gaps of more.
+    """
+    ahead = F.lead(F.unix_seconds("bar_start")).over(Window.partitionBy(*keys).orderBy("bar_start"))
+    n = F.coalesce(F.floor((ahead - F.unix_seconds("bar_start")) / step), F.lit(1))
+    if most_bars is not None:
+        n = F.when(n - 1 > most_bars, F.raise_error(F.lit("too many empty bars between two trades; take a longer interval")).cast("bigint")).otherwise(n)
+    spread = bars.withColumn("__n", n).withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__n") - 1) / CHUNK))))
+    spread = spread.withColumn("__k", F.explode(F.sequence(F.col("__chunk") * CHUNK, F.least(F.col("__chunk") * CHUNK + CHUNK, "__n") - 1)))
+    here = F.col("__k") == 0
     out = [F.when(here, F.col(c)).otherwise(F.lit(0)).cast(bars.schema[c].dataType).alias(c) if c in zeros else F.when(here, F.col(c)).alias(c) for c in bars.columns if c not in (*keys, "bar_start")]
-    return spread.select(*keys, F.col("__at").alias("bar_start"), *out)
+    return spread.select(*keys, F.timestamp_seconds(F.unix_seconds("bar_start") + F.col("__k") * step).alias("bar_start"), *out)
 
 
 def ohlc_bars(trades: DataFrame, step: int, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -157,9 +168,19 @@ def volume_flags(bars: DataFrame, substantial: float | Column = 0.8, low: float
 BLOCK_DECAY = 300.0
 
 
-def ewma(df: DataFrame, column: str, span: int, out: str, keys: Sequence[str] = KEYS, order: str = "bar_start") -> DataFrame:
+def fill_forward(df: DataFrame, column: str, out: str, keys: Sequence[str] = KEYS, order: str = "bar_start", segments: int | None = None) -> DataFrame:
+    """Adds the last value up to each row that isn't null; segments as for ewma."""
+    if segments:
+        return filled_forward(df, column, out, keys, [order], segments)
+    return df.withColumn(out, F.last(column, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def ewma(df: DataFrame, column: str, span: int, out: str, keys: Sequence[str] = KEYS, order: str = "bar_start", segments: int | None = None) -> DataFrame:
     """Exponentially weighted mean with weight a = 2 / (span + 1) on the newest value.
 
+    Without segments a key's rows are one task's, which suits many keys; with a number of them rows are split by key and
+    order into so many range partitions, however few keys there are.
+
     Leading nulls stay null, later ones keep the mean, and the old mean's weight goes on falling by (1 - a) with every
     row in between, missing or not: the mean after k rows is (q m + a x) / (q + a) with q = (1 - a) ** k.
 
@@ -167,6 +188,8 @@ def ewma(df: DataFrame, column: str, span: int, out: str, keys: Sequence[str] =
     old mean's shares, a value's weight in a later mean is exp of the difference in L. Sums of value / exp(L) would
     overflow, so L is counted from the start of blocks of BLOCK_DECAY; a block and the one before it are all that weighs.
     """
+    if segments:
+        return ewma_by_segments(df, column, span, out, keys, [order], segments, BLOCK_DECAY)
     a = 2 / (span + 1)
     series = Window.partitionBy(*keys).orderBy(order)
     upto, before = series.rowsBetween(Window.unboundedPreceding, 0), series.rowsBetween(Window.unboundedPreceding, -1)
@@ -194,17 +217,25 @@ def ewma(df: DataFrame, column: str, span: int, out: str, keys: Sequence[str] =
     return rows.drop("__v", "__n", "__was", "__share", "__log", "__block", "__in", "__sum", "__last", "__last_block", "__held")
 
 
-def inter_trade_seconds(trades: DataFrame, keys: Sequence[str] = ("market_id",)) -> DataFrame:
-    before = F.lag(F.unix_micros("timestamp_utc")).over(Window.partitionBy(*keys).orderBy("timestamp_utc", "seq"))
-    return trades.withColumn("inter_trade_seconds", (F.unix_micros("timestamp_utc") - before) / 1_000_000)
+def inter_trade_seconds(trades: DataFrame, keys: Sequence[str] = ("market_id",), segments: int | None = None) -> DataFrame:
+    """Adds the seconds since the key's trade before, null for its first; segments as for ewma."""
+    at = F.unix_micros("timestamp_utc")
+    if segments:
+        rows = lagged(trades, at, "__before", keys, ["timestamp_utc", "seq"], segments)
+    else:
+        rows = trades.withColumn("__before", F.lag(at).over(Window.partitionBy(*keys).orderBy("timestamp_utc", "seq")))
+    return rows.withColumn("inter_trade_seconds", (at - F.col("__before")) / 1_000_000).drop("__before")
 
 
 def liquidity_stats(trades: DataFrame, step: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """One row a key: means and medians of USD volume and trades an interval, and of seconds between trades."""
-    buckets = usd_volume_buckets(trades, step, keys)
+    """One row a key: means and medians of USD volume and trades an interval, and of seconds between trades.
+
+    Buckets and gaps are written once each; the means and the passes of the medians read them.
+    """
+    buckets = cut(usd_volume_buckets(trades, step, keys).select(*keys, "usd_volume", "n_trades"), "buckets")
     means = buckets.groupBy(*keys).agg(F.avg("usd_volume").alias("mean_usd_volume"), F.avg("n_trades").alias("mean_trades"))
     medians = exact_quantiles(buckets, keys, {"median_usd_volume": (F.col("usd_volume"), 0.5), "median_trades": (F.col("n_trades"), 0.5)})
-    gaps, gap = inter_trade_seconds(trades, keys), F.col("inter_trade_seconds")
+    gaps, gap = cut(inter_trade_seconds(trades, keys).select(*keys, "inter_trade_seconds"), "gaps"), F.col("inter_trade_seconds")
     gap_means = gaps.groupBy(*keys).agg(F.avg(gap).alias("mean_gap"))
     gap_medians = exact_quantiles(gaps, keys, {"median_gap_raw": (gap, 0.5), "median_gap_nonzero": (F.when(gap > 0, gap), 0.5)})
     return means.join(medians, list(keys), "left").join(gap_means, list(keys)).join(gap_medians, list(keys), "left")

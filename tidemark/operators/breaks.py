@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import parse_span
+from ..scratch import cut
 from . import bars as B
+from .tables import exact_quantiles
 
 
 @dataclass(frozen=True)
@@ -73,22 +75,53 @@ def merge_neighbors(bars: DataFrame, gap: int = 1, keys: Sequence[str] = B.KEYS)
     return grouped.withColumn("__best", best).where("__best = 1").drop("__at", "__apart", "__cluster", "__best")
 
 
-def radius_nms(breaks: DataFrame, radius: int | None, keys: Sequence[str] = B.KEYS) -> DataFrame:
-    """Keeps a break if it is farther than radius seconds from every stronger one kept.
+#: Breaks of a run without a longer gap up to which it is thinned in one row; longer runs are thinned in rounds.
+FOLD = 256
 
-    Breaks in a row with gaps over the radius can't affect each other, so the greedy choice runs inside the islands
-    between such gaps.
+
+def radius_nms(breaks: DataFrame, radius: int | None, keys: Sequence[str] = B.KEYS, fold: int = FOLD) -> DataFrame:
+    """Keeps a break if it is farther than radius seconds from every stronger one kept; a missing value is the weakest.
+
+    Time is cut into buckets of the radius, so a break can only meet those of its own bucket and the two beside it, and a
+    bucket keeps one at most. Runs of buckets with a break each, of fold breaks at most, are thinned in a row each. In longer
+    ones the buckets' strongest breaks that no stronger one left is near to are kept, their neighbours go, and so on while
+    any are left: each round is a table. The rounds grow with the longest chain of ever stronger neighbours.
     """
     if not radius or radius <= 0:
         return breaks
-    series = Window.partitionBy(*keys).orderBy("bar_start")
-    far = F.coalesce((F.unix_micros("bar_start") - F.unix_micros(F.lag("bar_start").over(series)) > radius * 1_000_000).cast("int"), F.lit(0))
-    islands = breaks.withColumn("__far", far).withColumn("__island", F.sum("__far").over(series))
-    entry = F.struct((-F.col("break_score")).alias("s"), (-F.col("abs_price_return_pct")).alias("r"), (-F.col("volume_ratio_signal")).alias("v"), F.unix_micros("bar_start").alias("t"))
-    ranked = islands.groupBy(*keys, "__island").agg(F.array_sort(F.collect_list(entry)).alias("x"))
-    kept = F.aggregate("x", F.array().cast("array<bigint>"), lambda acc, e: F.when(F.exists(acc, lambda t: F.abs(t - e["t"]) <= radius * 1_000_000), acc).otherwise(F.array_append(acc, e["t"])))
-    times = ranked.select(*keys, F.explode(kept).alias("__t")).withColumn("bar_start", F.timestamp_micros("__t")).drop("__t")
-    return breaks.join(times, [*keys, "bar_start"], "left_semi")
+    t = F.unix_micros("bar_start")
+    key = F.struct(*[F.col(k) for k in keys]).alias("key")
+    value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("-inf")))
+    strength = F.struct(value("break_score").alias("s"), value("abs_price_return_pct").alias("r"), value("volume_ratio_signal").alias("v"), (-t).alias("t"))
+    held = cut(breaks, "breaks")
+    left = held.select(key, F.floor(t / (radius * 1_000_000)).alias("bucket"), t.alias("t"), strength.alias("x"))
+    by_key = Window.partitionBy("key").orderBy("bucket")
+    runs = left.groupBy("key", "bucket").agg(F.count("*").alias("n")).withColumn("far", F.coalesce((F.col("bucket") - F.lag("bucket").over(by_key) > 1).cast("int"), F.lit(0)))
+    runs = runs.withColumn("run", F.sum("far").over(by_key)).withColumn("n", F.sum("n").over(Window.partitionBy("key", "run")))
+    left = cut(left.join(runs.select("key", "bucket", "run", "n"), ["key", "bucket"]), "runs")
+    near = lambda a, b: F.abs(a - b) <= radius * 1_000_000
+    ranked = left.where(F.col("n") <= fold).groupBy("key", "run").agg(F.reverse(F.array_sort(F.collect_list("x"))).alias("x"))
+    first = F.aggregate("x", F.array().cast("array<bigint>"), lambda acc, e: F.when(F.exists(acc, lambda s: near(s, -e["t"])), acc).otherwise(F.array_append(acc, -e["t"])))
+    kept = ranked.select("key", F.explode(first).alias("t"))
+    left = left.where(F.col("n") > fold).select("key", "bucket", "t", "x")
+    while not left.isEmpty():
+        best = left.groupBy("key", "bucket").agg(F.max("x").alias("x"))
+        beside = best.select("key", F.explode(F.array(F.col("bucket") - 1, F.col("bucket") + 1)).alias("bucket"), F.col("bucket").alias("own"), F.col("x").alias("mine"))
+        beaten = left.join(beside, ["key", "bucket"]).where((F.col("x") > F.col("mine")) & near(F.col("t"), -F.col("mine.t"))).select("key", F.col("own").alias("bucket")).distinct()
+        won = cut(best.join(beaten, ["key", "bucket"], "left_anti").select("key", "bucket", (-F.col("x.t")).alias("won")), "won")
+        around = won.select("key", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("b"), "won").withColumnRenamed("key", "k")
+        left = cut(left.join(around, (F.col("key") == F.col("k")) & (F.col("bucket") == F.col("b")) & near(F.col("t"), F.col("won")), "left_anti"), "left")
+        kept = kept.unionByName(won.select("key", F.col("won").alias("t")))
+    times = kept.select(*[F.col("key").getField(k).alias(k) for k in keys], F.timestamp_micros("t").alias("bar_start"))
+    same = [held[c].eqNullSafe(times[c]) for c in (*keys, "bar_start")]
+    return held.join(times, _all(same), "left_semi")
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out &= c
+    return out
 
 
 def _strongest(keys: Sequence[str]):
@@ -122,14 +155,18 @@ STATS = {"score_min": 0.0, "score_q50": 0.5, "score_q75": 0.75, "score_q90": 0.9
 
 
 def score_stats(breaks: DataFrame, keys: Sequence[str] = B.KEYS) -> DataFrame:
-    q = F.percentile("break_score", F.array(*[F.lit(v) for v in STATS.values()]))
-    return breaks.groupBy(*keys).agg(q.alias("__q")).select(*keys, *[F.col("__q")[k].alias(name) for k, name in enumerate(STATS)])
+    """Quantiles of the scores of each key, by selection; a key without a score has no row."""
+    return exact_quantiles(breaks, keys, {name: (F.col("break_score"), f) for name, f in STATS.items()})
 
 
 def score_histogram(breaks: DataFrame, bins: int = 60) -> DataFrame:
-    """Counts of scores in equal bins up to the 99.5 % quantile (the largest score where that isn't above 0); higher ones go to the last bin."""
-    limits = breaks.agg(F.struct(F.min("break_score").alias("low"), F.percentile("break_score", F.lit(0.995)).alias("q"), F.max("break_score").alias("most")))
-    held = breaks.where("break_score IS NOT NULL").withColumn("limits", limits.scalar())
+    """Counts of scores in equal bins up to the 99.5 % quantile (the largest score where that isn't above 0); higher ones go to the last bin.
+
+    The scores are written once, for the limits and the counts.
+    """
+    held = cut(breaks.select("break_score").where("break_score IS NOT NULL"), "scores")
+    ends = exact_quantiles(held, [], {"low": (F.col("break_score"), 0.0), "q": (F.col("break_score"), 0.995), "most": (F.col("break_score"), 1.0)})
+    held = held.withColumn("limits", ends.select(F.struct("low", "q", "most")).scalar())
     held = held.withColumns({"low": F.col("limits.low"), "high": F.when(F.col("limits.q") > 0, F.col("limits.q")).otherwise(F.col("limits.most"))})
     place = F.when(F.col("high") == F.col("low"), 0).otherwise(F.least(F.lit(bins - 1), F.floor((F.least("break_score", "high") - F.col("low")) / (F.col("high") - F.col("low")) * bins)))
     return held.groupBy(place.cast("int").alias("bin")).agg(F.count("*").alias("n"), F.count_if(F.col("break_score") > F.col("high")).alias("n_above"))
@@ -137,7 +174,7 @@ def score_histogram(breaks: DataFrame, bins: int = 60) -> DataFrame:
 
 @dataclass
 class Breaks:
-    """All lazy: bars, candidates (before the cap), breaks (after it) and a summary row a key."""
+    """bars (a table), candidates (before the cap), breaks (after it) and a summary row a key."""
 
     bars: DataFrame
     candidates: DataFrame
@@ -159,7 +196,7 @@ def break_bars(trades: DataFrame, c: BreakConfig, keys: Sequence[str] = B.KEYS)
 
 def detect_breaks(trades: DataFrame, c: BreakConfig | None = None, keys: Sequence[str] = B.KEYS) -> Breaks:
     c = c or BreakConfig()
-    bars = break_bars(trades, c, keys)
+    bars = cut(break_bars(trades, c, keys), "bars")  # read for the breaks and, more than once, for the summary
     found = merge_neighbors(bars, c.merge_gap_intervals, keys) if c.merge_consecutive_breaks else bars.where("is_break")
     if c.min_break_score is not None:
         found = found.where(F.col("break_score") >= c.min_break_score)
@@ -170,8 +207,8 @@ def detect_breaks(trades: DataFrame, c: BreakConfig | None = None, keys: Sequenc
 
 def break_summary(bars: DataFrame, candidates: DataFrame, breaks: DataFrame, c: BreakConfig, keys: Sequence[str] = B.KEYS) -> DataFrame:
     """One row a key: counts, the rules, the threshold, medians and score quantiles."""
-    half = F.lit(0.5)
-    base = bars.groupBy(*keys).agg(F.count("*").alias("n_intervals"), F.percentile("abs_price_return_pct", half).alias("median_abs_return_pct"), F.percentile("volume_ratio", half).alias("median_volume_ratio"))
+    medians = exact_quantiles(bars, keys, {"median_abs_return_pct": (F.col("abs_price_return_pct"), 0.5), "median_volume_ratio": (F.col("volume_ratio"), 0.5)})
+    base = bars.groupBy(*keys).agg(F.count("*").alias("n_intervals")).join(medians, list(keys), "left")
     before = candidates.groupBy(*keys).agg(F.count("*").alias("n_candidates_before_cap"))
     after = breaks.groupBy(*keys).agg(F.count("*").alias("n_breaks"), F.min("score_threshold").alias("score_threshold_selected"))
     out = base.join(before, list(keys), "left").join(after, list(keys), "left").join(score_stats(candidates, keys), list(keys), "left")
@@ -185,24 +222,39 @@ def overview_series(bars: DataFrame, price_span: int = 32, volume_span: int = 32
     out = B.ewma(bars, "price_plot", max(2, price_span), "price_smooth", keys)
     out = B.ewma(out, "volume", max(2, volume_span), "volume_smooth", keys)
     out = B.ewma(out, "volume_baseline", max(2, volume_span), "baseline_smooth", keys)
-    limit = out.groupBy(*keys).agg(F.percentile("volume_smooth", F.lit(min(max(clip, 0.9), 1.0))).alias("__q"), F.max("volume_smooth").alias("__most"))
-    out = out.join(limit, list(keys)).withColumn("__limit", F.when(F.col("__q") > 0, F.col("__q")).otherwise(F.col("__most")))
+    out = cut(out, "smoothed")
+    volume = F.col("volume_smooth")
+    limit = exact_quantiles(out, keys, {"__q": (volume, min(max(clip, 0.9), 1.0)), "__most": (volume, 1.0)})
+    out = out.join(limit, list(keys), "left").withColumn("__limit", F.when(F.col("__q") > 0, F.col("__q")).otherwise(F.col("__most")))
     clipped = lambda name: F.when(F.col("__limit") > 0, F.least(name, "__limit")).otherwise(F.col(name))
     clipped_or_null = F.when(F.col("baseline_smooth").isNotNull(), clipped("baseline_smooth"))
     return out.select(*keys, "bar_start", F.col("price_plot").alias("price_raw"), "price_smooth", clipped("volume_smooth").alias("volume_plot"), clipped_or_null.alias("baseline_plot"))
 
 
-def near_breaks(rows: DataFrame, time_col: str, breaks: DataFrame, seconds: int, keys: Sequence[str] = ()) -> DataFrame:
+#: Pairs of rows and breaks that a task of near_breaks makes; buckets of more are split.
+PAIRS = 5_000_000
+
+
+def near_breaks(rows: DataFrame, time_col: str, breaks: DataFrame, seconds: int, keys: Sequence[str] = (), pairs: int = PAIRS) -> DataFrame:
     """Rows within that many seconds of a break, both ends included, once for each such break (break_timestamp).
 
     Both sides are cut into buckets of that length and each break goes to its own bucket and the two beside it, so the
-    join is on equal keys and buckets, and the exact test runs on those pairs.
+    join is on equal keys and buckets, and the exact test runs on those pairs. Before it, rows outside of all breaks' windows
+    in their bucket go. A bucket whose rows and breaks make more than so many pairs is split by its rows, whose breaks are
+    copied; of such buckets there are no more than all pairs divided by that number, so their list is broadcast.
     """
-    bucket = F.floor(F.unix_micros(time_col) / (seconds * 1_000_000)).alias("__bucket")
-    left = rows.select("*", bucket)
-    right = breaks.select(*keys, F.col("bar_start").alias("break_timestamp"), F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: d + F.floor(F.unix_micros("bar_start") / (seconds * 1_000_000)))).alias("__bucket"))
-    both = left.join(right, [*keys, "__bucket"])
-    return both.where(F.abs(F.unix_micros(time_col) - F.unix_micros("break_timestamp")) <= seconds * 1_000_000).drop("__bucket")
+    span = seconds * 1_000_000
+    at, time = ["__key", "__bucket"], F.unix_micros(time_col)
+    key = F.struct(*[F.col(k) for k in keys], F.lit(0).alias("__0")).alias("__key")
+    around = F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: d + F.floor(F.unix_micros("bar_start") / span))).alias("__bucket")
+    right = breaks.select(key, F.unix_micros("bar_start").alias("__at"), F.col("bar_start").alias("break_timestamp"), around)
+    reached = right.groupBy(*at).agg(F.min("__at").alias("__first"), F.max("__at").alias("__last"), F.count("*").alias("__breaks"))
+    left = rows.select("*", key, F.floor(time / span).alias("__bucket")).join(reached, at).where((time >= F.col("__first") - span) & (time <= F.col("__last") + span)).drop("__first", "__last")
+    parts = left.groupBy(*at).agg(F.ceil(F.count("*") * F.first("__breaks") / pairs).cast("int").alias("__parts")).where("__parts > 1")
+    split = F.coalesce("__parts", F.lit(1))
+    left = left.drop("__breaks").join(F.broadcast(parts), at, "left").withColumn("__part", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), split)).drop("__parts")
+    right = right.join(F.broadcast(parts), at, "left").select(*at, "__at", "break_timestamp", F.explode(F.sequence(F.lit(0).cast("bigint"), (split - 1).cast("bigint"))).alias("__part"))
+    return left.join(right, [*at, "__part"]).where(F.abs(time - F.col("__at")) <= span).drop(*at, "__part", "__at")
 
 
 def price_at_breaks(breaks: DataFrame, bars: DataFrame, column: str = "price_plot", keys: Sequence[str] = B.KEYS) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import as_list, epoch_ts, number
+from ..scratch import cut
 from .tables import exact_quantiles
 
 
@@ -124,8 +125,13 @@ def asset_fallback_anti(candidates: DataFrame, tried: DataFrame) -> DataFrame:
     return good.join(tried.select("asset_id"), "asset_id", "left_anti")
 
 
-def size_scale(trades: DataFrame, key: str = "market_id") -> DataFrame:
-    """One row a market: quantiles of positive sizes, shares of whole sizes and of prices in [0, 1.05], and the scale they speak for."""
+def size_scale(trades: DataFrame, key: str = "market_id", written: bool = False) -> DataFrame:
+    """One row a market: quantiles of positive sizes, shares of whole sizes and of prices in [0, 1.05], and the scale they speak for.
+
+    Trades are read three times; written says that they come from a table, so that their three columns needn't be written first.
+    """
+    if not written:
+        trades = cut(trades.select(key, "size", "price"), "sizes")
     size = F.when((F.col("size") > 0) & (F.abs("size") < float("inf")), F.col("size"))
     price = F.when(F.abs("price") < float("inf"), F.col("price"))
     stats = trades.groupBy(key).agg(
@@ -137,8 +143,10 @@ def size_scale(trades: DataFrame, key: str = "market_id") -> DataFrame:
     return stats.withColumn("scale", scale)
 
 
-def normalize_size(trades: DataFrame, key: str = "market_id") -> DataFrame:
-    return trades.join(size_scale(trades, key).select(key, "scale"), key).withColumn("size", F.col("size") / F.col("scale")).drop("scale")
+def normalize_size(trades: DataFrame, key: str = "market_id", written: bool = False) -> DataFrame:
+    """Sizes divided by their market's scale. Trades that don't come from a table are written first."""
+    held = trades if written else cut(trades, "typed-trades")
+    return held.join(size_scale(held, key, written=True).select(key, "scale"), key).withColumn("size", F.col("size") / F.col("scale")).drop("scale")
 
 
 def size_plausibility(trades: DataFrame, key: str = "market_id") -> DataFrame:

@@ -23,6 +23,7 @@ ALIASES = {
     "end_date": ("end_date", "endDate"),
 }
 REQUIRED = {"identifier": ("condition_id", "conditionId", "id", "slug"), "question": ("question",), "liquidity": ALIASES["liquidity"], "volume_24h": ALIASES["volume_24h"], "spread": ALIASES["spread"]}
+#: Fixed values of the data model: what each rank counts in the score; the spread has the rest.
 WEIGHTS = {"volume_24h": 0.45, "liquidity": 0.25, "volume_1w": 0.20, "volume_total": 0.05}
 
 
@@ -65,11 +66,19 @@ def filter_liquidity(df: DataFrame, min_liquidity: float | None = None, min_volu
     return df if min_volume_24h is None else df.where(F.col("volume_24h") >= min_volume_24h)
 
 
-def rank_schema_check(df: DataFrame, required: Sequence[str] | None = None) -> None:
-    """ValueError with what is missing: the listed columns, or else fields of which no alias is there."""
-    missing = [c for c in required if c not in df.columns] if required else [field for field, names in REQUIRED.items() if not set(names) & set(df.columns)]
+def schema_findings(df: DataFrame, required: Sequence[str] | None = None) -> list[tuple[str, str | None]]:
+    """(field, the column that gives it or None): the listed columns, or else the ranking's fields by the first alias that is there."""
+    wanted = {c: (c,) for c in required} if required else REQUIRED
+    return [(field, next((n for n in names if n in df.columns), None)) for field, names in wanted.items()]
+
+
+def rank_schema_check(df: DataFrame, required: Sequence[str] | None = None) -> list[tuple[str, str]]:
+    """schema_findings where every field is found; ValueError with those that aren't."""
+    found = schema_findings(df, required)
+    missing = [field for field, column in found if column is None]
     if missing:
         raise ValueError(f"columns are missing: {', '.join(missing)}")
+    return found
 
 
 def _typed(df: DataFrame) -> DataFrame:
@@ -121,12 +130,35 @@ def lookup_market(markets: DataFrame, wanted: DataFrame) -> DataFrame:
     return first_by_key(found, F.col("condition_id"), (~F.col("active")).cast("int"), F.col("slug"))
 
 
-def resolve_url_markets(urls: DataFrame, markets: DataFrame, url_col: str = "url") -> DataFrame:
-    """For each url the market of the first of its candidate slugs that exists: url, kind, slug, condition_id."""
-    parsed = urls.select(url_col, market_url(F.col(url_col)).alias("p")).where("p IS NOT NULL")
-    tried = parsed.select(url_col, "p.kind", F.posexplode(slug_variants(F.col("p.slug"))).alias("pos", "slug"))
-    found = tried.join(markets.select("slug", "condition_id"), "slug")
-    return found.groupBy(url_col, "kind").agg(F.min_by(F.struct("slug", "condition_id"), F.struct("pos", "condition_id")).alias("m")).select(url_col, "kind", "m.*")
+def resolve_url_markets(urls: DataFrame, markets: DataFrame, events: DataFrame | None = None, url_col: str = "url") -> DataFrame:
+    """The markets that each distinct url stands for: the market of a market page, all markets of an event page's event in their order.
+
+    A page's slug is tried as it is, then without a last number; the first that exists counts, for events the first that has a
+    list of markets. events: slug and markets, an array of structs with slug and condition_id (null: no list). Of markets or
+    events with one slug the least counts.
+
+    Returns url_col, kind, slug (the one found), pos, market_slug, condition_id and status: "ok", "no condition id" of a market
+    without one, or, in the url's only row, "no market or event page", "not found", "no list of markets", "no markets".
+    """
+    asked = urls.select(F.col(url_col).alias("url"), market_url(F.col(url_col)).alias("p")).distinct().select("url", "p.kind", "p.slug")
+    named = markets.select("slug", F.col("condition_id").cast("string").alias("condition_id")).where("slug IS NOT NULL").groupBy("slug").agg(F.min("condition_id").alias("condition_id"))
+    if events is None:
+        events = markets.sparkSession.createDataFrame([], "slug string, markets array<struct<slug:string,condition_id:string>>")
+    fields = F.transform("markets", lambda m: F.struct(m["slug"].cast("string").alias("slug"), m["condition_id"].cast("string").alias("condition_id")))
+    lists = events.select("slug", fields.alias("markets")).where("slug IS NOT NULL").groupBy("slug").agg(F.min("markets").alias("markets"))
+    there = named.select(F.lit("market").alias("kind"), "slug", F.lit(True).alias("listed")).unionByName(lists.select(F.lit("event").alias("kind"), "slug", F.col("markets").isNotNull().alias("listed")))
+    tried = asked.where("kind IS NOT NULL").select("url", "kind", F.posexplode(slug_variants(F.col("slug"))).alias("place", "slug")).join(there, ["kind", "slug"], "left")
+    hits = tried.groupBy("url", "kind").agg(F.min_by("slug", F.when(F.col("listed"), F.col("place"))).alias("slug"), F.count("listed").alias("n_there"))
+
+    none, columns = F.lit(None).cast("string"), ["url", "kind", "slug", "pos", "market_slug", "condition_id", "status"]
+    of_market = hits.where("kind = 'market' AND slug IS NOT NULL").join(named, "slug").select("url", "kind", "slug", F.lit(0).alias("pos"), F.col("slug").alias("market_slug"), "condition_id", F.lit(True).alias("held"))
+    of_event = hits.where("kind = 'event' AND slug IS NOT NULL").join(lists, "slug").select("url", "kind", "slug", F.posexplode_outer("markets").alias("pos", "m"))
+    of_event = of_event.select("url", "kind", "slug", "pos", F.col("m.slug").alias("market_slug"), "m.condition_id", F.col("pos").isNotNull().alias("held"))
+    found = of_market.unionByName(of_event).withColumn("status", F.when(~F.col("held"), "no markets").when(F.col("condition_id").isNull(), "no condition id").otherwise("ok"))
+    missing = hits.where("slug IS NULL").withColumn("status", F.when(F.col("n_there") > 0, "no list of markets").otherwise("not found"))
+    other = asked.where("kind IS NULL").withColumn("status", F.lit("no market or event page"))
+    rest = [df.select("url", "kind", none.alias("slug"), F.lit(None).cast("int").alias("pos"), none.alias("market_slug"), none.alias("condition_id"), "status") for df in (missing, other)]
+    return found.select(columns).unionByName(rest[0]).unionByName(rest[1]).withColumnRenamed("url", url_col)
 
 
 def pick_market(events: DataFrame, index: int | None = None, slug: str | None = None) -> DataFrame:

@@ -88,34 +88,54 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), column)
 
 
+#: Relative rank error of the sketches that bracket a quantile, as its reciprocal; brackets reach BRACKET errors to both sides.
+SKETCH, BRACKET = 10_000, 4
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[Column, float]]) -> DataFrame:
     """One row a key (one row in all without keys) with quantiles by linear interpolation; null where a key has no value.
 
-    wanted: name -> (value, fraction). Ranks come from value counts in range partitions of (column, key, value), so neither a
-    key nor a column has to fit in one task, however many distinct values it has. A key without any value at all has no row.
+    wanted: name -> (value, fraction). By selection, in two passes: a sketch of each key brackets every quantile between
+    two values; then what lies below and above a bracket is only counted, and the values inside it, at most about one in a
+    thousand of a key's and ties as one row, are ranked. Neither a key nor a column is sorted or held whole. Lazy: both
+    passes run with the result, so callers write an input that is dear to compute.
     """
+    key = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("k"))
     columns = list({str(c): c for c, _ in wanted.values()}.values())
     number = {str(c): k for k, c in enumerate(columns)}
-    key = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
-    values = F.array(*[F.struct(F.lit(k).alias("no"), c.cast("double").alias("value")) for k, c in enumerate(columns)])
-    long = df.select(key.alias("key"), F.explode(values).alias("x")).select("key", "x.no", "x.value")
-    counts = long.where("value IS NOT NULL").groupBy("no", "key", "value").agg(F.count("*").alias("ties"))
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut(counts.repartitionByRange(n, "no", "key", "value").withColumn("part", F.spark_partition_id()), "value-counts")
-    parts = ranged.groupBy("no", "key", "part").agg(F.sum("ties").alias("in_part"))  # a row for each key and partition that it reaches
-    own = Window.partitionBy("no", "key")
-    before = own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("no", "key", "part", F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("before"), F.sum("in_part").over(own).alias("n"))
-    inside = Window.partitionBy("no", "key", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = ranged.withColumn("upto", F.sum("ties").over(inside)).join(parts, ["no", "key", "part"]).withColumn("upto", F.col("before") + F.col("upto"))
+    fractions = [sorted({f for c, f in wanted.values() if number[str(c)] == k}) for k in range(len(columns))]
+    base = df.select(key.alias("key"), *[c.cast("double").alias(f"v{k}") for k, c in enumerate(columns)])
+    reach = BRACKET / SKETCH
+    ends = [[F.lit(e) for f in fs for e in (max(0.0, f - reach), min(1.0, f + reach))] for fs in fractions]
+    sketch = base.groupBy("key").agg(*[F.percentile_approx(f"v{k}", F.array(*e), SKETCH).alias(f"s{k}") for k, e in enumerate(ends)])
+
+    pairs = [(k, j) for k, fs in enumerate(fractions) for j in range(len(fs))]
+    sided = []
+    for no, (k, j) in enumerate(pairs):
+        v, low, high = F.col(f"v{k}"), F.col(f"s{k}")[2 * j], F.col(f"s{k}")[2 * j + 1]
+        side = F.when(v < low, -1).when(v > high, 1).otherwise(0)
+        sided.append(F.when(v.isNotNull(), F.struct(F.lit(no).alias("no"), side.alias("side"), v.alias("v"))))
+    long = base.join(sketch, "key").select("key", F.explode(F.array_compact(F.array(*sided))).alias("x")).select("key", "x.*")
+    counts = long.groupBy("key", "no", "side", F.when(F.col("side") == 0, F.col("v")).alias("inside")).agg(F.count("*").alias("ties"), F.min("v").alias("least"), F.max("v").alias("most"))
+    own = Window.partitionBy("key", "no")
+    ranks = counts.repartition("key").withColumns({"upto": F.sum("ties").over(own.orderBy("side", "inside").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("ties").over(own)})
+
+    def at(no: int, rank: Column) -> Column:
+        """The value of that rank (from 0): inside the bracket, or the one next to it on either side."""
+        first, last = F.col("upto") - F.col("ties"), F.col("upto") - 1
+        near = F.when(F.col("side") == 0, F.col("inside")).when((F.col("side") < 0) & (rank == last), F.col("most")).when((F.col("side") > 0) & (rank == first), F.col("least"))
+        near = F.coalesce(near, F.raise_error(F.lit("a quantile lies outside of its sketch's bracket")).cast("double"))
+        return F.max(F.when((F.col("no") == no) & (rank >= first) & (rank <= last), near))
+
     out = []
     for name, (c, fraction) in wanted.items():
+        no = pairs.index((number[str(c)], fractions[number[str(c)]].index(fraction)))
         place = F.lit(fraction) * (F.col("n") - 1)
-        at = lambda r: F.max(F.when((F.col("no") == number[str(c)]) & (F.col("upto") > r) & (F.col("upto") - F.col("ties") <= r), F.col("value")))  # noqa: B023, E731
-        part = F.max(F.when(F.col("no") == number[str(c)], place - F.floor(place)))
-        low, high = at(F.floor(place)), at(F.ceil(place))
-        out.append((low * (1 - part) + high * part).alias(name))
-    return ranks.groupBy("key").agg(*out).select(*[F.col("key").getField(k).alias(k) for k in keys], *wanted) if keys else ranks.agg(*out)
+        part = F.max(F.when(F.col("no") == no, place - F.floor(place)))
+        out.append((at(no, F.floor(place)) * (1 - part) + at(no, F.ceil(place)) * part).alias(name))
+    if keys:
+        return ranks.groupBy("key").agg(*out).select(*[F.col("key").getField(k).alias(k) for k in keys], *wanted)
+    return ranks.agg(*out)
 
 
 def describe_column(df: DataFrame, column: str) -> DataFrame:
@@ -133,23 +153,25 @@ def time_range(df: DataFrame, column: str) -> DataFrame:
 def percentile_ranks(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Average-method percentile rank of each column over its values that aren't null, under the given name; null gets 0.
 
-    Ranks come from value counts, summed over range partitions of (column, value), so no task sorts a whole column. The
-    counts are written once, which fixes their partitions for the two reads that follow.
+    Rows get numbers. Each value goes with its row's number through one range partition of (column, value, row), so that
+    the rows of a common value are split too; a partition's places start from the totals of those before it, and a value
+    that reaches over partitions (two a partition at most) gets its first and last place from them all. One aggregation
+    brings a row's ranks together for the join with the rows.
     """
-    spark = df.sparkSession
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select("x.*")
-    counts = long.where("value IS NOT NULL").groupBy("name", "value").agg(F.count("*").alias("ties"))
-    ranged = cut(counts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "name", "value").withColumn("part", F.spark_partition_id()), "value-counts")
-    inside = Window.partitionBy("name", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    parts = ranged.groupBy("name", "part").agg(F.sum("ties").alias("in_part"))  # a row for each column and partition
-    before = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("name", "part", F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("before"), F.sum("in_part").over(Window.partitionBy("name")).alias("n"))
-    ranks = ranged.withColumn("upto", F.sum("ties").over(inside)).join(F.broadcast(parts), ["name", "part"])
-    ranks = ranks.select("name", "value", ((F.col("before") + F.col("upto") - (F.col("ties") - 1) / 2) / F.col("n")).alias("rank"))
-    for c, out in columns.items():
-        mine = ranks.where(F.col("name") == c).select(F.col("value").alias("__value"), F.col("rank").alias(out))
-        df = df.join(mine, F.col(c).cast("double") == F.col("__value"), "left").drop("__value").withColumn(out, F.coalesce(out, F.lit(0.0)))
-    return df
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(df.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    long = rows.select("__row", F.explode(F.array(*[F.struct(F.lit(k).alias("no"), F.col(c).cast("double").alias("value")) for k, c in enumerate(columns)])).alias("x")).select("__row", "x.*").where("value IS NOT NULL")
+    ranged = cut(long.repartitionByRange(n, "no", "value", "__row").withColumn("part", F.spark_partition_id()), "ranged")
+    parts = ranged.groupBy("no", "part").agg(F.count("*").alias("in_part"), F.min("value").alias("low"), F.max("value").alias("high"))  # a row for each column and partition
+    upto = Window.partitionBy("no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumns({"before": F.coalesce(F.sum("in_part").over(upto), F.lit(0)), "n": F.sum("in_part").over(Window.partitionBy("no"))})
+    inside, tied = Window.partitionBy("no", "part").orderBy("value"), Window.partitionBy("no", "part", "value")
+    placed = ranged.withColumns({"first": F.rank().over(inside), "ties": F.count("*").over(tied)}).join(F.broadcast(parts), ["no", "part"])
+    placed = placed.withColumns({"first": F.col("before") + F.col("first"), "edge": (F.col("value") == F.col("low")) | (F.col("value") == F.col("high"))}).withColumn("last", F.col("first") + F.col("ties") - 1)
+    over = placed.where("edge").groupBy("no", "value").agg(F.min("first").alias("all_first"), F.max("last").alias("all_last"))
+    ranked = placed.join(F.broadcast(over), ["no", "value"], "left").withColumn("rank", (F.coalesce("all_first", "first") + F.coalesce("all_last", "last")) / 2 / F.col("n"))
+    wide = ranked.groupBy("__row").agg(*[F.max(F.when(F.col("no") == k, F.col("rank"))).alias(out) for k, out in enumerate(columns.values())])
+    return rows.join(wide, "__row", "left").drop("__row").fillna(0.0, list(columns.values()))
 
 
 def percentile_rank(df: DataFrame, column: str, out: str) -> DataFrame:

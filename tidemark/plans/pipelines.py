@@ -21,12 +21,15 @@ TRADE_COLUMNS = ["timestamp_utc", "price", "size", "outcome", "transaction_hash"
 
 
 def trades_from_fills(fills: DataFrame, markets: DataFrame, start: str | None = None, dedupe_key: str | None = None) -> DataFrame:
-    """Typed trades of all markets: by asset, from a start, scaled by market, deduplicated. dedupe_key="seq" keeps equal fills of one transaction apart."""
+    """Typed trades of all markets: by asset, from a start, scaled by market, deduplicated, in order of market and time.
+
+    dedupe_key="seq" keeps equal fills of one transaction apart. Equal times go by transaction and seq.
+    """
     trades = L.normalize_fills_for_asset(fills, L.market_tokens(markets))
     if start is not None:
         trades = B.filter_start_date(trades, start)
-    trades = L.normalize_size(cut(trades, "typed-trades"))  # read for the scale and for the result
-    return dedupe_rows(trades, ["market_id", dedupe_key] if dedupe_key else ["market_id", *TRADE_COLUMNS])
+    trades = dedupe_rows(L.normalize_size(trades), ["market_id", dedupe_key] if dedupe_key else ["market_id", *TRADE_COLUMNS])
+    return B.sort_trades(trades, ["market_id"])
 
 
 @dataclass
@@ -68,7 +71,7 @@ class Report:
 def break_report(trades: DataFrame, articles: DataFrame, cutoff: str, interval: str = "1h", top: int = 5, language: str | None = "english") -> Report:
     """Every market is judged by the rules of its own liquidity after the cutoff. Statistics, bars and breaks are written once, for what reads them."""
     config = K.BreakConfig(interval=interval, low_volume_ratio=0.40, min_trades_per_interval=2, merge_gap_intervals=2)
-    after = B.top_outcome(B.clean_trades(B.filter_start_date(trades, cutoff)))
+    after = cut(B.top_outcome(B.clean_trades(B.filter_start_date(trades, cutoff))), "trades-after")  # read for the statistics and for the bars
     stats = B.adaptive_thresholds(B.adaptive_smoothing(B.liquidity_stats(after, config.step), config.step))
     stats = cut(stats, "stats")
     rules = ["price_change_pct", "strong_price_change_pct", "volume_surge_ratio", "volume_substantial_ratio", "max_breaks"]
