@@ -64,7 +64,7 @@ def test_other_parameters(spark):
     rows = rows_of(9, 60)
     docs = table(spark, rows)
     assert got(C.collocations(docs, most_words=2, least=3, inside_percent=100, top=7)) == expected(rows, 2, 3, 100, 7)
-    assert got(C.collocations(docs, most_words=4, least=5, inside_percent=80)) == expected(rows, 4, 5, 80)
+    assert got(C.collocations(docs, most_words=4, least=5, inside_percent=80, filter_bytes=64)) == expected(rows, 4, 5, 80)
 
 
 def test_empty_and_without_candidates(spark):
@@ -124,8 +124,25 @@ def test_cuts_at_any_phrases_share_all_phrases_out():
         splitters = sorted({tuple(rng.randrange(-7, 7) for _ in range(rng.randrange(1, 4))) for _ in range(n)})
         found = {}
         for r, net in N.cut_nets(of(words), splitters):
-            mine = phrases(N.paths_of(N.read(net)))
-            assert all((r == 0 or p >= splitters[r - 1]) and (r == len(splitters) or p < splitters[r]) for p in mine)
+            paths = N.paths_of(N.read(net))
+            mine = phrases(paths)
+            before = {p for p in mine if r and p < splitters[r - 1]}  # the splitter's prefixes, with their counts
+            assert before == {splitters[r - 1][:k] for k in range(1, len(splitters[r - 1])) if splitters[r - 1][:k] in want} if r else not before
+            assert all(r == len(splitters) or p < splitters[r] for p in mine) and all(mine[p] == want[p] for p in mine)
+            if r:
+                own = N.bounds(paths, [splitters[r - 1]])[0]
+                assert sum(int(o[0]) for o in own) == len(before)
+            mine = {p: n for p, n in mine.items() if p not in before}
             assert not set(mine) & set(found)
             found |= mine
         assert found == want
+
+
+def test_filter_knows_frequent_keys():
+    keys = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 5000)
+    total = np.zeros(8 * 65536, np.int64)
+    for n in (3, 7):
+        at, counts = np.unique(N.slots(np.repeat(keys[:1000], n), len(total)), return_counts=True)
+        N.add_counts(N.pack_counts(at, counts), total)
+    made = N.Filter(np.packbits(total >= 10).tobytes())
+    assert made.has(keys[:1000]).all() and made.has(keys[1000:]).mean() < 0.01

@@ -17,10 +17,7 @@ from . import words as W
 
 @dataclass
 class Paths:
-    """The prefix tree of phrases, sorted by (parent, word) at each depth; weight is the phrase's count, 0 for a mere prefix.
-
-    text: the words themselves for depth 0, "" where only a prefix is held.
-    """
+    """The prefix tree of phrases, sorted by (parent, word) at each depth; weight is the phrase's count; text: the words themselves for depth 0."""
 
     parent: list[np.ndarray]
     word: list[np.ndarray]
@@ -45,11 +42,10 @@ class Paths:
 
 
 def of_words(words: np.ndarray, joined: np.ndarray, texts: tuple[np.ndarray, pa.Array], most: int) -> Paths:
-    """Counts of all phrases of up to most words. joined: whether a word and the next stand in one piece. texts: fingerprints and words."""
+    """Counts of all phrases of up to most words. joined: whether a word and the next stand in one piece. texts: fingerprints and words, at least of all words."""
     u, at, n = np.unique(words, return_inverse=True, return_counts=True)
     named, first = np.unique(texts[0], return_index=True)
-    assert len(named) == len(u)
-    out = Paths([np.zeros(len(u), np.int64)], [u], [n], texts[1].take(pa.array(first)))
+    out = Paths([np.zeros(len(u), np.int64)], [u], [n], texts[1].take(pa.array(first[np.searchsorted(named, u)])))
     place, node = np.arange(len(words)), at
     for d in range(1, most):
         on = joined[place + d - 1]
@@ -81,27 +77,18 @@ def union(parts: list[Paths]) -> Paths:
         new = np.empty(len(keys), np.int64)
         new[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(keys)]))
         if d == 0:
-            held = np.where(weights > 0, np.arange(len(keys)), len(keys))[order]
-            named = np.minimum.reduceat(held, starts) if len(starts) else held
-            every = pa.concat_arrays([p.text for p in parts] + [pa.array([""], parts[0].text.type)])
-            out.text = every.take(pa.array(named))
+            out.text = pa.concat_arrays([p.text for p in parts]).take(pa.array(order[starts]))
         ends = np.cumsum([len(p.word[d]) for p in parts])
         moved = [new[e - len(p.word[d]) : e] for e, p in zip(ends, parts, strict=True)]
     return out
 
 
 def frequent(p: Paths, least: int) -> Paths:
-    """Phrases of at least that count, and the prefixes that lead to them."""
-    depth = len(p.word)
-    keep: list[np.ndarray] = [np.zeros(0, bool)] * depth
-    for d in reversed(range(depth)):
-        keep[d] = p.weight[d] >= least
-        if d + 1 < depth:
-            keep[d] |= np.diff(np.r_[0, np.cumsum(keep[d + 1])][p.children(d)]) > 0
+    """Phrases of at least that count. Their prefixes are among them, since none is rarer."""
+    keep = [w >= least for w in p.weight]
     new = [np.cumsum(k) - 1 for k in keep]
-    parent = [p.parent[0][keep[0]]] + [new[d - 1][p.parent[d][keep[d]]] for d in range(1, depth)]
-    weight = [np.where(w[k] >= least, w[k], 0) for w, k in zip(p.weight, keep, strict=True)]
-    return Paths(parent, [w[k] for w, k in zip(p.word, keep, strict=True)], weight, p.text.filter(pa.array(keep[0])))
+    parent = [p.parent[0][keep[0]]] + [new[d - 1][p.parent[d][keep[d]]] for d in range(1, len(keep))]
+    return Paths(parent, [w[k] for w, k in zip(p.word, keep, strict=True)], [w[k] for w, k in zip(p.weight, keep, strict=True)], p.text.filter(pa.array(keep[0])))
 
 
 def marks(p: Paths, every: int) -> list[list[int]]:
@@ -112,45 +99,44 @@ def marks(p: Paths, every: int) -> list[list[int]]:
     return p.phrases(d, (np.arange(wanted) * n) // max(1, wanted)).tolist()
 
 
-def bounds(p: Paths, splitters: list[tuple[int, ...]]) -> list[np.ndarray]:
-    """For each depth, where the phrases from each splitter on start; phrases go in order of their words, a prefix before what it leads to."""
+def bounds(p: Paths, splitters: list[tuple[int, ...]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each depth, where the phrases from each splitter on start, and the same with the splitter's own prefix, where p has it.
+
+    Phrases go in order of their words, a prefix before what it leads to.
+    """
     depth = len(p.word)
     starts = [p.children(d) for d in range(depth - 1)]
-    out = np.zeros((depth, len(splitters)), np.int64)
+    own, low = np.zeros((depth, len(splitters)), np.int64), np.zeros((depth, len(splitters)), np.int64)
     for k, words in enumerate(splitters):
-        low, high, inside = 0, len(p.word[0]), True
+        first, end, inside = 0, len(p.word[0]), True
         for d in range(depth):
+            at = first
             if inside and d < len(words):
-                at = low + int(np.searchsorted(p.word[d][low:high], words[d]))
-                inside = at < high and p.word[d][at] == words[d]
-                own = at + (inside and d + 1 < len(words))  # a mere prefix of the splitter comes before it
+                at = first + int(np.searchsorted(p.word[d][first:end], words[d]))
+                inside = at < end and p.word[d][at] == words[d]
             else:
-                at = own = low
                 inside = False
-            out[d, k] = own
+            low[d, k] = at
+            own[d, k] = at + (inside and d + 1 < len(words))
             if d + 1 < depth:
-                low = starts[d][at]
-                high = starts[d][at + 1] if inside else low
-    return list(out)
+                first = starts[d][at]
+                end = starts[d][at + 1] if inside else first
+    return list(own), list(low)
 
 
 def cut_nets(p: Paths, splitters: list[tuple[int, ...]]) -> list[tuple[int, bytes]]:
-    """(range, net) of the ranges between splitters that have phrases. A prefix that a cut runs through goes to both sides, with its count to its own."""
+    """(range, net) of the ranges between splitters. A range also has the prefixes of the splitter that it starts from, with their counts."""
     depth, n = len(p.word), len(splitters) + 1
-    own = [np.r_[0, b] for b in bounds(p, splitters)]
-    high = [np.r_[b[1:], len(w)] for b, w in zip(own, p.word, strict=True)]
-    low = [b.copy() for b in own]
-    for d in reversed(range(depth - 1)):
-        below = low[d + 1] < high[d + 1]
-        first = p.parent[d + 1][np.minimum(low[d + 1], max(0, len(p.parent[d + 1]) - 1))] if len(p.parent[d + 1]) else low[d]
-        low[d] = np.where(below, np.minimum(low[d], first), low[d])
-    held = [np.maximum(h - lo, 0) for h, lo in zip(high, low, strict=True)]
+    own, low = bounds(p, splitters)
+    high = [np.r_[b, len(w)] for b, w in zip(own, p.word, strict=True)]
+    low = [np.r_[0, b] for b in low]
+    held = [h - lo for h, lo in zip(high, low, strict=True)]
     offset = [np.r_[0, np.cumsum(h)] for h in held]
     parent, word, weight = [], [], []
     for d in range(depth):
         at, of = W.ranges(low[d], held[d]), np.repeat(np.arange(n), held[d])
         word.append(p.word[d][at])
-        weight.append(np.where(at >= own[d][of], p.weight[d][at], 0))
+        weight.append(p.weight[d][at])
         parent.append(p.parent[d][at] - low[d - 1][of] + offset[d - 1][of] if d else np.zeros(len(at), np.int64))
         if d == 0:
             text = p.text.take(pa.array(at))
@@ -182,6 +168,45 @@ def _minimal(p: Paths, offset: list[np.ndarray]) -> list[dict[str, np.ndarray]]:
     return levels
 
 
+class Filter:
+    """Which of a fixed number of slots have a count of some size. A key's slot counts all keys of the slot, so a slot without it has no frequent key."""
+
+    def __init__(self, bits: bytes) -> None:
+        self.held = np.frombuffer(bits, np.uint8)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        """True for every frequent key, and for others that share a slot with one, or with too many others."""
+        at = slots(keys, 8 * len(self.held))
+        return (self.held[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+
+
+def slots(keys: np.ndarray, n: int) -> np.ndarray:
+    return (W.mix(keys.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+
+
+def pair_keys(keys: np.ndarray) -> np.ndarray:
+    """A key for each of the keys but the last with the one after it."""
+    k = keys.view(np.uint64)
+    return W.mix(k[:-1] * np.uint64(0x9E3779B97F4A7C15) + W.mix(k[1:])).view(np.int64)
+
+
+def pack_counts(at: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending places and their counts."""
+    arrays = [_narrow(np.diff(at, prepend=0)), _narrow(counts)]
+    body = b"".join(a.tobytes() for a in arrays)
+    return np.array([len(at), arrays[0].itemsize, arrays[1].itemsize], np.int64).tobytes() + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def add_counts(blob: bytes, total: np.ndarray) -> None:
+    n, a, b = np.frombuffer(blob, np.int64, 3).tolist()
+    body = pa.decompress(memoryview(blob)[24:], decompressed_size=n * (a + b), codec="zstd", asbytes=True)
+    at = np.cumsum(np.frombuffer(body, _KINDS[a], n), dtype=np.int64)
+    total[at] += np.frombuffer(body, _KINDS[b], n, n * a).astype(np.int64)
+
+
+_KINDS = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}
+
+
 def _narrow(a: np.ndarray) -> np.ndarray:
     for kind in (np.uint8, np.uint16, np.uint32):
         if not len(a) or a.max() <= np.iinfo(kind).max:
@@ -224,9 +249,9 @@ def read(blob: bytes) -> Net:
     heads = np.frombuffer(blob, np.int64, 2 * count, 8).reshape(count, 2)
     begin = 8 * (2 + 2 * count)
     body = pa.decompress(memoryview(blob)[begin:], decompressed_size=int(np.frombuffer(blob, np.int64, 1, begin - 8)[0]), codec="zstd", asbytes=True)
-    kinds, arrays, at = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}, [], 0
+    arrays, at = [], 0
     for item, n in heads.tolist():
-        arrays.append(np.frombuffer(body, kinds[item], n, at))
+        arrays.append(np.frombuffer(body, _KINDS[item], n, at))
         at += item * n
     wide = [a.astype(np.int64) for a in arrays[1 : 1 + 4 * depth]]
     label, rest = wide[:depth], wide[depth:]
