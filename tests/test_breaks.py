@@ -107,3 +107,51 @@ def test_ewma_with_gaps_equals_pandas(spark):
         for key, mine in got.groupby("market_id"):
             v = pd.Series([r[3] for r in rows if r[0] == key], dtype="float64")
             pd.testing.assert_series_equal(mine["m"].reset_index(drop=True), v.ewm(span=span, adjust=False, min_periods=1).mean(), check_names=False, rtol=1e-9)
+
+
+def greedy(rows, radius):
+    """rows: (market, second, score, return, volume); what the greedy choice from the strongest on keeps."""
+    import bisect
+
+    kept = {}
+    for m, t, *x in sorted(rows, key=lambda r: (-r[2], -r[3], -r[4], r[1])):
+        mine = kept.setdefault(m, [])
+        k = bisect.bisect_left(mine, t)
+        if all(abs(t - o) > radius for o in mine[max(0, k - 1) : k + 1]):
+            mine.insert(k, t)
+    return {(m, t) for m, mine in kept.items() for t in mine}
+
+
+@pytest.mark.parametrize("fold", [0, 3, 40])
+def test_rounds_equal_the_greedy_choice(spark, fold):
+    rng = random.Random(fold)
+    rows = [(m, t, float(rng.randrange(6)), float(rng.randrange(3)), 1.0) for m in ("a", "b", None) for t in rng.sample(range(20_000), 120)]
+    df = bars_table(spark, [(m, "x", t, *x, True) for m, t, *x in rows])
+    assert {tuple(r) for r in K.radius_nms(df, 600, fold=fold).select("market_id", F.unix_timestamp("bar_start")).collect()} == greedy(rows, 600)
+
+
+def test_an_island_of_100_000_breaks(spark):
+    rng = random.Random(1)
+    rows = [("a", k * 60, rng.random(), 1.0, 1.0) for k in range(100_000)]
+    pdf = pd.DataFrame(rows, columns=["market_id", "t", "break_score", "abs_price_return_pct", "volume_ratio_signal"])
+    df = spark.createDataFrame(pdf).withColumns({"outcome": F.lit("x"), "bar_start": F.timestamp_seconds("t")})
+    got = {tuple(r) for r in K.radius_nms(df, 1800).select("market_id", "t").collect()}
+    assert got == greedy(rows, 1800) and len(got) > 1000
+
+
+@pytest.mark.parametrize("fold", [0, 99])
+def test_missing_scores_are_the_weakest(spark, fold):
+    rows = [("a", "x", 0, None, 9.0, 9.0, True), ("a", "x", 60, 1.0, None, None, True), ("a", "x", 120, 1.0, 0.0, None, True)]
+    assert {r[0] for r in K.radius_nms(bars_table(spark, rows), 60, fold=fold).select(F.unix_timestamp("bar_start")).collect()} == {0, 120}
+
+
+def test_a_hot_bucket_is_split(spark):
+    articles = spark.range(20_000).select(F.timestamp_seconds(F.col("id") % 100).alias("at"), F.col("id").alias("n"), F.lit(5).alias("seq"))
+    breaks = spark.range(60).select(F.timestamp_seconds(F.col("id")).alias("bar_start"))
+    near = K.near_breaks(articles, "at", breaks, 30, pairs=50_000)
+    want = sum(200 for a in range(100) for b in range(60) if abs(a - b) <= 30)
+    assert near.count() == want and near.columns == ["at", "n", "seq", "break_timestamp"]
+    sizes = near.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 1
+    far = K.near_breaks(articles, "at", breaks.where("false"), 30)
+    assert far.count() == 0

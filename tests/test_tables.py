@@ -1,3 +1,5 @@
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +85,72 @@ def test_articles_keep_rows_without_a_key_and_choose_by_time(spark):
 def test_nested_names(spark):
     df = spark.createDataFrame([((1, [(2,)]),)], "eventData struct<marketId:int,subItems:array<struct<tokenId:int>>>")
     assert Ta.snake_case_columns(df).schema.simpleString() == "struct<event_data:struct<market_id:int,sub_items:array<struct<token_id:int>>>>"
+
+
+def test_quantiles_by_selection_equal_numpy(spark):
+    rng = np.random.default_rng(3)
+    made = {"few": [3.0, 1.0, 2.0], "one": [7.0], "none": [None], "tied": [1.0] * 500 + [2.0] * 300, "many": rng.normal(size=40_000).round(4).tolist(), "wide": (rng.pareto(0.3, 30_000)).tolist()}
+    rows = [(k if k != "one" else None, v) for k, vs in made.items() for v in vs]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["k", "v"])).withColumn("v", F.when(~F.isnan("v"), F.col("v"))).repartition(7)
+    fractions = {"a": 0.0, "b": 0.001, "c": 0.25, "d": 0.5, "e": 0.995, "f": 1.0}
+    wanted = {n: (F.col("v"), f) for n, f in fractions.items()} | {"g": (-F.col("v"), 0.3)}
+    got = {r["k"]: r for r in Ta.exact_quantiles(df, ["k"], wanted).collect()}
+    assert set(got) == {"few", None, "tied", "many", "wide"}
+    for k, vs in made.items():
+        if k != "none":
+            row = got[k if k != "one" else None]
+            assert [row[n] for n in wanted] == pytest.approx([*np.quantile(vs, list(fractions.values())), np.quantile(-np.array(vs), 0.3)], rel=1e-12)
+    whole = Ta.exact_quantiles(df, [], {"q": (F.col("v"), 0.37)}).first()["q"]
+    assert whole == pytest.approx(np.quantile([v for _, v in rows if v is not None], 0.37), rel=1e-12)
+    assert Ta.exact_quantiles(df.where("false"), [], {"q": (F.col("v"), 0.5)}).first()["q"] is None
+
+
+def test_ranks_of_ties_over_many_partitions(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"k": range(4000), "v": rng.choice([0.0, 0.0, 0.0, 1.0, 2.5, np.nan], 4000), "w": rng.integers(0, 50, 4000).astype(float)})
+    df = spark.createDataFrame(pdf).withColumn("v", F.when(~F.isnan("v"), F.col("v"))).repartition(5)
+    given = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 13)
+    try:
+        got = Ta.percentile_ranks(df, {"v": "p", "w": "q"}).toPandas().sort_values("k")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", given)
+    assert got["p"].tolist() == pytest.approx(pdf["v"].rank(pct=True).fillna(0.0).tolist())
+    assert got["q"].tolist() == pytest.approx(pdf["w"].rank(pct=True).tolist())
+
+
+def test_urls_of_markets_and_events(spark):
+    urls = [("https://h.example/market/a-1",), ("https://h.example/market/zz-2",), ("https://h.example/event/e-7?x=1",), ("https://h.example/event/bare",), ("https://h.example/event/void",), ("https://h.example/about",), (None,), ("https://h.example/market/a-1",)]
+    markets = spark.createDataFrame([("a", "0x1"), ("a-1", None), ("a", "0x0")], "slug string, condition_id string")
+    events = spark.createDataFrame([("e", [("p", "0x9"), ("q", None)]), ("bare", None), ("void", []), ("e-7", None)], "slug string, markets array<struct<slug:string,condition_id:string>>")
+    df = spark.createDataFrame(urls, "url string")
+    got = [((r["url"] or "-")[18:], r["kind"], r["slug"], r["pos"], r["market_slug"], r["condition_id"], r["status"]) for r in M.resolve_url_markets(df, markets, events).collect()]
+    assert len(got) == 8
+    found = {(r[0], r[3]): r[1:] for r in got}
+    assert found[("event/e-7?x=1", 0)] == ("event", "e", 0, "p", "0x9", "ok") and found[("event/e-7?x=1", 1)] == ("event", "e", 1, "q", None, "no condition id")
+    assert found[("market/a-1", 0)] == ("market", "a-1", 0, "a-1", None, "no condition id")
+    assert {k[0]: v[-1] for k, v in found.items() if k[1] is None} == {"market/zz-2": "not found", "event/bare": "no list of markets", "event/void": "no markets", "about": "no market or event page", "": "no market or event page"}
+    assert {r["condition_id"] for r in M.resolve_url_markets(spark.createDataFrame([("https://h.example/market/a-9",)], "url string"), markets).collect()} == {"0x0"}
+
+
+def test_article_caps_and_counts(spark):
+    rows = [(k, [(f"t{k}{j}",) for j in range(n)] if n is not None else None) for k, n in enumerate([3, 0, None, 4, 2])]
+    pages = spark.createDataFrame(rows, "page int, articles array<struct<title:string>>").repartition(3)
+    titles = lambda most: [r["title"] for r in R.flatten_article_pages(pages, "page", "articles", most).orderBy("page", "pos").collect()]
+    every = [f"t{k}{j}" for k, n in enumerate([3, 0, 0, 4, 2]) for j in range(n)]
+    for most, read in ((1, 1), (3, 1), (4, 4), (7, 4), (8, 5), (99, 5)):
+        assert titles(most) == every[:most]
+        assert tuple(R.count_article_pages(pages, "page", "articles", most).first()) == (min(most, 9), read)
+    assert titles(None) == every and tuple(R.count_article_pages(pages, "page", "articles").first()) == (9, 5)
+    assert tuple(R.count_article_pages(pages.where("false"), "page", "articles", 5).first()) == (0, 0)
+
+
+def test_json_lines_of_unlike_rows(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"id":"1","n":2,"x":1.5,"in":{"k":[1,2]}}\n\n{"id":"7","n":null,"x":2,"mix":1}\nbroken {\n{"id":"8","mix":"t","never":null}\n')
+    df = R.scan_json_records(spark, str(tmp_path / "a.json"))
+    got = {r["id"]: r.asDict(recursive=True) for r in df.collect()}
+    assert got["1"] == {"id": "1", "in": {"k": [1, 2]}, "mix": None, "n": 2, "never": None, "x": 1.5}
+    assert got["7"]["x"] == 2.0 and got["7"]["mix"] == "1" and got["8"]["mix"] == "t" and set(got[None].values()) == {None}
+    assert dict(df.dtypes) == {"id": "string", "in": "struct<k:array<bigint>>", "mix": "string", "n": "bigint", "never": "string", "x": "double"}
+    (tmp_path / "b.json").write_text('[{"a":1},{"a":2}]\n')
+    assert sorted(r["a"] for r in R.scan_json_records(spark, str(tmp_path / "b.json")).collect()) == [1, 2]

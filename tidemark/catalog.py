@@ -82,13 +82,14 @@ def sink_json_summary(spark, sf):
     return spark.read.json(path).select("markets_total", "markets_active")
 
 
-@query("SELECT event_id, event_type FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 3 > 0 THEN event_type END AS event_type, round(value / 3, 6) AS third FROM events")
 def scan_json_records(spark, sf):
     from .scratch import folder
 
     path = folder(spark, "json")
-    X.table(spark, sf, "events").select("event_id", "event_type").write.json(path)
-    return R.scan_json_records(spark, path)
+    e = X.table(spark, sf, "events")
+    e.select("event_id", F.when(F.col("event_id") % 3 > 0, F.col("event_type")).alias("event_type"), (F.col("value") / 3).alias("third")).write.json(path)  # null keys are left out
+    return R.scan_json_records(spark, path).withColumn("third", _r("third"))
 
 
 @query("SELECT id, makerAssetId FROM fills", "fills")
@@ -107,11 +108,15 @@ def flatten_envelope(spark, sf):
     return R.flatten_envelope(payload, "payload").groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.get_json_object("item", "$.event_id").cast("bigint")).alias("ids"))
 
 
-@query("SELECT doc_id // 250 AS page, doc_id % 250 AS pos, doc_id FROM documents")
+@query("SELECT doc_id // 250 AS page, doc_id % 250 AS pos, doc_id, (SELECT count(*) * 2 // 3 FROM documents) AS article_count, ((SELECT count(*) * 2 // 3 FROM documents) + 249) // 250 AS page_count FROM documents WHERE doc_id < (SELECT count(*) * 2 // 3 FROM documents)")
 def flatten_article_pages(spark, sf):
+    """Two thirds of the articles, with both counts."""
     docs = X.table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 250).alias("page"), "doc_id")
     pages = docs.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("doc_id"))).alias("articles"))
-    return R.flatten_article_pages(pages, "page", "articles").select("page", F.col("pos").cast("bigint").alias("pos"), "doc_id")
+    most = docs.count() * 2 // 3
+    counts = R.count_article_pages(pages, "page", "articles", most)
+    rows = R.flatten_article_pages(pages, "page", "articles", most).select("page", F.col("pos").cast("bigint").alias("pos"), "doc_id")
+    return rows.withColumns({c: counts.select(c).scalar() for c in ("article_count", "page_count")})
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS asset_id, max(event_id) AS seq FROM events WHERE event_id % 10 <> 0 AND event_type = 'view' GROUP BY user_id")
@@ -637,6 +642,15 @@ def inter_trade_seconds(spark, sf):
 _PCT = "CASE WHEN {c} IS NULL THEN 0 ELSE (rank() OVER (ORDER BY {c} NULLS LAST) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0) / count({c}) OVER () END"
 
 
+X.SQL["gaps"] = f"gaps AS {_GAPS.replace('SELECT market_id, outcome,', 'SELECT market_id, outcome, seq,')}"
+
+
+@query("SELECT seq, round(gap, 6) AS gap FROM gaps", "trades gaps")
+def inter_trade_seconds_split(spark, sf):
+    """The same by segments, which split every market over tasks."""
+    return B.inter_trade_seconds(X.trades(spark, sf), B.KEYS, segments=16).select("seq", _r("inter_trade_seconds").alias("gap"))
+
+
 @query(f"SELECT condition_id, round({_PCT.format(c='volume24hr')}, 9) AS pct FROM markets", "markets")
 def pct_rank_avg(spark, sf):
     return Ta.percentile_rank(X.markets(spark, sf), "volume24hr", "pct").select("condition_id", _r("pct", 9).alias("pct"))
@@ -837,6 +851,24 @@ def _landed(spark: SparkSession, df: DataFrame, order: str) -> str:
     return path
 
 
+def _landed_in_turn(spark: SparkSession, df: DataFrame, order: str) -> str:
+    """The same, one range of time after another, so that a stream takes them in that order, one in each micro-batch."""
+    from .scratch import folder
+
+    path = folder(spark, "stream-in")
+    at = F.unix_micros(order)
+    low, high = df.agg(F.min(at), F.max(at)).first()
+    for k in range(4):
+        part = F.least(F.floor((at - low) * 4 / (high - low + 1)), F.lit(3))
+        df.where(part == k).repartitionByRange(2, order).write.mode("append").parquet(path)
+    return path
+
+
+def _in_turn(spark: SparkSession, df: DataFrame, order: str) -> tuple[DataFrame, str]:
+    path = _landed_in_turn(spark, df, order)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path), path
+
+
 def _stream(spark: SparkSession, df: DataFrame, order: str) -> DataFrame:
     """df as a stream of files, in order of time."""
     return spark.readStream.schema(df.schema).parquet(_landed(spark, df, order))
@@ -858,6 +890,23 @@ def record_stream(spark, sf):
     return _recorded(_stream(spark, X.messages(spark, sf), "received_at")).agg(F.count("*").alias("n"), F.max("seq").alias("last_seq"))
 
 
+@query("SELECT event_id AS seq, CASE WHEN event_id % 10 <> 0 THEN event_type END AS event_type FROM events ORDER BY ts, event_id LIMIT 700")
+def record_stream_count(spark, sf):
+    """A recording that stops at a number of messages."""
+    from .scratch import folder
+
+    stream = S.message_envelope(_in_turn(spark, X.messages(spark, sf), "received_at")[0])
+    return S.record_stream(stream, folder(spark, "stream-out"), folder(spark, "stream-state"), most=700).select("seq", "event_type")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS asset_id, arg_max(event_id, (ts, event_id)) AS seq FROM events WHERE event_id % 10 <> 0 AND event_type = 'view' GROUP BY user_id")
+def live_book_snapshot(spark, sf):
+    from .scratch import folder
+
+    stream = S.message_envelope(_in_turn(spark, X.messages(spark, sf), "received_at")[0])
+    return S.live_book_snapshot(stream, folder(spark, "snapshot"), folder(spark, "stream-state"), "view").select("asset_id", "seq")
+
+
 @query("SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS asset_id FROM events WHERE event_id % 10 <> 0 AND CAST(user_id AS VARCHAR) IN (SELECT asset_id FROM tokens WHERE condition_id IN ('0x00000001', '0x00000002'))", "tokens")
 def subscribe_filter(spark, sf):
     held = S.subscribe_filter(S.message_envelope(_stream(spark, X.messages(spark, sf), "received_at")), tokens(spark, sf), ["0x00000001", "0x00000002"])
@@ -886,6 +935,19 @@ def stream_bars(spark, sf):
     return _keyed(S.record_stream(closed, out, state), "n_trades", _r("volume").alias("volume"))
 
 
+@query(f"SELECT {_KEY}, n_trades, round(volume, 6) AS volume, round(price_end, 6) AS price_end FROM hours", _HOURS)
+def stream_filled_bars(spark, sf):
+    from .scratch import folder
+
+    trades = X.trades(spark, sf)
+    stream, path = _in_turn(spark, trades, "timestamp_utc")
+    out, state = folder(spark, "filled"), folder(spark, "stream-state")
+    S.stream_filled_bars(stream, HOUR, out, state, "1 seconds")
+    S.end_of_input(spark, path, trades.schema, "timestamp_utc", 1 + HOUR)
+    filled = S.stream_filled_bars(stream, HOUR, out, state, "1 seconds")
+    return _keyed(filled, "n_trades", _r("volume").alias("volume"), _r("price_end").alias("price_end"))
+
+
 # Scalars
 
 

@@ -19,7 +19,7 @@ _AT = ["__part", "__key"]
 
 def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], segments: int) -> DataFrame:
     """df with its partition's number and its key (null equal to null), written, which fixes the partitions for all later reads."""
-    keyed = df.withColumn("__key", F.struct(*[F.col(k) for k in keys]))
+    keyed = df.withColumn("__key", F.struct(*[F.col(k) for k in keys], F.lit(0).alias("__0")))
     return cut(keyed.repartitionByRange(segments, "__key", *order).withColumn("__part", F.spark_partition_id()), "segments")
 
 
@@ -97,3 +97,12 @@ def ewma_by_segments(df: DataFrame, column: str, span: int, out: str, keys: Sequ
     mean = F.when(v.isNotNull(), F.col("__offset") + F.coalesce(F.col("__factor") * F.col("__mean"), F.lit(0.0)))
     both = both.withColumn("__own", mean).withColumn("__held", F.last("__own", ignorenulls=True).over(upto))
     return both.withColumn(out, F.coalesce("__held", "__mean")).drop(*_AT, "__v", "__offset", "__factor", "__mean", "__own", "__held")
+
+
+def total_before(df: DataFrame, value: Column, out: str, keys: Sequence[str], order: Sequence[str], segments: int) -> DataFrame:
+    """Adds the sum of value over the key's rows before (0 for its first)."""
+    rows = _ranged(df.withColumn("__v", value), keys, order, segments)
+    sums = rows.groupBy(*_AT).agg(F.sum("__v").alias("v"))
+    before = _carried(sums, {"__before": lambda w: F.sum("v").over(w)})
+    inside = F.sum("__v").over(_inside(order).rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("__own", inside).join(before, _AT, "left").withColumn(out, F.coalesce("__before", F.lit(0)) + F.coalesce("__own", F.lit(0))).drop(*_AT, "__v", "__own", "__before")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.series import total_before
+from ..scratch import cut
+
 FILL_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "timestamp", "transactionHash", "makerAssetId", "takerAssetId", "makerAmountFilled", "takerAmountFilled")])
 ENVELOPES = ("data", "markets", "results", "items")
 
@@ -29,8 +33,21 @@ def sink_json_summary(summary: DataFrame, path: str) -> str:
 
 
 def scan_json_records(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """JSON lines with a declared schema, or one inferred from all rows; missing keys are null."""
-    return spark.read.schema(schema).json(path) if schema else spark.read.json(path)
+    """JSON lines with a declared schema, or one found from all rows; missing keys are null.
+
+    Without a schema every line is parsed once, to a variant, and the variants are written; they give the schema, and then
+    the columns. Columns go in order of their names; numbers with a fraction are doubles, keys with values of unlike kinds
+    and those that are always null are text. Blank lines are no rows; a line that can't be parsed is a row of nulls.
+    """
+    if schema:
+        return spark.read.schema(schema).json(path)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    held = cut(lines.select(F.try_parse_json("value").alias("v")), "json-lines")
+    found = held.agg(F.schema_of_variant_agg("v")).first()[0]
+    if not found.startswith("OBJECT<"):
+        return spark.read.json(path)  # lists at the top, or no objects at all
+    kind = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", re.sub(r"\b(VOID|VARIANT)\b", "STRING", found.replace("OBJECT<", "STRUCT<")))
+    return held.select(F.col("v").try_cast(kind).alias("r")).select("r.*")
 
 
 def scan_fills(spark: SparkSession, path: str) -> DataFrame:
@@ -52,6 +69,26 @@ def flatten_envelope(df: DataFrame, payload_col: str, envelopes: Sequence[str] =
 
 
 def flatten_article_pages(pages: DataFrame, page_col: str, articles_col: str, most: int | None = None) -> DataFrame:
-    """Articles of pages (arrays of structs) in order of page and position, at most that many."""
-    rows = pages.select(page_col, F.posexplode(articles_col).alias("pos", "article")).select(page_col, "pos", "article.*")
-    return rows if most is None else rows.orderBy(page_col, "pos").limit(most)
+    """Articles of pages (arrays of structs) with their page and pos: the first most of them in that order.
+
+    The cap comes from running totals of the pages' sizes, so articles are not sorted.
+    """
+    held = pages if most is None else _capped(pages, page_col, articles_col, most)
+    rows = held.select(page_col, *([] if most is None else ["__room"]), F.posexplode(articles_col).alias("pos", "article"))
+    return (rows if most is None else rows.where("pos < __room")).select(page_col, "pos", "article.*")
+
+
+def count_article_pages(pages: DataFrame, page_col: str, articles_col: str, most: int | None = None) -> DataFrame:
+    """One row: article_count, of the articles within the cap, and page_count, of the pages that are read until it is reached."""
+    n = F.coalesce(F.size(articles_col), F.lit(0))
+    if most is None:
+        return pages.agg(F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("article_count"), F.count("*").alias("page_count"))
+    held = _capped(pages, page_col, articles_col, most)
+    return held.agg(F.coalesce(F.sum(F.least(n.cast("bigint"), "__room")), F.lit(0)).alias("article_count"), F.count("*").alias("page_count"))
+
+
+def _capped(pages: DataFrame, page_col: str, articles_col: str, most: int) -> DataFrame:
+    """Pages before which fewer than most articles lie, with __room: how many more there may be."""
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sized = total_before(pages, F.coalesce(F.size(articles_col), F.lit(0)), "__articles", [], [page_col], n)
+    return sized.where(F.col("__articles") < most).withColumn("__room", F.lit(most).cast("bigint") - F.col("__articles")).drop("__articles")
