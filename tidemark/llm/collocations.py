@@ -20,7 +20,7 @@ from .places import with_group_places
 from .shared import cut, lookup, partitions, small_batches
 
 #: Bytes of text that a task counts before it writes a net, and phrases from one mark of the sample of them to the next.
-SHARD_BYTES, MARK = 8 << 20, 16_384
+SHARD_BYTES, MARK = 32 << 20, 16_384
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
