@@ -5,7 +5,7 @@ import pyarrow as pa
 
 from tidemark.llm import words as W
 from tidemark.llm.components import components
-from tidemark.llm.near_duplicates import min_max_bands, near_duplicates, shingle_sets
+from tidemark.llm.near_duplicates import drop_near_duplicates, min_max_bands, near_duplicates, shingle_sets
 
 from . import brute
 
@@ -91,3 +91,43 @@ def test_long_chain_of_links(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(70)] + [(200, 300)], "lo long, hi long")
     got = dict(map(tuple, components(links).collect()))
     assert got == {**{k: 0 for k in range(71)}, 200: 200, 300: 200}
+
+
+def similar(a, b, size=5, percent=80):
+    sets = [{tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set() for w in (a.lower().split(), b.lower().split())]
+    return bool(sets[0]) and 100 * len(sets[0] & sets[1]) >= percent * len(sets[0] | sets[1])
+
+
+def test_texts_of_one_id_stay_apart(spark):
+    rng = random.Random(12)
+    x, y, z = (" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(60)) for c in "xyz")
+    rows = [(3, x), (5, x + " more"), (5, y), (9, y + " tail"), (11, z)]
+    docs = brute.documents(spark, rows)
+    got = {(r["doc_id"], r["text_hash"]): r["component_id"] for r in brute.rows(near_duplicates(docs))}
+    assert sorted(got.values()) == [3, 3, 5, 5, 11]
+    assert sorted((r["doc_id"], r["text"]) for r in brute.rows(drop_near_duplicates(docs))) == sorted([(3, x), (5, y), (11, z)])
+
+
+def test_repeated_ids_equal_brute_force(spark):
+    rng = random.Random(13)
+    bases = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(50)) for _ in range(25)]
+    rows = []
+    for _ in range(160):
+        text = rng.choice(bases)
+        for _ in range(rng.randrange(3)):
+            text += f" e{rng.randrange(40)}"
+        rows.append((rng.randrange(30), text))
+    rows += rows[:15]
+    texts = sorted({(i, t) for i, t in rows})
+    group = {r: k for k, r in enumerate(texts)}
+    for a in range(len(texts)):
+        for b in range(a):
+            if similar(texts[a][1], texts[b][1]) and group[texts[a]] != group[texts[b]]:
+                old, new = group[texts[a]], group[texts[b]]
+                group = {r: new if g == old else g for r, g in group.items()}
+    least = {g: min(i for (i, _), o in group.items() if o == g) for g in set(group.values())}
+    docs = brute.documents(spark, rows)
+    found = near_duplicates(docs).join(docs.selectExpr("doc_id", "xxhash64(text) AS text_hash", "text").distinct(), ["doc_id", "text_hash"])
+    assert sorted((r["doc_id"], r["text"], r["component_id"]) for r in brute.rows(found)) == sorted((i, t, least[group[(i, t)]]) for i, t in rows)
+    stay = [(r["doc_id"], r["text"]) for r in brute.rows(drop_near_duplicates(docs))]
+    assert len(stay) == len({group[r] for r in stay}) == len(least) and {group[r] for r in stay} == set(least)

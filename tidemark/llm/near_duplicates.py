@@ -2,8 +2,8 @@
 
 Each permutation of the shingles gives two signature values, its minimum and its maximum; both agree between two sets
 with a chance equal to their similarity, and one evaluation makes the two. Bands of values lead to candidates, which
-are confirmed on the full sets. Documents of equal sets are one node from the start, so a large group of copies costs
-a row each. In a band's group every node is first compared with the smallest and with one of a handful. Groups that
+are confirmed on the full sets. Documents of equal sets are one node from the start, named by the set, so a large group of
+copies costs a row each; ids only come in at the end. In a band's group every node is first compared with the smallest and with one of a handful. Groups that
 still fall into several components are compared across those in blocks, of which only the links come out.
 
 A pair just at 0.8 shares none of 50 bands of 5 values with a chance of about 2 in 10**9.
@@ -23,8 +23,6 @@ from .batches import beside, map_beside, rejoined, schema_of, tidy
 from .components import components
 from .shared import cut
 
-#: Ids of open nodes are broadcast (16 bytes each) up to this many; more are joined by a shuffle.
-FEW_NODES = 100_000
 #: Nodes of a band group that are compared with one of them at random, and nodes of a family that are compared in a task.
 HANDFUL, BLOCK = 8, 500
 
@@ -63,9 +61,9 @@ def min_max_bands(sets: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -
     return W.mix(keys.reshape(2 * half, -1)[:bands].T + W.series(5, 2 * half)[:bands])
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (lo, hi) whose full sets are similar enough."""
-    both = pairs.join(docs.select(F.col("id").alias("lo"), F.col("text").alias("a")), "lo").join(docs.select(F.col("id").alias("hi"), F.col("text").alias("b")), "hi")
+def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs of nodes (lo, hi) whose full sets are similar enough. texts: (node, text)."""
+    both = pairs.join(texts.select(F.col("node").alias("lo"), F.col("text").alias("a")), "lo").join(texts.select(F.col("node").alias("hi"), F.col("text").alias("b")), "hi")
     kinds, arrow = schema_of("lo long, hi long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +86,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     return both.select("lo", "hi", "a", "b").mapInArrow(tidy(run), kinds).distinct()
 
 
-def _across(rest: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _across(rest: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (lo, hi) between labels of which nodes are similar enough. rest: (low, node, own), the least label of an open group and each node's own.
 
     Labels that open groups hold together are a family. A family is dealt into blocks; a task compares two blocks, so
@@ -101,11 +99,6 @@ def _across(rest: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
     cells = nodes.select("node", "own", "family", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = cells.select("node", "own", "family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     cells = cut(cells, "cells")
-    few = cells.select("node").distinct()
-    if len(few.take(FEW_NODES + 1)) <= FEW_NODES:
-        few = F.broadcast(few)
-    texts = cut(docs.withColumnRenamed("id", "node").join(few, "node", "left_semi"), "texts")
-
     def compare(table: pa.Table) -> pa.Table:
         own = table.column("own").to_numpy()
         sets, counts = [], []
@@ -146,8 +139,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Without text or words: an empty set, linked with nothing, kept. A null id: no link, component_id null, kept.
     Repeated ids: rows of equal texts get equal results; rows of one id with unlike texts are judged each by its own
-    text. Other columns are neither read nor kept. An empty table gives an empty table.
+    text, and lie in one group only if the texts are linked. Other columns are neither read nor kept. An empty table gives an empty table.
     """
+    return _grouped(docs, id_col, text_col, shingle, percent, bands, rows).drop("chosen")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, percent: int = 80, bands: int = 50, rows: int = 5) -> DataFrame:
+    """near_duplicates with chosen: kept, and of several texts of that id in the group the one with the smallest hash."""
 
     def work(data: np.ndarray, bounds: np.ndarray) -> list:
         sets, at = shingle_sets(data, bounds, shingle)
@@ -162,45 +160,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = map_beside(base, work, "n_shingles long, f1 long, f2 long, bands array<long>").select("row.*", "n_shingles", "f1", "f2", "bands")
     signed = cut(signed, "signatures")
     linkable = signed.where("id IS NOT NULL AND n_shingles > 0")
-    nodes = cut(linkable.groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "nodes")
-    held = nodes.select("rep", F.explode("bands").alias("key"))
-    groups = held.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("most"), F.count("*").alias("size")).where("hub < most")
+    first = F.min(F.struct("id", "text_hash")).alias("rep")  # of the rows with that set
+    nodes = linkable.groupBy("f1", "f2", "n_shingles").agg(first, F.first("bands").alias("bands"))
+    nodes = cut(nodes.withColumn("node", F.xxhash64("f1", "f2", "n_shingles")), "nodes")
+    held = nodes.select("node", F.explode("bands").alias("key"))
+    groups = held.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("most"), F.count("*").alias("size")).where("hub < most")
     groups = cut(groups.select("key", "hub", "size"), "groups")  # so that Spark can split a hot key in the join
     members = cut(held.join(groups, "key"), "members")
 
+    # One text of each node that has a candidate.
+    asked = members.select("node").distinct().join(nodes.select("node", "rep.*"), "node")
+    texts = docs.withColumn("text_hash", F.xxhash64("text")).join(asked, ["id", "text_hash"]).select("node", "text")
+    texts = cut(texts.dropDuplicates(["node"]), "texts")
+
     # Stars: each node with the smallest of its band group, and with the smallest of a random handful of a larger group.
-    handfuls = members.where(f"size > {HANDFUL}").withColumn("part", F.pmod(F.xxhash64("rep", "key"), F.expr(f"size div {HANDFUL} + 1")))
-    nearby = handfuls.join(handfuls.groupBy("key", "part").agg(F.min("rep").alias("lo")), ["key", "part"]).select("lo", F.col("rep").alias("hi"))
-    pairs = cut(members.select(F.col("hub").alias("lo"), F.col("rep").alias("hi")).unionByName(nearby).where("lo < hi").distinct(), "pairs")
-    links = cut(_confirm(pairs, docs, shingle, percent), "confirmed")
+    handfuls = members.where(f"size > {HANDFUL}").withColumn("part", F.pmod(F.xxhash64("node", "key"), F.expr(f"size div {HANDFUL} + 1")))
+    nearby = handfuls.join(handfuls.groupBy("key", "part").agg(F.min("node").alias("lo")), ["key", "part"]).select("lo", F.col("node").alias("hi"))
+    pairs = cut(members.select(F.col("hub").alias("lo"), F.col("node").alias("hi")).unionByName(nearby).where("lo < hi").distinct(), "pairs")
+    links = cut(_confirm(pairs, texts, shingle, percent), "confirmed")
     labels = components(links)
 
     # What is open: groups that fall into several components, beyond pairs that have been compared.
-    now = members.where("size > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+    now = members.where("size > 2").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     now = cut(now, "labelled")
     open_ = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "low")
     open_ = cut(open_, "open-groups")
-    rest = now.join(open_, "key").select("low", F.col("rep").alias("node"), F.col("label").alias("own")).distinct()
-    joined = components(cut(_across(cut(rest, "open"), docs, shingle, percent), "confirmed"))
+    rest = now.join(open_, "key").select("low", "node", F.col("label").alias("own")).distinct()
+    joined = components(cut(_across(cut(rest, "open"), texts, shingle, percent), "confirmed"))
 
-    classes = nodes.select("f1", "f2", "n_shingles", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    classes = nodes.select("f1", "f2", "n_shingles", "node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = classes.join(joined.select(F.col("node").alias("label"), F.col("label").alias("wider")), "label", "left")
-    classes = cut(classes.select("f1", "f2", "n_shingles", F.coalesce("wider", "label").alias("component_id")), "classes")
-    alone = signed.where("id IS NULL OR n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"), "text_hash")
-    out = linkable.join(classes, ["f1", "f2", "n_shingles"]).select("id", "n_shingles", "component_id", "text_hash").unionByName(alone)
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash")
+    classes = cut(classes.select("f1", "f2", "n_shingles", "rep", F.coalesce("wider", "label").alias("label")), "classes")
+    least = classes.groupBy("label").agg(F.min("rep").alias("least"))
+    classes = cut(classes.join(least, "label").select("f1", "f2", "n_shingles", "least"), "classes")
+    alone = signed.where("id IS NULL OR n_shingles = 0").select("id", "n_shingles", "text_hash", F.struct("id", "text_hash").alias("least"))
+    out = linkable.join(classes, ["f1", "f2", "n_shingles"]).select("id", "n_shingles", "text_hash", "least").unionByName(alone)
+    kept = F.coalesce(F.col("id") == F.col("least.id"), F.lit(True))
+    chosen = kept & F.coalesce(F.col("text_hash") == F.col("least.text_hash"), F.lit(True))
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.col("least.id").alias("component_id"), kept.alias("kept"), "text_hash", chosen.alias("chosen"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
     """One row of each group of near duplicates, the one with the smallest id, with all its columns, whatever their names.
 
     Of rows of equal id and text that one stays of which the other columns, as JSON text, come first in order. Rows of
-    one id with unlike texts are judged each by its own text. All rows without an id stay, and all without words that
+    one id with unlike texts are judged each by its own text: what nothing else resembles stays; of several in one group
+    the one with the smallest hash of its text. All rows without an id stay, and all without words that
     have an id of their own. An empty table gives an empty table.
     """
     base = beside(docs, text_col)
     base = base.select("row", "text", F.col("row").getField(id_col).cast("long").alias("id"), F.xxhash64("text").alias("h"))
-    found = near_duplicates(base, "id", "text", **limits).where("NOT kept").select(F.col("id").alias("gone"), F.col("text_hash").alias("gone_h")).distinct()
+    found = _grouped(base, "id", "text", **limits).where("NOT chosen").select(F.col("id").alias("gone"), F.col("text_hash").alias("gone_h")).distinct()
     rest = base.join(found, (F.col("id") == F.col("gone")) & (F.col("h") == F.col("gone_h")), "left_anti")
     again = cut(base.where("id IS NOT NULL").groupBy("id", "h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("twice"), F.col("h").alias("twice_h")), "repeated")
     if not again.isEmpty():
