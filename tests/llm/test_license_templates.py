@@ -1,8 +1,11 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from tidemark.llm import words as W
 from tidemark.llm.license_templates import PHRASES, Automaton, license_scan, word_hashes
 from tidemark.llm.license_texts import TEMPLATES
 
@@ -66,8 +69,11 @@ def as_pattern(template):
             out += ")?"
         elif counted := re.search(r"words=(\d+)-(\d+)", m[1]):
             out += f"(?:[^ ]+ ){{{counted[1]},{counted[2]}}}"
+        elif spanned := re.search(r"\.\{(\d+),(\d+)\}", m[1]):
+            region = f"[^ ](?:.{{0,{int(spanned[2]) - 2}}}[^ ])? "
+            out += region if int(spanned[1]) else f"(?:{region})?"
         else:
-            out += "(?:[^ ]+ )*" if "{0," in m[1] else "(?:[^ ]+ )+"
+            out += "(?:[^ ]+ )+"
 
 
 def example(template, rng, change=None):
@@ -118,3 +124,44 @@ def test_regions_of_the_markup():
     for bad in ('a <<var;match="(x|y)">>', "a <<var;name=x>>"):
         with pytest.raises(ValueError):
             Automaton.compile(bad)
+
+
+ISC, BSD = TEMPLATES["isc-license"], TEMPLATES["bsd-2-license"]
+
+
+def found(spark, *texts):
+    rows = license_scan(brute.documents(spark, list(enumerate(texts)))).collect()
+    return [{m["label"]: m["last"] - m["first"] for m in r["matches"]} for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def test_long_names_and_long_bullets(spark):
+    plain = lambda t, names: re.sub(r"<<var[^>]*>>", lambda m: next(names), t).replace("<<beginOptional>>", "").replace("<<endOptional>>", "")
+    name = " ".join(f"holder{k}" for k in range(450))
+    isc = plain(ISC, iter([name, "us"]))
+    bsd = plain(BSD, iter(["1.", "2.", " ".join(["x"] * 900), "us"]))
+    crowded = plain(BSD, iter(["1.", "2. " + "another condition holds " * 45, "us", "us"]))
+    short = plain(BSD, iter(["(a) of these", "b", "us", "us"]))
+    got = found(spark, isc, "start " + bsd + " end", crowded, short)
+    assert got[0]["isc-license"] == len(brute.alnum(isc)) > 550
+    assert got[1]["bsd-2-license"] == len(brute.alnum(bsd)) > 1050
+    assert "bsd-2-license" not in got[2] and got[2]["bsd-opening"]
+    assert got[3]["bsd-2-license"] == len(brute.alnum(short))
+
+
+def test_spans_count_characters():
+    a = Automaton.compile('shall <<var;match=".{3,8}">> be')
+    for text, took in (("shall abc be", 3), ("shall ab be", 0), ("shall é, 𝄞é be", 4), ("shall abcdefghi be", 0), ("shall a b c d be", 6), ("shall a b c d e be", 0), ("shall be", 0)):
+        data, bounds = W.buffers(pa.array([text]))
+        w = W.split_words(data, bounds, W.ALPHANUMERIC)
+        count = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
+        assert a.match(w.hashes(lower=True), count[w.starts], count[w.ends]) == took == a.matches(w.hashes(lower=True), count[w.starts], count[w.ends], [0])[0]
+
+
+def test_nested_hits_of_a_template_count_once(spark):
+    row = license_scan(brute.documents(spark, [(1, "Released under the MIT License. Released under the terms of the MIT License.")])).first()
+    assert [(m["label"], m["first"], m["last"]) for m in row["matches"] if m["label"] == "mit-statement"] == [("mit-statement", 0, 5), ("mit-statement", 5, 13)]
+
+
+def test_many_openings_in_a_long_text_are_one_pass(spark):
+    text = " ".join(["Permission is hereby granted, free of charge, to any person"] * 3000) + " " + ISC
+    assert found(spark, text)[0].keys() <= {"isc-opening", "isc-license", "mit-opening"}

@@ -1,7 +1,7 @@
 """Public license wording as templates, in the markup of the public license list.
 
 <<beginOptional>>..<<endOptional>> may be left out. <<var;name=..;original=..;match=..>> stands for other words; match
-is .+ (one or more), .* or .{a,b} (any number, none where a is 0). <<var;words=a-b>> stands for a to b words.
+is .+ (one word or more), .* (any number) or .{a,b} (a to b characters). <<var;words=a-b>> stands for a to b words.
 
 *-license is a whole license, *-notice the whole notice that a license asks for, *-opening the first sentences of a
 license, whose rest may have been changed, *-statement a line that names one.
