@@ -56,51 +56,77 @@ def test_removal_ids_and_empty_table(spark):
     assert sanitise(brute.documents(spark, [])).count() == 0
 
 
-def test_terms_of_rare_entities_anywhere_in_the_text(spark):
+def test_one_text_is_no_evidence_and_several_are(spark):
     far = "the common things go on and on " * 20
     rows = [(1, f"Zebulon wrote ZEBULON {far} mail to one@firm.example, Quentin's.{far}Zebulon"), (2, f"ip 10.0.0.1 éQuentin@firm.example {far}")]
     rows += [(k, f"{far} with Quentin number {k}") for k in range(10, 210)]
+    alone = {r["doc_id"]: r for r in sanitise(brute.documents(spark, rows), with_text=True).collect()}
+    assert {r["n_term"] for r in alone.values()} == {0} and "Zebulon" in alone[1]["clean_text"]
+    rows += [(3, f"again Zebulon and one@firm.example {far}"), (4, f"one@firm.example sent zebulon {far} more")]
     got = {r["doc_id"]: r for r in sanitise(brute.documents(spark, rows), with_text=True, remove_at=2.0).collect()}
     text = rows[0][1]
     want = [f"term:{k}:{k + 7}" for k in range(len(text)) if text[k : k + 7].lower() == "zebulon"]
-    assert len(want) == 3 and [x for x in got[1]["spans"].split(",") if x.startswith("term") and text[slice(*map(int, x.split(":")[1:]))].lower() == "zebulon"] == want
-    assert "Zebulon" not in got[1]["clean_text"] and "Quentin" in got[1]["clean_text"] and got[1]["clean_text"].count("common things") == 40
-    assert got[2]["n_term"] == 0 and all(got[k]["clean_text"] == dict(rows)[k] for k in range(10, 210))
-
-
-def terms_by_brute_force(rows, z=1.2816, at=0.75):
-    """(doc_id, start, end, disclosure, most) of every term span, and the counts of terms; loops over entities and terms."""
+    assert len(want) == 3 and [x for x in got[1]["spans"].split(",") if x.startswith("term")] == want
+    assert got[1]["clean_text"].startswith("[NAME] wrote [ABBREVIATION] the common") and "Quentin" in got[1]["clean_text"] and got[1]["clean_text"].count("common things") == 40
+    assert "[TERM]" in got[4]["clean_text"] and got[2]["n_term"] == 0 and all(got[k]["clean_text"] == dict(rows)[k] for k in range(10, 210))
+
+
+def test_rare_harmless_words_and_parts_of_tokens_stay(spark):
+    """Words of one text beside an email, and letters inside of longer tokens, whatever the corpus's size."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8))
+    for n in (50, 2000):
+        rows = [(k, " ".join(word() for _ in range(20))) for k in range(n)] + [(n + k, f"{' '.join(word() for _ in range(30))} key 04abc91ab85687d33def9ac699 mail{k % 7}@host.example") for k in range(30)]
+        got = sanitise(brute.documents(spark, rows), with_text=True).collect()
+        assert sum(r["n_term"] for r in got) == 0 and all("04abc91ab85687d33def9ac699" in r["clean_text"] for r in got if r["doc_id"] >= n)
+
+
+def test_planted_terms_are_caught_at_every_size(spark):
+    """The bar doesn't depend on how many other texts there are."""
+    rng = random.Random(8)
+    for n in (100, 1000, 10_000):
+        rows = [(k, " ".join(f"w{'abcdefghij'[rng.randrange(10)]}{'abcdefghij'[rng.randrange(10)]}x" for _ in range(12))) for k in range(n)]
+        names = [f"Planted{'abcdefghij'[k] * 2}" for k in range(10)]
+        rows += [(n + 10 * k + j, f"{names[k]} wbcx waax {j} user{k}@host.example {'wcdx ' * j}") for k in range(10) for j in range(4)]
+        got = {r["doc_id"]: r for r in sanitise(brute.documents(spark, rows), with_text=True).where(f"doc_id >= {n}").collect()}
+        caught = sum(names[k] not in got[n + 10 * k + j]["clean_text"] for k in range(10) for j in range(4))
+        assert caught == 40 and all("waax" in r["clean_text"] for r in got.values())
+
+
+def terms_by_brute_force(rows, z=1.2816, at=0.5, least=2, chance=0.01):
+    """(doc_id, start, end, disclosure) of every term span; loops over entities and terms."""
     import math
     import re
 
     texts = {t or "" for _, t in rows}
-    word = re.compile(r"[^\W\d_]{3,}")
+    word = re.compile(r"(?<!\w)[^\W\d_]{3,}(?!\w)")
     spans = {t: brute.op5_spans(t) for t in texts}
     free = {t: [m for m in word.finditer(t) if not any(m.start() <= e and s <= m.end() for s, _, e, _ in spans[t])] for t in texts}
     norm = {"email": str.lower, "ip": str, "card": lambda m: re.sub("[^0-9]", "", m), "phone": lambda m: re.sub("[^0-9]", "", m)}
     held = {t: {k + ":" + norm[k](t[s:e]) for s, _, e, k in spans[t]} for t in texts}
-    with_term = {}
+    with_term, beside = {}, {}
     for t in texts:
         for w in {m[0].lower() for m in word.finditer(t)}:
             with_term[w] = with_term.get(w, 0) + 1
-    entities = {e: [t for t in texts if e in held[t]] for e in set().union(*held.values())}
-    found = {}
+        for w in {m[0].lower() for m in free[t] if held[t]}:
+            beside.setdefault(w, set()).add(t)
+    entities = {e: frozenset(t for t in texts if e in held[t]) for e in set().union(*held.values())}
+    known, tried = [], set()
     for e, its in entities.items():
-        if len(its) == len(texts):
-            continue
-        for w in {m[0].lower() for t in its for m in free[t]}:
-            both, n, k = sum(any(m[0].lower() == w for m in free[t]) for t in its), with_term[w], len(its)
-            p = both / n
-            low = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-            d = math.log2(low * len(texts) / k) / math.log2(len(texts) / k)
-            if d >= at:
-                for t in its:
-                    was = found.setdefault((t, w), [0, 0])
-                    found[t, w] = [max(was[0], d), max(was[1], k * (len(texts) / k) ** (1 - at))]
-    out = []
-    for i, t in rows:
-        out += [(i, m.start(), m.end(), *found[t or "", m[0].lower()]) for m in free[t or ""] if (t or "", m[0].lower()) in found]
-    return out, with_term
+        for w, near in beside.items():
+            both, n, k = len(near & its), with_term[w], len(its)
+            if both and k >= least and len(near) >= least and n <= k / at:
+                tried.add((its, frozenset(near), n))
+                p, expected = both / n, n * k / len(texts)
+                low = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+                if both >= least and low >= at and both > expected:
+                    known.append((its, w, low, both - expected - both * math.log(both / expected)))
+    found = {}
+    for its, w, low, log_p in known:
+        if log_p + math.log(len(tried)) <= math.log(chance):
+            for t in its:
+                found[t, w] = max(found.get((t, w), 0), low)
+    return [(i, m.start(), m.end(), found[t or "", m[0].lower()]) for i, t in rows for m in free[t or ""] if (t or "", m[0].lower()) in found]
 
 
 def test_disclosure_equals_brute_force(spark):
@@ -113,36 +139,31 @@ def test_disclosure_equals_brute_force(spark):
         words = [rng.choice(common) for _ in range(rng.randrange(20, 60))]
         if k % 4 == 0:
             p = rng.randrange(len(people))
-            words += [people[p], rare[2 * p], rng.choice(rare), rng.choice([people[p], "x" + people[p], "Tel" + people[p]])] * rng.choice([1, 3])
+            words += [people[p], rare[2 * p].title() if k % 8 else rare[2 * p], rng.choice(rare), rng.choice([people[p], "x" + people[p], "Tel" + people[p]])] * rng.choice([1, 3])
         elif k % 9 == 0:
             words.append(rng.choice(rare))
         rng.shuffle(words)
         rows.append((k, " ".join(words)))
     rows += [(200, rows[0][1]), (201, rows[4][1]), (202, None)]
-    for remove_at in (0.95, 2.0):
+    kinds = set()
+    for remove_at in (0.6, 2.0):
         got = {r["doc_id"]: r for r in sanitise(brute.documents(spark, rows), with_text=True, remove_at=remove_at).collect()}
-        terms, with_term = terms_by_brute_force(rows)
-        assert len(terms) > 50
-        shapes = {}
-        for w, n in with_term.items():
-            key = (w[-2:], min(len(w), 12))
-            shapes[key] = min(shapes.get(key, (0, "")), (-n, w))
-        kinds = set()
+        terms = terms_by_brute_force(rows)
+        assert len(terms) > 20
         for i, t in rows:
             base = brute.op5_spans(t or "")
-            own = [(s, 4, e, "term", d, most) for j, s, e, d, most in terms if j == i]
-            want = sorted([*((*b, 0, 0) for b in base), *own])
+            own = [(s, 4, e, "term", d) for j, s, e, d in terms if j == i]
+            want = sorted([*((*b, 0) for b in base), *own])
             assert got[i]["spans"] == ",".join(f"{k}:{s}:{e}" for s, _, e, k, *_ in want) and got[i]["n_term"] == len(own)
             out, done = [], 0
-            for s, _, e, k, d, most in want:
+            for s, _, e, k, d in want:
                 if s >= done:
-                    general = shapes.get((t[s:e].lower()[-2:], min(e - s, 12)), (0, ""))
-                    put = f"[{k.upper()}]" if k != "term" else "" if d >= remove_at else general[1] if -general[0] > most * 1.000001 else "[TERM]"
-                    kinds.add(put if put.startswith("[") else bool(put))
+                    put = f"[{k.upper()}]" if k != "term" else "" if d >= remove_at else "[NAME]" if t[s].isupper() else "[TERM]"
+                    kinds.add(put)
                     out += [t[done:s], put]
                 done = max(done, e)
             assert got[i]["clean_text"] == (None if t is None else "".join([*out, t[done:]])), i
-        assert {"[EMAIL]", "[IP]", "[PHONE]", True} <= kinds
+    assert {"[EMAIL]", "[IP]", "[PHONE]", "[NAME]", "[TERM]", ""} <= kinds
 
 
 def test_many_valid_matches(spark):

@@ -1,12 +1,12 @@
 """Personal data in texts, and the terms beside it that disclose it.
 
-Emails, IP addresses, card and phone numbers are found by patterns. How far a term t reveals such an entity e follows
-from the whole corpus: the pointwise mutual information log2(p(e, t) / (p(e) p(t))) over the information log2(1 / p(e))
-of the entity, with p by distinct texts. It is 1 where the term stands in no text without the entity. As counts can be
-small, the share p(e, t) / p(t) is taken at its lower confidence bound, so that few texts show less than many, and the
-rarest entities still count. In the texts that hold the entity, terms at the threshold or over are generalised wherever
-they stand: to the corpus's most frequent term of their shape, if that is too frequent to disclose the entity. Those
-near 1 are removed.
+Emails, IP addresses, card and phone numbers are found by patterns. How strongly a term t reveals such an entity e follows
+from the whole corpus, with counts by distinct texts: the share p(e | t) of the term's texts that hold the entity, at its
+lower confidence bound, so that few texts show less than many. -log2 of it are the bits that are left to find the entity
+by once the term is known, which doesn't change with the size of the corpus. Evidence is asked for: the two stand together
+in several texts, and in more than chance would bring, with a correction for all pairs that were tried. In the texts that
+hold the entity, terms at the threshold or over are generalised wherever they stand: to what kind of word they are. Those
+over a second threshold are removed.
 
 All of it is DataFrame and SQL expressions. Matches and words are rows, their places running sums over a text's rows,
 and what they touch is told by their neighbours in order, so the work grows with a text's length, not its square.
@@ -29,7 +29,10 @@ PATTERNS = {
 }
 #: What a text needs to hold at all for a pattern to match.
 HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-WORD = r"\p{L}{3,}+"
+#: A word of letters that is no part of a longer token of letters, digits and marks of words.
+WORD = r"(?<![\p{L}\p{M}\p{N}_])\p{L}{3,}+(?![\p{M}\p{N}_])"
+#: The least share that a pair needs besides chance: distinct texts of both, and the probability of as many by chance.
+LEAST_TEXTS, CHANCE = 2, 0.01
 #: Code points that are cut from a long text at once.
 BLOCK = 1_000
 
@@ -98,19 +101,20 @@ def base_spans(found: DataFrame) -> DataFrame:
 
 
 def words_outside(texts: DataFrame, base: DataFrame) -> DataFrame:
-    """h, term, start, end of every word of (h, text), one row a text, that neither overlaps nor touches a base span.
+    """h, term, general (what kind of word it is), start, end of every word of (h, text), one row a text, that neither overlaps nor touches a base span.
 
     In order of start, a span that reaches a word begins before it and ends last of those, or is the next to begin.
     """
     found = _pieces(0, WORD, F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
     words = _placed(texts.select("h", F.explode(found).alias("x")).select("h", "x.*"))
-    both = words.select("h", "start", "end", F.lower("m").alias("term")).unionByName(base.select("h", "start", "end", F.lit(None).cast("string").alias("term")))
+    none = F.lit(None).cast("string")
+    both = words.select("h", "start", "end", F.lower("m").alias("term"), category(F.col("m")).alias("general")).unionByName(base.select("h", "start", "end", none.alias("term"), none.alias("general")))
     is_span = F.col("term").isNull()
     up, down = Window.partitionBy("h").orderBy("start", F.col("term").asc_nulls_first()), Window.partitionBy("h").orderBy(F.col("start").desc())
     reached = F.max(F.when(is_span, F.col("end"))).over(up.rowsBetween(Window.unboundedPreceding, 0))
     ahead = F.min(F.when(is_span, F.col("start"))).over(down.rowsBetween(Window.unboundedPreceding, 0))
     free = F.coalesce(F.col("reached") < F.col("start"), F.lit(True)) & F.coalesce(F.col("ahead") > F.col("end"), F.lit(True))
-    return both.withColumns({"reached": reached, "ahead": ahead}).where(F.col("term").isNotNull() & free).select("h", "term", "start", "end")
+    return both.withColumns({"reached": reached, "ahead": ahead}).where(F.col("term").isNotNull() & free).select("h", "term", "general", "start", "end")
 
 
 def lower_bound(both: Column, of: Column, z: float) -> Column:
@@ -119,38 +123,51 @@ def lower_bound(both: Column, of: Column, z: float) -> Column:
     return (share + zz / (2 * of) - z * F.sqrt(share * (1 - share) / of + zz / (4 * of * of))) / (1 + zz / of)
 
 
-def shape(term: Column) -> Column:
-    """The class of terms that one may stand for: their last two letters and their length, up to 12."""
-    return F.concat(F.right(term, F.lit(2)), F.lit(":"), F.least(F.length(term), F.lit(12)))
+def category(word: Column) -> Column:
+    """What a word is generalised to: a name if it is capitalised, an abbreviation if it is all in capitals, else a term."""
+    first, rest = F.substring(word, 1, 1), F.substring(word, 2, 2**31 - 1)
+    upper = (first == F.upper(first)) & (first != F.lower(first))
+    return F.when(upper & (word == F.upper(word)), "[ABBREVIATION]").when(upper & (rest == F.lower(rest)), "[NAME]").otherwise("[TERM]")
+
+
+def above_chance(both: Column, with_term: Column, with_entity: Column, total: int, tried: int, chance: float) -> Column:
+    """Whether so many common texts are improbable for a term and an entity that have nothing to do with each other.
+
+    By Chernoff's bound on the tail of a count around its expectation, times the number of pairs tried.
+    """
+    expected = with_term.cast("double") * with_entity / total
+    log_p = both - expected - both * F.log(both / expected)
+    return (both > expected) & (log_p + F.log(F.lit(float(max(1, tried)))) <= F.log(F.lit(chance)))
 
 
 def sanitise(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", z: float = 1.2816,
-    generalise_at: float = 0.75, remove_at: float = 0.95, with_text: bool = False,
+    generalise_at: float = 0.5, remove_at: float = 0.75, with_text: bool = False, least_texts: int = LEAST_TEXTS, chance: float = CHANCE,
 ) -> DataFrame:
     """Spans of personal data and of terms that disclose it.
 
-    A term is a run of three letters or more, lower-cased, that neither overlaps nor touches a base span. Of all
-    distinct texts with the term anywhere, the share of those that hold the entity and have the term outside base spans
-    is taken at Wilson's lower bound for z (one-sided 90 % by default); every occurrence in the texts that hold the
-    entity joins the spans, as kind term, where the disclosure that follows is generalise_at or more. Copies of a text
+    A term is a word of three letters or more, lower-cased, that is no part of a longer token and neither overlaps nor
+    touches a base span. Of all distinct texts with the term anywhere, the share of those that hold the entity and have the
+    term outside base spans is taken at Wilson's lower bound for z (one-sided 90 % by default): the disclosure. Every
+    occurrence in the texts that hold the entity joins the spans, as kind term, where the disclosure is generalise_at (one
+    bit left) or more, at least least_texts distinct texts hold both, and so many would come by chance with a probability of
+    at most chance, corrected for all pairs of entities and terms that were tried (those alike count once). Copies of a text
     count once.
 
     Returns one row per input row: the id column, n_email, n_ip, n_card, n_phone (base spans), base_sha256 (of
     kind:start:end of base spans, by start, then kind, comma-joined; code points, end exclusive), spans (all, joined
-    likewise), n_term and, with_text, clean_text: base spans become [EMAIL] and so on. Terms go from remove_at on. Under
-    it they become the most frequent term of their shape (the smallest in order of those), if so many texts hold it that
-    it can't reach generalise_at for any of the entities that they disclose; else [TERM].
+    likewise), n_term and, with_text, clean_text: base spans become [EMAIL] and so on. Terms go from remove_at on; under it
+    they become [NAME], [ABBREVIATION] or [TERM], by their capitals.
 
     Null text counts as empty (clean_text stays null). Null ids and repeated ids: each row is judged by its own text.
     Other columns are neither read nor kept. An empty table gives an empty table.
     """
-    sides, spans = _spans_of(docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).cast("string").alias("given")), with_text, z, generalise_at)
+    sides, spans = _spans_of(docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).cast("string").alias("given")), with_text, z, generalise_at, least_texts, chance)
     columns = [*[f"n_{k}" for k in PATTERNS], "base_sha256", "spans", "n_term", *(["clean_text"] if with_text else [])]
     return _beside(sides, spans, remove_at if with_text else None).select(F.col("row").alias(id_col), *columns)
 
 
-def _spans_of(docs: DataFrame, with_given: bool, z: float = 1.2816, generalise_at: float = 0.75) -> tuple[DataFrame, DataFrame]:
+def _spans_of(docs: DataFrame, with_given: bool, z: float = 1.2816, generalise_at: float = 0.5, least_texts: int = LEAST_TEXTS, chance: float = CHANCE) -> tuple[DataFrame, DataFrame]:
     """docs: (row, given) of any row. Returns row, h (a hash of the text), held (whether a pattern matches, valid or not),
     text (where one does) and, with_given, given; and for each text with spans h, the columns of sanitise, and every: its spans in order.
     """
@@ -173,26 +190,23 @@ def _spans_of(docs: DataFrame, with_given: bool, z: float = 1.2816, generalise_a
     # classes are paired, not its entities and terms, which can be thousands each.
     alike = [F.bit_xor(F.xxhash64("h", F.lit(k))).alias(f"set{k}") for k in range(2)]
     holding = base.select("h", "entity").distinct()
-    entities = holding.groupBy("entity").agg(F.count("*").alias("with_entity"), *alike).withColumn("entities", F.xxhash64("with_entity", "set0", "set1"))
+    entities = holding.groupBy("entity").agg(F.count("*").alias("with_entity"), *alike).withColumn("entities", F.xxhash64("with_entity", "set0", "set1")).where(F.col("with_entity") >= least_texts)
     holding = holding.join(entities.select("entity", "entities", "with_entity"), "entity").select("h", "entities", "with_entity").distinct()
     told = words.select("h", "term").distinct()
-    classed = told.groupBy("term").agg(F.count("*").alias("beside"), *alike).join(by_term, "term").withColumn("terms", F.xxhash64("beside", "set0", "set1", "with_term"))
+    classed = told.groupBy("term").agg(F.count("*").alias("beside"), *alike).where(F.col("beside") >= least_texts).join(by_term, "term").withColumn("terms", F.xxhash64("beside", "set0", "set1", "with_term"))
     told = cut(told.join(classed.select("term", "terms", "with_term"), "term"), "told")
 
     # A term in too many texts can't reach the threshold even if every text of the entity has it.
-    most = F.col("with_entity") * F.pow(total / F.col("with_entity"), F.lit(1 - generalise_at)) * 1.000001
-    pairs = told.select("h", "terms", "with_term").distinct().join(holding, "h").withColumn("most", most).where("with_term <= most")
-    pairs = cut(pairs, "pairs")
+    most = F.col("with_entity") / generalise_at
+    pairs = cut(told.select("h", "terms", "with_term").distinct().join(holding, "h").where(F.col("with_term") <= most), "pairs")
     known = pairs.groupBy("entities", "terms").agg(F.count("*").alias("both"), F.first("with_term").alias("with_term"), F.first("with_entity").alias("with_entity"))
-    known = known.withColumn("total", F.lit(total)).withColumn("share", lower_bound(F.col("both"), F.col("with_term"), z))
-    known = known.withColumn("disclosure", F.expr("try_divide(log2(share * total / with_entity), log2(total / with_entity))"))
-    known = cut(known.where(F.col("disclosure") >= generalise_at).select("entities", "terms", "disclosure"), "disclosing")
-
-    classes = by_term.groupBy(shape(F.col("term")).alias("shape")).agg(F.min_by("term", F.struct((-F.col("with_term")).alias("n"), "term")).alias("general"), F.max("with_term").alias("with_general"))
-    hits = pairs.join(known, ["entities", "terms"]).groupBy("h", "terms").agg(F.max("disclosure").alias("disclosure"), F.max("most").alias("most"))
-    hits = told.select("h", "term", "terms").join(hits, ["h", "terms"])
-    hits = hits.withColumn("shape", shape(F.col("term"))).join(classes, "shape").withColumn("put", F.when(F.col("with_general") > F.col("most"), F.col("general")).otherwise("[TERM]"))
-    hits = hits.join(words, ["h", "term"]).select("h", F.lit(len(PATTERNS)).alias("no"), F.lit("term").alias("kind"), "start", "end", "disclosure", "put")
+    known = cut(known.withColumn("disclosure", lower_bound(F.col("both"), F.col("with_term"), z)), "tried")
+    shown = above_chance(F.col("both"), F.col("with_term"), F.col("with_entity"), total, known.count(), chance)
+    known = known.where((F.col("both") >= least_texts) & (F.col("disclosure") >= generalise_at) & shown).select("entities", "terms", "disclosure")
+
+    hits = pairs.join(known, ["entities", "terms"]).groupBy("h", "terms").agg(F.max("disclosure").alias("disclosure"))
+    hits = told.select("h", "term", "terms").join(hits, ["h", "terms"]).join(words, ["h", "term"])
+    hits = hits.select("h", F.lit(len(PATTERNS)).alias("no"), F.lit("term").alias("kind"), "start", "end", "disclosure", F.col("general").alias("put"))
     kind = F.element_at(F.array(*[F.lit(k) for k in PATTERNS]), F.col("no") + 1)
     spans = base.select("h", "no", kind.alias("kind"), "start", "end", F.lit(0.0).alias("disclosure"), F.concat(F.lit("["), F.upper(kind), F.lit("]")).alias("put")).unionByName(hits)
 
@@ -220,7 +234,7 @@ def _beside(sides: DataFrame, spans: DataFrame, remove_at: float | None) -> Data
     return found.select(columns).unionByName(rest.select(columns))
 
 
-def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove_at: float = 0.95, **limits: float) -> DataFrame:
+def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove_at: float = 0.75, **limits: float) -> DataFrame:
     """The rows and columns of docs, their texts as sanitise cleans them; n_chars, if there, follows the text.
 
     Each row is judged by its own text, whatever its id; id_col is not read. Null texts stay null, and equal rows stay as
