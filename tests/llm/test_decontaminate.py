@@ -88,3 +88,16 @@ def test_a_long_item_in_pieces_and_repeated_items(spark):
     for size in (600, 3000, 1 << 22):
         got = decontaminate(brute.documents(spark, rows), tables(spark, items), most_block_bytes=size).select(COLUMNS)
         assert sorted(map(tuple, got.collect())) == brute.op3(rows, items)
+
+
+def test_parts_of_a_batch(spark, monkeypatch):
+    from tidemark.llm import decontaminate as D
+
+    rows, items = cases()
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows], pa.string())], names=["i", "t"])
+    monkeypatch.setattr(D, "PART_BYTES", 300)
+    parts = list(D._parts(batch))
+    assert len(parts) > 9 and [x for p in parts for x in p.column(1).to_pylist()] == [t for _, t in rows]
+    assert [x for p in parts for x in p.column(0).to_pylist()] == [i for i, _ in rows]

@@ -148,6 +148,15 @@ def _load(file: str) -> Phrases:
         return pickle.loads(f.read())
 
 
+#: Bytes of text that are searched at once; a longer text alone.
+PART_BYTES = 32 << 20
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for row, _, bounds in W.slices(batch.column(1), PART_BYTES):
+        yield batch.slice(row, len(bounds) - 1)
+
+
 class _Batch:
     """The words of a batch's documents, by their fingerprints, and what has been found in them."""
 
@@ -241,7 +250,7 @@ def _all_blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_
     arrow = to_arrow_schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             held = _Batch(batch.column(1))
             for file in files:
                 held.search(_load(file))
