@@ -1,7 +1,7 @@
 """A training corpus from raw documents, in stages; each stage is one operator of tidemark.llm.
 
 An application, so it sets its session where the operators don't: documents can be long, and each stage lets few rows go
-to a Python worker at once.
+to a Python worker at once. run() puts the setting back; whoever runs a stage by itself writes its rows under it.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from tidemark.llm.disclosure import clean_documents
 from tidemark.llm.near_duplicates import drop_near_duplicates
 from tidemark.llm.packing import pack
 from tidemark.llm.repetition_rules import keep_by_rules
-from tidemark.llm.shared import cut
+from tidemark.llm.shared import cut, small_batches
 
 
 def _few_rows(spark: SparkSession) -> None:
@@ -55,8 +55,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written to the shared folder and read again by the next."""
+    """The stages over documents, each written to the shared folder and read again by the next. The session's settings come back after them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name)
+    with small_batches(spark):
+        for name, stage in STAGES:
+            docs = cut(stage(spark, docs, sf_dir), name)
     return docs
