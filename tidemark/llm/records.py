@@ -120,7 +120,11 @@ def write_token_records(docs: DataFrame, folder: str, id_col: str = "doc_id", te
 
 
 def read_token_records(spark: SparkSession, listing: DataFrame, with_ids: bool = True) -> DataFrame:
-    """Reads the files of a listing back: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (as little-endian unsigned 32-bit integers) and, with_ids, ids."""
+    """Reads the files of a listing back: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (as little-endian unsigned 32-bit integers) and, with_ids, ids.
+
+    A row per record: documents of null or empty text have one id, the end; null ids stay null, and repeated ids and rows are
+    records each. A listing without files gives no rows. A checksum that doesn't fit is an error.
+    """
     kinds, arrow = schema_of("doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else ""))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = listing.select("part", "records_file", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("before"))  # a row a part

@@ -127,5 +127,9 @@ def repetition_rules(
 
 
 def keep_by_rules(docs: DataFrame, text_col: str = "text", **limits: float) -> DataFrame:
-    """The rows that repetition_rules keeps, with all their columns as they are."""
+    """The rows that repetition_rules keeps, with all their columns as they are, whatever their names.
+
+    Each row is judged by its own text, so equal rows stay or go together, and ids play no part. Null and empty texts have
+    no words and go. An empty table gives an empty table.
+    """
     return rejoined(docs, text_col, map_beside(beside(docs, text_col), _judge(**limits), COLUMNS, with_text=True).where("kept"), "text", changed=False)

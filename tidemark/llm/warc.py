@@ -167,7 +167,8 @@ def read_archives(spark: SparkSession, listing: DataFrame, with_payload: bool =
     """Reads the files of a listing back and resolves revisits.
 
     Returns a row per record: page_id, url, payload_bytes, payload_digest (base32 SHA-1), record_type, refers_to (the
-    original's page id, for revisits) and, with_payload, payload (of a revisit, null).
+    original's page id, for revisits) and, with_payload, payload (of a revisit, null). Pages of null html have an empty
+    payload; null and repeated page ids and repeated rows are records each. A listing without files gives no rows.
     """
     kinds, arrow = schema_of("page_id long, url string, payload_bytes long, payload_digest string, record_type string, record string, original string" + (", payload binary" if with_payload else ""))
 
