@@ -21,29 +21,35 @@ def _few_rows(spark: SparkSession) -> None:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules keep."""
+    """Documents that the repetition rules keep. Null and empty texts go; equal rows stay or go together."""
     _few_rows(spark)
     return keep_by_rules(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose sets of five-word shingles are similar by 0.8 or more."""
+    """One document of each group whose sets of five-word shingles are similar by 0.8 or more, that of the smallest id.
+
+    Of equal rows one stays; rows of one id with unlike texts are judged each by its own; null ids and texts stay.
+    """
     return drop_near_duplicates(docs, shingle=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark."""
+    """Documents without passages of the benchmark. Every row stays, null and empty texts as they are."""
     _few_rows(spark)
     return remove_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data and terms that disclose it replaced."""
+    """Documents with personal data and terms that disclose it replaced. Every row stays, null and empty texts as they are."""
     return clean_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's pieces and their places in sequences of 2048 tokens."""
+    """Each document's pieces and their places in sequences of 2048 tokens; a null or empty text is one piece, the end id. Every row is packed.
+
+    All stages give an empty table for an empty one, and take further columns of any name.
+    """
     _few_rows(spark)
     return pack(docs, 2048, with_ids=False)
 
