@@ -146,3 +146,13 @@ def test_filter_knows_frequent_keys():
         N.add_counts(N.pack_counts(at, counts), total)
     made = N.Filter(np.packbits(total >= 10).tobytes())
     assert made.has(keys[:1000]).all() and made.has(keys[1000:]).mean() < 0.01
+
+
+def test_marks_of_small_trees_lie_anywhere():
+    rng = random.Random(2)
+    trees = [of(rng.sample(range(10_000), 30)) for _ in range(300)]
+    first = sorted(m[0] for t in trees for m in N.marks(t, 10_000))
+    assert len(first) == 300 and all(abs(first[k * 60] - k * 2000) < 700 for k in range(1, 5))
+    big = of([rng.randrange(2000) for _ in range(3000)])
+    some = [tuple(m) for m in N.marks(big, 500)]
+    assert len(some) == big.size // 500 and some == sorted(some) and len(set(some)) == len(some) and all(len(m) == 3 for m in some)

@@ -92,11 +92,16 @@ def frequent(p: Paths, least: int) -> Paths:
 
 
 def marks(p: Paths, every: int) -> list[list[int]]:
-    """Phrases at even steps of the deepest level that has any, one for so many nodes of all levels."""
+    """Phrases at even steps of the deepest level that has any, one for so many nodes of all levels.
+
+    The steps start at a place that depends on the words, so that the marks of many small trees lie anywhere in them.
+    """
     d = max((k for k in range(len(p.word)) if len(p.word[k])), default=0)
     n = len(p.word[d])
     wanted = min(n, max(1, p.size // every))
-    return p.phrases(d, (np.arange(wanted) * n) // max(1, wanted)).tolist()
+    start = int(W.mix(np.bitwise_xor.reduce(p.word[d].view(np.uint64), keepdims=True))[0]) / 2**64
+    at = ((np.arange(wanted) + start) * n / max(1, wanted)).astype(np.int64)
+    return p.phrases(d, np.minimum(at, n - 1)).tolist()
 
 
 def bounds(p: Paths, splitters: list[tuple[int, ...]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
