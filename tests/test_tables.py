@@ -46,6 +46,13 @@ def test_fills_with_unknown_and_zero_sides(spark):
     assert loose["3"] == (0.5, 2.0, "Yes") and loose["5"] == (0.4, 10.0, None) and "4" not in loose
 
 
+def test_trades_of_zeros_keep_the_last_alias(spark):
+    rows = [("1", 0.0, 0.0, "0", None), ("2", 0.5, 0.0, "3", "0"), ("3", None, 0.7, "", "5"), ("4", 0.0, None, None, "0")]
+    raw = spark.createDataFrame(rows, "hash string, price double, rate double, amount string, shares string").withColumn("time", F.lit(1704067200))
+    got = {r["transaction_hash"]: (r["price"], r["size"]) for r in L.normalize_trades(raw).collect()}
+    assert got == {"1": (0.0, None), "2": (0.5, 3.0), "3": (0.7, 5.0), "4": (None, 0.0)}
+
+
 def test_size_scales(spark):
     rows = [("raw", 2e8, 0.5)] * 9 + [("raw", 1e8, 0.6), ("plain", 2.5, 0.5), ("big", 1e18, 0.5), ("odd", 3e8, 7.0), ("none", -1.0, 0.1)]
     got = {r["market_id"]: r["scale"] for r in L.size_scale(spark.createDataFrame(rows, "market_id string, size double, price double")).collect()}

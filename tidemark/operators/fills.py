@@ -70,12 +70,16 @@ def normalize_fills(fills: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def normalize_trades(trades: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
-    """API trades to trade rows, by the first alias with a value: 0 and blank text count as none, as for a truth test."""
+    """API trades to trade rows, by the first alias with a value: 0 and blank text count as none, as for a truth test.
+
+    Where no alias has a value, a 0 of the last one in the list stays: so a chain of truth tests ends.
+    """
     names = set(trades.columns)
 
     def pick(*aliases: str) -> Column:
-        held = [F.col(a).cast("string") for a in aliases if a in names]
-        return F.coalesce(*[F.when((c != "") & F.coalesce(c.try_cast("double") != 0, F.lit(True)), c) for c in held], F.lit(None).cast("string"))
+        held = {a: F.nullif(F.col(a).cast("string"), F.lit("")) for a in aliases if a in names}
+        true = [F.when(F.coalesce(c.try_cast("double") != 0, F.lit(True)), c) for c in held.values()]
+        return F.coalesce(*true, held.get(aliases[-1], F.lit(None).cast("string")))
 
     inner = {f.name for f in trades.schema["token"].dataType.fields} if "token" in names else set()
     nested = F.col("token.outcome").cast("string") if "outcome" in inner else F.lit(None).cast("string")
