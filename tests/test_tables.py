@@ -7,6 +7,7 @@ from tidemark.operators import fills as L
 from tidemark.operators import markets as M
 from tidemark.operators import news as N
 from tidemark.operators import tables as Ta
+from tidemark.plans import pipelines as P
 from tidemark.sources import records as R
 
 
@@ -59,6 +60,32 @@ def test_size_scales(spark):
     assert got == {"raw": 1e6, "plain": 1.0, "big": 1e18, "odd": 1.0, "none": 1.0}
 
 
+def _plan(spark, df):
+    return spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+
+
+@pytest.fixture
+def no_small_joins(spark):
+    """Joins go by a shuffle unless a broadcast is asked for, as for large tables."""
+    given = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", given)
+
+
+def test_trades_are_dealt_by_their_count(spark, no_small_joins, monkeypatch):
+    monkeypatch.setattr(Ta, "TASK_ROWS", 20)
+    twice = F.floor(F.col("id") / 2)
+    fills = spark.range(300).select(
+        twice.cast("string").alias("id"), (twice + 1704067200).cast("string").alias("timestamp"), twice.cast("string").alias("transactionHash"),
+        F.lit("7").alias("makerAssetId"), F.lit("0").alias("takerAssetId"), F.lit("4").alias("makerAmountFilled"), F.lit("2").alias("takerAmountFilled"),
+    )
+    markets = spark.createDataFrame([("m", '["7"]', '["Yes"]')], "condition_id string, clob_token_ids string, outcomes string")
+    trades = P.trades_from_fills(fills, markets)
+    assert [int(r["transaction_hash"]) for r in trades.collect()] == list(range(150))
+    assert ", 15), REPARTITION_BY_NUM" in _plan(spark, trades) and "SortMergeJoin" not in _plan(spark, trades)
+
+
 def test_tokens_with_unequal_counts_and_objects(spark):
     rows = [("a", "1, 2", '["x"]'), ("b", '["3","3"," 4"]', '[{"name":"n"},{"title":"t"}]'), ("c", None, None)]
     got = sorted((r["condition_id"], r["asset_id"], r["outcome"]) for r in L.market_tokens(spark.createDataFrame(rows, "condition_id string, clob_token_ids string, outcomes string")).collect())

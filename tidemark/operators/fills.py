@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import as_list, epoch_ts, number
 from ..scratch import cut
-from .tables import exact_quantiles
+from .tables import exact_quantiles, small_side
 
 
 def market_tokens(markets: DataFrame) -> DataFrame:
@@ -148,9 +148,9 @@ def size_scale(trades: DataFrame, key: str = "market_id", written: bool = False)
 
 
 def normalize_size(trades: DataFrame, key: str = "market_id", written: bool = False) -> DataFrame:
-    """Sizes divided by their market's scale. Trades that don't come from a table are written first."""
+    """Sizes divided by their market's scale. Trades that don't come from a table are written first; they stay where they are, as scales go out to them."""
     held = trades if written else cut(trades, "typed-trades")
-    return held.join(size_scale(held, key, written=True).select(key, "scale"), key).withColumn("size", F.col("size") / F.col("scale")).drop("scale")
+    return held.join(small_side(size_scale(held, key, written=True).select(key, "scale"), "scales"), key).withColumn("size", F.col("size") / F.col("scale")).drop("scale")
 
 
 def size_plausibility(trades: DataFrame, key: str = "market_id") -> DataFrame:

@@ -88,6 +88,21 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), column)
 
 
+#: Rows up to which a counted table goes out to all executors, and rows that one task sorts or hashes.
+BROADCAST_ROWS, TASK_ROWS = 100_000, 400_000
+
+
+def small_side(df: DataFrame, label: str) -> DataFrame:
+    """df written, for a join with a large table on keys of which each may have very many rows there: broadcast if it was counted to be small."""
+    held = cut(df, label)
+    return F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
+
+
+def task_partitions(df: DataFrame, rows: int) -> int:
+    """How many partitions rows need. By rows, as sorted rows compress to a hundredth on their way, and a size in bytes lets a task have millions."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
+
 #: Relative rank error of the sketches that bracket a quantile, as its reciprocal; brackets reach BRACKET errors to both sides.
 SKETCH, BRACKET = 10_000, 4
 
@@ -97,8 +112,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[
 
     wanted: name -> (value, fraction). By selection, in two passes: a sketch of each key brackets every quantile between
     two values; then what lies below and above a bracket is only counted, and the values inside it, at most about one in a
-    thousand of a key's and ties as one row, are ranked. Neither a key nor a column is sorted or held whole. Lazy: both
-    passes run with the result, so callers write an input that is dear to compute.
+    thousand of a key's and ties as one row, are ranked. Neither a key nor a column is sorted or held whole, and rows do not
+    move to their key's bracket: brackets go out to them where there are few. The first pass runs here if there are keys, the
+    second with the result, so callers write an input that is dear to compute.
     """
     key = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("k"))
     columns = list({str(c): c for c, _ in wanted.values()}.values())
@@ -108,6 +124,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[
     reach = BRACKET / SKETCH
     ends = [[F.lit(e) for f in fs for e in (max(0.0, f - reach), min(1.0, f + reach))] for fs in fractions]
     sketch = base.groupBy("key").agg(*[F.percentile_approx(f"v{k}", F.array(*e), SKETCH).alias(f"s{k}") for k, e in enumerate(ends)])
+    sketch = small_side(sketch, "sketches") if keys else F.broadcast(sketch)
 
     pairs = [(k, j) for k, fs in enumerate(fractions) for j in range(len(fs))]
     sided = []

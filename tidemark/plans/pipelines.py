@@ -12,7 +12,7 @@ from ..operators import breaks as K
 from ..operators import fills as L
 from ..operators import markets as M
 from ..operators import news as N
-from ..operators.tables import dedupe_rows, snake_case_columns
+from ..operators.tables import dedupe_rows, snake_case_columns, task_partitions
 from ..scratch import cut
 from ..streaming import orderbook as S
 
@@ -23,12 +23,16 @@ TRADE_COLUMNS = ["timestamp_utc", "price", "size", "outcome", "transaction_hash"
 def trades_from_fills(fills: DataFrame, markets: DataFrame, start: str | None = None, dedupe_key: str | None = None) -> DataFrame:
     """Typed trades of all markets: by asset, from a start, scaled by market, deduplicated, in order of market and time.
 
-    dedupe_key="seq" keeps equal fills of one transaction apart. Equal times go by transaction and seq.
+    dedupe_key="seq" keeps equal fills of one transaction apart. Equal times go by transaction and seq. Trades are counted, so
+    that no task gets more of them to sort for a larger table.
     """
     trades = L.normalize_fills_for_asset(fills, L.market_tokens(markets))
     if start is not None:
         trades = B.filter_start_date(trades, start)
-    trades = dedupe_rows(L.normalize_size(trades), ["market_id", dedupe_key] if dedupe_key else ["market_id", *TRADE_COLUMNS])
+    trades = cut(trades, "typed-trades")
+    columns = ["market_id", dedupe_key] if dedupe_key else ["market_id", *TRADE_COLUMNS]
+    dealt = L.normalize_size(trades, written=True).repartition(task_partitions(trades, trades.count()), *columns)
+    trades = dedupe_rows(dealt, columns)
     return B.sort_trades(trades, ["market_id"])
 
 
