@@ -153,6 +153,15 @@ def test_ranks_of_ties_over_many_partitions(spark):
     assert got["q"].tolist() == pytest.approx(pdf["w"].rank(pct=True).tolist())
 
 
+def test_ranks_are_dealt_by_their_count(spark, monkeypatch):
+    monkeypatch.setattr(Ta, "TASK_ROWS", 500)
+    df = spark.range(4000).select(F.col("id").alias("k"), (F.col("id") % 7).cast("double").alias("v"), (F.col("id") % 3).cast("double").alias("w"))
+    ranked = Ta.percentile_ranks(df, {"v": "p", "w": "q"})
+    assert ranked.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] < 500
+    got = ranked.toPandas().sort_values("k")
+    assert got["p"].tolist() == pytest.approx(got["v"].rank(pct=True).tolist()) and got["q"].tolist() == pytest.approx(got["w"].rank(pct=True).tolist())
+
+
 def test_urls_of_markets_and_events(spark):
     urls = [("https://h.example/market/a-1",), ("https://h.example/market/zz-2",), ("https://h.example/event/e-7?x=1",), ("https://h.example/event/bare",), ("https://h.example/event/void",), ("https://h.example/about",), (None,), ("https://h.example/market/a-1",)]
     markets = spark.createDataFrame([("a", "0x1"), ("a-1", None), ("a", "0x0")], "slug string, condition_id string")

@@ -173,22 +173,22 @@ def percentile_ranks(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     Rows get numbers. Each value goes with its row's number through one range partition of (column, value, row), so that
     the rows of a common value are split too; a partition's places start from the totals of those before it, and a value
     that reaches over partitions (two a partition at most) gets its first and last place from them all. One aggregation
-    brings a row's ranks together for the join with the rows.
+    brings a row's ranks together for the join with the rows. Rows are counted for the number of partitions in all of it.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = cut(df.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    n = task_partitions(rows, rows.count() * len(columns))
     long = rows.select("__row", F.explode(F.array(*[F.struct(F.lit(k).alias("no"), F.col(c).cast("double").alias("value")) for k, c in enumerate(columns)])).alias("x")).select("__row", "x.*").where("value IS NOT NULL")
     ranged = cut(long.repartitionByRange(n, "no", "value", "__row").withColumn("part", F.spark_partition_id()), "ranged")
     parts = ranged.groupBy("no", "part").agg(F.count("*").alias("in_part"), F.min("value").alias("low"), F.max("value").alias("high"))  # a row for each column and partition
     upto = Window.partitionBy("no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumns({"before": F.coalesce(F.sum("in_part").over(upto), F.lit(0)), "n": F.sum("in_part").over(Window.partitionBy("no"))})
     inside, tied = Window.partitionBy("no", "part").orderBy("value"), Window.partitionBy("no", "part", "value")
-    placed = ranged.withColumns({"first": F.rank().over(inside), "ties": F.count("*").over(tied)}).join(F.broadcast(parts), ["no", "part"])
+    placed = ranged.repartitionById(n, F.col("part")).withColumns({"first": F.rank().over(inside), "ties": F.count("*").over(tied)}).join(F.broadcast(parts), ["no", "part"])
     placed = placed.withColumns({"first": F.col("before") + F.col("first"), "edge": (F.col("value") == F.col("low")) | (F.col("value") == F.col("high"))}).withColumn("last", F.col("first") + F.col("ties") - 1)
     over = placed.where("edge").groupBy("no", "value").agg(F.min("first").alias("all_first"), F.max("last").alias("all_last"))
     ranked = placed.join(F.broadcast(over), ["no", "value"], "left").withColumn("rank", (F.coalesce("all_first", "first") + F.coalesce("all_last", "last")) / 2 / F.col("n"))
-    wide = ranked.groupBy("__row").agg(*[F.max(F.when(F.col("no") == k, F.col("rank"))).alias(out) for k, out in enumerate(columns.values())])
-    return rows.join(wide, "__row", "left").drop("__row").fillna(0.0, list(columns.values()))
+    wide = ranked.repartition(n, "__row").groupBy("__row").agg(*[F.max(F.when(F.col("no") == k, F.col("rank"))).alias(out) for k, out in enumerate(columns.values())])
+    return rows.repartition(n, "__row").join(wide, "__row", "left").drop("__row").fillna(0.0, list(columns.values()))
 
 
 def percentile_rank(df: DataFrame, column: str, out: str) -> DataFrame:
