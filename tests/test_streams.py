@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import catalog
 from tidemark.operators import bars as B
+from tidemark.operators import tables as Ta
 from tidemark.streaming import orderbook as S
 from tidemark.streaming.latest import LatestRows
 
@@ -88,3 +90,24 @@ def test_filled_bars_of_a_stream_equal_those_of_its_table(spark, tmp_path):
     trades = spark.read.schema(schema).parquet(source).where("market_id IS NOT NULL")
     want = B.ohlc_bars(trades, 60).select("market_id", F.coalesce("outcome", F.lit("-")), F.unix_seconds("bar_start"), "n_trades", "volume", F.coalesce("price_end", F.lit(-1.0)))
     assert got == sorted(map(tuple, want.collect())) and len(got) == 17 + 19
+
+
+@pytest.mark.parametrize("task_rows, files", [(400_000, 2), (10, 3)])
+def test_ranges_of_time_have_equally_many_files(spark, monkeypatch, task_rows, files):
+    """Of the first range all rows have one time; its micro-batch takes no file of the next range."""
+    monkeypatch.setattr(Ta, "TASK_ROWS", task_rows)
+    df = spark.range(100).select("id", F.timestamp_seconds(F.when(F.col("id") < 25, 0).otherwise(F.col("id"))).alias("at"))
+    path = catalog._in_turn(spark, df, "at")[1]
+    held = spark.read.parquet(path)
+    assert len(held.inputFiles()) == 4 * files and sorted(r["id"] for r in held.collect()) == list(range(100))
+
+
+def test_a_batchs_bars_are_filled_by_adaptive_plans(spark, tmp_path, monkeypatch):
+    adaptive = []
+    fill = S.fill_bars
+    monkeypatch.setattr(S, "fill_bars", lambda bars, *a: adaptive.append(bars.sparkSession.conf.get("spark.sql.adaptive.enabled")) or fill(bars, *a))
+    rows = spark.createDataFrame([("m", "Yes", 60 * k, 0.5, 1.0, k) for k in (0, 1, 4)], "market_id string, outcome string, t long, price double, size double, seq long")
+    rows = rows.withColumn("timestamp_utc", F.timestamp_seconds("t")).drop("t")
+    rows.write.parquet(str(tmp_path / "in"))
+    S.stream_filled_bars(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), 60, str(tmp_path / "out"), str(tmp_path / "state"), "1 seconds")
+    assert adaptive and set(adaptive) == {"true"}

@@ -22,8 +22,8 @@ def folder(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{app}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """df written to a fresh folder and read back, for tables that several plans read."""
+def cut(df: DataFrame, label: str, reader: SparkSession | None = None) -> DataFrame:
+    """df written to a fresh folder and read back, for tables that several plans read; reader: the session that reads it, if not df's own."""
     path = folder(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return (reader or df.sparkSession).read.schema(df.schema).parquet(path)

@@ -78,7 +78,9 @@ def stream_filled_bars(trades: DataFrame, step: int, path: str, checkpoint: str,
     """stream_bars with the empty bars between, each written once, in order of time; returns what is at path then.
 
     The last closed bar of each key is kept beside the bars. A micro-batch's closed bars are filled from there on, and go to
-    the batch's own folder, as do its last bars; a batch that runs again reads those of earlier batches only.
+    the batch's own folder, as do its last bars; a batch that runs again reads those of earlier batches only. The stream's
+    session has no adaptive plans, where each of a batch's few bars' shuffles would be tasks for all state partitions, so
+    closed bars are read by the caller's.
     """
     spark, keys = trades.sparkSession, list(keys)
     closed = stream_bars(trades, step, delay, keys)
@@ -86,7 +88,7 @@ def stream_filled_bars(trades: DataFrame, step: int, path: str, checkpoint: str,
     last = LatestRows(spark, f"{path}/last", ends.schema, keys, ["bar_start"], compact)
 
     def fill(bars: DataFrame, batch: int) -> None:
-        bars = cut(bars, "closed-bars")  # read for the bars, their keys and their ends
+        bars = cut(bars, "closed-bars", spark)  # read for the bars, their keys and their ends
         key = F.struct(*keys)  # null equal to null
         before = last.read(batch).withColumn("__k", key).join(bars.select(key.alias("__k")).distinct(), "__k", "left_semi").drop("__k")
         before = before.select(*[F.col(f.name) if f.name in (*keys, "bar_start") else F.lit(None).cast(f.dataType).alias(f.name) for f in bars.schema])
