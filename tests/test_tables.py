@@ -73,6 +73,13 @@ def no_small_joins(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", given)
 
 
+def test_one_markets_trades_stay_where_they_are(spark, no_small_joins):
+    trades = spark.range(4000).select(F.lit("m").alias("market_id"), (F.col("id") % 9 + 1.0).alias("size"), F.lit(0.5).alias("price")).repartition(4)
+    sized = L.normalize_size(trades)
+    assert sized.groupBy(F.spark_partition_id()).count().count() > 1 and sized.agg(F.sum("size")).first()[0] == sum(k % 9 + 1.0 for k in range(4000))
+    assert "SortMergeJoin [key" not in _plan(spark, Ta.exact_quantiles(trades, ["market_id"], {"q": (F.col("size"), 0.5)}))
+
+
 def test_trades_are_dealt_by_their_count(spark, no_small_joins, monkeypatch):
     monkeypatch.setattr(Ta, "TASK_ROWS", 20)
     twice = F.floor(F.col("id") / 2)
