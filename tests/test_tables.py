@@ -80,6 +80,19 @@ def test_one_markets_trades_stay_where_they_are(spark, no_small_joins):
     assert "SortMergeJoin [key" not in _plan(spark, Ta.exact_quantiles(trades, ["market_id"], {"q": (F.col("size"), 0.5)}))
 
 
+def test_one_assets_fills_stay_where_they_are(spark, no_small_joins, monkeypatch):
+    fills = spark.range(4000).select(
+        F.col("id").cast("string").alias("id"), F.lit("1704067200").alias("timestamp"), F.lit("h").alias("transactionHash"),
+        F.lit("7").alias("makerAssetId"), F.lit("0").alias("takerAssetId"), F.lit("4").alias("makerAmountFilled"), F.lit("2").alias("takerAmountFilled"),
+    ).repartition(4)
+    tokens = spark.createDataFrame([("m", "7", "Yes"), ("m", "7", "Yes"), ("n", "8", "No")], "condition_id string, asset_id string, outcome string")
+    trades = L.normalize_fills_for_asset(fills, tokens)
+    assert "SortMergeJoin" not in _plan(spark, trades) and trades.groupBy(F.spark_partition_id()).count().count() > 1
+    monkeypatch.setattr(Ta, "BROADCAST_ROWS", 0)
+    many = L.normalize_fills_for_asset(fills, tokens)
+    assert "SortMergeJoin" in _plan(spark, many) and many.count() == 4000 and many.exceptAll(trades).count() == 0
+
+
 def test_trades_are_dealt_by_their_count(spark, no_small_joins, monkeypatch):
     monkeypatch.setattr(Ta, "TASK_ROWS", 20)
     twice = F.floor(F.col("id") / 2)

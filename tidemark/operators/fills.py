@@ -43,12 +43,13 @@ def normalize_fills_for_asset(fills: DataFrame, tokens: DataFrame) -> DataFrame:
     """A trade row for each fill and each known asset on its sides; a fill between two known assets gives two.
 
     Shares are the asset side's amount, the quote is the other's, the price quote / shares. Where both sides are the
-    same asset the maker side counts.
+    same asset the maker side counts. Tokens are written and counted here and, if few, go out to the fills: half of all
+    sides can be one asset, such as 0 for money.
     """
     typed = _fill_columns(fills).where(F.col("timestamp_utc").isNotNull())
     sides = F.array(F.struct(F.col("maker_asset").alias("asset_id"), F.col("maker_amount").alias("shares"), F.col("taker_amount").alias("quote")), F.struct(F.col("taker_asset").alias("asset_id"), F.col("taker_amount").alias("shares"), F.col("maker_amount").alias("quote")))
     both = F.when(F.col("maker_asset") == F.col("taker_asset"), F.slice(sides, 1, 1)).otherwise(sides)
-    known = tokens.select("condition_id", "asset_id", "outcome").dropDuplicates(["condition_id", "asset_id"])
+    known = small_side(tokens.select("condition_id", "asset_id", "outcome").dropDuplicates(["condition_id", "asset_id"]), "tokens")
     rows = typed.select("id", "timestamp_utc", "transaction_hash", F.explode(both).alias("s")).select("id", "timestamp_utc", "transaction_hash", "s.*")
     return rows.join(known, "asset_id").select(
         F.col("condition_id").alias("market_id"), "asset_id", "timestamp_utc", _price(F.col("quote"), F.col("shares")).alias("price"), F.col("shares").alias("size"), "outcome", "transaction_hash", F.col("id").alias("seq"),
