@@ -6,6 +6,7 @@ import pyarrow as pa
 from tidemark.llm import words as W
 from tidemark.llm.components import components
 from tidemark.llm.near_duplicates import drop_near_duplicates, min_max_bands, near_duplicates, shingle_sets
+from tidemark.llm.shared import cut
 
 from . import brute
 
@@ -64,6 +65,21 @@ def test_family_of_several_blocks(spark, monkeypatch):
     assert sorted(map(tuple, got.drop("text_hash").collect())) == want and len({w[2] for w in want}) > 1
 
 
+def test_cells_and_texts_are_shuffled(spark):
+    """Cells and near copies take little room in files and much in memory, so they don't go through the driver."""
+    from tidemark.llm import near_duplicates as module
+
+    texts = spark.createDataFrame([(k, f"a b c d e f g h i {'jklm'[k // 3]}") for k in range(12)], "node long, text string")
+    rest = spark.createDataFrame([(0, k, k // 3 * 3) for k in range(12)], "low long, node long, own long")
+    pairs = cut(spark.createDataFrame([(0, 1), (0, 11)], "lo long, hi long"), "pairs")
+    found, kept = module._across(rest, texts, 2, 80), module._confirm(pairs, cut(texts, "texts"), 2, 80)
+    for df in (found, kept):
+        plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(map(tuple, found.collect())) == [(0, 3), (0, 6), (0, 9), (3, 6), (3, 9), (6, 9)]
+    assert sorted(map(tuple, kept.collect())) == [(0, 1), (0, 11)]
+
+
 def test_ids_and_empty_table(spark):
     rows = [(None, "a b c"), (3, "a b c"), (5, "a b c"), (5, "a b c"), (7, None)]
     got = sorted(map(tuple, near_duplicates(brute.documents(spark, rows), shingle=2).drop("text_hash").collect()), key=str)

@@ -62,8 +62,9 @@ def min_max_bands(sets: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs of nodes (lo, hi) whose full sets are similar enough. texts: (node, text)."""
-    both = pairs.join(texts.select(F.col("node").alias("lo"), F.col("text").alias("a")), "lo").join(texts.select(F.col("node").alias("hi"), F.col("text").alias("b")), "hi")
+    """The pairs of nodes (lo, hi) whose full sets are similar enough. texts: (node, text), which go by shuffles."""
+    a, b = texts.select(F.col("node").alias("lo"), F.col("text").alias("a")), texts.select(F.col("node").alias("hi"), F.col("text").alias("b"))
+    both = pairs.join(a.hint("merge"), "lo").join(b.hint("merge"), "hi")
     kinds, arrow = schema_of("lo long, hi long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +91,8 @@ def _across(rest: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     """Links (lo, hi) between labels of which nodes are similar enough. rest: (low, node, own), the least label of an open group and each node's own.
 
     Labels that open groups hold together are a family. A family is dealt into blocks; a task compares two blocks, so
-    a large family is many tasks, and only links come out.
+    a large family is many tasks, and only links come out. A node stands in as many cells as its family has blocks, which
+    take a byte each or less in files: by that size Spark would broadcast many millions, so they are shuffled.
     """
     family = components(rest.where("low < own").select(F.col("low").alias("lo"), F.col("own").alias("hi")).distinct()).select(F.col("node").alias("own"), F.col("label").alias("family"))
     nodes = cut(rest.select("node", "own").distinct().join(family, "own"), "families")
@@ -122,7 +124,7 @@ def _across(rest: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
             hi += np.maximum(other, own[i]).tolist()
         return pa.table({"lo": pa.array(lo, pa.int64()), "hi": pa.array(hi, pa.int64())})
 
-    held = cells.join(texts, "node").select("family", "low", "high", "own", "text")
+    held = cells.hint("merge").join(texts, "node").select("family", "low", "high", "own", "text")
     return held.groupBy("family", "low", "high").applyInArrow(compare, "lo long, hi long").distinct()
 
 
