@@ -91,8 +91,8 @@ def _across(rest: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     """Links (lo, hi) between labels of which nodes are similar enough. rest: (low, node, own), the least label of an open group and each node's own.
 
     Labels that open groups hold together are a family. A family is dealt into blocks; a task compares two blocks, so
-    a large family is many tasks, and only links come out. A node stands in as many cells as its family has blocks, which
-    take a byte each or less in files: by that size Spark would broadcast many millions, so they are shuffled.
+    a large family is many tasks, and only links come out. A node stands in as many cells as its family has blocks; in
+    files those of a large family take about a byte each, by which Spark would broadcast millions, so they are shuffled.
     """
     family = components(rest.where("low < own").select(F.col("low").alias("lo"), F.col("own").alias("hi")).distinct()).select(F.col("node").alias("own"), F.col("label").alias("family"))
     nodes = cut(rest.select("node", "own").distinct().join(family, "own"), "families")
